@@ -9,7 +9,7 @@ with d as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
 ), t as (
   select rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
   from d
 ), p as (
   select rid, unnest(range(1, len(w) - 1)) as i, w from t where len(w) > 2
@@ -24,7 +24,7 @@ with d as (
          len(regexp_extract_all(text, '!')) as n_marks,
          len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines,
          coalesce(n_repeat_words, 0) as n_repeat_words,
-         len(list_filter(w, x -> lower(x) in ({_STOPS}))) as n_stops
+         len(list_filter(w, lambda x: lower(x) in ({_STOPS}))) as n_stops
   from t left join r using (rid)
 ), v as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,

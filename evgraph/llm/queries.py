@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evgraph.llm import oracles, quality
+from evgraph.llm import oracles, quality, sharding
 from evgraph.llm.common import read
 
 
+def _crc32(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=40)
+    return docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        _crc32(F.col("text")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs).select("doc_id", *quality.ADDED)
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
-SQL: dict[str, str] = {"op3_quality_rules": oracles.QUALITY}
+QUERIES = {"op1_sharding": op1_sharding, "op3_quality_rules": op3_quality_rules}
+SQL = {"op3_quality_rules": oracles.QUALITY}
