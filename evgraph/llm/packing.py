@@ -98,50 +98,79 @@ def _dominated(fill: list[int], others: list[list[int]]) -> bool:
     return any(fits(fill, o) for o in others)
 
 
-def completions(rest: dict[int, int], room: int, budget: int) -> list[list[int]]:
-    """Undominated fillings of ``room`` by what is left, fullest first.
-
-    At most ``budget`` partial fillings are looked at; a search cut short loses
-    optimality only, as the incumbent holds a whole packing.
-    """
-    lengths = sorted((x for x, c in rest.items() if c and x <= room), reverse=True)
+def _exact(lengths: list[int], rest: dict[int, int], room: int, budget: int) -> list[list[int]]:
+    """Every maximal filling of ``room``, as far as ``budget`` partial ones go."""
     found: list[list[int]] = []
     seen = 0
 
     def grow(i: int, room: int, fill: list[int]) -> None:
         nonlocal seen
         seen += 1
-        if seen > budget or len(found) >= 40:
-            return
         while i < len(lengths) and lengths[i] > room:
             i += 1
         if i == len(lengths):
             found.append(list(fill))
             return
         x = lengths[i]
-        most = min(rest[x], room // x)
-        for k in range(most, -1, -1):
-            grow(i + 1, room - k * x, fill + [x] * k)
-            if found and sum(found[-1]) == sum(fill) + room and k == most and len(found) >= 40:
+        for k in range(min(rest[x], room // x), -1, -1):
+            if seen > budget:
                 return
+            grow(i + 1, room - k * x, fill + [x] * k)
 
     grow(0, room, [])
-    found.sort(key=lambda f: (-sum(f), [-x for x in f]))
+    return found
+
+
+def _likely(lengths: list[int], rest: dict[int, int], room: int, keep: int) -> list[list[int]]:
+    """The fullest fillings by one or two pieces beside a chain of large ones, for
+    tables of many lengths: each pair search is one sorted lookup of all of them."""
+    up = np.array(lengths[::-1], dtype=np.int64)
+    found: list[list[int]] = []
+    chain: list[int] = []
+    while True:
+        room_left = room - sum(chain)
+        fits = up[up <= room_left]
+        if not len(fits):
+            found.append(list(chain))
+            break
+        gap = room_left - fits
+        at = np.searchsorted(fits, gap, side="right") - 1
+        lost = np.where(at >= 0, gap - fits[np.maximum(at, 0)], gap)
+        for i in np.lexsort((-fits, lost))[:keep].tolist():
+            pair = [int(fits[i]), int(fits[at[i]])] if at[i] >= 0 else [int(fits[i])]
+            found.append(sorted([*chain, *pair], reverse=True))
+        chain.append(int(fits[-1]))
+    used = lambda f: all(f.count(x) <= rest[x] for x in set(f))
+    return [f for f in found if used(f)]
+
+
+def completions(rest: dict[int, int], room: int, budget: int, keep: int = 6) -> list[list[int]]:
+    """Undominated fillings of ``room`` by what is left, fullest first.
+
+    Tables of up to 40 lengths are enumerated (``budget`` partial fillings at
+    most), larger ones give the fullest that ``_likely`` finds. What is missed can
+    only cost optimality, as the incumbent always holds a whole packing.
+    """
+    lengths = sorted((x for x, c in rest.items() if c and x <= room), reverse=True)
+    if not lengths:
+        return [[]]
+    found = _exact(lengths, rest, room, budget) if len(lengths) <= 40 else _likely(lengths, rest, room, keep)
+    found = sorted({tuple(f) for f in found}, key=lambda f: (sum(f), f), reverse=True)
     out: list[list[int]] = []
-    for f in found:
-        if f not in out and not _dominated(f, out):
+    for f in map(list, found[:200] if len(lengths) <= 40 else found[:keep]):
+        if not _dominated(f, out):
             out.append(f)
     return out or [[]]
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 20_000, width: int = 2_000) -> dict[Pattern, int]:
+def bin_completion(counts: dict[int, int], size: int, nodes: int = 10_000, width: int = 2_000) -> dict[Pattern, int]:
     """Fewest sequences of ``size`` for the counted lengths: pattern -> how many.
 
     Branch and bound: take the largest length left, branch over its undominated
     fillings, apply a filling as often as the counts allow, and prune where the
     waste so far exceeds what a packing better than the incumbent may waste. The
     incumbent starts as best-fit decreasing; the search ends when the incumbent
-    meets the lower bound or after ``nodes`` branchings.
+    meets the lower bound or after ``nodes`` branchings, whatever the counts are.
     """
     counts = {x: c for x, c in counts.items() if c}
     if any(x > size or x < 1 for x in counts):
@@ -150,51 +179,46 @@ def bin_completion(counts: dict[int, int], size: int, nodes: int = 20_000, width
         return {}
     best = best_fit(counts, size)
     used, bound = sum(best.values()), lower_bound(counts, size)
-    total, spent = sum(x * c for x, c in counts.items()), 0
-
-    def search(rest: dict[int, int], packed: list[tuple[Pattern, int]], bins: int, waste: int) -> bool:
-        """True once the bound is met."""
-        nonlocal best, used, spent
-        stack = [(rest, packed, bins, waste)]
-        while stack:
-            rest, packed, bins, waste = stack.pop()
-            if not rest:
-                if bins < used:
-                    used, best = bins, _summed(packed)
-                    if used <= bound:
-                        return True
-                continue
-            allowed = (used - 1) * size - total
-            if waste > allowed or bins + lower_bound(rest, size) >= used:
-                continue
-            spent += 1
-            if spent > nodes:
-                return False
-            x = max(rest)
-            less = dict(rest)
-            less[x] -= 1
-            nexts = []
-            for fill in completions({k: v for k, v in less.items() if v}, size - x, width):
-                pattern = _pattern([x, *fill])
-                times = min(rest[k] // n for k, n in pattern)
-                lost = size - sum(k * n for k, n in pattern)
-                if lost:
-                    times = max(1, min(times, (allowed - waste) // lost if allowed > waste else 0))
-                if waste + lost * times <= allowed:
-                    after = {k: v for k, v in ((k, v - dict(pattern).get(k, 0) * times) for k, v in rest.items()) if v}
-                    nexts.append((after, [*packed, (pattern, times)], bins + times, waste + lost * times))
-            stack.extend(reversed(nexts))
-        return used <= bound
-
-    if used > bound:
-        search(counts, [], 0, 0)
+    total = sum(x * c for x, c in counts.items())
+    stack, spent = [(counts, (), 0, 0)], 0
+    while stack and used > bound and spent < nodes:
+        rest, packed, bins, waste = stack.pop()
+        if not rest:
+            if bins < used:
+                used, best = bins, _summed(packed)
+            continue
+        allowed = (used - 1) * size - total
+        if waste > allowed or (len(rest) <= 40 and bins + lower_bound(rest, size) >= used):
+            continue
+        spent += 1
+        x = max(rest)
+        rest[x] -= 1
+        fills = completions(rest, size - x, width)
+        rest[x] += 1
+        nexts = []
+        for fill in fills:
+            pattern = _pattern([x, *fill])
+            times = min(rest[k] // n for k, n in pattern)
+            lost = size - sum(k * n for k, n in pattern)
+            if lost:
+                times = max(1, min(times, (allowed - waste) // lost))
+            if waste + lost * times <= allowed:
+                after = dict(rest)
+                for k, n in pattern:
+                    after[k] -= n * times
+                    if not after[k]:
+                        del after[k]
+                nexts.append((after, (packed, (pattern, times)), bins + times, waste + lost * times))
+        stack.extend(reversed(nexts))
     return best
 
 
-def _summed(packed: list[tuple[Pattern, int]]) -> dict[Pattern, int]:
+def _summed(packed: tuple) -> dict[Pattern, int]:
+    """Adds up the chain of (earlier, (pattern, times)) that a search leaves."""
     out: dict[Pattern, int] = defaultdict(int)
-    for p, n in packed:
-        out[p] += n
+    while packed:
+        packed, (pattern, n) = packed
+        out[pattern] += n
     return dict(out)
 
 
@@ -261,7 +285,7 @@ def pack(
     end: int = 0,
     path: str | None = None,
     with_ids: bool = True,
-    nodes: int = 20_000,
+    nodes: int = 10_000,
 ) -> DataFrame:
     """Every piece of every document with its ``sequence_id`` and ``offset``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import oracles, quality, sharding
+from evgraph.llm import mixing, oracles, packing, quality, sharding, tokens
 from evgraph.llm.common import read
 
 
@@ -31,5 +31,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs).select("doc_id", *quality.ADDED)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_quality_rules": op3_quality_rules}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, size=2048, end=0, path=tokens.default_path(), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.section_tokens(docs, tokens.head_and_body, path=tokens.default_path(), rule="most")
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_token_counts": op6_token_counts,
+}
 SQL = {"op3_quality_rules": oracles.QUALITY}
