@@ -96,6 +96,28 @@ def _cuts(staged: DataFrame, want: dict[str, int]) -> dict[str, _Cut]:
     return cuts
 
 
+def _closing(staged: DataFrame, gaps: list[tuple[str, int, int, int]], rounds: int) -> dict[str, list[tuple[int, int]]]:
+    """Rows beyond each cut that close the gap left there: every round adds the one
+    whose size comes nearest to the gap, where that leaves less of it."""
+    chosen: dict[str, list[tuple[int, int]]] = {}
+    key, tie, size = F.col("__evgraph_key"), F.col("__evgraph_tie"), F.col("__evgraph_size")
+    for _ in range(rounds):
+        if not gaps:
+            break
+        rows = [(*g, [f"{k}/{t}" for k, t in chosen.get(g[0], [])]) for g in gaps]
+        at = staged.sparkSession.createDataFrame(rows, "s string, k long, t long, gap long, had array<string>")
+        beyond = (key > F.col("k")) | ((key == F.col("k")) & (tie >= F.col("t")))
+        new = ~F.array_contains("had", F.concat_ws("/", key.cast("string"), tie.cast("string")))
+        near = F.min(F.struct(F.abs(size - F.col("gap")).alias("d"), key.alias("k"), tie.alias("t"), size.alias("z")))
+        on = (F.col("__evgraph_source") == F.col("s")) & beyond & (size > 0) & new
+        found = {r["s"]: r["x"] for r in staged.join(F.broadcast(at), on).groupBy("s").agg(near.alias("x")).collect()}
+        better = [(g, found[g[0]]) for g in gaps if g[0] in found and found[g[0]]["d"] < g[3]]
+        for g, x in better:
+            chosen.setdefault(g[0], []).append((x["k"], x["t"]))
+        gaps = [(*g[:3], g[3] - x["z"]) for g, x in better if x["z"] < g[3]]
+    return chosen
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -105,6 +127,7 @@ def mix(
     most: float = 3.0,
     n_shards: int = 32,
     block_rows: int = 256,
+    closing: int = 4,
     max_sources: int = 100_000,
     seed: int = 11,
 ) -> DataFrame:
@@ -116,8 +139,8 @@ def mix(
 
     Sources in code-point order, null last, get the weights of ``cycle`` in turn. A
     source gives whole passes as long as they fit its target, then a prefix of its
-    random order, then the one row left whose size comes nearest to what is still
-    missing, if that comes nearer. The random order is a hash of id and text, so
+    random order, then up to ``closing`` rows left whose sizes come nearest to what
+    is still missing, while that comes nearer. The random order is a hash of id and text, so
     reruns agree; equal rows are told apart by where they were staged.
 
     The hash order is cut into equal blocks of about ``block_rows`` rows. A tree of
@@ -159,20 +182,13 @@ def mix(
     cuts = _cuts(narrow, dict(zip(keys, want.tolist(), strict=True)))
     spark = docs.sparkSession
     gaps = [(s, c.key, c.tie, c.want - c.taken) for s, c in cuts.items() if c.want > c.taken]
-    extra: dict[str, tuple[int, int]] = {}
-    if gaps:
-        at = spark.createDataFrame(gaps, "s string, k long, t long, gap long")
-        key, tie, size = F.col("__evgraph_key"), F.col("__evgraph_tie"), F.col("__evgraph_size")
-        beyond = (key > F.col("k")) | ((key == F.col("k")) & (tie >= F.col("t")))
-        near = F.min(F.struct(F.abs(size - F.col("gap")).alias("d"), key.alias("k"), tie.alias("t"), size.alias("z")))
-        best = narrow.join(F.broadcast(at), (F.col("__evgraph_source") == F.col("s")) & beyond & (size > 0)).groupBy("s", "gap").agg(near.alias("x"))
-        extra = {r["s"]: (r["x"]["k"], r["x"]["t"]) for r in best.collect() if r["x"]["d"] < r["gap"]}
+    extra = _closing(narrow, gaps, closing)
     bits = np.ceil(np.log2(np.maximum(counts / block_rows, 1))).astype(np.int64)
     cut_key = np.array([cuts[s].key if s in cuts else 0 for s in keys], dtype=np.int64)
     last = np.where(want > 0, np.minimum(cut_key >> (_KEY_BITS - bits), (1 << bits) - 1) + 1, 0)
-    # The one row that closes a gap is a block of its own, after the partial pass.
+    # Each row that closes a gap is a block of its own, after the partial pass.
     partial = (whole * (1 << bits) + last).astype(np.int64)
-    quota = partial + np.array([s in extra for s in keys], dtype=np.int64)
+    quota = partial + np.array([len(extra.get(s, ())) for s in keys], dtype=np.int64)
     total = int(quota.sum())
     per, over = divmod(total, n_shards)
     shards = np.array([per + (j < over) for j in range(n_shards)], dtype=np.int64)
@@ -181,12 +197,11 @@ def mix(
         ends = np.cumsum(np.stack([tree.row(j)[0] for j in range(n_shards)]), axis=0).T.copy()
     else:
         ends = np.zeros((len(keys), n_shards), dtype=np.int64)
-    none = -1
     table = [
-        (s, i, int(z), float(g), int(w), cuts[s].key if s in cuts else 0, cuts[s].tie if s in cuts else 0, *extra.get(s, (none, none)), int(_KEY_BITS - b), int(1 << b))
+        (s, i, int(z), float(g), int(w), cuts[s].key if s in cuts else 0, cuts[s].tie if s in cuts else 0, [f"{k}/{t}" for k, t in extra.get(s, ())], int(_KEY_BITS - b), int(1 << b))
         for i, (s, z, g, w, b) in enumerate(zip(keys, sizes, goal, whole, bits, strict=True))
     ]
-    per_source = spark.createDataFrame(table, "s string, i long, source_size long, target double, w long, ck long, ct long, ek long, et long, sh long, nb long")
+    per_source = spark.createDataFrame(table, "s string, i long, source_size long, target double, w long, ck long, ct long, extra array<string>, sh long, nb long")
 
     @F.pandas_udf("array<int>")
     def deal(i: pd.Series, first: pd.Series, blocks: pd.Series, epochs: pd.Series, closes: pd.Series) -> pd.Series:
@@ -195,16 +210,16 @@ def mix(
         epoch = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         who = i.to_numpy()[row]
         at = epoch * blocks.to_numpy()[row] + first.to_numpy()[row]
-        alone = closes.to_numpy(dtype=bool)[row] & (epoch == whole[who])
-        at = np.where(alone, partial[who], at)
+        nth = closes.to_numpy()[row]
+        at = np.where((nth > 0) & (epoch == whole[who]), partial[who] + nth - 1, at)
         at = permute(at, quota[who], mix64(who + np.int64(seed) * 7919))
         to = (at[:, None] >= ends[who]).sum(axis=1) if len(at) else at
         return pd.Series(np.split(to.astype(np.int32), np.cumsum(n)[:-1])) if len(n) else pd.Series([], dtype=object)
 
     k, t = F.col("__evgraph_key"), F.col("__evgraph_tie")
     # ck = ct = 0 where there is no partial pass, which takes nothing.
-    closes = (k == F.col("ek")) & (t == F.col("et"))
-    part = (k < F.col("ck")) | ((k == F.col("ck")) & (t < F.col("ct"))) | closes
+    closes = F.array_position("extra", F.concat_ws("/", k.cast("string"), t.cast("string")))
+    part = (k < F.col("ck")) | ((k == F.col("ck")) & (t < F.col("ct"))) | (closes > 0)
     epochs = F.when(F.col("__evgraph_size") > 0, F.col("w") + part.cast("long")).otherwise(F.lit(0))
     joined = staged.join(F.broadcast(per_source), F.col("__evgraph_source") == F.col("s")).withColumn("__evgraph_n", epochs)
     block = F.expr("shiftrightunsigned(__evgraph_key, int(sh))")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import mixing, oracles, packing, quality, sharding, tokens
+from evgraph.llm import html, mixing, oracles, packing, quality, sharding, simhash, tokens
 from evgraph.llm.common import read
 
 
@@ -47,11 +47,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(docs, tokens.head_and_body, path=tokens.default_path(), rule="most")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_simhash": op8_simhash,
 }
 SQL = {"op3_quality_rules": oracles.QUALITY}
