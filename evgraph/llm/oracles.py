@@ -40,3 +40,20 @@ select doc_id, n_words::bigint as n_words, coalesce(word_chars, 0)::bigint as wo
          and n_repeat_words::double / nw <= 0.5::double as kept
 from v
 """
+
+CHAT = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), r as (
+  select conv_id, turn, replace(role, chr(10), ' ') as role, text from t
+), e as (
+  select *, length(role || text) + length(regexp_extract_all(role || chr(10) || text, '<\\*/?s>')) + 8 as chars from r
+)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from e group by conv_id
+"""

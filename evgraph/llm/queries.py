@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import html, mixing, oracles, packing, quality, sharding, simhash, tokens
+from evgraph.llm import chat, html, mixing, oracles, packing, quality, sharding, simhash, tokens
 from evgraph.llm.common import read
 
 
@@ -57,6 +57,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    schema = "conv_id long, turn long, role string, text string"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], schema)
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(turns))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -65,5 +73,6 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_html_extraction": op7_html_extraction,
     "op8_simhash": op8_simhash,
+    "op9_chat_formatting": op9_chat_formatting,
 }
-SQL = {"op3_quality_rules": oracles.QUALITY}
+SQL = {"op3_quality_rules": oracles.QUALITY, "op9_chat_formatting": oracles.CHAT}
