@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import chat, html, mixing, oracles, packing, quality, sharding, simhash, tokens
+from evgraph.llm import chat, embeddings, html, mixing, oracles, packing, quality, sharding, simhash, tokens
 from evgraph.llm.common import read
 
 
@@ -65,6 +65,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = embeddings.near_duplicates(vectors, cosine=0.95)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -74,5 +80,6 @@ QUERIES = {
     "op7_html_extraction": op7_html_extraction,
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 SQL = {"op3_quality_rules": oracles.QUALITY, "op9_chat_formatting": oracles.CHAT}
