@@ -1,10 +1,6 @@
 """All registered queries of the graph engine and their SQL."""
 
-from __future__ import annotations
+from evgraph.plans import graph_queries  # noqa: F401
+from evgraph.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

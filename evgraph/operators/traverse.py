@@ -7,7 +7,7 @@ Edges are ``src``, ``dst``; ties break by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.storage import stage
@@ -88,20 +88,23 @@ def layers(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
 def first_paths(edges: DataFrame, start: DataFrame, max_hops: int, undirected: bool = False) -> DataFrame:
     """``id``, ``hops``, ``rank``, ``prev``, ``kind`` of a breadth-first search in
     which nodes are taken in the order found and neighbours by (id, out before in,
-    kind): the first to discover a node is its predecessor, on every run."""
+    kind): the first to discover a node is its predecessor, on every run.
+
+    The rank of a node is the path of ids that found it, compared as an array, so
+    no frontier is ever numbered in one place.
+    """
     steps = edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit(False).alias("incoming"), "kind", "src", "dst")
     if undirected:
         steps = steps.unionByName(edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(True).alias("incoming"), "kind", "src", "dst"))
     blank = F.lit(None).cast("string")
-    seen = stage(start.select("id", F.lit(0).alias("hops"), F.lit(0).cast("long").alias("rank"), blank.alias("prev"), blank.alias("kind")), "paths")
+    seen = stage(start.select("id", F.lit(0).alias("hops"), F.array("id").alias("rank"), blank.alias("prev"), blank.alias("kind")), "paths")
     front = seen
     for hop in range(1, max_hops + 1):
         joined = front.select(F.col("id").alias("at"), F.col("rank").alias("at_rank")).join(steps, F.col("at") == F.col("from"))
         best = F.min(F.struct("at_rank", "incoming", "kind", F.col("at").alias("prev"))).alias("b")
         new = joined.groupBy(F.col("to").alias("id")).agg(best).join(seen.select(F.col("id").alias("known")), F.col("id") == F.col("known"), "left_anti")
-        # Ranks only need the order: a parent's rank, then the id. A range sort
-        # numbers them; frontiers are the part of the graph at this distance.
-        ranked = new.select("id", F.lit(hop).alias("hops"), F.row_number().over(Window.orderBy("b.at_rank", "id")).cast("long").alias("rank"), F.col("b.prev").alias("prev"), F.col("b.kind").alias("kind"))
+        rank = F.concat("b.at_rank", F.array("id")).alias("rank")
+        ranked = new.select("id", F.lit(hop).alias("hops"), rank, F.col("b.prev").alias("prev"), F.col("b.kind").alias("kind"))
         front = stage(ranked, "paths")
         if front.isEmpty():
             break
