@@ -97,8 +97,8 @@ def _cuts(staged: DataFrame, want: dict[str, int]) -> dict[str, _Cut]:
 
 
 def _closing(staged: DataFrame, gaps: list[tuple[str, int, int, int]], rounds: int) -> dict[str, list[tuple[int, int]]]:
-    """Rows beyond each cut that close the gap left there: every round adds the one
-    whose size comes nearest to the gap, where that leaves less of it."""
+    """Rows beyond each cut that close the gap left there: every round adds the
+    largest that fits, or else the least that doesn't, where that leaves less."""
     chosen: dict[str, list[tuple[int, int]]] = {}
     key, tie, size = F.col("__evgraph_key"), F.col("__evgraph_tie"), F.col("__evgraph_size")
     for _ in range(rounds):
@@ -108,7 +108,7 @@ def _closing(staged: DataFrame, gaps: list[tuple[str, int, int, int]], rounds: i
         at = staged.sparkSession.createDataFrame(rows, "s string, k long, t long, gap long, had array<string>")
         beyond = (key > F.col("k")) | ((key == F.col("k")) & (tie >= F.col("t")))
         new = ~F.array_contains("had", F.concat_ws("/", key.cast("string"), tie.cast("string")))
-        near = F.min(F.struct(F.abs(size - F.col("gap")).alias("d"), key.alias("k"), tie.alias("t"), size.alias("z")))
+        near = F.min(F.struct((size > F.col("gap")).alias("over"), F.abs(size - F.col("gap")).alias("d"), key.alias("k"), tie.alias("t"), size.alias("z")))
         on = (F.col("__evgraph_source") == F.col("s")) & beyond & (size > 0) & new
         found = {r["s"]: r["x"] for r in staged.join(F.broadcast(at), on).groupBy("s").agg(near.alias("x")).collect()}
         better = [(g, found[g[0]]) for g in gaps if g[0] in found and found[g[0]]["d"] < g[3]]
@@ -127,7 +127,7 @@ def mix(
     most: float = 3.0,
     n_shards: int = 32,
     block_rows: int = 256,
-    closing: int = 4,
+    closing: int = 6,
     max_sources: int = 100_000,
     seed: int = 11,
 ) -> DataFrame:
@@ -139,8 +139,8 @@ def mix(
 
     Sources in code-point order, null last, get the weights of ``cycle`` in turn. A
     source gives whole passes as long as they fit its target, then a prefix of its
-    random order, then up to ``closing`` rows left whose sizes come nearest to what
-    is still missing, while that comes nearer. The random order is a hash of id and text, so
+    random order, then up to ``closing`` of the rows left, the largest that fit what
+    is still missing, or one more that exceeds it by less. The random order is a hash of id and text, so
     reruns agree; equal rows are told apart by where they were staged.
 
     The hash order is cut into equal blocks of about ``block_rows`` rows. A tree of
