@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,26 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         seen = state
         now = stage(_small_star(_large_star(now).distinct()).distinct(), "links")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all pairs (x, y) of n points connect: fewer than n."""
+    parent, out = np.arange(n), []
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k in range(0, len(x), 4096):
+        a, b = x[k : k + 4096], y[k : k + 4096]
+        p, q = parent[a], parent[b]
+        while (parent[p] != p).any() or (parent[q] != q).any():
+            p, q = parent[p], parent[q]
+        for i, j in zip(a[p != q].tolist(), b[p != q].tolist(), strict=True):
+            u, v = top(i), top(j)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((i, j))
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import mix64, quoted, stage, without
-from evgraph.llm.components import components
+from evgraph.llm.components import components, forest
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -115,29 +115,6 @@ def _close_pairs(part: pd.DataFrame, tables: int, cosine: float) -> tuple[np.nda
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _forest(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Pairs that connect what all pairs connect."""
-    parent, out = np.arange(n), []
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k in range(0, len(x), 4096):
-        a, b = x[k : k + 4096], y[k : k + 4096]
-        p, q = parent[a], parent[b]
-        while (parent[p] != p).any() or (parent[q] != q).any():
-            p, q = parent[p], parent[q]
-        for i, j in zip(a[p != q].tolist(), b[p != q].tolist(), strict=True):
-            u, v = top(i), top(j)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                out.append((i, j))
-    return out
-
-
 def find_links(
     vectors: DataFrame, cosine: float, tables: int, probes: int, scale: float, seed: int, most: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +165,7 @@ def find_links(
         np.add.at(counts, x, copies[y])
         np.add.at(counts, y, copies[x])
         some, (names, code) = np.flatnonzero(counts), np.unique(ids, return_inverse=True)
-        pairs = np.array(_forest(code[x], code[y], len(names)), dtype=np.int64).reshape(-1, 2)
+        pairs = np.array(forest(code[x], code[y], len(names)), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame(
             {
                 "a": np.concatenate([ids[some], names[pairs[:, 0]]]),

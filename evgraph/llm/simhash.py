@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import mix64, quoted, stage, without
-from evgraph.llm.components import components
+from evgraph.llm.components import components, forest
 
 #: Fingerprints are 64 bits in four bands of 16: two that differ in at most three
 #: bits agree on a whole band.
@@ -132,6 +132,26 @@ def links_in(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int = 256) ->
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
+def links_of_leaves(fps: np.ndarray, home: np.ndarray, leaf: np.ndarray, radius: int, small: int = 256) -> np.ndarray:
+    """Links that connect each of many leaves, whose rows stand together. Leaves of
+    up to ``small`` rows are compared at once, row by row at growing distance;
+    larger ones are searched by ``links_in``."""
+    starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(leaf)))
+    end = np.repeat(starts + sizes, sizes)
+    out = [links_in(fps[s : s + n], home[s : s + n], radius) + s for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True)]
+    rows, step, bits = np.flatnonzero(np.repeat(sizes <= small, sizes)), 0, fps.view(np.uint64)
+    while len(rows := rows[rows + step + 1 < end[rows]]):
+        step += 1
+        near = (np.bitwise_count(bits[rows] ^ bits[rows + step]) <= radius) & (home[rows] | home[rows + step])
+        if near.any():
+            out.append(np.stack([rows[near], rows[near] + step], axis=1))
+    if not out:
+        return np.zeros((0, 2), dtype=np.int64)
+    pairs = np.concatenate(out)
+    return np.array(forest(pairs[:, 0], pairs[:, 1], len(fps)), dtype=np.int64).reshape(-1, 2)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000, levels: int = 24) -> DataFrame:
     """Links (a, b) that connect all of ``fps`` (distinct longs) within ``radius``.
 
@@ -163,12 +183,17 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000,
         split = rows.join(cuts.select("leaf", "v", "cut"), "leaf", "left").select("fp", "home", F.explode(to).alias("to"))
         rows = stage(split.select("fp", F.col("to.leaf").alias("leaf"), (F.col("home") & F.col("to.in")).alias("home")), "leaves")
 
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Most leaves are small: many of them share a task's call.
+    bucket = F.pmod(F.xxhash64("leaf"), F.lit(8 * n)).cast("int").alias("bucket")
+
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        fp = part["fp"].to_numpy(dtype=np.int64)
-        found = links_in(fp, part["home"].to_numpy(dtype=bool), radius)
+        part = part.sort_values("leaf", kind="stable")
+        fp, home = part["fp"].to_numpy(dtype=np.int64), part["home"].to_numpy(dtype=bool)
+        found = links_of_leaves(fp, home, part["leaf"].to_numpy(), radius)
         return pd.DataFrame({"a": fp[found[:, 0]], "b": fp[found[:, 1]]})
 
-    return rows.groupBy("leaf").applyInPandas(pairs, "a long, b long")
+    return rows.groupBy(bucket).applyInPandas(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -278,14 +303,7 @@ def _candidates(classes: DataFrame, most: int) -> DataFrame:
         end = np.searchsorted(group, group, side="right")
         wide = np.stack([part[c].to_numpy(dtype=np.int64) for c in columns], axis=1).view(np.uint64)
         names, code = np.unique(part["id"].to_numpy(), return_inverse=True)
-        parent, out, rows, step = np.arange(len(names)), [], np.arange(len(part)), 0
-
-        def top(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        found, rows, step = [], np.arange(len(part)), 0
         while len(rows := rows[rows + step + 1 < end[rows]]):
             step += 1
             x, y = rows, rows + step
@@ -295,14 +313,10 @@ def _candidates(classes: DataFrame, most: int) -> DataFrame:
             for k in range(1, WIDE):
                 far = far + np.bitwise_count(wide[x, k] ^ wide[y, k])
             x, y = code[x[far <= WIDE_RADIUS]], code[y[far <= WIDE_RADIUS]]
-            apart = parent[parent[x]] != parent[parent[y]]
-            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-                u, v = top(i), top(j)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    out.append((names[i], names[j]))
-        found = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            found += forest(x, y, len(names))
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        pairs = np.array(forest(pairs[:, 0], pairs[:, 1], len(names)), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
     return dealt.groupBy(bucket.alias("bucket")).applyInPandas(compare, "a long, b long").distinct()
 
