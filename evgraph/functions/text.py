@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words of a question that name nothing.
 STOP_WORDS = (
@@ -58,19 +59,19 @@ def blank_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\d+", "#")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_path(paths: pd.Series) -> pd.Series:
     """Paths in normal form C with forward slashes."""
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p.replace("\\", "/")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(names: pd.Series) -> pd.Series:
     """Normal form C, case folded: the key by which names collide."""
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n).casefold())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def json_cost(rows: pd.DataFrame) -> pd.Series:
     """Tokens of a struct printed as indented JSON, a quarter of its characters."""
 
