@@ -62,19 +62,19 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def screen(texts: list[dict[str, int]], toxic: np.ndarray, most: int) -> dict[str, float]:
+def screen(bags: list[dict[str, int]], toxic: np.ndarray, most: int) -> dict[str, float]:
     """The features that mark toxic texts best, by chi-square, with their smoothed
     log odds. They are at least twice as frequent there, and in one of 400 texts (or
     three) at least."""
     seen: dict[str, list[int]] = {}
-    for found, y in zip(texts, toxic.tolist(), strict=True):
-        for w in found:
+    for words, y in zip(bags, toxic.tolist(), strict=True):
+        for w in features_of(words):
             if w in seen:
                 seen[w][y] += 1
             else:
                 seen[w] = [1 - y, y]
     yes, no = int(toxic.sum()), int((1 - toxic).sum())
-    ranked, least = [], max(3, len(texts) // 400)
+    ranked, least = [], max(3, len(bags) // 400)
     for w, (a, b) in seen.items():
         n = a + b
         gap = b * no - a * yes
@@ -160,15 +160,17 @@ def train(
 
     got = rows.mapInPandas(count, "k string, y int, w array<string>, n array<int>").collect()
     got.sort(key=lambda r: r["k"])
-    bags = [features_of(dict(zip(r["w"], r["n"], strict=True))) for r in got]
+    bags = [dict(zip(r["w"], r["n"], strict=True)) for r in got]
     toxic = np.array([r["y"] for r in got], dtype=np.int64)
     return fit_labelled(bags, toxic, levels, max_features, sparsity)
 
 
 def fit_labelled(bags: list[dict[str, int]], toxic: np.ndarray, levels: int = 3, max_features: int = 2000, sparsity: float = 0.03) -> Model:
-    """Screen the features, grade the texts and fit."""
+    """Screen the features of word counts, grade the texts and fit. Only screened
+    features are kept of a text, so the driver holds little more than its words."""
     odds = screen(bags, toxic, max_features)
-    return fit(bags, grades(bags, toxic, levels, odds), levels, sorted(odds), sparsity)
+    texts = [{w: n for w, n in features_of(words).items() if w in odds} for words in bags]
+    return fit(texts, grades(texts, toxic, levels, odds), levels, sorted(odds), sparsity)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
