@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.storage import drop_staged, shared_dir, stage
+
+__all__ = ["SPACE", "WORD", "drop_staged", "mix64", "permute", "quoted", "read", "shared_dir", "stage", "without", "word_count", "words_of"]
+
 #: The white space that separates words; every other code point is part of one.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,41 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="evgraph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _staging_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/evgraph-{spark.sparkContext.applicationId}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts lineage for good: a lost executor costs a reread, and values that depend
-    on the partitioning (row numbers, positions) are fixed from here on.
-    """
-    spark = df.sparkSession
-    path = f"{_staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every table this application staged; results read later are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names, in any case, an operator is about to write."""
     taken = {n.lower() for n in names}
