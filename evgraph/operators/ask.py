@@ -109,3 +109,24 @@ def within_budget(rows: DataFrame, cost: Column, order: list[Column], budget: in
     first = rows.withColumn("cost", cost).orderBy(*order).limit(budget)
     running = F.sum("cost").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return first.withColumn("spent", running).filter(F.col("spent") <= budget)
+
+
+def query_graph(nodes: DataFrame, edges: DataFrame, words: list[str], depth: int = 1, budget: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Nodes that hold the words, best first, then what lies around them up to
+    ``depth``, and the edges among those shown; nodes take six tenths of the budget
+    and edges what is left. Costs are the tokens of each row printed as JSON."""
+    from evgraph.functions.text import json_cost
+
+    hay = F.concat_ws(" ", "label", "qualified_name", "id")
+    hits = keyword_scores(nodes, "id", hay, words)
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    around = reach(both, hits.select("id"), depth)
+    ranked = around.join(hits.withColumnRenamed("id", "hit"), F.col("id") == F.col("hit"), "left").join(nodes, "id")
+    cap = budget * 6 // 10
+    row = F.struct("id", "kind", "label", "qualified_name", "hops")
+    order = [F.col("hops"), F.desc(F.coalesce("score", F.lit(0))), F.col("id")]
+    shown = within_budget(ranked.select("id", "kind", "label", "qualified_name", "hops", "score"), json_cost(row), order, cap)
+    ends = shown.select(F.col("id").alias("end"))
+    inside = edges.join(ends, F.col("src") == F.col("end"), "left_semi").join(ends, F.col("dst") == F.col("end"), "left_semi")
+    lines = within_budget(inside.select("src", "dst", "kind", "context"), json_cost(F.struct("src", "dst", "kind", "context")), [F.col("src"), F.col("dst"), F.col("kind")], budget - cap)
+    return shown.select("id", "kind", "hops", "cost", "spent"), lines
