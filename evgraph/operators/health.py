@@ -131,3 +131,49 @@ def duplicate_runs(found: DataFrame, id_col: str, size: int = WINDOW) -> DataFra
     marked = found.join(twice, F.col("hash") == F.col("h"), "left_semi")
     island = F.col("i") - F.row_number().over(W.partitionBy(id_col).orderBy("i"))
     return marked.withColumn("island", island).groupBy(id_col, "island").agg(F.min("i").alias("start"), (F.count("*") + size - 1).alias("length")).drop("island")
+
+
+def module_checks(deps: DataFrame) -> DataFrame:
+    """Import cycles (one violation per strong component of two or more, at its least
+    member) and hubs (more than nine in and more than nine out)."""
+    from evgraph.operators.traverse import strong_components
+
+    on_cycle = strong_components(deps).groupBy(F.col("component").alias("module")).agg(F.count("*").alias("value")).filter("value > 1")
+    cycles = on_cycle.select(F.lit("module-cycle").alias("check"), "module", "value")
+    pairs = deps.filter("src <> dst").select("src", "dst").distinct()
+    fan_in = pairs.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("i"))
+    fan_out = pairs.groupBy(F.col("src").alias("m")).agg(F.count("*").alias("o"))
+    hubs = fan_in.join(fan_out, F.col("module") == F.col("m")).filter("i > 9 and o > 9")
+    return cycles.unionByName(hubs.select(F.lit("hub-module").alias("check"), "module", F.least("i", "o").alias("value")))
+
+
+def class_checks(functions: DataFrame, limit: int = 47) -> DataFrame:
+    """Classes whose methods' complexities add up to more than ``limit``. ``functions``:
+    path, qualified_name, complexity."""
+    owner = F.substring_index("qualified_name", ".", 1)
+    summed = functions.filter(F.col("qualified_name").contains(".")).groupBy("path", owner.alias("class")).agg(F.sum("complexity").alias("value"))
+    return summed.filter(F.col("value") > limit).select(F.lit("large-class").alias("check"), "path", "class", "value")
+
+
+def function_metrics(functions: DataFrame, checks: DataFrame) -> DataFrame:
+    """The four limits of a function, from measured facts."""
+    metrics = {"complexity": "complex-function", "lines": "long-function", "params": "many-parameters", "nesting": "deep-nesting"}
+    return exceeded(functions, ["path", "qualified_name", "start_line"], metrics, checks)
+
+
+def without_exceptions(violations: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Violations (check, file, line) but those excepted for a file or one of its
+    lines (check, file, line; a null line stands for all)."""
+    e = exceptions.select(F.col("check").alias("e_check"), F.col("file").alias("e_file"), F.col("line").alias("e_line"))
+    on = (F.col("check") == F.col("e_check")) & (F.col("file") == F.col("e_file")) & (F.col("e_line").isNull() | (F.col("line") == F.col("e_line")))
+    return violations.join(e, on, "left_anti")
+
+
+def assess(parts: list[DataFrame], exceptions: DataFrame | None, checks: DataFrame) -> DataFrame:
+    """All violations (check, file, line, value) with area, severity and minutes."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    kept = without_exceptions(every, exceptions) if exceptions is not None else every
+    minutes = F.col("minutes") + F.col("per_unit") * F.greatest(F.col("value") - F.col("threshold"), F.lit(0))
+    return kept.join(F.broadcast(checks), "check").select("check", "file", "line", "value", minutes.alias("minutes"), "area", "severity")

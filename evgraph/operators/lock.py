@@ -41,3 +41,26 @@ def write(records: DataFrame, path: str) -> None:
 
 def read(spark, path: str) -> DataFrame:
     return parse(spark.read.text(path, lineSep="\n"))
+
+
+def build(modules: DataFrame, deps: DataFrame, more: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Records of a snapshot and what is wrong with it.
+
+    ``modules``: module, label; ``deps``: src, dst; ``more``: records (kind, fields).
+    Diagnostics: L-004 for a label that several modules share, L-009 for a dependency
+    on no module, L-010 for a snapshot without records.
+    """
+    shown = F.when(F.col("module") == "", ".").otherwise(F.col("module"))
+    known = modules.select(F.col("module").alias("m"))
+    records = modules.select(F.lit("module").alias("kind"), F.array(shown).alias("fields"))
+    name = lambda c: F.when(F.col(c) == "", ".").otherwise(F.col(c))
+    sound = deps.join(known, F.col("src") == F.col("m"), "left_semi").join(known, F.col("dst") == F.col("m"), "left_semi")
+    records = records.unionByName(sound.select(F.lit("dep").alias("kind"), F.array(name("src"), name("dst")).alias("fields")))
+    for part in more:
+        records = records.unionByName(part.select("kind", "fields"))
+    records = records.distinct()
+    shared = modules.groupBy("label").agg(F.count_distinct("module").alias("n")).filter("n > 1")
+    lost = deps.join(known, F.col("dst") == F.col("m"), "left_anti")
+    found = shared.select(F.lit("L-004").alias("code"), F.col("label").alias("subject")).unionByName(lost.select(F.lit("L-009").alias("code"), F.col("dst").alias("subject")).distinct())
+    empty = records.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("L-010").alias("code"), F.lit("").alias("subject"))
+    return records, found.unionByName(empty)
