@@ -36,6 +36,11 @@ def features_of(words: dict[str, int]) -> dict[str, int]:
     return out
 
 
+def weighed(count: int, total: int) -> float:
+    """How much of a feature a text has: logarithm of one plus its count in 200 words."""
+    return math.log1p(200 * count / total)
+
+
 @dataclass
 class Model:
     """P(grade >= k) = sigmoid(w . x - cut_k) with one w for all ordered cuts."""
@@ -50,11 +55,12 @@ class Model:
         """Expected severity: the sum over cuts of P(grade >= k)."""
         score, heads, k = 0.0, self.heads, STEMS[0]
         found: dict[str, int] = {}
-        for w in words_of(text):
+        words = words_of(text)
+        for w in words:
             if w[:k] in heads:
                 found[w] = found.get(w, 0) + 1
         for f, n in features_of(found).items():
-            score += self.weights.get(f, 0.0) * math.log1p(n)
+            score += self.weights.get(f, 0.0) * weighed(n, len(words))
         return sum(_sigmoid(score - c) for c in self.cuts)
 
 
@@ -83,14 +89,14 @@ def screen(bags: list[dict[str, int]], toxic: np.ndarray, most: int) -> dict[str
     return {w: odds for _, w, odds in sorted(ranked)[:most]}
 
 
-def grades(texts: list[dict[str, int]], toxic: np.ndarray, levels: int, odds: dict[str, float]) -> np.ndarray:
+def grades(texts: list[dict[str, float]], toxic: np.ndarray, levels: int, odds: dict[str, float]) -> np.ndarray:
     """Ordered grades from yes/no labels: 0 if not toxic, else 1..levels by how much
     of what marks toxic texts there is (screened features of log odds over 2.5).
 
     The cuts are quantiles of that amount among toxic texts that have any.
     """
     apart = {w for w, x in odds.items() if x > 2.5}
-    amount = np.array([sum(math.log1p(n) for w, n in found.items() if w in apart) for found in texts])
+    amount = np.array([sum(x for w, x in found.items() if w in apart) for found in texts])
     out, some = toxic.astype(np.int64).copy(), (toxic > 0) & (amount > 0)
     if some.any():
         cuts = np.quantile(amount[some], np.arange(1, levels) / levels)
@@ -98,7 +104,7 @@ def grades(texts: list[dict[str, int]], toxic: np.ndarray, levels: int, odds: di
     return out
 
 
-def fit(texts: list[dict[str, int]], grade: np.ndarray, levels: int, kept: list[str], sparsity: float, steps: int = 600) -> Model:
+def fit(texts: list[dict[str, float]], grade: np.ndarray, levels: int, kept: list[str], sparsity: float, steps: int = 600) -> Model:
     """Proximal gradient descent with momentum on the cumulative-link likelihood.
 
     The loss of a text is the sum over cuts of the logistic loss of "at or above the
@@ -114,7 +120,7 @@ def fit(texts: list[dict[str, int]], grade: np.ndarray, levels: int, kept: list[
     l1 = sparsity * math.sqrt(math.log(len(kept) + 2) / n)
     row = np.concatenate([np.full(sum(w in index for w in t), i) for i, t in enumerate(texts)]).astype(np.int64)
     column = np.array([index[w] for t in texts for w in t if w in index], dtype=np.int64)
-    value = np.log1p(np.array([c for t in texts for w, c in t.items() if w in index], dtype=float))
+    value = np.array([x for t in texts for w, x in t.items() if w in index], dtype=float)
     above = (grade[:, None] >= np.arange(1, levels + 1)[None, :]).astype(float)
     # Each slope has its own step: a bound on its curvature given all others.
     whole = np.bincount(row, weights=value, minlength=n)
@@ -169,7 +175,7 @@ def fit_labelled(bags: list[dict[str, int]], toxic: np.ndarray, levels: int = 3,
     """Screen the features of word counts, grade the texts and fit. Only screened
     features are kept of a text, so the driver holds little more than its words."""
     odds = screen(bags, toxic, max_features)
-    texts = [{w: n for w, n in features_of(words).items() if w in odds} for words in bags]
+    texts = [{w: weighed(n, sum(words.values())) for w, n in features_of(words).items() if w in odds} for words in bags]
     return fit(texts, grades(texts, toxic, levels, odds), levels, sorted(odds), sparsity)
 
 
