@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import mix64, permute, quoted, stage, without, word_count
@@ -49,9 +49,10 @@ def _cuts(staged: DataFrame, want: dict[str, int]) -> dict[str, _Cut]:
     """The longest prefix by (key, tie) of each source that holds at most ``want``.
 
     A weighted quantile by histograms: each round resolves 12 more bits for the one
-    bucket per source that straddles its cut. A group is never sorted or gathered;
-    the driver gets one row per source and round. Rounds end when no straddling
-    bucket holds over one row: two for up to millions of rows a source.
+    bucket per source that straddles its cut. A source's rows are never sorted or
+    gathered, only its 2^12 bucket sums are; the driver gets one short row per source
+    and round. Rounds end when no straddling bucket holds over one row: two for up to
+    millions of rows a source.
     """
     cuts = {s: _Cut(w) for s, w in want.items() if w > 0}
     live, column, shift = set(cuts), "__evgraph_key", _KEY_BITS
@@ -62,8 +63,8 @@ def _cuts(staged: DataFrame, want: dict[str, int]) -> dict[str, _Cut]:
             if column == "__evgraph_tie":
                 break
             column, shift = "__evgraph_tie", _KEY_BITS - _ROUND
-        prefix = [(s, cuts[s].key, cuts[s].tie) for s in sorted(live)]
-        at = spark.createDataFrame(prefix, "s string, k long, t long")
+        prefix = [(s, cuts[s].key, cuts[s].tie, cuts[s].want - cuts[s].taken) for s in sorted(live)]
+        at = spark.createDataFrame(prefix, "s string, k long, t long, gap long")
         mine = (F.col("__evgraph_source") == F.col("s")) if column == "__evgraph_key" else (
             (F.col("__evgraph_source") == F.col("s")) & (F.col("__evgraph_key") == F.col("k"))
         )
@@ -73,21 +74,21 @@ def _cuts(staged: DataFrame, want: dict[str, int]) -> dict[str, _Cut]:
         sums = (
             staged.join(F.broadcast(at), mine)
             .filter(inside)
-            .groupBy("s", bucket.alias("b"))
+            .groupBy("s", "gap", bucket.alias("b"))
             .agg(F.sum("__evgraph_size").alias("size"), F.count("*").alias("n"))
         )
-        # At most 2^12 buckets a source: one row of sorted arrays each.
-        rows = sums.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("b", "size", "n"))).alias("h"))
-        for row in rows.toLocalIterator():
+        upto = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("b")))
+        fits = F.col("upto") <= F.col("gap")
+        found = upto.groupBy("s").agg(
+            F.max(F.when(fits, F.col("upto"))).alias("fit"),
+            F.min(F.when(~fits, F.struct("b", "n"))).alias("over"),
+            F.max("b").alias("last"),
+        )
+        for row in found.collect():
             cut = cuts[row["s"]]
-            for b, size, n in row["h"]:
-                if cut.taken + size > cut.want:
-                    if n <= 1:
-                        live.discard(row["s"])
-                    break
-                cut.taken += size
-                b += 1
-            else:
+            cut.taken += row["fit"] or 0
+            b = row["over"]["b"] if row["over"] else row["last"] + 1
+            if not row["over"] or row["over"]["n"] <= 1:
                 live.discard(row["s"])
             if column == "__evgraph_key":
                 cut.key = b << shift
