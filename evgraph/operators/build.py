@@ -134,3 +134,28 @@ def scorecard(facts: DataFrame, group: list[str]) -> DataFrame:
     counted = facts.groupBy(*group).agg(n("resolved"), n("candidate"), n("external"), n("unresolved"))
     pinned, judged = F.col("resolved") + F.col("candidate"), F.col("resolved") + F.col("candidate") + F.col("unresolved")
     return counted.withColumn("pinned_pct", F.when(judged > 0, F.bround(pinned * 100.0 / judged, 6)).otherwise(F.lit(0.0)))
+
+
+def path_collisions(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Paths that become one by normal form (``nfc``), and those that then become one
+    by case (``case``) and weren't told already: ``reason``, ``key``, ``paths``."""
+    from evgraph.functions.text import folded, nfc_path
+
+    keyed = paths.select(F.col(path).alias("raw")).distinct().select("raw", nfc_path("raw").alias("nfc")).withColumn("case", folded("nfc"))
+    by_form = keyed.groupBy("nfc").agg(F.count("*").alias("paths")).filter("paths > 1")
+    told = by_form.select(F.col("nfc").alias("t"))
+    rest = keyed.join(told, F.col("nfc") == F.col("t"), "left_anti")
+    by_case = rest.groupBy("case").agg(F.count("*").alias("paths")).filter("paths > 1")
+    return by_form.select(F.lit("nfc").alias("reason"), F.col("nfc").alias("key"), "paths").unionByName(by_case.select(F.lit("case").alias("reason"), F.col("case").alias("key"), "paths"))
+
+
+def module_roles(facts: dict[str, DataFrame], path: str = "path") -> DataFrame:
+    """``module``, ``role`` from tables of facts by role (routes say api, tasks say
+    worker, ...): a union and a distinct, so no list of facts is gathered."""
+    from evgraph.schema import module_of
+
+    out = None
+    for role, table in facts.items():
+        part = table.select(module_of(F.col(path)).alias("module"), F.lit(role).alias("role"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()

@@ -134,3 +134,28 @@ def derive_all(views: dict[str, Callable[[], View]]) -> tuple[dict[str, View], d
 def erd() -> View:
     """Entity diagrams need a schema extractor, which there is none of."""
     raise LookupError("no schema facts")
+
+
+def validate(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
+    """What is wrong with a set of views: ``code``, ``subject``. ``nodes``: view, id,
+    drill (a view or null); ``edges``: view, src, dst. Ids repeat in a view, edges end
+    nowhere, boxes open no view, and views that the root does not lead to."""
+    from evgraph.operators.traverse import reach
+
+    views = nodes.select("view").distinct()
+    said = lambda code, rows, subject: rows.select(F.lit(code).alias("code"), subject.alias("subject"))
+    doubled = nodes.groupBy("view", "id").agg(F.count("*").alias("n")).filter("n > 1")
+    at = nodes.select(F.col("view").alias("n_view"), F.col("id").alias("n_id")).distinct()
+    ends = edges.select("view", F.explode(F.array("src", "dst")).alias("end")).distinct()
+    loose = ends.join(at, (F.col("view") == F.col("n_view")) & (F.col("end") == F.col("n_id")), "left_anti")
+    opened = nodes.filter("drill is not null").select("view", "id", "drill")
+    lost = opened.join(views.select(F.col("view").alias("v")), F.col("drill") == F.col("v"), "left_anti")
+    links = opened.select(F.col("view").alias("src"), F.col("drill").alias("dst")).distinct()
+    led = reach(links, nodes.sparkSession.createDataFrame([(root,)], "id string")).select(F.col("id").alias("led"))
+    unreached = views.join(led, F.col("view") == F.col("led"), "left_anti")
+    pair = lambda a, b: F.concat_ws("/", a, b)
+    parts = [said("repeated-id", doubled, pair("view", "id")), said("loose-edge", loose, pair("view", "end")), said("lost-drill", lost, pair("view", "id")), said("unreached-view", unreached, F.col("view"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -74,12 +74,35 @@ def follow_reexports(names: DataFrame, exports: DataFrame, depth: int = 4) -> Da
     return now
 
 
+def ancestors(symbols: DataFrame, depth: int = 10) -> DataFrame:
+    """``path``, ``class``, ``a_path``, ``ancestor``, ``order`` of all classes above a
+    class, nearest first in the order bases are written. A base is the class of its
+    last name in the same file, else the one class of that name anywhere; cycles and
+    chains over ``depth`` end. One join per level."""
+    classes = symbols.filter("kind = 'class'").select("path", F.col("name").alias("class"), "bases")
+    bases = classes.select("path", "class", F.posexplode("bases").alias("nth", "base")).withColumn("base", F.substring_index("base", ".", -1))
+    alone = classes.groupBy(F.col("class").alias("u_class")).agg(F.count("*").alias("n"), F.min("path").alias("u_path")).filter("n = 1")
+    here = classes.select(F.col("path").alias("h_path"), F.col("class").alias("h_class")).distinct()
+    found = bases.join(here, (F.col("path") == F.col("h_path")) & (F.col("base") == F.col("h_class")), "left").join(alone, F.col("base") == F.col("u_class"), "left")
+    up = stage(found.select("path", "class", "nth", F.coalesce("h_path", "u_path").alias("b_path"), "base").filter("b_path is not null"), "bases")
+    now = up.select("path", "class", F.col("b_path").alias("a_path"), F.col("base").alias("ancestor"), F.array("nth").alias("order"))
+    every = now
+    for _ in range(depth - 1):
+        step = up.select(F.col("path").alias("s_path"), F.col("class").alias("s_class"), "nth", "b_path", "base")
+        now = now.join(step, (F.col("a_path") == F.col("s_path")) & (F.col("ancestor") == F.col("s_class"))).select("path", "class", F.col("b_path").alias("a_path"), F.col("base").alias("ancestor"), F.concat("order", F.array("nth")).alias("order"))
+        now = stage(now.filter("not (path = a_path and class = ancestor)"), "ancestors")
+        if now.isEmpty():
+            break
+        every = every.unionByName(now)
+    return every.groupBy("path", "class", "a_path", "ancestor").agg(F.min("order").alias("order"))
+
+
 def call_targets(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """``path``, ``start_line``, ``name``, ``targets``, ``state`` of each call.
 
     Bare names: the same file, else what the file imports, else the one definition
-    of that name in all files; ``self`` calls: the enclosing class, then its bases'
-    methods of that name. Tiers are left joins, each counted on its own, and the
+    of that name in all files; ``self`` calls: the enclosing class, then the nearest
+    class above it that has a method of that name. Tiers are left joins, each counted on its own, and the
     first tier with hits answers; up to eight hits are candidates.
     """
     key = ["path", "start_line", "shape", "receiver", "name", "enclosing_class"]
@@ -94,8 +117,10 @@ def call_targets(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
     own = asked.filter("shape in ('self', 'super')")
     methods = ids.filter("kind = 'method'")
     mine = own.filter("shape = 'self'").join(methods, (F.col("path") == F.col("s_path")) & (F.col("name") == F.col("s_name")) & (F.col("enclosing_class") == F.col("s_class"))).select(*key, F.lit(0).alias("tier"), "id")
-    bases = symbols.filter("kind = 'class'").select(F.col("path").alias("c_path"), F.col("name").alias("c_name"), F.explode("bases").alias("base"))
-    above = own.join(bases, (F.col("path") == F.col("c_path")) & (F.col("enclosing_class") == F.col("c_name"))).join(methods, (F.substring_index("base", ".", -1) == F.col("s_class")) & (F.col("name") == F.col("s_name"))).select(*key, F.lit(1).alias("tier"), "id")
+    line = ancestors(symbols).select(F.col("path").alias("c_path"), F.col("class").alias("c_name"), "a_path", "ancestor", "order")
+    over = own.join(line, (F.col("path") == F.col("c_path")) & (F.col("enclosing_class") == F.col("c_name")))
+    over = over.join(methods, (F.col("a_path") == F.col("s_path")) & (F.col("ancestor") == F.col("s_class")) & (F.col("name") == F.col("s_name")))
+    above = over.groupBy(*key).agg(F.min(F.struct("order", "id")).alias("near")).select(*key, F.lit(1).alias("tier"), F.col("near.id").alias("id"))
     modules = imports.filter("target is not null").select(F.col("path").alias("m_path"), F.substring_index("specifier", ".", -1).alias("alias"), "target").distinct()
     dotted = asked.filter("shape = 'qualified'").join(modules, (F.col("path") == F.col("m_path")) & (F.col("receiver") == F.col("alias"))).join(tops, (F.col("target") == F.col("s_path")) & (F.col("name") == F.col("s_name"))).select(*key, F.lit(0).alias("tier"), "id")
     hits = same.union(via).union(anywhere).union(mine).union(above).union(dotted).distinct()

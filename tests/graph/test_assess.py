@@ -71,3 +71,39 @@ def test_registered_queries_match_their_sql(spark):
             at = sorted((d[0], i) for i, d in enumerate(want.description))
             assert [c for c, _ in at] == sorted(found.columns), name
             assert sorted(tuple(map(show, r)) for r in rows) == sorted(tuple(show(r[i]) for _, i in at) for r in want.fetchall()), name
+
+
+def test_path_collisions_and_roles(spark):
+    from evgraph.operators import build
+
+    paths = spark.createDataFrame([("é.py",), ("é.py",), ("A.py",), ("a.py",), ("b.py",), ("b.py",)], "path string")
+    assert sorted((r.reason, r.key, r.paths) for r in build.path_collisions(paths).collect()) == [("case", "a.py", 2), ("nfc", "é.py", 2)]
+    roles = build.module_roles({"api": spark.createDataFrame([("a/x.py",), ("a/y.py",)], "path string"), "worker": spark.createDataFrame([("a/z.py",), ("q.py",)], "path string")})
+    assert sorted(tuple(r) for r in roles.collect()) == [("", "worker"), ("a", "api"), ("a", "worker")]
+
+
+def test_nearest_method_above(spark):
+    from evgraph.operators import resolve
+
+    symbols = [("f", "Root", "class", [], "Root", ""), ("f", "go", "method", [], "Root.go", "Root"), ("f", "far", "method", [], "Root.far", "Root"), ("f", "Mid", "class", ["m.Root"], "Mid", ""), ("f", "go", "method", [], "Mid.go", "Mid"), ("g", "Leaf", "class", ["Mid"], "Leaf", ""), ("g", "Loop", "class", ["Loop"], "Loop", "")]
+    frame = spark.createDataFrame(symbols, "path string, name string, kind string, bases array<string>, qualified_name string, enclosing_class string")
+    assert sorted((r["class"], r.ancestor, len(r.order)) for r in resolve.ancestors(frame).filter("class <> 'Loop'").collect()) == [("Leaf", "Mid", 1), ("Leaf", "Root", 2), ("Mid", "Root", 1)]
+    calls = spark.createDataFrame([("g", 1, "self", "self", "go", "Leaf"), ("g", 2, "super", "", "far", "Leaf"), ("g", 3, "self", "self", "none", "Leaf")], "path string, start_line int, shape string, receiver string, name string, enclosing_class string")
+    imports = spark.createDataFrame([], "path string, specifier string, target string")
+    got = {r.name: (r.target, r.state) for r in resolve.call_targets(calls, frame, imports).collect()}
+    assert got == {"go": ("f#Mid.go", "resolved"), "far": ("f#Root.far", "resolved"), "none": (None, "unresolved")}
+
+
+def test_views_are_validated(spark):
+    from evgraph.operators import derive
+
+    nodes = spark.createDataFrame([("top", "a", "inner"), ("top", "a", None), ("inner", "b", "gone"), ("alone", "c", None)], "view string, id string, drill string")
+    edges = spark.createDataFrame([("top", "a", "zz"), ("inner", "b", "b")], "view string, src string, dst string")
+    assert sorted(tuple(r) for r in derive.validate(nodes, edges, "top").collect()) == [("loose-edge", "top/zz"), ("lost-drill", "inner/b"), ("repeated-id", "top/a"), ("unreached-view", "alone")]
+
+
+def test_functions_in_sql(spark):
+    from evgraph import functions
+
+    assert len(functions.register(spark)) == 3
+    assert spark.sql("select evgraph_folded('ÉA') as x").first().x == "éa"
