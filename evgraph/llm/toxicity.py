@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import quoted, without
+from evgraph.llm.common import quoted, stage, without
 
 _TOKEN = re.compile(r"\w+")
 #: Lengths of the word stems that count as features beside whole words.
@@ -68,25 +68,23 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def screen(bags: list[dict[str, int]], toxic: np.ndarray, most: int) -> dict[str, float]:
+def screen(rows: DataFrame, yes: int, no: int, most: int) -> dict[str, float]:
     """The features that mark toxic texts best, by chi-square, with their smoothed
     log odds. They are at least twice as frequent there, and in one of 400 texts (or
-    three) at least."""
-    seen: dict[str, list[int]] = {}
-    for words, y in zip(bags, toxic.tolist(), strict=True):
-        for w in features_of(words):
-            if w in seen:
-                seen[w][y] += 1
-            else:
-                seen[w] = [1 - y, y]
-    yes, no = int(toxic.sum()), int((1 - toxic).sum())
-    ranked, least = [], max(3, len(bags) // 400)
-    for w, (a, b) in seen.items():
-        n = a + b
-        gap = b * no - a * yes
-        if n >= least and b * no > 2 * a * yes:
-            ranked.append((-gap * gap / (n * max(yes + no - n, 1)), w, math.log((b + 0.5) / (yes + 1)) - math.log((a + 0.5) / (no + 1))))
-    return {w: odds for _, w, odds in sorted(ranked)[:most]}
+    three) at least. Counted by Spark; the driver gets the ``most`` best."""
+
+    def spread(batches):
+        for batch in batches:
+            found = [(f, y) for t, y in zip(batch["x"], batch["y"], strict=True) for f in features_of(Counter(words_of(t)))]
+            yield pd.DataFrame(found, columns=["f", "y"])
+
+    a, b = F.col("a"), F.col("b")
+    seen = rows.mapInPandas(spread, "f string, y int").groupBy("f").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b"))
+    fair = (a + b >= max(3, (yes + no) // 400)) & (b * no > 2 * a * yes)
+    gap = (b * no - a * yes).cast("double")
+    chi = gap * gap / ((a + b) * F.greatest(F.lit(yes + no) - a - b, F.lit(1)))
+    best = seen.filter(fair).orderBy(chi.desc(), "f").limit(most)
+    return {r["f"]: math.log((r["b"] + 0.5) / (yes + 1)) - math.log((r["a"] + 0.5) / (no + 1)) for r in best.collect()}
 
 
 def grades(texts: list[dict[str, float]], toxic: np.ndarray, levels: int, odds: dict[str, float]) -> np.ndarray:
@@ -148,9 +146,9 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
     levels: int = 3, sample_rows: int = 4000, max_features: int = 2000, sparsity: float = 0.03,
 ) -> Model:
-    """Fit to at most ``sample_rows`` labelled documents, the bound of what reaches
-    the driver. They are the least by a hash of the id, so reruns agree, at any size
-    of the corpus. An id labelled twice counts as toxic if any label says so, one
+    """Fit to at most ``sample_rows`` labelled documents, whose screened features are
+    what reaches the driver. They are the least by a hash of the id, so reruns agree,
+    at any size of the corpus. An id labelled twice counts as toxic if any label says so, one
     with several texts takes the least; null labels, ids and texts are left out.
     """
     y = F.max((quoted(label) > 0).cast("int")).alias("y")
@@ -159,23 +157,21 @@ def train(
     texts = docs.select(quoted(id_col).alias("d"), quoted(text).alias("x")).filter("x is not null")
     rows = texts.join(F.broadcast(chosen), F.col("d") == F.col("k")).groupBy("k", "y").agg(F.min("x").alias("x"))
 
+    rows = stage(rows, "labelled")
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    odds = screen(rows, sizes.get(1, 0), sizes.get(0, 0), max_features)
+
     def count(batches):
         for batch in batches:
-            found = [Counter(words_of(t)) for t in batch["x"]]
-            yield pd.DataFrame({"k": batch["k"].astype(str), "y": batch["y"], "w": [list(c) for c in found], "n": [list(c.values()) for c in found]})
-
-    got = rows.mapInPandas(count, "k string, y int, w array<string>, n array<int>").collect()
-    got.sort(key=lambda r: r["k"])
-    bags = [dict(zip(r["w"], r["n"], strict=True)) for r in got]
+            found = []
+            for t in batch["x"]:
+                words = words_of(t)
+                found.append({f: weighed(n, len(words)) for f, n in features_of(Counter(words)).items() if f in odds})
+            yield pd.DataFrame({"k": batch["k"].astype(str), "y": batch["y"], "f": [list(c) for c in found], "v": [list(c.values()) for c in found]})
+
+    got = sorted(rows.mapInPandas(count, "k string, y int, f array<string>, v array<double>").collect(), key=lambda r: r["k"])
+    texts = [dict(zip(r["f"], r["v"], strict=True)) for r in got]
     toxic = np.array([r["y"] for r in got], dtype=np.int64)
-    return fit_labelled(bags, toxic, levels, max_features, sparsity)
-
-
-def fit_labelled(bags: list[dict[str, int]], toxic: np.ndarray, levels: int = 3, max_features: int = 2000, sparsity: float = 0.03) -> Model:
-    """Screen the features of word counts, grade the texts and fit. Only screened
-    features are kept of a text, so the driver holds little more than its words."""
-    odds = screen(bags, toxic, max_features)
-    texts = [{w: weighed(n, sum(words.values())) for w, n in features_of(words).items() if w in odds} for words in bags]
     return fit(texts, grades(texts, toxic, levels, odds), levels, sorted(odds), sparsity)
 
 
