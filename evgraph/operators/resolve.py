@@ -5,7 +5,7 @@ Every reference ends in one state: resolved, candidate, external or unresolved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.schema import module_of
@@ -141,3 +141,67 @@ def inherits(symbols: DataFrame) -> DataFrame:
     joined = asked.join(known, F.substring_index("base", ".", -1) == F.col("b_name"), "left")
     state = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "candidate").otherwise("external")
     return joined.select("src", "base", F.when(F.col("n") == 1, F.col("dst")).alias("dst"), state.alias("state"))
+
+
+#: What a TypeScript specifier may stand for, best first.
+SUFFIXES = (".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "")
+
+
+def normal_path(path: Column) -> Column:
+    """A path without ``.`` and ``..``; null where it would leave the root."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    up = F.aggregate(
+        parts,
+        F.struct(F.array().cast("array<string>").alias("kept"), F.lit(True).alias("ok")),
+        lambda a, p: F.when((p == "..") & (F.size(a.kept) == 0), F.struct(a.kept.alias("kept"), F.lit(False).alias("ok")))
+        .when(p == "..", F.struct(F.slice(a.kept, 1, F.size(a.kept) - 1).alias("kept"), a.ok.alias("ok")))
+        .otherwise(F.struct(F.concat(a.kept, F.array(p)).alias("kept"), a.ok.alias("ok"))),
+    )
+    return F.when(up.ok, F.array_join(up.kept, "/"))
+
+
+def ts_targets(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``path``, ``start_line``, ``specifier``, ``target`` of TypeScript imports.
+
+    Relative specifiers start at their file; others go through the aliases
+    (``scope``, ``pattern``, ``target``) of the innermost directory around the file.
+    ``.js`` also stands for ``.ts``. Each stem is tried with every suffix, in order.
+    """
+    key = ["path", "start_line", "specifier"]
+    relative = F.col("specifier").startswith(".")
+    near = imports.filter(relative).select(*key, F.lit(0).alias("way"), normal_path(F.concat(module_of(F.col("path")), F.lit("/"), F.col("specifier"))).alias("stem"))
+    star = F.instr("pattern", "*") > 0
+    head = F.substring_index("pattern", "*", 1)
+    # Aliases are a few rows of configuration, so the theta join is with a dimension.
+    inside = (F.col("scope") == "") | F.col("path").startswith(F.concat("scope", F.lit("/")))
+    fits = F.when(star, F.col("specifier").startswith(head)).otherwise(F.col("specifier") == F.col("pattern"))
+    rest = F.expr("substring(specifier, length(substring_index(pattern, '*', 1)) + 1)")
+    written = F.when(star, F.replace("target", F.lit("*"), rest)).otherwise(F.col("target"))
+    far = imports.filter(~relative).join(F.broadcast(aliases), inside & fits).select(*key, (-F.length("scope") * 1000 - F.length("pattern")).alias("way"), normal_path(written).alias("stem"))
+    bare = F.regexp_replace("stem", r"\.(m|c)?jsx?$", "")
+    ends = F.array(*[F.struct(F.lit(i).alias("n"), F.concat(F.when(F.lit(i < 5), bare).otherwise(F.col("stem")), F.lit(s)).alias("file")) for i, s in enumerate(SUFFIXES)])
+    tried = near.unionByName(far).filter("stem is not null").select(*key, "way", F.explode(ends).alias("c"))
+    hits = tried.join(files.select(F.col("path").alias("known")), F.col("c.file") == F.col("known"), "left_semi")
+    best = hits.groupBy(*key).agg(F.min(F.struct("way", "c.n", "c.file")).alias("b")).select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("b.file").alias("target"))
+    return imports.select(*key).join(best, [F.col(k) == F.col(f"b_{k}") for k in key], "left").select(*key, "target")
+
+
+def package_targets(imports: DataFrame, packages: DataFrame, separator: str = r"\.") -> DataFrame:
+    """All files of the package that each import names, for languages whose imports
+    name packages and not files. ``packages``: package, path. The longest known prefix
+    of the specifier is the package; a type named after it narrows the files to those
+    called like it, where there are such."""
+    key = ["path", "start_line", "specifier"]
+    mark = "." if separator == r"\." else separator
+    parts = F.split(F.regexp_replace("specifier", r"[.]\*$", ""), separator)
+    tries = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), mark).alias("package"), F.get(parts, n).alias("type")))
+    spread = imports.select(*key, F.posexplode(tries).alias("place", "t")).select(*key, "place", F.col("t.package").alias("try"), "t.type")
+    known = packages.select("package").distinct()
+    hits = spread.join(known, F.col("try") == F.col("package"), "left_semi")
+    best = hits.groupBy(*key).agg(F.min(F.struct("place", "try", "type")).alias("b")).select(*key, F.col("b.try").alias("named"), F.col("b.type").alias("type"))
+    files = packages.select(F.col("package").alias("p"), F.col("path").alias("target"))
+    stem = F.regexp_replace(F.substring_index("target", "/", -1), r"\.[^.]*$", "")
+    every = best.join(files, F.col("named") == F.col("p")).filter(F.col("target") != F.col("path")).withColumn("exact", F.coalesce(stem == F.col("type"), F.lit(False)))
+    some = every.groupBy(*[F.col(k).alias(f"s_{k}") for k in key]).agg(F.bool_or("exact").alias("narrow"))
+    joined = every.join(some, [F.col(k) == F.col(f"s_{k}") for k in key])
+    return joined.filter("exact or not narrow").select(*key, "target")

@@ -92,3 +92,33 @@ def test_query_graph_keeps_to_its_budget(spark):
     got = shown.orderBy("hops", "id").collect()
     assert [r.id for r in got][:5] == ["n0", "n1", "n2", "n3", "n4"] and got[-1].hops > 0
     assert sum(r.cost for r in got) <= 420 and links.agg(F.sum("cost")).first()[0] <= 280
+
+
+def test_typescript_imports(spark):
+    from evgraph.extract import tsconfig
+    from evgraph.operators import resolve
+
+    configs = {
+        "tsconfig.json": '{ // base\n "compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["*"], "cfg": ["config/main"],}, /* x */ }\n}',
+        "web/tsconfig.json": '{"extends": "../tsconfig.json"}',
+        "app/tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["./lib/*"]}}}',
+        "bad/tsconfig.json": "{",
+    }
+    found = tsconfig.aliases(configs)
+    assert ("", "@/*", "src/*") in found and ("app", "@/*", "app/lib/*") in found and ("web", "cfg", "src/config/main") in found
+    assert tsconfig.strip_jsonc('{"a": "// no, ]"}') == '{"a": "// no, ]"}'
+    files = spark.createDataFrame([(p,) for p in ["src/a.ts", "src/b/index.tsx", "src/config/main.ts", "app/lib/a.ts", "app/x.ts", "web/y.ts", "src/c.js"]], "path string")
+    asked = [("app/x.ts", "@/a"), ("web/y.ts", "@/a"), ("web/y.ts", "cfg"), ("src/a.ts", "./b"), ("src/a.ts", "./config/main.js"), ("src/b/index.tsx", "../c"), ("src/a.ts", "../../up"), ("src/a.ts", "react")]
+    imports = spark.createDataFrame([(p, 1, s) for p, s in asked], "path string, start_line int, specifier string")
+    aliases = spark.createDataFrame(found, "scope string, pattern string, target string")
+    got = {(r.path, r.specifier): r.target for r in resolve.ts_targets(imports, files, aliases).collect()}
+    assert [got[a] for a in asked] == ["app/lib/a.ts", "src/a.ts", "src/config/main.ts", "src/b/index.tsx", "src/config/main.ts", "src/c.js", None, None]
+
+
+def test_package_imports(spark):
+    from evgraph.operators import resolve
+
+    packages = spark.createDataFrame([("a.b", "s/A.java"), ("a.b", "s/B.java"), ("a.b.c", "s/C.java"), ("q", "s/Q.java")], "package string, path string")
+    imports = spark.createDataFrame([("x", 1, "a.b.A"), ("x", 2, "a.b.*"), ("x", 3, "a.b.c.C.inner"), ("x", 4, "z.y"), ("s/A.java", 5, "a.b.B"), ("x", 6, "a.b.Missing")], "path string, start_line int, specifier string")
+    got = sorted((r.start_line, r.target) for r in resolve.package_targets(imports, packages).collect())
+    assert got == [(1, "s/A.java"), (2, "s/A.java"), (2, "s/B.java"), (3, "s/C.java"), (5, "s/B.java"), (6, "s/A.java"), (6, "s/B.java")]
