@@ -98,9 +98,11 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 def keyword_scores(rows: DataFrame, id_col: str, text: Column, words: list[str]) -> DataFrame:
     """``score``: how many of the words (repeats count) name a token of the text."""
-    found = rows.select(F.col(id_col), tokens(text, keep_whole=True).alias("tokens"))
-    score = sum((matches(F.lit(w), F.col("tokens"), len(w)).cast("int") for w in words), F.lit(0))
-    return found.select(id_col, score.cast("long").alias("score")).filter("score > 0")
+    hits = lambda t: sum((matches(F.lit(w), t, len(w)).cast("int") for w in words), F.lit(0))
+    # Bound as a lambda variable, the tokens of a row are made once for all words, and
+    # an exploded filter keeps the test for hits from making them again.
+    scores = F.filter(F.transform(F.array(F.array_distinct(tokens(text, keep_whole=True))), hits), lambda s: s > 0)
+    return rows.select(id_col, F.explode(F.transform(scores, lambda s: s.cast("long"))).alias("score"))
 
 
 def within_budget(rows: DataFrame, cost: Column, order: list[Column], budget: int) -> DataFrame:
