@@ -28,14 +28,22 @@ def _pattern(lengths: list[int]) -> Pattern:
 def lower_bound(counts: dict[int, int], size: int) -> int:
     """Bins that any packing needs: the best of the fill bound and, for every
     threshold k, items over size - k alone plus the fill of those from k up."""
-    best = -(-sum(x * c for x, c in counts.items()) // size)
-    for k in {x for x in counts if 2 * x <= size} | {0}:
-        big = sum(c for x, c in counts.items() if x > size - k)
-        half = [(x, c) for x, c in counts.items() if size - k >= x > size // 2]
-        small = sum(x * c for x, c in counts.items() if size // 2 >= x >= k)
-        room = sum((size - x) * c for x, c in half)
-        best = max(best, big + sum(c for _, c in half) + max(0, -(-(small - room) // size)))
-    return best
+    n = np.zeros(size + 1, dtype=np.int64)
+    for x, c in counts.items():
+        n[x] = c
+    return _bound(n, size)
+
+
+def _bound(n: np.ndarray, size: int) -> int:
+    """``lower_bound`` of counts by length, in one pass over the lengths."""
+    x, half = np.arange(size + 1), size // 2
+    fill = n * x
+    # Items over half the size take a bin each, whatever the threshold is.
+    large = int(n[half + 1 :].sum())
+    small = np.cumsum(fill[half::-1])[::-1]
+    room = np.concatenate([[0], np.cumsum((n * (size - x))[half + 1 :])])
+    over = int((small - room[size - x[: half + 1] - half]).max())
+    return max(-(-int(fill.sum()) // size), large + max(0, -(-over // size)))
 
 
 def best_fit(counts: dict[int, int], size: int) -> dict[Pattern, int]:
@@ -81,50 +89,103 @@ def best_fit(counts: dict[int, int], size: int) -> dict[Pattern, int]:
     return dict(out)
 
 
-def _dominated(fill: list[int], others: list[list[int]]) -> bool:
-    """Whether the items of ``fill`` fit, in groups, into the items of another."""
+def _spread(bits: int, most: int) -> int:
+    """``bits`` shifted by 0 to ``most`` places, all joined."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits << step
+        done += step
+    return bits
 
-    def fits(items: list[int], holes: list[int]) -> bool:
-        if not items:
-            return True
-        x, tried = items[0], set()
-        for i, h in enumerate(holes):
-            if h >= x and h not in tried:
-                tried.add(h)
-                if fits(items[1:], sorted([*holes[:i], h - x, *holes[i + 1 :]], reverse=True)):
-                    return True
-        return False
 
-    return any(fits(fill, o) for o in others)
+class Fillings:
+    """Undominated fillings of a bin, one at a time, fullest first.
 
+    Sets of lengths and of sums are the bits of whole numbers, so a step costs the
+    same for five lengths and for 2048. ``seen`` counts partial fillings.
+    """
 
-def _exact(lengths: list[int], rest: dict[int, int], room: int, budget: int) -> list[list[int]]:
-    """Every maximal filling of ``room``, as far as ``budget`` partial ones go."""
-    found: list[list[int]] = []
-    seen = 0
-
-    def grow(i: int, room: int, fill: list[int]) -> None:
-        nonlocal seen
-        seen += 1
-        while i < len(lengths) and lengths[i] > room:
-            i += 1
-        if i == len(lengths):
-            found.append(list(fill))
-            return
-        x = lengths[i]
-        for k in range(min(rest[x], room // x), -1, -1):
-            if seen > budget:
-                return
-            grow(i + 1, room - k * x, fill + [x] * k)
-
-    grow(0, room, [])
-    return found
-
-
-def _likely(lengths: list[int], rest: dict[int, int], room: int, keep: int) -> list[list[int]]:
-    """The fullest fillings by one or two pieces beside a chain of large ones, for
-    tables of many lengths: each pair search is one sorted lookup of all of them."""
-    up = np.array(lengths[::-1], dtype=np.int64)
+    def __init__(self):
+        self.seen = 0
+
+    def after(self, counts: list[int], room: int, most: int, last: tuple[int, ...] | None, stop: int) -> tuple[int, ...] | None:
+        """The first filling of ``room`` that follows ``last`` in the order by sum,
+        then by lengths (both from the largest), and wastes ``most`` or less. None
+        if there is none, or when ``seen`` comes to ``stop``.
+
+        A filling is left out if an unused piece fits into it, alone or for a group
+        of its pieces that is no longer than it: with the two swapped, any packing
+        stays one.
+        """
+        reach, sums, lengths, full = {}, 1, 0, (1 << room + 1) - 1
+        for x in range(1, room + 1):
+            if n := min(counts[x], room // x):
+                k = 1
+                while n:
+                    k = min(k, n)
+                    sums |= sums << k * x & full
+                    n, k = n - k, 2 * k
+                reach[x], lengths = sums, lengths | 1 << x
+        back = int(format(sums, f"0{room + 1}b")[::-1], 2)  # bit room - s for every sum s
+        first = room - sum(last) if last is not None else 0
+        for waste in range(first, min(most, room) + 1):
+            if sums >> room - waste & 1:
+                got = self._filled(counts, reach, lengths, back, room, waste, last if waste == first else None, stop)
+                if got is not None or self.seen >= stop:
+                    return got
+        return None
+
+    def _filled(self, counts, reach, lengths, back, room, waste, last, stop) -> tuple[int, ...] | None:
+        def choices(left: int, top: int, free: int) -> int:
+            return free & back >> room - left & (1 << min(left, top) + 1) - 1
+
+        # A level: what is left, next pieces to try, unused lengths, single pieces,
+        # sums of two pieces and more, how often the last occurs, if like ``last``.
+        goal = room - waste
+        top = last[0] if last else room
+        fill: list[int] = []
+        levels = [[goal, choices(goal, top, lengths), lengths, 0, 0, 0, last is not None]]
+        if not goal:
+            free = lengths & (1 << waste + 1) - 1
+            return None if last is not None or free else ()
+        while levels:
+            left, todo, free, one, more, n, like = level = levels[-1]
+            if not todo:
+                levels.pop()
+                if fill:
+                    fill.pop()
+                continue
+            x = todo.bit_length() - 1
+            level[1] = todo ^ 1 << x
+            if not reach[x] >> left - x & 1:
+                continue
+            self.seen += 1
+            if self.seen >= stop:
+                return None
+            times = n + 1 if fill and fill[-1] == x else 1
+            more |= more << x | one << x
+            one |= 1 << x
+            if times == counts[x]:
+                free ^= 1 << x
+            # Pieces longer than x are settled, so this holds for all that follows.
+            if free & (_spread(more, waste) | (_spread(one << 1, waste - 1) if waste else 0)):
+                continue
+            like = like and x == last[len(fill)]
+            if left == x:
+                if not like and not free & (1 << waste + 1) - 1:
+                    return (*fill, x)
+                continue
+            top = min(x, last[len(fill) + 1]) if like else x
+            fill.append(x)
+            levels.append([left - x, choices(left - x, top, free), free, one, more, times, like])
+        return None
+
+
+def _likely(rest: dict[int, int], room: int, keep: int = 6) -> list[list[int]]:
+    """A few full fillings by one or two pieces beside a chain of large ones: each
+    pair search is one sorted lookup of all lengths."""
+    up = np.array(sorted(x for x, c in rest.items() if c and x <= room), dtype=np.int64)
     found: list[list[int]] = []
     chain: list[int] = []
     while True:
@@ -140,63 +201,33 @@ def _likely(lengths: list[int], rest: dict[int, int], room: int, keep: int) -> l
             pair = [int(fits[i]), int(fits[at[i]])] if at[i] >= 0 else [int(fits[i])]
             found.append(sorted([*chain, *pair], reverse=True))
         chain.append(int(fits[-1]))
-    used = lambda f: all(f.count(x) <= rest[x] for x in set(f))
-    return [f for f in found if used(f)]
-
-
-def completions(rest: dict[int, int], room: int, budget: int, keep: int = 6) -> list[list[int]]:
-    """Undominated fillings of ``room`` by what is left, fullest first.
-
-    Tables of up to 40 lengths are enumerated (``budget`` partial fillings at
-    most), larger ones give the fullest that ``_likely`` finds. What is missed can
-    only cost optimality, as the incumbent always holds a whole packing.
-    """
-    lengths = sorted((x for x, c in rest.items() if c and x <= room), reverse=True)
-    if not lengths:
-        return [[]]
-    found = _exact(lengths, rest, room, budget) if len(lengths) <= 40 else _likely(lengths, rest, room, keep)
-    found = sorted({tuple(f) for f in found}, key=lambda f: (sum(f), f), reverse=True)
-    out: list[list[int]] = []
-    for f in map(list, found[:200] if len(lengths) <= 40 else found[:keep]):
-        if not _dominated(f, out):
-            out.append(f)
-    return out or [[]]
+    found = [f for f in found if all(f.count(x) <= rest[x] for x in set(f))]
+    return sorted(found, key=lambda f: (sum(f), f), reverse=True)[:keep] or [[]]
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 10_000, width: int = 2_000) -> dict[Pattern, int]:
-    """Fewest sequences of ``size`` for the counted lengths: pattern -> how many.
-
-    Branch and bound: take the largest length left, branch over its undominated
-    fillings, apply a filling as often as the counts allow, and prune where the
-    waste so far exceeds what a packing better than the incumbent may waste. The
-    incumbent starts as best-fit decreasing; the search ends when the incumbent
-    meets the lower bound or after ``nodes`` branchings, whatever the counts are.
-    """
-    counts = {x: c for x, c in counts.items() if c}
-    if any(x > size or x < 1 for x in counts):
-        raise ValueError("a length is out of range")
-    if not counts:
-        return {}
+def _first_packing(counts: dict[int, int], size: int, nodes: int) -> dict[Pattern, int]:
+    """A packing for the search to start from: best-fit decreasing, improved by a
+    quick search over the few fillings that ``_likely`` gives."""
     best = best_fit(counts, size)
     used, bound = sum(best.values()), lower_bound(counts, size)
     total = sum(x * c for x, c in counts.items())
-    stack, spent = [(counts, (), 0, 0)], 0
+    stack, spent = [(counts, None, 0, 0)], 0
     while stack and used > bound and spent < nodes:
         rest, packed, bins, waste = stack.pop()
         if not rest:
             if bins < used:
-                used, best = bins, _summed(packed)
+                used, best = bins, defaultdict(int)
+                while packed:
+                    packed, pattern, n = packed
+                    best[pattern] += n
             continue
         allowed = (used - 1) * size - total
-        if waste > allowed or (len(rest) <= 40 and bins + lower_bound(rest, size) >= used):
+        if waste > allowed:
             continue
         spent += 1
         x = max(rest)
-        rest[x] -= 1
-        fills = completions(rest, size - x, width)
-        rest[x] += 1
         nexts = []
-        for fill in fills:
+        for fill in _likely({**rest, x: rest[x] - 1}, size - x):
             pattern = _pattern([x, *fill])
             times = min(rest[k] // n for k, n in pattern)
             lost = size - sum(k * n for k, n in pattern)
@@ -208,16 +239,86 @@ def bin_completion(counts: dict[int, int], size: int, nodes: int = 10_000, width
                     after[k] -= n * times
                     if not after[k]:
                         del after[k]
-                nexts.append((after, (packed, (pattern, times)), bins + times, waste + lost * times))
+                nexts.append((after, (packed, pattern, times), bins + times, waste + lost * times))
         stack.extend(reversed(nexts))
+    return dict(best)
+
+
+def bin_completion(counts: dict[int, int], size: int, nodes: int = 10_000, width: int = 2_000) -> dict[Pattern, int]:
+    """Fewest sequences of ``size`` for the counted lengths: pattern -> how many.
+
+    Branch and bound, the same at every number of lengths: take the largest length
+    left, branch over its undominated fillings (found one by one, fullest first) and
+    over how often each is applied, the most first, and prune where the waste so far
+    exceeds what a packing better than the incumbent may waste, or where the lower
+    bound of what is left rules one out. Bins of one length are taken in the order
+    of their fillings, so no mix of fillings is missed or tried twice.
+
+    The incumbent starts as best-fit decreasing, improved by a quick search of
+    ``nodes`` steps at most (see ``_first_packing``). The search ends when it meets the
+    lower bound, when nothing is left to try (it is then the optimum), or after
+    ``nodes`` branchings or ``nodes * width`` partial fillings in all, whatever the
+    counts are.
+    """
+    counts = {x: c for x, c in counts.items() if c}
+    if any(x > size or x < 1 for x in counts):
+        raise ValueError("a length is out of range")
+    if not counts:
+        return {}
+    best = _first_packing(counts, size, nodes)
+    used, bound = sum(best.values()), lower_bound(counts, size)
+    total = sum(x * c for x, c in counts.items())
+    rest = [counts.get(x, 0) for x in range(size + 1)]
+    fillings, stop, spent, bins, waste = Fillings(), nodes * width, 0, 0, 0
+    path: list[tuple[Pattern, int, tuple[int, ...]]] = []
+
+    def put(pattern: Pattern, times: int) -> None:
+        nonlocal bins, waste
+        for x, n in pattern:
+            rest[x] -= n * times
+        bins += times
+        waste += times * (size - sum(x * n for x, n in pattern))
+
+    def back() -> tuple[int, tuple[int, ...]]:
+        """Applies the last filling once less; its largest length, and itself."""
+        pattern, times, fill = path.pop()
+        put(pattern, -1)
+        if times > 1:
+            path.append((pattern, times - 1, fill))
+        return pattern[0][0], fill
+
+    top, last = size, None
+    while used > bound and spent < nodes and fillings.seen < stop:
+        while top and not rest[top]:
+            top, last = top - 1, None
+        if not top and bins < used:
+            used, best = bins, _summed(path)
+        allowed = (used - 1) * size - total - waste
+        fill = None
+        if top and allowed >= 0 and bins + _bound(np.array(rest), size) < used:
+            rest[top] -= 1
+            fill = fillings.after(rest, size - top, allowed, last, stop)
+            rest[top] += 1
+        if fill is None:
+            if not path or fillings.seen >= stop:
+                break
+            top, last = back()
+            continue
+        spent += 1
+        pattern = _pattern([top, *fill])
+        times, lost = min(rest[x] // n for x, n in pattern), size - top - sum(fill)
+        if lost:
+            times = min(times, allowed // lost)
+        put(pattern, times)
+        path.append((pattern, times, fill))
+        last = fill
     return best
 
 
-def _summed(packed: tuple) -> dict[Pattern, int]:
-    """Adds up the chain of (earlier, (pattern, times)) that a search leaves."""
+def _summed(path: list[tuple[Pattern, int, tuple[int, ...]]]) -> dict[Pattern, int]:
+    """How often each pattern occurs on a path of the search."""
     out: dict[Pattern, int] = defaultdict(int)
-    while packed:
-        packed, (pattern, n) = packed
+    for pattern, n, _ in path:
         out[pattern] += n
     return dict(out)
 

@@ -240,6 +240,20 @@ def test_bin_completion_is_optimal_on_small_tables(case):
     assert packing.lower_bound(counts, size) <= sum(found.values()) == best(items, size)
 
 
+@pytest.mark.parametrize("seed", [3, 6, 17])
+def test_bin_completion_searches_all_fillings_of_many_lengths(seed):
+    rng, counts = random.Random(seed), collections.Counter()
+    size, bins, parts = rng.choice([240, 400, 1000]), rng.choice([16, 20, 30]), rng.choice([3, 4])
+    for _ in range(bins):
+        cuts, times = sorted(rng.sample(range(1, size), parts - 1)), rng.choice([1, 1, 2])
+        for a, b in zip([0, *cuts], [*cuts, size], strict=True):
+            counts[b - a] += times
+    assert len(counts) > 40
+    found = packing.bin_completion(dict(counts), size, nodes=1000)
+    # Made of full bins, so the fill bound is the optimum.
+    assert sum(found.values()) == packing.lower_bound(dict(counts), size) == sum(x * c for x, c in counts.items()) // size
+
+
 def test_packing_is_whole(prose, odd, empty):
     docs = prose.unionByName(odd)
     out = packing.pack(docs, size=256).toPandas().sort_values(["sequence_id", "offset"])
