@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -97,26 +97,68 @@ def _cuts(staged: DataFrame, want: dict[str, int]) -> dict[str, _Cut]:
     return cuts
 
 
-def _closing(staged: DataFrame, gaps: list[tuple[str, int, int, int]], rounds: int) -> dict[str, list[tuple[int, int]]]:
-    """Rows beyond each cut that close the gap left there: every round adds the
-    largest that fits, or else the least that doesn't, where that leaves less."""
-    chosen: dict[str, list[tuple[int, int]]] = {}
+@dataclass
+class _Gap:
+    """What a source still takes beyond its prefix, for a ``gap`` of missing words.
+
+    ``spans`` are further stretches of the order from (key, tie) to (key, tie), of
+    which rows up to a size are taken; ``rows`` are single rows. ``best`` is the least
+    miss of ending with one row that is too long: miss, spans and rows kept, row.
+    """
+
+    key: int
+    tie: int
+    gap: int
+    spans: list[tuple[int, int, int, int, int]] = field(default_factory=list)
+    rows: list[tuple[int, int]] = field(default_factory=list)
+    best: tuple[int, int, int, tuple[int, int]] | None = None
+
+
+def _close(staged: DataFrame, gaps: dict[str, _Gap]) -> None:
+    """Fill each gap until no row that is left fits, then take a row too long for it,
+    now or at an earlier step, if that misses by less.
+
+    A row that doesn't fit is skipped. While the gap is at least twice the largest
+    row that fits, the prefix goes on over all rows that do, by the search of
+    ``_cuts``; else the largest that fits is taken. Either more than halves the gap
+    or leaves no row that fits, so the rounds are at most its logarithm.
+    """
+    live, spark = {s for s, g in gaps.items() if g.gap > 0}, staged.sparkSession
     key, tie, size = F.col("__evgraph_key"), F.col("__evgraph_tie"), F.col("__evgraph_size")
-    for _ in range(rounds):
-        if not gaps:
-            break
-        rows = [(*g, [f"{k}/{t}" for k, t in chosen.get(g[0], [])]) for g in gaps]
-        at = staged.sparkSession.createDataFrame(rows, "s string, k long, t long, gap long, had array<string>")
+    while live:
+        at = [(s, (g := gaps[s]).key, g.tie, g.gap, [f"{k}/{t}" for k, t in g.rows]) for s in sorted(live)]
+        per = spark.createDataFrame(at, "s string, k long, t long, gap long, had array<string>")
         beyond = (key > F.col("k")) | ((key == F.col("k")) & (tie >= F.col("t")))
         new = ~F.array_contains("had", F.concat_ws("/", key.cast("string"), tie.cast("string")))
-        near = F.min(F.struct((size > F.col("gap")).alias("over"), F.abs(size - F.col("gap")).alias("d"), key.alias("k"), tie.alias("t"), size.alias("z")))
-        on = (F.col("__evgraph_source") == F.col("s")) & beyond & (size > 0) & new
-        found = {r["s"]: r["x"] for r in staged.join(F.broadcast(at), on).groupBy("s").agg(near.alias("x")).collect()}
-        better = [(g, found[g[0]]) for g in gaps if g[0] in found and found[g[0]]["d"] < g[3]]
-        for g, x in better:
-            chosen.setdefault(g[0], []).append((x["k"], x["t"]))
-        gaps = [(*g[:3], g[3] - x["z"]) for g, x in better if x["z"] < g[3]]
-    return chosen
+        left = staged.join(F.broadcast(per), (F.col("__evgraph_source") == F.col("s")) & beyond & (size > 0) & new)
+        row, fits = F.struct(size.alias("z"), key.alias("k"), tie.alias("t")), size <= F.col("gap")
+        found = left.groupBy("s").agg(F.max(F.when(fits, row)).alias("fit"), F.min(F.when(~fits, row)).alias("over")).collect()
+        live, on = set(), {}
+        for r in found:
+            g, fit, over = gaps[r["s"]], r["fit"], r["over"]
+            if over and (miss := over["z"] - g.gap) < (g.best[0] if g.best else g.gap):
+                g.best = (miss, len(g.spans), len(g.rows), (over["k"], over["t"]))
+            if not fit:
+                continue
+            live.add(r["s"])
+            if g.gap >= 2 * fit["z"]:
+                on[r["s"]] = g.gap
+            else:
+                g.rows.append((fit["k"], fit["t"]))
+                g.gap -= fit["z"]
+        if on:
+            rest = left.filter(fits & F.col("s").isin(list(on))).select(*staged.columns)
+            for s, cut in _cuts(rest, on).items():
+                g = gaps[s]
+                end = max((cut.key, cut.tie), (g.key, g.tie))
+                g.spans.append((g.key, g.tie, *end, g.gap))
+                g.key, g.tie = end
+                g.gap -= cut.taken
+        live = {s for s in live if gaps[s].gap > 0}
+    for g in gaps.values():
+        if g.best and g.best[0] < g.gap:
+            _, n_spans, n_rows, last = g.best
+            g.spans, g.rows, g.gap = g.spans[:n_spans], [*g.rows[:n_rows], last], -g.best[0]
 
 
 def mix(
@@ -128,7 +170,6 @@ def mix(
     most: float = 3.0,
     n_shards: int = 32,
     block_rows: int = 256,
-    closing: int = 6,
     max_sources: int = 100_000,
     seed: int = 11,
 ) -> DataFrame:
@@ -140,8 +181,8 @@ def mix(
 
     Sources in code-point order, null last, get the weights of ``cycle`` in turn. A
     source gives whole passes as long as they fit its target, then a prefix of its
-    random order, then up to ``closing`` of the rows left, the largest that fit what
-    is still missing, or one more that exceeds it by less. The random order is a hash of id and text, so
+    random order, then rows after it until none that is left fits what is missing,
+    or one that exceeds it by less. The random order is a hash of id and text, so
     reruns agree; equal rows are told apart by where they were staged.
 
     The hash order is cut into equal blocks of about ``block_rows`` rows. A tree of
@@ -182,10 +223,13 @@ def mix(
     want[whole >= most] = 0
     cuts = _cuts(narrow, dict(zip(keys, want.tolist(), strict=True)))
     spark = docs.sparkSession
-    gaps = [(s, c.key, c.tie, c.want - c.taken) for s, c in cuts.items() if c.want > c.taken]
-    extra = _closing(narrow, gaps, closing)
+    gaps = {s: _Gap(c.key, c.tie, c.want - c.taken) for s, c in cuts.items() if c.want > c.taken}
+    _close(narrow, gaps)
+    extra = {s: g.rows for s, g in gaps.items()}
+    spans = {s: g.spans for s, g in gaps.items()}
     bits = np.ceil(np.log2(np.maximum(counts / block_rows, 1))).astype(np.int64)
-    cut_key = np.array([cuts[s].key if s in cuts else 0 for s in keys], dtype=np.int64)
+    ends_at = lambda s: spans[s][-1][2] if spans.get(s) else cuts[s].key if s in cuts else 0
+    cut_key = np.array([ends_at(s) for s in keys], dtype=np.int64)
     last = np.where(want > 0, np.minimum(cut_key >> (_KEY_BITS - bits), (1 << bits) - 1) + 1, 0)
     # Each row that closes a gap is a block of its own, after the partial pass.
     partial = (whole * (1 << bits) + last).astype(np.int64)
@@ -199,10 +243,10 @@ def mix(
     else:
         ends = np.zeros((len(keys), n_shards), dtype=np.int64)
     table = [
-        (s, i, int(z), float(g), int(w), cuts[s].key if s in cuts else 0, cuts[s].tie if s in cuts else 0, [f"{k}/{t}" for k, t in extra.get(s, ())], int(_KEY_BITS - b), int(1 << b))
+        (s, i, int(z), float(g), int(w), cuts[s].key if s in cuts else 0, cuts[s].tie if s in cuts else 0, [f"{k}/{t}" for k, t in extra.get(s, ())], spans.get(s, []), int(_KEY_BITS - b), int(1 << b))
         for i, (s, z, g, w, b) in enumerate(zip(keys, sizes, goal, whole, bits, strict=True))
     ]
-    per_source = spark.createDataFrame(table, "s string, i long, source_size long, target double, w long, ck long, ct long, extra array<string>, sh long, nb long")
+    per_source = spark.createDataFrame(table, "s string, i long, source_size long, target double, w long, ck long, ct long, extra array<string>, spans array<struct<k:long,t:long,ek:long,et:long,most:long>>, sh long, nb long")
 
     @F.pandas_udf("array<int>")
     def deal(i: pd.Series, first: pd.Series, blocks: pd.Series, epochs: pd.Series, closes: pd.Series) -> pd.Series:
@@ -220,7 +264,9 @@ def mix(
     k, t = F.col("__evgraph_key"), F.col("__evgraph_tie")
     # ck = ct = 0 where there is no partial pass, which takes nothing.
     closes = F.array_position("extra", F.concat_ws("/", k.cast("string"), t.cast("string")))
-    part = (k < F.col("ck")) | ((k == F.col("ck")) & (t < F.col("ct"))) | (closes > 0)
+    before = lambda ek, et: (k < ek) | ((k == ek) & (t < et))
+    in_span = F.exists("spans", lambda x: ~before(x["k"], x["t"]) & before(x["ek"], x["et"]) & (F.col("__evgraph_size") <= x["most"]))
+    part = before(F.col("ck"), F.col("ct")) | in_span | (closes > 0)
     epochs = F.when(F.col("__evgraph_size") > 0, F.col("w") + part.cast("long")).otherwise(F.lit(0))
     joined = staged.join(F.broadcast(per_source), F.col("__evgraph_source") == F.col("s")).withColumn("__evgraph_n", epochs)
     block = F.expr("shiftrightunsigned(__evgraph_key, int(sh))")

@@ -112,6 +112,16 @@ def test_mix_comes_near_its_targets(prose):
     assert dict(zip(out.doc_id, out.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
 
 
+def test_mix_goes_on_past_a_long_text(spark):
+    rng = random.Random(5)
+    sizes = [("a", rng.randint(10, 50)) for _ in range(4000)] + [("a", 20_000)] * 40 + [("b", 300)] * 1500
+    docs = spark.createDataFrame([(i, n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, n int, source string").selectExpr("doc_id", "repeat('w ', n) as text", "source")
+    rows = mixing.mix(docs, n_shards=4, block_rows=64).select("doc_id", "source", "size", "target", "taken", "copies").collect()
+    taken, target = sum(r.taken for r in rows if r.source == "a"), next(r.target for r in rows if r.source == "a")
+    assert abs(taken - target) <= 10
+    assert all(r.taken == r.size * len({c.epoch for c in r.copies}) for r in rows)
+
+
 def test_mix_deals_every_copy_once(prose):
     mixed = mixing.mix(prose, n_shards=4, block_rows=16)
     rows = mixing.shuffled(mixed, ["doc_id", "text"]).collect()
