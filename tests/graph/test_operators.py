@@ -242,3 +242,15 @@ def test_text_functions(spark):
 def test_budget_is_a_prefix(spark):
     frame = spark.createDataFrame([(i, 5 + i) for i in range(10)], "id int, size int")
     assert rows(ask.within_budget(frame, F.col("size"), [F.col("id")], 18).select("id", "spent")) == [(0, 5), (1, 11), (2, 18)]
+
+
+def test_evidence_order_has_every_citation(spark):
+    from evgraph import catalog
+    from evgraph.sources import star
+
+    path = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["evidence_order_all"](spark, path).collect()
+    assert len(rows) == star.edges(spark, path).select("file", "line").distinct().count() > 60
+    assert sum(r.n for r in rows) == star.edges(spark, path).count()
+    keys = [(r.whole, r.file, r.line) for r in rows]
+    assert keys == sorted(keys)
