@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -146,19 +147,23 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
     levels: int = 3, sample_rows: int = 4000, max_features: int = 2000, sparsity: float = 0.03,
 ) -> Model:
-    """Fit to at most ``sample_rows`` labelled documents, whose screened features are
+    """Fit to at most ``sample_rows`` labelled documents that have a text, whose screened features are
     what reaches the driver. They are the least by a hash of the id, so reruns agree,
     at any size of the corpus. An id labelled twice counts as toxic if any label says so, one
-    with several texts takes the least; null labels, ids and texts are left out.
+    with several texts takes the least; null labels, ids and texts are left out. Without
+    a toxic label the model keeps every document, with a warning.
     """
     y = F.max((quoted(label) > 0).cast("int")).alias("y")
     known = labels.filter(quoted(label).isNotNull() & quoted(id_col).isNotNull()).groupBy(quoted(id_col).alias("k")).agg(y)
-    chosen = known.orderBy(F.xxhash64("k"), "k").limit(sample_rows)
     texts = docs.select(quoted(id_col).alias("d"), quoted(text).alias("x")).filter("x is not null")
+    present = known.join(texts.select("d"), F.col("k") == F.col("d"), "left_semi")
+    chosen = present.orderBy(F.xxhash64("k"), "k").limit(sample_rows)
     rows = texts.join(F.broadcast(chosen), F.col("d") == F.col("k")).groupBy("k", "y").agg(F.min("x").alias("x"))
 
     rows = stage(rows, "labelled")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if not sizes.get(1):
+        warnings.warn("no text is labelled toxic: the model keeps every document", stacklevel=2)
     odds = screen(rows, sizes.get(1, 0), sizes.get(0, 0), max_features)
 
     def count(batches):

@@ -403,3 +403,12 @@ def test_first_of_each_keeps_one(spark, empty, odd):
     assert kept == {4, 13, 14} | {100 + i for i in range(20)}
     assert simhash.first_of_each(empty).count() == 0
     assert sorted(str(r.doc_id) for r in simhash.first_of_each(odd).collect()) == sorted(["1", "None", "5", "6", "7"])
+
+
+def test_toxicity_samples_labels_of_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(i, "vile " * 5 if i % 2 else "calm day " * 5) for i in range(40)], "doc_id long, text string")
+    labels = spark.range(4000).selectExpr("id as doc_id", "int(id % 2) as toxic")
+    model = toxicity.train(docs, labels, sample_rows=40)
+    assert "vile" in model.weights
+    with pytest.warns(UserWarning, match="no text is labelled toxic"):
+        toxicity.train(docs, labels.filter("toxic = 0"), sample_rows=40)
