@@ -163,11 +163,12 @@ def test_odd_vectors(spark):
     assert [r.n_links for r in embeddings.near_duplicates(floats).collect()] == [1, 1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [500_000, 40])
+def test_components(spark, chunk):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(5, 5), (60, 0), (300, 301), (301, 300)]
     edges += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9), chunk=chunk).collect()}
     label = {x: x for e in edges for x in e}
     changed = True
     while changed:
@@ -178,6 +179,9 @@ def test_components(spark):
             label[a] = label[b] = low
     assert all(got.get(x, x) == root for x, root in label.items())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    if chunk < len(edges):
+        with pytest.raises(RuntimeError, match="not settled"):
+            components(spark.createDataFrame(edges, "a long, b long"), rounds=1, chunk=chunk)
 
 
 # pipeline
