@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from evgraph.llm.common import mix64, quoted, stage, without
 from evgraph.llm.components import components, forest
 
-#: Fingerprints are 64 bits in four bands of 16: two that differ in at most three
-#: bits agree on a whole band.
-BANDS = 4
+#: Fingerprints are two halves of 32 bits: where two differ in r bits, they differ in
+#: r // 2 at most in one of the halves. Each half has a tree of its own.
+HALVES = 2
+#: Rows that live in a leaf of the trees, on average.
+LEAF = 256
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -51,25 +53,35 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return without(docs, "fingerprint").withColumn("fingerprint", of(quoted(text)))
 
 
-def vantage_points(band: int, count: int = 12) -> list[int]:
-    """Fixed points of a band's 16-bit space, far apart: splitmix outputs."""
-    return (mix64(np.arange(count, dtype=np.uint64) + np.uint64(1000 * band)) & np.uint64(0xFFFF)).astype(int).tolist()
+def vantage_points(half: int, count: int) -> np.ndarray:
+    """Fixed points of a half's 32-bit space, far apart: splitmix outputs."""
+    return mix64(np.arange(count, dtype=np.uint64) + np.uint64(1000 * half)) & np.uint64(0xFFFFFFFF)
 
 
-def _leaf(fp: str, band: int):
-    """The leaf of a band's tree: the distances to its vantage points, as a number.
+def tree_leaves(part: np.ndarray, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, leaves and whether the row lives there, in a tree with one vantage point
+    a level, of which each splits the 32-bit numbers ``part`` by their distance.
 
-    Within a band the search radius is 0, so the triangle bound keeps equal
-    distances only, no leaf overlaps another, and each fingerprint has one leaf.
+    A row lives in the leaf of its own distances. By the triangle inequality a
+    neighbour within ``reach`` bits has distances within ``reach`` of its own, so the
+    sides that these bounds rule out are pruned, and it visits the others. Of two
+    neighbours in different leaves, the one on the inner side of the first boundary
+    between them visits the other; the outer one need not look inside.
     """
-    part = F.shiftrightunsigned(F.col(fp), 16 * band).bitwiseAND(F.lit(0xFFFF))
-    leaf = F.lit(band).cast("long")
-    for v in vantage_points(band):
-        leaf = leaf * 17 + F.bit_count(part.bitwiseXOR(F.lit(v)))
-    return leaf
-
-
-def links_in(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
+    rows = np.arange(len(part))
+    leaf, home = np.zeros(len(part), dtype=np.int64), np.ones(len(part), dtype=bool)
+    for level, v in enumerate(points):
+        cut = 15 + level % 2  # the mean distance is 16
+        far = np.bitwise_count(part[rows] ^ v).astype(np.int64)
+        outer = far > cut
+        over = np.where(outer, ~home & (far - reach <= cut), far + reach > cut)
+        leaf = 2 * leaf + outer
+        rows, leaf = np.concatenate([rows, rows[over]]), np.concatenate([leaf, leaf[over] ^ 1])
+        home = np.concatenate([home, np.zeros(int(over.sum()), dtype=bool)])
+    return rows, leaf, home
+
+
+def links_in(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int = 2048) -> np.ndarray:
     """A spanning forest of the links between distinct fingerprints of one leaf,
     as pairs; a pair of visitors (not ``home``) is left to the leaf they live in.
 
@@ -100,18 +112,18 @@ def links_in(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int = 256) ->
                 parent[max(top, mine)] = mine = min(top, mine)
 
     def compare(at: np.ndarray) -> None:
-        for i in range(0, len(at), leaf):
-            rows = at[i : i + leaf]
+        own, step = at[home[at]], max(1, (1 << 20) // max(1, len(at)))
+        for i in range(0, len(own), step):
+            rows = own[i : i + step]
             near = np.bitwise_count(fps[rows][:, None] ^ fps[at][None, :]) <= radius
-            near &= home[rows][:, None] | home[at][None, :]
-            near &= rows[:, None] < at[None, :]
+            near &= ~home[at][None, :] | (rows[:, None] < at[None, :])
             for k in np.flatnonzero(near.any(axis=1)).tolist():
                 join(int(rows[k]), at[near[k]])
 
     stack = [order]
     while stack:
         at = stack.pop()
-        if len(at) <= leaf:
+        if len(at) * int(home[at].sum()) <= leaf * leaf:
             compare(at)
             continue
         best = None
@@ -132,7 +144,7 @@ def links_in(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int = 256) ->
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def links_of_leaves(fps: np.ndarray, home: np.ndarray, leaf: np.ndarray, radius: int, small: int = 256) -> np.ndarray:
+def links_of_leaves(fps: np.ndarray, home: np.ndarray, leaf: np.ndarray, radius: int, small: int = 32) -> np.ndarray:
     """Links that connect each of many leaves, whose rows stand together. Leaves of
     up to ``small`` rows are compared at once, row by row at growing distance;
     larger ones are searched by ``links_in``."""
@@ -152,21 +164,33 @@ def links_of_leaves(fps: np.ndarray, home: np.ndarray, leaf: np.ndarray, radius:
     return np.array(forest(pairs[:, 0], pairs[:, 1], len(fps)), dtype=np.int64).reshape(-1, 2)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000, levels: int = 24) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000, levels: int = 24, leaf: int = LEAF) -> DataFrame:
     """Links (a, b) that connect all of ``fps`` (distinct longs) within ``radius``.
 
-    A forest of vantage-point trees. On top, one tree per band splits the rows by
-    their band's distances to fixed vantage points; radius 0 suffices there, so the
-    rows grow by the number of bands and no more. Leaves over ``leaf_rows`` (groups
-    of near copies crowd together) are split again by distance to one of their own
-    fingerprints in all 64 bits, at the median; rows within the radius of a boundary
-    go to both sides. Each leaf then yields a spanning forest of its links, so a
-    dense group of n gives fewer than n rows, never all pairs.
+    Two vantage-point trees, one for each half of the bits, of as many levels as give
+    leaves of about ``leaf`` rows. Each row lives in one leaf of a tree and visits those
+    that the triangle bounds leave over (``tree_leaves``); neighbours meet in the tree
+    of the half in which they differ in ``radius // 2`` bits at most, where a level adds
+    about a quarter to the visits. (Over all 64 bits at once, bounds of ``radius``
+    would add more than half.)
+
+    Leaves over ``leaf_rows`` (groups of near copies crowd together) are split again by
+    distance to one of their own fingerprints in all 64 bits, at the median; rows
+    within the radius of a boundary go to both sides. Each leaf then compares all 64
+    bits of who lives there and who visits, and yields a spanning forest of its links,
+    so a dense group of n gives fewer than n rows, never all pairs.
     """
-    if not 0 <= radius < BANDS:
-        raise ValueError(f"the radius is below {BANDS}")
-    spread = F.explode(F.array(*[_leaf("fp", b) for b in range(BANDS)]))
-    rows = fps.toDF("fp").select("fp", spread.alias("leaf"), F.lit(True).alias("home"))
+    depth = max(0, int(np.ceil(np.log2(max(1, fps.count()) / leaf))))
+
+    def spread(batches):
+        for batch in batches:
+            fp = batch["fp"].to_numpy(dtype=np.int64)
+            for half in range(HALVES):
+                part = (fp.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+                at, found, home = tree_leaves(part, vantage_points(half, depth), radius // HALVES)
+                yield pd.DataFrame({"fp": fp[at], "leaf": found << 1 | half, "home": home})
+
+    rows = fps.toDF("fp").mapInPandas(spread, "fp long, leaf long, home boolean")
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))
     inside, outside = far <= F.col("cut") + radius, far >= F.col("cut") + 1 - radius
     for _ in range(levels):
@@ -185,7 +209,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000,
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Most leaves are small: many of them share a task's call.
-    bucket = F.pmod(F.xxhash64("leaf"), F.lit(8 * n)).cast("int").alias("bucket")
+    bucket = F.pmod(F.xxhash64("leaf"), F.lit(4 * n)).cast("int").alias("bucket")
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("leaf", kind="stable")

@@ -351,8 +351,27 @@ def brute(fps, radius):
     return [top(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("leaf_rows", [20, 50_000])
-def test_links_against_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize("reach", [1, 3])
+def test_neighbours_meet_in_a_leaf_that_one_of_them_lives_in(reach):
+    rng = np.random.default_rng(reach)
+    x = rng.integers(0, 1 << 32, 3000, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(reach):
+        y ^= np.uint64(1) << rng.integers(0, 32, len(x), dtype=np.uint64)
+    points = simhash.vantage_points(1, 9)
+    where = []
+    for part in (x, y):
+        rows, leaf, home = simhash.tree_leaves(part, points, reach)
+        assert home.sum() == len(part) and len(rows) > len(part)
+        where.append((leaf[home][np.argsort(rows[home])], set(zip(rows.tolist(), leaf.tolist(), strict=True))))
+    (own_x, all_x), (own_y, all_y) = where
+    apart = sum(a != b for a, b in zip(own_x.tolist(), own_y.tolist(), strict=True))
+    assert apart > 500  # so boundaries that overlap are needed
+    assert all((i, b) in all_x or (i, a) in all_y for i, (a, b) in enumerate(zip(own_x.tolist(), own_y.tolist(), strict=True)))
+
+
+@pytest.mark.parametrize(("leaf_rows", "leaf"), [(20, 256), (50_000, 256), (50_000, 4), (20, 16)])
+def test_links_against_brute_force(spark, leaf_rows, leaf):
     from evgraph.llm.components import components
 
     rng = random.Random(8)
@@ -370,7 +389,7 @@ def test_links_against_brute_force(spark, leaf_rows):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     frame = spark.createDataFrame([(x,) for x in signed], "fingerprint long")
-    roots = {r.node: r.root for r in components(simhash.fingerprint_links(frame, 3, leaf_rows)).collect()}
+    roots = {r.node: r.root for r in components(simhash.fingerprint_links(frame, 3, leaf_rows, leaf=leaf)).collect()}
     want = brute(fps, 3)
     got = collections.defaultdict(set)
     for x in signed:
