@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +19,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg math canvas iframe object select textarea button head title datalist audio video".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
-OUTSIDE = frozenset("nav header footer aside form dialog menu address search fieldset".split())
-#: Words in class, id or role that say what a part of a page is not.
-OUTSIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|"
-    r"nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|aside|widget|related|recommended|share|social|comments?|reply|replies|"
-    r"respond|discussion|footer|foot|header|masthead|top-?bar|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"paywall|copyright|legal|disclaimer|tags?|pagination|pager|toolbar|search|skip|alert|complementary|contentinfo)(?:$|[\s_\d-])",
-    re.I,
+#: Elements and roles that say what a part of a page is: 1 its article, -1 beside it.
+PARTS = {"article": 1, "main": 1} | dict.fromkeys("nav footer aside form dialog menu search fieldset".split(), -1)
+ROLES = {"article": 1, "main": 1} | dict.fromkeys(
+    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split(), -1
 )
+#: Words by which classes and ids name what a part of a page is.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent "
+    "gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets related "
+    "recommended recommendations share sharing social comment comments reply replies responses discussion footer header masthead "
+    "topbar popup modal overlay newsletter subscribe subscription signup login paywall copyright disclaimer pagination pager toolbar".split()
+)
+INSIDE = frozenset("article content story entry post body main text prose".split())
+#: What makes a name say something about a whole page instead: ``no-sidebar``, ``menu-open``.
+STATE = frozenset("has no with without layout page template grid open closed free enabled disabled active wrapper container".split())
 
 #: Raw elements whole, comments and declarations, tags with quoted values, tags.
 _TAG = re.compile(
@@ -37,23 +44,60 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACES = re.compile(r"[\s ]+")
 
 
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def named(name: str) -> int:
+    """What one class or id says: 1 an article, -1 something beside it, 0 neither.
+
+    The last word of a name says what it is and the first what it belongs to:
+    ``entry-content`` is an article, ``post-comments`` and ``comment-body`` are beside it.
+    """
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or words[0] in STATE or words[-1] in STATE:
+        return 0
+    if words[-1] == "header" and words[0] in INSIDE:
+        return 0
+    if words[-1] in BESIDE or words[0] in BESIDE:
+        return -1
+    return int(words[-1] in INSIDE)
+
+
+def part_of(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """What an element says of itself: by its kind or role, else by its names, which
+    say nothing where they contradict each other. A header in an article is its own."""
+    role = ROLES.get(attributes.get("role", "").lower(), 0)
+    kind = PARTS.get(tag, 0) or (-1 if tag == "header" and not inside else 0)
+    if role or kind:
+        return role or kind
+    says = {named(x) for k in ("class", "id") for x in attributes.get(k, "").split()} - {0}
+    return says.pop() if len(says) == 1 else 0
+
+
+def unseen(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a browser shows nothing of an element."""
+    style = attributes.get("style", "").lower().replace(" ", "")
+    return tag in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
 @dataclass
 class Block:
     text: str
     words: int
     links: int
-    tag: str
-    article: bool
-    outside: bool
+    part: int  # 1 in an article, -1 in a part beside it, 0 if nothing says
 
 
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in order: text between block-level tags."""
+    """The flat text blocks of a page, in order: text between block-level tags. One
+    pass, whose time is in proportion to the page however deep its tags nest."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether it hides, whether it is outside
-    hides = outs = articles = anchors = 0
+    stack: list[tuple[str, bool, int]] = []  # tag, whether it hides, what it is part of
+    outer: list[int] = []  # places in the stack of tags that are not inline
+    opened: dict[str, int] = {}
+    hides = anchors = 0
 
     def flush() -> None:
         if not parts:
@@ -61,18 +105,19 @@ def blocks(page: str) -> list[Block]:
         text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             links = len(html.unescape(" ".join(linked)).split())
-            tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-            out.append(Block(text, len(text.split()), links, tag, articles > 0, outs > 0))
+            out.append(Block(text, len(text.split()), links, stack[-1][2] if stack else 0))
         parts.clear()
         linked.clear()
 
-    def pop(to: int) -> None:
-        nonlocal hides, outs, articles, anchors
-        while len(stack) > to:
-            tag, hid, was = stack.pop()
-            hides, outs = hides - hid, outs - was
-            articles -= tag in ("article", "main")
-            anchors -= tag == "a"
+    def pop() -> str:
+        nonlocal hides, anchors
+        tag, hid, _ = stack.pop()
+        opened[tag] -= 1
+        hides -= hid
+        anchors -= tag == "a"
+        if outer and outer[-1] == len(stack):
+            outer.pop()
+        return tag
 
     at, end = 0, len(page)
     while at < end:
@@ -88,59 +133,61 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1] or m[4])
+        if tag == "br":
+            if not hides:
+                parts.append("\n")
+            continue
         if tag not in INLINE:
-            if tag == "br":
-                if not hides:
-                    parts.append("\n")
-                continue
             flush()
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                pop(depth)
+        if m[1] or m[4]:
+            # What is open inside the element ends with it; a stray end tag says nothing.
+            while opened.get(tag) and pop() != tag:
+                pass
             continue
         rest = m[3] or m[6] or ""
         if tag in VOID or rest.endswith("/") and tag not in RAW:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and outer and stack[outer[-1]][0] == tag:
             # A new one ends an open one of its kind, and the inline tags left in it.
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), -1)
-            if depth >= 0 and stack[depth][0] == tag:
-                pop(depth)
-        named = " ".join((v or "").strip("\"'") for k, v in _ATTR.findall(rest) if k.lower() in ("class", "id", "role")) if "=" in rest else ""
-        unseen = tag in HIDDEN or bool(rest) and bool(re.search(r"(?:^|\s)hidden(?:\s|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", rest, re.I))
-        was = tag in OUTSIDE or bool(named and OUTSIDE_WORDS.search(named))
-        if tag in ("html", "body", "article", "main"):
-            unseen = was = False
-        if tag == "article" and outs:
-            was = True
-        stack.append((tag, unseen, was))
-        hides, outs = hides + unseen, outs + was
-        articles += tag in ("article", "main")
+            top = outer[-1]
+            while len(stack) > top:
+                pop()
+        attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in reversed(_ATTR.findall(rest))} if rest else {}
+        above = stack[-1][2] if stack else 0
+        if tag in ("html", "body"):
+            hid, part = False, 0
+        else:
+            hid, part = unseen(tag, attributes), part_of(tag, attributes, above > 0) or above
+            if above < 0 and tag != "main":
+                part = -1
+        if tag not in INLINE:
+            outer.append(len(stack))
+        stack.append((tag, hid, part))
+        opened[tag] = opened.get(tag, 0) + 1
+        hides += hid
         anchors += tag == "a"
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
-            pop(len(stack) - 1)
+            pop()
     flush()
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "outside", "heading", "any_article")
+#: Of a block and of the ones before and after it; then what its markup says, and
+#: whether any block of the page is said to be in an article.
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "part", "any_article")
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     """One vector per block: its own size and link density, and its neighbours'."""
-    density = [b.links / b.words if b.words else 0.0 for b in found]
-    whole = float(any(b.article and not b.outside for b in found))
+    whole = float(any(b.part > 0 for b in found))
     edge = (0.0, 0.0)
-    size = [(float(b.words), d) for b, d in zip(found, density, strict=True)]
+    size = [(float(b.words), min(1.0, b.links / b.words) if b.words else 0.0) for b in found]
     rows = []
     for i, b in enumerate(found):
         before, after = size[i - 1] if i else edge, size[i + 1] if i + 1 < len(size) else edge
-        heading = float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-        rows.append((*size[i], *before, *after, float(b.article), float(b.outside), heading, whole))
+        rows.append((*size[i], *before, *after, float(b.part), whole))
     return rows
 
 
@@ -153,7 +200,7 @@ class Node:
     high: "Node | None" = None
 
 
-def fit_tree(rows: list[tuple[float, ...]], labels: list[bool], depth: int = 6, least: int = 1) -> Node:
+def fit_tree(rows: list[tuple[float, ...]], labels: list[bool], depth: int = 7, least: int = 6) -> Node:
     """A binary classification tree by Gini impurity; ties take the first feature."""
     share = sum(labels) / len(labels)
     if depth == 0 or share in (0.0, 1.0):
@@ -191,34 +238,63 @@ def _sample(words: int, links: int = 0) -> str:
     return (plain + (" " if plain and links else "") + ("<a href=x>" + " ".join(["link"] * links) + "</a>" if links else "")) or ""
 
 
-#: The labelled table: page templates whose blocks are marked 1 (main) or 0, each as
-#: (markup before, words, linked words, markup after, label).
+#: The labelled table: flat layouts of common kinds of pages, most with markup that
+#: says nothing, as (markup before, words, linked words, markup after, label); 1 is main.
 LABELLED = (
-    [("<nav><ul><li>", 1, 1, "</li>", 0), ("<li>", 1, 1, "</li></ul></nav>", 0), ("<div class=ad>", 9, 0, "</div>", 0), ("<article><h1>", 8, 0, "</h1>", 1), ("<p>", 40, 0, "</p>", 1), ("<p>", 2, 0, "</p>", 1), ("<p>", 90, 3, "</p>", 1), ("<p>", 1, 0, "</p></article>", 1), ("<footer>", 12, 1, "</footer>", 0)],
-    [("<header><div>", 4, 0, "</div></header>", 0), ("<article><h1>", 6, 0, "</h1>", 1), ("<p>", 1, 0, "</p>", 1), ("<h2>", 2, 0, "</h2>", 1), ("<ul><li>", 3, 0, "</li>", 1), ("<li>", 5, 5, "</li></ul>", 1), ("<aside>", 30, 0, "</aside>", 0), ("<p>", 25, 25, "</p></article>", 1), ("<div class=comments><p>", 40, 0, "</p></div>", 0), ("<footer><p>", 30, 2, "</p></footer>", 0)],
-    [("<div class=cookie-notice>", 25, 2, "</div>", 0), ("<div class=menu><a>", 6, 6, "</a></div>", 0), ("<div id=story><h1>", 7, 0, "</h1>", 1), ("<p>", 60, 0, "</p>", 1), ("<p>", 5, 0, "</p>", 1), ("<p>", 45, 4, "</p></div>", 1), ("<div><a>", 5, 5, "</a></div>", 0), ("<div class=sidebar><p>", 20, 0, "</p></div>", 0), ("<div class=footer>", 8, 2, "</div>", 0)],
-    [("<div>", 3, 3, "</div>", 0), ("<div>", 4, 4, "</div>", 0), ("<h1>", 6, 0, "</h1>", 1), ("<p>", 30, 0, "</p>", 1), ("<p>", 35, 2, "</p>", 1), ("<p>", 4, 0, "</p>", 1), ("<p>", 55, 0, "</p>", 1), ("<div>", 6, 6, "</div>", 0), ("<div>", 5, 5, "</div>", 0)],
-    [("<form><label>", 4, 0, "</label></form>", 0), ("<main><h1>", 5, 0, "</h1>", 1), ("<p>", 14, 0, "</p>", 1), ("<div class=related><p>", 22, 20, "</p></div>", 0), ("<p>", 18, 0, "</p></main>", 1), ("<section id=comments><article><p>", 33, 0, "</p></article></section>", 0), ("<div>", 10, 9, "</div>", 0), ("<div>", 25, 0, "</div>", 0)],
+    # An article that its markup names, between parts that are named too.
+    [("<nav><ul><li>", 1, 1, "</li>", 0), ("<li>", 2, 2, "</li>", 0), ("<li>", 1, 1, "</li></ul></nav>", 0), ("<div class=ad>", 9, 0, "</div>", 0), ("<article><h1>", 8, 0, "</h1>", 1), ("<p>", 40, 0, "</p>", 1), ("<p>", 2, 0, "</p>", 1), ("<p>", 90, 3, "</p>", 1), ("<p>", 5, 5, "</p>", 1), ("<p>", 1, 0, "</p></article>", 1), ("<footer>", 12, 1, "</footer>", 0)],
+    [("<header><div>", 4, 0, "</div></header>", 0), ("<main><h1>", 6, 0, "</h1>", 1), ("<p>", 1, 0, "</p>", 1), ("<h2>", 2, 0, "</h2>", 1), ("<ul><li>", 3, 0, "</li>", 1), ("<li>", 5, 5, "</li></ul>", 1), ("<aside>", 30, 0, "</aside>", 0), ("<p>", 25, 25, "</p>", 1), ("<form><p>", 22, 0, "</p></form></main>", 0), ("<div class=comments><p>", 44, 0, "</p>", 0), ("<p>", 61, 0, "</p></div>", 0), ("<div>", 31, 0, "</div>", 0), ("<footer><p>", 30, 2, "</p></footer>", 0)],
+    [("<div class=cookie-notice>", 25, 2, "</div>", 0), ("<div class=entry-content><h1>", 7, 0, "</h1>", 1), ("<p>", 60, 0, "</p>", 1), ("<p>", 4, 0, "</p>", 1), ("<p>", 12, 12, "</p></div>", 1), ("<div class=sidebar><p>", 20, 0, "</p></div>", 0), ("<div>", 3, 3, "</div>", 0), ("<div>", 18, 0, "</div>", 0), ("<div class=footer>", 8, 2, "</div>", 0)],
+    [("<div>", 14, 0, "</div>", 0), ("<nav><ul><li>", 2, 2, "</li>", 0), ("<li>", 3, 3, "</li></ul></nav>", 0), ("<article><h1>", 6, 0, "</h1>", 1), ("<p>", 5, 0, "</p>", 1), ("<p>", 4, 4, "</p>", 1), ("<h2>", 3, 0, "</h2>", 1), ("<p>", 9, 0, "</p>", 1), ("<ul><li>", 2, 2, "</li>", 1), ("<li>", 4, 0, "</li></ul></article>", 1), ("<div>", 26, 0, "</div>", 0), ("<div>", 12, 0, "</div>", 0), ("<footer>", 9, 0, "</footer>", 0)],
+    [("<header><div>", 2, 2, "</div></header>", 0), ("<div>", 40, 2, "</div>", 0), ("<nav><p>", 3, 3, "</p></nav>", 0), ("<main><h1>", 3, 0, "</h1>", 1), ("<p>", 55, 0, "</p>", 1), ("<p>", 7, 7, "</p>", 1), ("<h2>", 2, 0, "</h2>", 1), ("<p>", 6, 0, "</p></main>", 1), ("<div>", 33, 0, "</div>", 0), ("<div>", 7, 0, "</div>", 0), ("<div>", 65, 0, "</div>", 0), ("<div>", 15, 0, "</div>", 0)],
+    [("<ul><li>", 2, 2, "</li>", 0), ("<li>", 1, 1, "</li></ul>", 0), ("<article><h1>", 2, 0, "</h1>", 1), ("<p>", 1, 0, "</p>", 1), ("<p>", 6, 6, "</p>", 1), ("<p>", 20, 0, "</p>", 1), ("<p>", 4, 4, "</p>", 1), ("<p>", 3, 0, "</p>", 1), ("<p>", 8, 8, "</p>", 1), ("<p>", 1, 0, "</p>", 1), ("<p>", 2, 2, "</p>", 1), ("<p>", 2, 0, "</p></article>", 1), ("<div>", 4, 4, "</div>", 0), ("<div>", 20, 0, "</div>", 0), ("<div>", 3, 3, "</div>", 0)],
+    # News in plain divisions: links above and below, a notice, a list of more stories.
+    [("<div>", 2, 2, "</div>", 0), ("<div>", 1, 1, "</div>", 0), ("<div>", 3, 3, "</div>", 0), ("<div>", 9, 0, "</div>", 0), ("<h1>", 9, 0, "</h1>", 1), ("<div>", 27, 0, "</div>", 1), ("<p>", 52, 0, "</p>", 1), ("<p>", 38, 2, "</p>", 1), ("<p>", 6, 0, "</p>", 1), ("<p>", 71, 0, "</p>", 1), ("<p>", 24, 1, "</p>", 1), ("<h3>", 2, 0, "</h3>", 0), ("<div>", 8, 8, "</div>", 0), ("<div>", 11, 11, "</div>", 0), ("<div>", 7, 7, "</div>", 0), ("<div>", 10, 3, "</div>", 0)],
+    [("<div>", 5, 5, "</div>", 0), ("<div>", 4, 0, "</div>", 0), ("<div>", 6, 6, "</div>", 0), ("<h2>", 7, 0, "</h2>", 1), ("<p>", 33, 0, "</p>", 1), ("<p>", 19, 0, "</p>", 1), ("<p>", 8, 0, "</p>", 1), ("<p>", 46, 5, "</p>", 1), ("<p>", 29, 0, "</p>", 1), ("<div>", 4, 4, "</div>", 0), ("<div>", 14, 12, "</div>", 0), ("<div>", 6, 2, "</div>", 0), ("<div>", 5, 0, "</div>", 0)],
+    # Parts beside the text are named, the text itself is not.
+    [("<nav><p>", 2, 2, "</p></nav>", 0), ("<div class=cookie-notice>", 23, 2, "</div>", 0), ("<h1>", 8, 0, "</h1>", 1), ("<p>", 45, 0, "</p>", 1), ("<p>", 5, 0, "</p>", 1), ("<div class=advert>", 14, 0, "</div>", 0), ("<p>", 37, 2, "</p>", 1), ("<p>", 50, 0, "</p>", 1), ("<aside><p>", 28, 0, "</p></aside>", 0), ("<div class=comments><p>", 33, 0, "</p>", 0), ("<p>", 58, 0, "</p>", 0), ("<p>", 21, 0, "</p></div>", 0), ("<footer><p>", 26, 1, "</p></footer>", 0)],
+    [("<header><p>", 5, 0, "</p></header>", 0), ("<div class=sidebar><p>", 30, 0, "</p>", 0), ("<p>", 41, 0, "</p></div>", 0), ("<h2>", 6, 0, "</h2>", 1), ("<p>", 62, 0, "</p>", 1), ("<p>", 27, 1, "</p>", 1), ("<p>", 34, 0, "</p>", 1), ("<form><p>", 16, 0, "</p></form>", 0), ("<section id=comments><p>", 39, 0, "</p>", 0), ("<p>", 24, 0, "</p></section>", 0), ("<div>", 4, 4, "</div>", 0), ("<div class=footer><p>", 35, 0, "</p></div>", 0)],
+    # A page laid out as a table, its menu in the first column.
+    [("<table><tr><td>", 1, 1, "</td>", 0), ("<td>", 2, 2, "</td>", 0), ("<td>", 1, 1, "</td></tr>", 0), ("<tr><td>", 5, 0, "</td>", 1), ("<td>", 85, 0, "</td></tr>", 1), ("<tr><td>", 64, 4, "</td></tr>", 1), ("<tr><td>", 17, 0, "</td></tr>", 1), ("<tr><td>", 42, 0, "</td></tr>", 1), ("<tr><td>", 3, 3, "</td>", 0), ("<td>", 2, 2, "</td>", 0), ("<td>", 7, 0, "</td></tr></table>", 0)],
+    # An encyclopedia: many links in the prose, lists of links at the end.
+    [("<div>", 3, 3, "</div>", 0), ("<div>", 5, 4, "</div>", 0), ("<h1>", 3, 0, "</h1>", 1), ("<p>", 68, 14, "</p>", 1), ("<p>", 95, 21, "</p>", 1), ("<h2>", 2, 0, "</h2>", 1), ("<p>", 57, 13, "</p>", 1), ("<p>", 20, 5, "</p>", 1), ("<h2>", 1, 0, "</h2>", 1), ("<p>", 44, 9, "</p>", 1), ("<h2>", 2, 0, "</h2>", 0), ("<ul><li>", 6, 6, "</li>", 0), ("<li>", 4, 4, "</li>", 0), ("<li>", 9, 8, "</li></ul>", 0), ("<div>", 15, 9, "</div>", 0)],
+    # A blog post with a byline, steps, and teasers of other posts.
+    [("<div>", 4, 4, "</div>", 0), ("<div>", 2, 0, "</div>", 0), ("<div>", 3, 3, "</div>", 0), ("<h1>", 11, 0, "</h1>", 1), ("<p>", 22, 0, "</p>", 1), ("<ol><li>", 9, 0, "</li>", 1), ("<li>", 13, 0, "</li>", 1), ("<li>", 7, 0, "</li>", 1), ("<li>", 16, 0, "</li></ol>", 1), ("<p>", 41, 3, "</p>", 1), ("<p>", 35, 0, "</p>", 1), ("<div>", 6, 6, "</div>", 0), ("<div>", 13, 7, "</div>", 0), ("<div>", 12, 6, "</div>", 0), ("<div>", 4, 4, "</div>", 0), ("<div>", 9, 1, "</div>", 0)],
+    # A shop: a description among prices, buttons and links.
+    [("<div>", 2, 2, "</div>", 0), ("<div>", 1, 1, "</div>", 0), ("<div>", 2, 0, "</div>", 0), ("<div>", 3, 3, "</div>", 0), ("<div>", 1, 0, "</div>", 0), ("<div>", 2, 2, "</div>", 0), ("<h1>", 6, 0, "</h1>", 1), ("<p>", 48, 0, "</p>", 1), ("<p>", 31, 0, "</p>", 1), ("<div>", 3, 3, "</div>", 0), ("<div>", 2, 0, "</div>", 0), ("<div>", 2, 2, "</div>", 0), ("<div>", 3, 0, "</div>", 0), ("<div>", 5, 5, "</div>", 0)],
+    # Texts with little or nothing around them.
     [("<p>", 12, 0, "</p>", 1)],
-    [("<article><p>", 30, 0, "", 1)],
-    [("<article><p>", 3, 0, "</p>", 1), ("<p>", 26, 26, "</p>", 1), ("<p>", 41, 0, "", 1)],
-    [("<div>", 2, 0, "</div>", 0), ("<div>", 31, 0, "</div>", 0), ("<article><h2>", 4, 0, "</h2>", 1), ("<p>", 24, 0, "</p>", 1), ("<p>", 2, 0, "</p></article>", 1), ("<div>", 60, 0, "</div>", 0), ("<p>", 5, 0, "</p>", 0)],
     [("<h1>", 5, 0, "</h1>", 1), ("<p>", 70, 1, "</p>", 1), ("<p>", 33, 0, "</p>", 1), ("<p>", 28, 0, "", 1)],
+    [("<h1>", 4, 0, "</h1>", 1), ("<p>", 21, 0, "</p>", 1), ("<p>", 18, 0, "</p>", 1), ("<p>", 26, 0, "</p>", 1), ("<p>", 3, 3, "</p>", 0)],
 )
 
 
+#: How often each labelled layout is laid out, and by how many doublings lengths vary.
+LAYOUTS, DOUBLINGS = 12, 1.5
+
+
+def laid_out(page: list[tuple[str, int, int, str, int]], rng: np.random.Generator) -> tuple[str, list[bool]]:
+    """A labelled layout as markup, every block longer or shorter, and its labels."""
+    markup = []
+    for before, words, links, after, _ in page:
+        times = 2 ** rng.uniform(-DOUBLINGS, DOUBLINGS)
+        n = max(1, round(words * times))
+        markup.append(before + _sample(n, n if links == words else round(n * links / words)) + after)
+    return "".join(markup), [bool(x) for *_, x in page]
+
+
 @lru_cache(maxsize=1)
 def trained() -> Node:
-    """The tree fitted to ``LABELLED``."""
-    rows, labels = [], []
+    """The tree fitted to ``LABELLED``, each layout at several lengths of its blocks."""
+    rng, rows, labels = np.random.default_rng(7), [], []
     for page in LABELLED:
-        markup = "".join(a + _sample(n, k) + b for a, n, k, b, _ in page)
-        found = blocks(markup)
-        marks = [bool(x) for _, n, _, _, x in page if n]
-        if len(found) != len(marks):
-            raise ValueError("a labelled page does not split into its rows")
-        rows += features(found)
-        labels += marks
+        for _ in range(LAYOUTS):
+            markup, marks = laid_out(page, rng)
+            found = blocks(markup)
+            if len(found) != len(marks):
+                raise ValueError("a labelled page does not split into its rows")
+            rows += features(found)
+            labels += marks
     return fit_tree(rows, labels)
 
 
@@ -233,8 +309,9 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
 
     A page is cut at block-level tags into flat text blocks. A decision tree, fitted
     to the small labelled table above, accepts a block by its word count and link
-    density, those of the blocks before and after it, and what encloses it. Each
-    row stands alone: no shuffle, bounded Arrow batches, no hot host.
+    density, those of the blocks before and after it, and, where the markup names
+    an article or a part beside it, by that. Each row stands alone: no shuffle,
+    bounded Arrow batches, no hot host.
 
     Character references are decoded once, white space in a block becomes one space,
     blocks are trimmed. Null and empty pages give empty texts, broken or cut-off

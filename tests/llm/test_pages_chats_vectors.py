@@ -40,12 +40,109 @@ def test_broken_pages(page, text):
     assert html.main_text(page) == text
 
 
-def test_the_tree_separates_its_table():
-    rows, labels = [], []
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title='a hidden gem'>shown</p><p hidden>no</p><p style='color: red; display : none'>no</p><p aria-hidden=true>no</p>", "shown"),
+        ("<p data-x='hidden'>a</p><p class=hidden-menu-open>b</p>", "a\nb"),
+        ("<div class='entry share'>" + "word " * 60 + "</div>", ("word " * 60).strip()),
+        ("<article class='post no-sidebar'><header><h1>Own title</h1></header><p>x</p><div class=post-comments><p>no</p></div></article>", "Own title\nx"),
+        ("<div role=navigation><p>no</p></div><div id=mainContent><p>x</p></div><div class=comment-body><p>" + "no " * 50 + "</p></div>", "x"),
+    ],
+)
+def test_what_markup_says(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("name", "says"),
+    [("entry-content", 1), ("mainContent", 1), ("post-comments", -1), ("comment-body", -1), ("no-sidebar", 0), ("sidebar-layout", 0), ("gem", 0), ("article-header", 0), ("site-footer", -1), ("tags", 0), ("", 0), ("42", 0)],
+)
+def test_names(name, says):
+    assert html.named(name) == says
+
+
+def split_on(node):
+    return set() if node.feature < 0 else {html.FEATURES[node.feature]} | split_on(node.low) | split_on(node.high)
+
+
+def test_the_tree_decides_by_sizes_and_densities_of_neighbours():
+    assert {"words", "density", "density_before", "density_after", "words_after"} <= split_on(html.trained())
+
+
+def test_the_tree_separates_layouts_of_other_lengths():
+    rng, right, silent = np.random.default_rng(99), [], []
     for page in html.LABELLED:
-        rows += html.features(html.blocks("".join(a + html._sample(n, k) + b for a, n, k, b, _ in page)))
-        labels += [bool(x) for _, n, _, _, x in page if n]
-    assert np.mean([html.accept(html.trained(), r) == y for r, y in zip(rows, labels, strict=True)]) >= 0.9
+        for _ in range(10):
+            markup, labels = html.laid_out(page, rng)
+            found = html.blocks(markup)
+            same = [html.accept(html.trained(), r) == y for r, y in zip(html.features(found), labels, strict=True)]
+            right += same
+            if all(b.part == 0 for b in found):
+                silent += same
+    assert np.mean(right) >= 0.98 and np.mean(silent) >= 0.97
+
+
+def test_plain_pages_without_any_name():
+    """Three hand-labelled pages whose markup names no part."""
+    prose = lambda n: " ".join(f"w{i}" for i in range(n))
+    link = lambda n: "<a href=x>" + prose(n) + "</a>"
+    menu = "".join(f"<div>{link(n)}</div>" for n in (1, 2, 1, 3))
+    news = [prose(7), prose(31), prose(54) + " " + link(2), prose(9), prose(40)]
+    page = f"<body>{menu}<h1>{news[0]}</h1>" + "".join(f"<p>{x}</p>" for x in news[1:]) + f"<div>{link(6)}</div><div>{link(9)}</div><div>{link(5)}</div>"
+    assert html.main_text(page) == "\n".join(x.replace("<a href=x>", "").replace("</a>", "") for x in news)
+    table = f"<table><tr><td>{link(2)}<td>{link(1)}<tr><td>{link(3)}<tr><td>{prose(80)}<tr><td>{prose(33)}<tr><td>{link(4)}<td>{link(2)}</table>"
+    assert html.main_text(table) == prose(80) + "\n" + prose(33)
+    teasers = menu + f"<h2>{prose(8)}</h2><p>{prose(66)}</p><p>{prose(21)}</p><ul>" + "".join(f"<li>{link(n)}</li>" for n in (7, 12, 9)) + "</ul>"
+    assert html.main_text(teasers) == "\n".join(prose(n) for n in (8, 66, 21))
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        start = time.process_time()
+        html.main_text("<div>" * n + "x " * 50 + "</p>" * n + "<b>" * n + "<p>x" * n + "</i></div>" * n)
+        return time.process_time() - start
+
+    took(1000)
+    assert took(80_000) < 40 * max(took(8000), 0.02)
+
+
+def test_extract_against_a_parser(spark):
+    """All pages of a table against the standard library's parser, which takes the
+    article of this one layout by its tags."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.deep, self.text = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag == "article"
+            if tag == "br":
+                self.text[-1] += " "
+            elif tag not in ("b", "i", "a"):
+                self.text.append("")
+
+        def handle_endtag(self, tag):
+            self.deep -= tag == "article"
+            if tag not in ("b", "i", "a"):
+                self.text.append("")
+
+        def handle_data(self, data):
+            if self.deep:
+                self.text[-1] += data
+
+    def want(page):
+        p = Article()
+        p.feed(page)
+        p.close()
+        return "\n".join(" ".join(t.split()) for t in p.text if t.strip())
+
+    rows = html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumnRenamed("text", "old")).collect()
+    assert len(rows) == 250 and all(r.text == want(r.html) for r in rows)
 
 
 def test_extract_odd_rows(spark):
