@@ -193,9 +193,50 @@ def test_ids_equal_the_tokenizers_library(text):
     assert all(a < b for a, b in zip(starts, ends, strict=True)) and (not len(ends) or ends.max() == len(text))
 
 
-def test_special_strings_are_text():
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "a b", "é", "\n", "<|", "|>"]), max_size=12).map("".join))
+def test_special_strings_are_their_tokens(text):
+    from tokenizers import Tokenizer
+
+    e = tokens.encoder(tokens.default_path())
+    want = Tokenizer.from_file(tokens.default_path()).encode(text, add_special_tokens=False).ids
+    assert e.ids(text).tolist() == want and want.count(50256) == text.count("<|endoftext|>")
+    starts, ends = tokens.char_spans(text, e.ids(text), e)
+    assert "".join(text[a:b] for a, b, i in zip(starts, ends, want, strict=True) if i == 50256) == "<|endoftext|>" * want.count(50256)
+
+
+def test_ids_are_the_same_on_both_sides_of_the_longest_run(monkeypatch):
     e = tokens.encoder(tokens.default_path())
-    assert 50256 not in e.ids("a <|endoftext|> b").tolist()
+    text = "hello <|endoftext|> wörld 12345   \n\tso " * 400
+    fast = e.ids(text).tolist()
+    monkeypatch.setattr(tokens, "_LONG_RUN", 100)
+    assert e.ids(text).tolist() == fast
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_section_counts_against_brute_force(spark, rule):
+    """A whole table, token by token with the library's own offsets (texts without
+    characters that tokens split)."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.default_path())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").distinct()
+    got = collections.defaultdict(collections.Counter)
+    for r in tokens.section_tokens(docs, tokens.head_and_body, rule=rule).collect():
+        got[r.doc_id][r.section] += r.n_tokens
+    rows, checked = docs.collect(), 0
+    for r in rows:
+        if r.text is None or not r.text.isascii():
+            continue
+        checked += 1
+        bounds, want = tokens.head_and_body(r.text), collections.Counter()
+        for a, b in lib.encode(r.text, add_special_tokens=False).offsets:
+            inside = [sum(lo <= k < hi for k in range(a, b)) for (_, lo), hi in zip(bounds, [*[x for _, x in bounds[1:]], len(r.text)], strict=True)]
+            held = [k for k, n in enumerate(inside) if n]
+            at = {"start": held[0], "end": held[-1], "most": inside.index(max(inside))}[rule]
+            want[bounds[at][0]] += 1
+        assert +got[r.doc_id] == +want
+    assert checked > 50
 
 
 def test_attribution_rules():
