@@ -244,7 +244,7 @@ def _first_packing(counts: dict[int, int], size: int, nodes: int) -> dict[Patter
     return dict(best)
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 10_000, width: int = 2_000) -> dict[Pattern, int]:
+def bin_completion(counts: dict[int, int], size: int, nodes: int = 10_000, width: int = 100) -> dict[Pattern, int]:
     """Fewest sequences of ``size`` for the counted lengths: pattern -> how many.
 
     Branch and bound, the same at every number of lengths: take the largest length
