@@ -13,10 +13,13 @@ from evgraph.llm.common import quoted
 
 #: Grammar: conversation = turn*; turn = "<s>" role "\n" text "</s>". Inside role and
 #: text a backslash after "<" takes a control string out of force; each level of
-#: escaping adds one, so escaped text can itself be escaped.
+#: escaping adds one, so escaped text can itself be escaped. In a role "<n>" is a
+#: control string too: a line end.
 OPEN, CLOSE = "<s>", "</s>"
 _CONTROL = re.compile(r"<(\\*)(/?s)>")
 _ESCAPED = re.compile(r"<\\(\\*)(/?s)>")
+_ROLE_CONTROL = re.compile(r"<(\\*)(/?s|n)>")
+_ROLE_ESCAPED = re.compile(r"<\\(\\*)(/?s|n)>|<n>")
 
 
 def escape(text: str) -> str:
@@ -27,6 +30,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1\2>", text)
 
 
+def escape_role(role: str) -> str:
+    return _ROLE_CONTROL.sub(r"<\\\1\2>", role).replace("\n", "<n>")
+
+
+def unescape_role(role: str) -> str:
+    return _ROLE_ESCAPED.sub(lambda m: f"<{m[1]}{m[2]}>" if m[2] else "\n", role)
+
+
 @dataclass
 class Turn:
     role: str
@@ -52,15 +63,13 @@ def parse(formatted: str) -> list[Turn]:
         role, text = formatted[at + len(OPEN) : line], formatted[line + 1 : stop]
         if OPEN in role or OPEN in text:
             raise GrammarError(f"a turn inside the turn at {at}")
-        turns.append(Turn(unescape(role), unescape(text), line + 1, stop))
+        turns.append(Turn(unescape_role(role), unescape(text), line + 1, stop))
         at = stop + len(CLOSE)
     return turns
 
 
 def render(role: str, text: str) -> str:
     """One turn, escaped as long as reading it back gives anything else."""
-    if "\n" in role:
-        raise ValueError("a role has no line end")
     shown_role, shown = role, text
     for _ in range(2):
         out = f"{OPEN}{shown_role}\n{shown}{CLOSE}"
@@ -70,7 +79,7 @@ def render(role: str, text: str) -> str:
             back = []
         if len(back) == 1 and (back[0].role, back[0].text) == (role, text):
             return out
-        shown_role, shown = escape(role), escape(text)
+        shown_role, shown = escape_role(role), escape(text)
     raise AssertionError("an escaped turn reads back as it was")
 
 
@@ -92,8 +101,8 @@ def format_conversations(
     One exchange by conversation, then a sort in which large conversations spill.
     Turns come by number, null first, ties by role, then text, so reruns agree and
     repeated rows stay repeated. Null text counts as empty, a null role as an empty
-    one; line ends in roles become spaces; null ids make up one conversation. Other
-    columns are left out; an empty table gives an empty result.
+    one; null ids make up one conversation; texts of any length are formatted whole.
+    Other columns are left out; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -131,7 +140,7 @@ def format_conversations(
     rows = turns.select(
         quoted(conv).cast("string").alias("c"),
         quoted(turn).alias("n"),
-        F.translate(F.coalesce(quoted(role), F.lit("")), "\n", " ").alias("r"),
+        F.coalesce(quoted(role), F.lit("")).alias("r"),
         F.coalesce(quoted(text), F.lit("")).alias("x"),
     )
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -144,24 +153,29 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests of what a formatted corpus says, taken from its text and spans alone.
 
     Takes what ``format_conversations`` gives, in its order: the segments of a
-    conversation follow each other in one partition. Streams: hashes are fed turn by
-    turn and nothing but their states is kept.
+    conversation follow each other in one partition, numbered from 0, and anything
+    else is an error. Streams: hashes are fed turn by turn and nothing but their states
+    is kept. Null ids are one conversation; other columns are left out; an empty table
+    gives an empty result.
     """
     import hashlib
 
     def run(batches):
-        now, state, out, first = None, None, [], True
+        now, state, out, first, due = None, None, [], True, 0
 
         def close():
             return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
         for batch in batches:
-            for k, shown, spans in zip(batch["c"], batch["formatted"], batch["loss_spans"], strict=True):
+            for k, number, shown, spans in zip(batch["c"], batch["segment"], batch["formatted"], batch["loss_spans"], strict=True):
                 k = None if pd.isna(k) else k
                 if first or k != now:
                     if state:
                         out.append(close())
-                    now, state, first = k, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], False
+                    now, state, first, due = k, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], False, 0
+                if number != due:
+                    raise ValueError(f"segment {number} of a conversation comes where {due} is due")
+                due += 1
                 for t in parse(shown):
                     state[0] += 1
                     state[1].update(f"{t.role}\n{t.text}\n".encode("utf-8", "surrogatepass"))
@@ -180,7 +194,7 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
 
     names = ["c", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kind = formatted.select(quoted(conv)).schema[0].dataType.simpleString()
-    made = formatted.select(quoted(conv).cast("string").alias("c"), "formatted", "loss_spans").mapInPandas(
+    made = formatted.select(quoted(conv).cast("string").alias("c"), "segment", "formatted", "loss_spans").mapInPandas(
         run, "c string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
     return made.select(F.col("c").cast(kind).alias(conv), *names[1:])

@@ -45,10 +45,10 @@ CHAT = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-), r as (
-  select conv_id, turn, replace(role, chr(10), ' ') as role, text from t
 ), e as (
-  select *, length(role || text) + length(regexp_extract_all(role || chr(10) || text, '<\\*/?s>')) + 8 as chars from r
+  select *, length(role || text) + length(regexp_extract_all(text, '<\\*/?s>')) + 8
+         + length(regexp_extract_all(role, '<\\*(/?s|n)>')) + 2 * (length(role) - length(replace(role, chr(10), ''))) as chars
+  from t
 )
 select conv_id, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,

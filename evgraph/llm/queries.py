@@ -33,7 +33,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    # Of every copy that is taken, where the splitting tree puts it, and its place there.
+    of_copies = lambda field: F.concat_ws(",", F.transform("copies", lambda c: c[field].cast("string"))).alias(f"{field}s")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", of_copies("shard"), of_copies("order"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

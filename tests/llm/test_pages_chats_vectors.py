@@ -158,7 +158,7 @@ TRICKY = st.text(alphabet="<>/s\\ab\n[]INST é", max_size=40) | st.sampled_from(
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.text(alphabet="us<>/\\", max_size=6), TRICKY), max_size=6))
+@given(st.lists(st.tuples(st.text(alphabet="usn<>/\\\n", max_size=8), TRICKY), max_size=6))
 def test_round_trip(turns):
     shown = "".join(chat.render(r, t) for r, t in turns)
     back = chat.parse(shown)
@@ -185,7 +185,7 @@ def test_digests(spark, segment):
     out = {r.conv_id: r for r in chat.read_back(chat.format_conversations(frame, segment_chars=segment)).collect()}
     groups = collections.defaultdict(list)
     for c, n, r, t in rows:
-        groups[c].append((n is not None, n or 0, (r or "").replace("\n", " "), t or ""))
+        groups[c].append((n is not None, n or 0, r or "", t or ""))
     assert set(out) == set(groups)
     for c, turns in groups.items():
         turns.sort()
@@ -197,6 +197,17 @@ def test_digests(spark, segment):
     assert chat.read_back(chat.format_conversations(frame.limit(0))).count() == 0
 
 
+def test_roles_with_line_ends_and_rows_out_of_order(spark):
+    turns = [(1, 0, "sys\ntem", "a"), (1, 1, "assistant", "b" * 50), (1, 2, "<n>", "c" * 50)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(frame, segment_chars=20)
+    row = chat.read_back(made).first()
+    assert row.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
+    assert made.count() > 1
+    with pytest.raises(Exception, match="is due"):
+        chat.read_back(made.orderBy("segment", ascending=False).coalesce(1)).collect()
+
+
 # vectors
 
 
