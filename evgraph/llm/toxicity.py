@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import warnings
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -18,6 +19,8 @@ from evgraph.llm.common import quoted, stage, without
 _TOKEN = re.compile(r"\w+")
 #: Lengths of the word stems that count as features beside whole words.
 STEMS = range(4, 9)
+#: Words of the stretches of a text that are scored one by one.
+WINDOW = 200
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,26 +55,35 @@ class Model:
     def __post_init__(self):
         self.heads = {w[: STEMS[0]] for w in self.weights}
 
-    def expected(self, text: str | None) -> float:
-        """Expected severity: the sum over cuts of P(grade >= k)."""
-        score, heads, k = 0.0, self.heads, STEMS[0]
-        found: dict[str, int] = {}
-        words = words_of(text)
-        for w in words:
-            if w[:k] in heads:
+    def expected(self, text: str | None, window: int = WINDOW) -> float:
+        """Expected severity, the sum over cuts of P(grade >= k), of the worst stretch of
+        ``window`` words. Stretches begin at every half of one and cover the whole text,
+        so a passage is not thinned by what stands around it."""
+        words, k = words_of(text), STEMS[0]
+        held = [(i, w) for i, w in enumerate(words) if w[:k] in self.heads]
+        worst, step, low, last = 0.0, max(1, window // 2), 0, max(0, len(words) - window)
+        for start in range(0, last + step, step):
+            start = min(start, last)
+            while low < len(held) and held[low][0] < start:
+                low += 1
+            if low == len(held):
+                break
+            found: dict[str, int] = {}
+            for i, w in held[low:]:
+                if i >= start + window:
+                    break
                 found[w] = found.get(w, 0) + 1
-        for f, n in features_of(found).items():
-            score += self.weights.get(f, 0.0) * weighed(n, len(words))
-        return sum(_sigmoid(score - c) for c in self.cuts)
+            total = min(window, len(words))
+            worst = max(worst, sum(self.weights.get(f, 0.0) * weighed(n, total) for f, n in features_of(found).items()))
+        return sum(_sigmoid(worst - c) for c in self.cuts)
 
 
 def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def screen(rows: DataFrame, yes: int, no: int, most: int) -> dict[str, float]:
-    """The features that mark toxic texts best, by chi-square, with their smoothed
-    log odds. They are at least twice as frequent there, and in one of 400 texts (or
+def screen(rows: DataFrame, yes: int, no: int, most: int) -> list[str]:
+    """The features that mark toxic texts best, by chi-square. They are at least twice as frequent there, and in one of 400 texts (or
     three) at least. Counted by Spark; the driver gets the ``most`` best."""
 
     def spread(batches):
@@ -85,17 +97,28 @@ def screen(rows: DataFrame, yes: int, no: int, most: int) -> dict[str, float]:
     gap = (b * no - a * yes).cast("double")
     chi = gap * gap / ((a + b) * F.greatest(F.lit(yes + no) - a - b, F.lit(1)))
     best = seen.filter(fair).orderBy(chi.desc(), "f").limit(most)
-    return {r["f"]: math.log((r["b"] + 0.5) / (yes + 1)) - math.log((r["a"] + 0.5) / (no + 1)) for r in best.collect()}
+    return sorted(r["f"] for r in best.select("f").collect())
 
 
-def grades(texts: list[dict[str, float]], toxic: np.ndarray, levels: int, odds: dict[str, float]) -> np.ndarray:
-    """Ordered grades from yes/no labels: 0 if not toxic, else 1..levels by how much
-    of what marks toxic texts there is (screened features of log odds over 2.5).
+def grades(texts: list[dict[str, float]], toxic: np.ndarray, levels: int, fold: np.ndarray) -> np.ndarray:
+    """Ordered grades from yes/no labels: 0 if not toxic, else 1..levels by how much of
+    what marks toxic texts of the other ``fold`` there is (features of log odds over 2.5).
 
-    The cuts are quantiles of that amount among toxic texts that have any.
+    So no text is graded by odds that its own label went into. The cuts are quantiles of
+    that amount among toxic texts that have any.
     """
-    apart = {w for w, x in odds.items() if x > 2.5}
-    amount = np.array([sum(x for w, x in found.items() if w in apart) for found in texts])
+    amount = np.zeros(len(texts))
+    for mine in np.unique(fold).tolist():
+        seen: dict[str, list[int]] = {}
+        of = [0, 0]
+        for found, y, f in zip(texts, toxic.tolist(), fold.tolist(), strict=True):
+            if f != mine:
+                of[y] += 1
+                for w in found:
+                    seen.setdefault(w, [0, 0])[y] += 1
+        odds = {w: math.log((b + 0.5) / (of[1] + 1)) - math.log((a + 0.5) / (of[0] + 1)) for w, (a, b) in seen.items()}
+        for i in np.flatnonzero(fold == mine).tolist():
+            amount[i] = sum(x for w, x in texts[i].items() if odds.get(w, 0.0) > 2.5)
     out, some = toxic.astype(np.int64).copy(), (toxic > 0) & (amount > 0)
     if some.any():
         cuts = np.quantile(amount[some], np.arange(1, levels) / levels)
@@ -149,7 +172,7 @@ def train(
 ) -> Model:
     """Fit to at most ``sample_rows`` labelled documents that have a text, whose screened features are
     what reaches the driver. They are the least by a hash of the id, so reruns agree,
-    at any size of the corpus. An id labelled twice counts as toxic if any label says so, one
+    at any size of the corpus; features are ``max_features`` at most. An id labelled twice counts as toxic if any label says so, one
     with several texts takes the least; null labels, ids and texts are left out. Without
     a toxic label the model keeps every document, with a warning.
     """
@@ -164,20 +187,22 @@ def train(
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not sizes.get(1):
         warnings.warn("no text is labelled toxic: the model keeps every document", stacklevel=2)
-    odds = screen(rows, sizes.get(1, 0), sizes.get(0, 0), max_features)
+    features = screen(rows, sizes.get(1, 0), sizes.get(0, 0), max_features)
+    known_features = frozenset(features)
 
     def count(batches):
         for batch in batches:
             found = []
             for t in batch["x"]:
                 words = words_of(t)
-                found.append({f: weighed(n, len(words)) for f, n in features_of(Counter(words)).items() if f in odds})
+                found.append({f: weighed(n, len(words)) for f, n in features_of(Counter(words)).items() if f in known_features})
             yield pd.DataFrame({"k": batch["k"].astype(str), "y": batch["y"], "f": [list(c) for c in found], "v": [list(c.values()) for c in found]})
 
     got = sorted(rows.mapInPandas(count, "k string, y int, f array<string>, v array<double>").collect(), key=lambda r: r["k"])
     texts = [dict(zip(r["f"], r["v"], strict=True)) for r in got]
     toxic = np.array([r["y"] for r in got], dtype=np.int64)
-    return fit(texts, grades(texts, toxic, levels, odds), levels, sorted(odds), sparsity)
+    fold = np.array([zlib.crc32(r["k"].encode()) & 1 for r in got], dtype=np.int64)
+    return fit(texts, grades(texts, toxic, levels, fold), levels, features, sparsity)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -186,7 +211,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
 
     Row by row in Arrow batches: no shuffle. The model that tasks get holds at most
     the words it was fitted with, so its size has a bound. Null and empty texts have
-    the base severity of a text without words; long texts are read whole; repeated
+    the base severity of a text without words; long texts are read whole, stretch by
+    stretch; repeated
     rows score alike. Input columns named like an added one are replaced. An empty
     table gives an empty result.
     """

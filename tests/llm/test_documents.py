@@ -64,6 +64,23 @@ def test_split_tree_rows_add_up():
     assert (rows[3][1] == sum(r[0] for r in rows[:3])).all()
 
 
+def test_shards_are_uniform(spark):
+    """Where rows of each block end up, over all places: chi-square over several seeds."""
+    rows = spark.range(0, 16_000, 1, 8).selectExpr("id as doc_id", "int(id div 2000) as block")
+    total = 0.0
+    for seed in range(5):
+        out = sharding.shard(rows, n_shards=40, seed=seed).toPandas()
+        place = (out["shard"] * 400 + out["slot"]).to_numpy()
+        assert sorted(place) == list(range(16_000))
+        seen = np.zeros((8, 40))
+        np.add.at(seen, (out["block"].to_numpy(), place // 400), 1)
+        total += ((seen - 50) ** 2 / 50).sum()
+        follow = np.diff(out.sort_values("doc_id")["shard"].to_numpy()) == 0
+        assert abs(follow.mean() - 1 / 40) < 0.006
+    freedom = 5 * 7 * 39
+    assert abs(total - freedom) < 5 * np.sqrt(2 * freedom)
+
+
 def test_large_hypergeometric_has_the_right_moments(monkeypatch):
     monkeypatch.setattr(sharding, "_NUMPY_MOST", 10)
     rng = np.random.default_rng(1)
@@ -129,6 +146,38 @@ def test_mix_deals_every_copy_once(prose):
     assert {r.shard for r in rows} <= set(range(4)) and len({(r.doc_id, r.epoch) for r in rows}) == len(rows)
 
 
+def test_mix_splits_the_blocks_of_every_source_among_shards(spark):
+    """Blocks are those of the hash order; each goes to one shard whole, shards get
+    equal numbers of blocks, and each source's share of a shard follows its own."""
+    from pyspark.sql import functions as F
+
+    n, shards, per = 6000, 5, 32
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('a b c ', id) as text", "if(id % 3 = 0, 's', 't') as source")
+    mixed = mixing.mix(docs, n_shards=shards, block_rows=per, seed=11)
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 4)
+    rows = mixed.select("source", key.alias("key"), F.explode("copies").alias("c"), "source_size", "target").collect()
+    assert {r.c.shard for r in rows} == set(range(shards))
+    home, blocks = {}, collections.Counter()
+    for r in rows:
+        if r.c.epoch >= int(r.target // r.source_size):
+            continue  # the pass that ends at the target has blocks of single rows too
+        bits = int(np.ceil(np.log2((n / 3 if r.source == "s" else 2 * n / 3) / per)))
+        name = (r.source, r.c.epoch, r.key >> (60 - bits))
+        if name not in home:
+            blocks[r.c.shard] += 1
+        assert home.setdefault(name, r.c.shard) == r.c.shard
+    assert len(home) > 100
+    copies = collections.Counter(r.c.shard for r in rows)
+    assert max(copies.values()) < 1.3 * min(copies.values())
+    of = collections.Counter((r.source, r.c.shard) for r in rows)
+    share = sum(r.source == "s" for r in rows) / len(rows)
+    assert all(abs(of["s", j] / copies[j] - share) < 0.2 for j in range(shards))
+    by = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.c.order):
+        by[r.c.shard].append(r.key)
+    assert all(abs(np.corrcoef(np.arange(len(v)), np.array(v, dtype=float))[0, 1]) < 0.1 for v in by.values())
+
+
 def test_mixing_odd_rows(odd, empty, spark):
     out = {(r.doc_id, r.text): r for r in mixing.mix(odd).collect()}
     assert out[(1, None)]["size"] == 0 and out[(2, "")].taken == 0 and len(mixing.mix(odd).collect()) == len(ODD)
@@ -465,6 +514,36 @@ def test_first_of_each_keeps_one(spark, empty, odd):
     assert sorted(str(r.doc_id) for r in simhash.first_of_each(odd).collect()) == sorted(["1", "None", "5", "6", "7"])
 
 
+def test_length_does_not_hide_a_passage(spark):
+    rng = random.Random(4)
+    calm = lambda n: " ".join(rng.choice(["river", "stone", "paper", "walk", "green", "house"]) for _ in range(n))
+    vile = lambda n: " ".join(rng.choice(["vile", "scum", "filth"] if rng.random() < 0.2 else ["river", "stone"]) for _ in range(n))
+    rows = [(i, vile(80) if i % 5 == 0 else calm(80)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.expected(vile(80)) >= 0.5 > model.expected(calm(20_000))
+    for where in (0, 4321, 9999):
+        words = calm(10_000).split()
+        words[where:where] = vile(80).split()
+        assert model.expected(" ".join(words)) >= 0.5
+    by_hand = max(
+        sum(model.weights.get(f, 0.0) * toxicity.weighed(c, 200) for f, c in toxicity.features_of(collections.Counter(words[a : a + 200])).items())
+        for a in [*range(0, len(words) - 200, 100), len(words) - 200]
+    )
+    assert model.expected(" ".join(words)) == pytest.approx(sum(toxicity._sigmoid(by_hand - c) for c in model.cuts))
+
+
+def test_grades_come_from_the_other_fold():
+    texts = [{"vile": 2.0}, {"vile": 1.0}, {"own": 9.0}, {}] * 20
+    toxic = np.array([1, 1, 1, 0] * 20)
+    fold = np.arange(80) // 40
+    fold[2::4] = 0
+    got = toxicity.grades(texts, toxic, 2, fold)
+    # Nothing outside their fold says that "own" marks toxic texts.
+    assert got[0] == 2 and got[1] == 1 and got[2] == 1 and got[3] == 0
+
+
 def test_toxicity_samples_labels_of_documents_that_are_there(spark):
     docs = spark.createDataFrame([(i, "vile " * 5 if i % 2 else "calm day " * 5) for i in range(40)], "doc_id long, text string")
     labels = spark.range(4000).selectExpr("id as doc_id", "int(id % 2) as toxic")
