@@ -248,11 +248,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(*[quoted(c) for c in rest.columns if c.lower() != "fingerprint"], hexed, "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, and how many bands of 16 of their bits.
-WIDE, WIDE_BANDS = 4, 64
+#: Wide fingerprints: words of 64 bits.
+WIDE = 4
 #: Texts of a Jaccard similarity of 0.8 differ in 39 of 256 bits on average, with a
-#: deviation of 6; unrelated ones in 128. Candidates differ in at most:
-WIDE_RADIUS = 60
+#: deviation of 6, unrelated ones in 128 with one of 8. Candidates differ in at most:
+WIDE_RADIUS = 80
+#: Share of the pairs of a similarity of exactly 0.8 that meet in some band.
+MET = 0.99
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -279,20 +281,24 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands() -> np.ndarray:
-    """Which 16 bits of the 256 each band has."""
+def _bands(n: int) -> np.ndarray:
+    """Which of the 256 bits each band has, for ``n`` texts: so many that a few texts
+    share a value of a band by chance, and so many bands that pairs that differ in 39
+    bits agree on one with a chance of ``MET``."""
+    width = max(16, int(np.ceil(np.log2(max(1, n)))) - 2)
+    agree = (1 - 39 / (64 * WIDE)) ** width
     rng = np.random.default_rng(8)
-    return np.stack([rng.permutation(64 * WIDE)[:16] for _ in range(WIDE_BANDS)])
+    return np.stack([rng.permutation(64 * WIDE)[:width] for _ in range(int(np.ceil(np.log(1 - MET) / np.log1p(-agree))))])
 
 
 def _candidates(classes: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) that connect all classes within ``WIDE_RADIUS`` that share a band.
 
     A band's vantage-point tree is searched with radius 0, down to leaves of one
-    band value. Leaves over ``most`` rows are cut into chunks whose pairs are groups
+    band value; bands get longer and more as texts get more (``_bands``). Leaves over ``most`` rows are cut into chunks whose pairs are groups
     of their own; groups give spanning forests, never all pairs.
     """
-    bands = _bands()
+    bands = _bands(classes.count())
 
     def leaves(batches):
         for batch in batches:
@@ -300,8 +306,8 @@ def _candidates(classes: DataFrame, most: int) -> DataFrame:
                 wide = np.stack([batch[f"f{k}"].to_numpy(dtype=np.int64) for k in range(WIDE)], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
                 for b, at in enumerate(bands):
-                    value = np.packbits(bits[:, at], axis=1, bitorder="little").copy().view("<u2")[:, 0]
-                    yield batch.assign(leaf=value.astype(np.int64) + (b << 16))
+                    value = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
+                    yield batch.assign(leaf=value + (b << len(at)))
 
     fields = ", ".join(f"f{k} long" for k in range(WIDE))
     columns = [f"f{k}" for k in range(WIDE)]
@@ -345,55 +351,78 @@ def _candidates(classes: DataFrame, most: int) -> DataFrame:
     return dealt.groupBy(bucket.alias("bucket")).applyInPandas(compare, "a long, b long").distinct()
 
 
-def _verified(texts: DataFrame, shingle: int, similarity: float, most: int) -> DataFrame:
+def similar(part: pd.DataFrame, shingle: int, similarity: float) -> pd.DataFrame:
+    """Pairs (a, b) that connect rows (``id``, ``text``, ``label``) whose shingle sets
+    have a Jaccard similarity of ``similarity`` or more, exactly. Rows of one label
+    are known to be connected, and a pair that is connected already is not compared."""
+    part = part.drop_duplicates("id").sort_values("id")
+    ids, label = part["id"].to_numpy(), np.unique(part["label"].to_numpy(), return_inverse=True)[1]
+    sets = [shingles(t, shingle) for t in part["text"]]
+    sizes = np.array([len(s) for s in sets])
+    wide = np.stack([wide_fingerprint(s) for s in sets])
+    out = []
+    for i in range(len(ids)):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        # No more than this share of the larger set can be in both.
+        rest = rest[np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest])]
+        far = np.bitwise_count(wide[i] ^ wide[rest]).sum(axis=1, dtype=np.int64)
+        for j in rest[np.argsort(far, kind="stable")][: int((far <= WIDE_RADIUS).sum())].tolist():
+            if label[i] != label[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (sizes[i] + sizes[j] - both):
+                    label[label == label[j]] = label[i]
+                    out.append((ids[i], ids[j]))
+    found = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _verified(texts: DataFrame, shingle: int, similarity: float, most: int, most_bytes: int = 32 << 20, leaders: int = 16) -> DataFrame:
     """Pairs (a, b) that connect the rows of each group (``root``, ``id``, ``text``)
     whose shingle sets have a Jaccard similarity of ``similarity`` or more, exactly.
 
-    Groups over ``most`` rows are cut into chunks; each pair of chunks is compared.
-    A pair that is already connected is not compared again, so a group of near
-    copies costs about one comparison a row.
+    Groups over ``most`` rows or ``most_bytes`` of text are cut into chunks. Each chunk
+    is compared within itself and with about ``leaders`` rows of its group, chosen by
+    hash, which connects a group of near copies whole, however large it is. Only rows
+    that are not in the largest part so connected are then compared with all others,
+    chunk by chunk: the cost of a group is its rows times those that stay apart.
     """
-    sizes = texts.groupBy("root").agg(F.ceil(F.count("*") / most).cast("int").alias("c")).withColumnRenamed("root", "r")
-    mine = F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("mine")
-    pair = lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))
-    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), pair)).alias("to")
-    marked = texts.join(sizes, F.col("root") == F.col("r")).select("root", "id", "text", "c", mine)
-    dealt = marked.select("root", "id", "text", spread).select("root", "id", "text", "to.i", "to.j")
-
-    def verify(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        ids = part["id"].to_numpy()
-        sets = [shingles(t, shingle) for t in part["text"]]
-        sizes = np.array([len(s) for s in sets])
-        wide = np.stack([wide_fingerprint(s) for s in sets])
-        parent, out = np.arange(len(ids)), []
-
-        def top(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i in range(len(ids)):
-            # No more than this share of the larger set can be in both.
-            ratio = np.minimum(sizes[i], sizes[i + 1 :]) / np.maximum(np.maximum(sizes[i], sizes[i + 1 :]), 1)
-            far = np.bitwise_count(wide[i] ^ wide[i + 1 :]).sum(axis=1, dtype=np.int64)
-            likely = np.flatnonzero((ratio >= similarity) & (far <= WIDE_RADIUS)) + i + 1
-            for j in likely[np.argsort(far[likely - i - 1], kind="stable")].tolist():
-                u, v = top(i), top(j)
-                if u != v:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= similarity * (sizes[i] + sizes[j] - both):
-                        parent[max(u, v)] = min(u, v)
-                        out.append((ids[i], ids[j]))
-        found = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return dealt.groupBy("root", "i", "j").applyInPandas(verify, "a long, b long")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    chunks = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(size) / most_bytes)).cast("int")
+    sizes = texts.groupBy("root").agg(chunks.alias("c"), F.count("*").alias("n")).withColumnRenamed("root", "r")
+    marked = texts.join(sizes, F.col("root") == F.col("r")).select("root", "id", "text", "c", "n", F.xxhash64("id").alias("h"))
+    marked = marked.withColumn("i", F.pmod("h", "c").cast("int"))
+    leads = (F.col("c") > 1) & (F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.floor(F.col("n") / leaders))) == 0)
+    to = F.when(leads, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("i"))
+    schema = "a long, b long"
+    plain = lambda part: similar(part, shingle, similarity)
+    dealt = marked.select("root", "id", "text", F.col("id").alias("label"), F.explode(to).alias("i"))
+    first = stage(dealt.groupBy("root", "i").applyInPandas(plain, schema), "similar")
+    crowded = stage(sizes.filter("c > 1").select(F.col("r").alias("g"), F.lit(True).alias("hot")), "crowded-groups")
+    if crowded.isEmpty():
+        return first
+    known = components(first)
+    hot = texts.select("root", "id").join(crowded, F.col("root") == F.col("g"), "left_semi").join(known.toDF("node", "top"), F.col("id") == F.col("node"), "left")
+    hot = stage(hot.select(F.col("root").alias("g"), F.col("id").alias("m"), F.coalesce("top", "id").alias("label")), "labels")
+    parts = hot.groupBy("g", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("all"))
+    main = main.select(F.col("g").alias("r"), F.col("x.label").alias("main"), (F.col("all") - F.col("x.n")).alias("apart"), "all").filter("apart > 0")
+    # Rows in the main part meet each chunk of the others; those meet each other.
+    apart = F.col("label") != F.col("main")
+    mine = F.when(apart, F.pmod(F.xxhash64("m"), F.ceil(F.col("apart") / most)).cast("int"))
+    own = F.pmod(F.xxhash64("m"), F.ceil(F.col("all") / most)).cast("int")
+    others = F.sequence(F.lit(0), F.ceil(F.col("apart") / most).cast("int") - 1)
+    chunks_of_main = F.sequence(F.lit(0), F.ceil(F.col("all") / most).cast("int") - 1)
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(others, lambda j: pair(1, F.least(mine, j), F.greatest(mine, j)))
+    across = F.when(apart, F.transform(chunks_of_main, lambda i: pair(0, i, mine))).otherwise(F.transform(others, lambda j: pair(0, own, j)))
+    both = F.explode(F.when(apart, F.concat(among, across)).otherwise(across)).alias("to")
+    places = hot.join(main, F.col("g") == F.col("r")).select("g", "m", "label", both).select("g", "m", "label", "to.kind", "to.i", "to.j")
+    again = texts.join(places, (F.col("root") == F.col("g")) & (F.col("id") == F.col("m"))).select("root", "id", "text", "label", "kind", "i", "j")
+    return first.union(again.groupBy("root", "kind", "i", "j").applyInPandas(plain, schema))
 
 
 def first_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 512
 ) -> DataFrame:
     """One row of each group of near duplicates, that of the least id, with the
     columns of ``docs``: texts link whose sets of word shingles have a Jaccard
@@ -402,8 +431,8 @@ def first_of_each(
     Rows of one shingle set become one class. Fingerprints of 256 bits then name
     candidates (see ``_candidates``; a pair of similarity 0.8 is found with a chance
     of 99 %, one of 0.9 of over 99.9 %), candidates are grouped by what they
-    connect, and only there are texts brought together, each once, and compared
-    exactly: nothing below the similarity links.
+    connect, and only there are texts brought together and compared exactly
+    (``_verified``): nothing below the similarity links.
 
     Null and empty texts have no shingles and are alike: one of them stays. Rows
     that share the least id are told apart by a number given when they are staged;
@@ -427,7 +456,7 @@ def first_of_each(
     classes = stage(
         marked.groupBy("key").agg(first, *[F.min(f"f{k}").alias(f"f{k}") for k in range(WIDE)]).withColumn("id", F.col("first.row")), "classes"
     )
-    near = components(_candidates(classes, most))
+    near = components(_candidates(classes, 4096))
     members = stage(near.select("root", F.col("node").alias("id")).union(near.select("root", F.col("root").alias("id")).distinct()), "members")
     texts = rows.select(F.col(n).alias("id"), quoted(text).alias("text")).join(members, "id")
     roots = components(_verified(texts, shingle, similarity, most))

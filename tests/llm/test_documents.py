@@ -502,6 +502,73 @@ def test_near_duplicates_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(clash).first().component_id == 1
 
 
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_at_the_similarity_are_found(spark):
+    """Pairs of a similarity of exactly 0.8, and of just below."""
+    rng = random.Random(11)
+    rows, pairs = [], 400
+    for k in range(pairs):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(184)]
+        swapped = 20 if k % 2 == 0 else 21
+        other = words[:-swapped] + [f"v{rng.randrange(10**7)}" for _ in range(swapped)]
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
+    assert jaccard(rows[0][1], rows[1][1]) == 0.8 > jaccard(rows[2][1], rows[3][1])
+    kept = {r.doc_id for r in simhash.first_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all({2 * k, 2 * k + 1} <= kept for k in range(1, pairs, 2))
+    assert sum(2 * k + 1 not in kept for k in range(0, pairs, 2)) >= 0.97 * pairs / 2
+
+
+@pytest.mark.parametrize("most", [8, 40, 512])
+def test_large_groups_against_brute_force(spark, most):
+    """A crowded group of near copies with members that only chains connect, and some
+    that nothing does, cut into chunks of several sizes."""
+    rng = random.Random(12)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(200)]
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"e{rng.randrange(10**6)}"
+        return out
+
+    texts = [edited(base, rng.choice([0, 1, 2, 3])) for _ in range(90)]
+    chain = edited(base, 2)
+    for _ in range(8):
+        at = rng.randrange(0, 185)
+        chain = chain[:at] + [f"c{rng.randrange(10**6)}" for _ in range(8)] + chain[at + 8 :]
+        texts.append(chain)
+    texts += [edited(base, 12) for _ in range(12)]
+    texts = [" ".join(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    group = spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "root long, id long, text string")
+    from evgraph.llm.components import components
+
+    got = {r.node: r.root for r in components(simhash._verified(group, 5, 0.8, most)).collect()}
+    want = [top(i) for i in range(len(texts))]
+    assert len(set(want)) > 3
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_bands_grow_with_the_texts():
+    few, many = simhash._bands(1000), simhash._bands(10**9)
+    assert few.shape == (63, 16) and many.shape[1] == 28 and len(many) > 400
+
+
 def test_first_of_each_keeps_one(spark, empty, odd):
     rng = random.Random(2)
     base = [f"tok{rng.randrange(5000)}" for _ in range(300)]
