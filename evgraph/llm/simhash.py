@@ -396,7 +396,8 @@ def _verified(texts: DataFrame, shingle: int, similarity: float, most: int, most
     schema = "a long, b long"
     plain = lambda part: similar(part, shingle, similarity)
     dealt = marked.select("root", "id", "text", F.col("id").alias("label"), F.explode(to).alias("i"))
-    first = stage(dealt.groupBy("root", "i").applyInPandas(plain, schema), "similar")
+    # One key for a group's chunk: rows that are dealt by the group alone would stay so.
+    first = stage(dealt.groupBy(F.xxhash64("root", "i").alias("deal")).applyInPandas(plain, schema), "similar")
     crowded = stage(sizes.filter("c > 1").select(F.col("r").alias("g"), F.lit(True).alias("hot")), "crowded-groups")
     if crowded.isEmpty():
         return first
@@ -418,7 +419,7 @@ def _verified(texts: DataFrame, shingle: int, similarity: float, most: int, most
     both = F.explode(F.when(apart, F.concat(among, across)).otherwise(across)).alias("to")
     places = hot.join(main, F.col("g") == F.col("r")).select("g", "m", "label", both).select("g", "m", "label", "to.kind", "to.i", "to.j")
     again = texts.join(places, (F.col("root") == F.col("g")) & (F.col("id") == F.col("m"))).select("root", "id", "text", "label", "kind", "i", "j")
-    return first.union(again.groupBy("root", "kind", "i", "j").applyInPandas(plain, schema))
+    return first.union(again.groupBy(F.xxhash64("root", "kind", "i", "j").alias("deal")).applyInPandas(plain, schema))
 
 
 def first_of_each(
