@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SCHEMA = (
     "path string, fact string, name string, qualified_name string, kind string, start_line int, end_line int, enclosing string, "
     "enclosing_class string, bases array<string>, specifier string, names array<string>, level int, shape string, receiver string, "
-    "complexity int, params int, nesting int, lines int, tag string, detail string"
+    "complexity int, params int, nesting int, lines int, tag string, detail string, aliases array<string>, type_name string"
 )
 COLUMNS = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
@@ -35,6 +35,13 @@ def dotted(node: ast.AST) -> str:
     return ".".join([node.id, *parts[::-1]]) if isinstance(node, ast.Name) else ""
 
 
+def annotated(node: ast.AST | None) -> str:
+    """The class that an annotation names; "" if it names none."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value if node.value.replace(".", "").isidentifier() else ""
+    return dotted(node) if node is not None else ""
+
+
 def measure(f: ast.AST) -> tuple[int, int, int]:
     """Branches, boolean operators and depth of a function without nested ones; an
     ``elif`` is a branch that doesn't nest."""
@@ -99,7 +106,9 @@ class _Reader:
             for a in node.names:
                 self.add("import", node, specifier=a.name, name=a.asname or a.name.split(".")[0], names=[], level=0)
         elif isinstance(node, ast.ImportFrom):
-            self.add("import", node, specifier=node.module or "", names=[a.name for a in node.names], level=node.level, name="")
+            self.add("import", node, specifier=node.module or "", names=[a.name for a in node.names], aliases=[a.asname or a.name for a in node.names], level=node.level, name="")
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            self.binding(node, function)
         elif isinstance(node, ast.ExceptHandler) or isinstance(node, ast.Try):
             for h in getattr(node, "handlers", []):
                 if all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in h.body):
@@ -124,14 +133,33 @@ class _Reader:
         bases = [dotted(b) for b in getattr(node, "bases", []) if dotted(b)]
         self.add("symbol", node, name=node.name, qualified_name=qualified, kind=kind, bases=bases, **here)
         for d in node.decorator_list:
-            self.calls(d, set(), None, 0)
+            # The decorator's own call is how the definition is marked, not a call.
+            for part in [*d.args, *(k.value for k in d.keywords)] if isinstance(d, ast.Call) else []:
+                self.calls(part, set(), None, 0)
         self.scope.append(("class" if kind == "class" else "function", node.name))
         if kind != "class":
             complexity, params, nesting = measure(node)
+            for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
+                if a.arg not in ("self", "cls"):
+                    self.add("local", node, name=a.arg, type_name=annotated(a.annotation), **self.where())
             self.add("function", node, name=node.name, qualified_name=qualified, complexity=complexity, params=params, nesting=nesting, lines=node.end_lineno - node.lineno + 1)
         self.body(node.body, set(), node if kind != "class" else None)
         self.scope.pop()
 
+    def binding(self, node: ast.Assign | ast.AnnAssign, function: ast.AST | None) -> None:
+        """The declared types of locals and fields; one without a type hides others."""
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+        declared = annotated(node.annotation) if isinstance(node, ast.AnnAssign) else ""
+        for t in targets:
+            if isinstance(t, ast.Name) and function is not None:
+                self.add("local", function, name=t.id, type_name=declared, **self.where())
+            elif isinstance(t, ast.Name) and declared and self.scope and self.scope[-1][0] == "class":
+                self.add("field", node, name=t.id, type_name=declared, **self.where())
+            elif isinstance(t, ast.Attribute) and dotted(t.value) == "self" and function is not None:
+                given = {a.arg: annotated(a.annotation) for a in (*function.args.posonlyargs, *function.args.args, *function.args.kwonlyargs)}
+                known = declared or (given.get(node.value.id, "") if isinstance(node.value, ast.Name) else "")
+                self.add("field", node, name=t.attr, type_name=known, **self.where())
+
     def risk(self, kind: str, tag: str, node: ast.AST, detail: str) -> None:
         self.add("risk", node, kind=kind, tag=tag, detail=detail, **self.where())
 

@@ -57,6 +57,20 @@ def module_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def qualified_prefix(path: Column) -> Column:
+    """What the names of a file begin with: its path by dots, without its ending; a
+    package's own file stands for its directory."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), r"(^|/)__init__$", "")
+    return F.replace(bare, F.lit("/"), F.lit("."))
+
+
+def symbol_id(path: Column, qualified_name: Column) -> Column:
+    """The id of a symbol by its name in the file; that of the file for no name."""
+    prefix = qualified_prefix(path)
+    whole = F.when(prefix == "", qualified_name).otherwise(F.concat_ws(".", prefix, qualified_name))
+    return F.when(qualified_name == "", path).otherwise(F.concat(path, F.lit("#"), whole))
+
+
 def shown_module(module: Column) -> Column:
     return F.when(module == "", ".").otherwise(module)
 
