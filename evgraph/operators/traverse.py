@@ -1,5 +1,7 @@
 """Walks over edges: breadth-first search, closure, components, layers.
 
+Only ``closure`` makes pairs; the others make rows in proportion to the edges.
+
 Loops run on the driver, rows never do: each step joins the frontier to the edges
 and is staged in the shared folder, so plans stay short and lost executors reread.
 Edges are ``src``, ``dst``; ties break by id.
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.storage import stage
+from evgraph.storage import counted, drop, stage
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, via: str | None = None, order: str | None = None) -> DataFrame:
@@ -30,8 +32,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, via: str
         label = F.min(F.struct("from", F.col(order or "dst").alias("order"), F.col(via or "dst").cast("string").alias("via"))).alias("first")
         found = step.groupBy(F.col("dst").alias("id")).agg(label)
         new = found.join(seen.select(F.col("id").alias("known")), F.col("id") == F.col("known"), "left_anti")
-        front = stage(new.select("id", F.lit(hop).alias("hops"), F.col("first.via").alias("via")), "reach")
-        if front.isEmpty():
+        front, n = counted(new.select("id", F.lit(hop).alias("hops"), F.col("first.via").alias("via")), "reach")
+        if not n:
             break
         seen = seen.union(front)
     return seen if via else seen.select("id", "hops")
@@ -43,48 +45,115 @@ def closure(edges: DataFrame, rounds: int = 100) -> DataFrame:
     Path doubling: the longest path found doubles each round, so rounds grow with
     the logarithm of the diameter.
     """
-    now = stage(edges.select("src", "dst").distinct(), "closure")
-    size = now.count()
+    now, size = counted(edges.select("src", "dst").distinct(), "closure")
     for _ in range(rounds):
         longer = now.alias("p").join(now.alias("q"), F.col("p.dst") == F.col("q.src")).select("p.src", "q.dst")
-        now = stage(now.union(longer).distinct(), "closure")
-        size, before = now.count(), size
+        last, before = now, size
+        now, size = counted(now.union(longer).distinct(), "closure")
+        drop(last)
         if size == before:
+            return now
+    raise RuntimeError(f"the closure is not settled after {rounds} rounds")
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that may lie on a cycle, those that go on at both ends, and their number;
+    again as long as a fifth goes (what is left over costs a round, no more)."""
+    now, size = counted(edges, "live")
+    while size:
+        entered, left = now.select(F.col("dst").alias("e")).distinct(), now.select(F.col("src").alias("l")).distinct()
+        kept = now.join(entered, F.col("src") == F.col("e"), "left_semi").join(left, F.col("dst") == F.col("l"), "left_semi")
+        before = size
+        now, size = counted(kept, "live")
+        if size > 0.8 * before:
             break
-    return now
-
+    return now, size
 
-def strong_components(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``id``, ``component`` (its least id) of the nodes that lie on a cycle."""
-    pairs = pairs if pairs is not None else closure(edges)
-    back = pairs.select(F.col("dst").alias("s"), F.col("src").alias("d"))
-    both = pairs.join(back, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")))
-    return both.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("component"))
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id``, ``component`` (its least id) of the nodes that lie on a cycle.
 
-def layers(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """``id``, ``layer``: the longest path that leads to a node once cycles are
-    condensed to single points; sources are layer 0."""
-    pairs = pairs if pairs is not None else closure(edges)
+    Each round trims what no cycle passes, lets every node learn the least id that
+    reaches it, and walks back from the nodes that learned their own: what that finds
+    is a component whole. The rest goes on within the nodes that learned the same.
+    Rows are in proportion to the edges, never to the pairs that reach each other.
+    """
+    live = stage(edges.select("src", "dst").distinct(), "live")
+    out = stage(live.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component")), "components")
+    live, size = _trimmed(live.filter("src <> dst"))
+    while size:
+        label = stage(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("least", F.col("id")), "labels")
+        front = label
+        while True:
+            # Only labels that changed are sent on.
+            told = front.join(live, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("t")).agg(F.min("least").alias("said"))
+            new = label.join(told, F.col("id") == F.col("t"), "left")
+            changed = F.coalesce(F.col("said") < F.col("least"), F.lit(False))
+            new, n = counted(new.select("id", F.least("least", "said").alias("least"), changed.alias("changed")), "labels", "changed")
+            label, front = new.select("id", "least"), new.filter("changed").select("id", "least")
+            if not n:
+                break
+        a, b = (label.select(F.col("id").alias(f"{k}_id"), F.col("least").alias(f"{k}_least")) for k in "ab")
+        inner = live.join(a, F.col("src") == F.col("a_id")).join(b, (F.col("dst") == F.col("b_id")) & (F.col("a_least") == F.col("b_least")))
+        inner = stage(inner.select("src", "dst", F.col("a_least").alias("least")), "same-label")
+        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        starts = label.filter("id = least").select("id").join(inner.select(F.col("least").alias("l")).distinct(), F.col("id") == F.col("l"), "left_semi")
+        found = reach(back, starts).select("id").join(label.withColumnRenamed("id", "known"), F.col("id") == F.col("known")).select("id", F.col("least").alias("component"))
+        done = stage(found, "found")
+        sizes = done.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n")).filter("n > 1").select("c")
+        out = out.unionByName(done.join(sizes, F.col("component") == F.col("c"), "left_semi"))
+        gone = done.select(F.col("id").alias("g"))
+        rest = inner.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti")
+        live, size = _trimmed(rest.select("src", "dst"))
+    return out.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def condensed(edges: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``point`` (its component, or itself) of every node, and the edges between
+    different points."""
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    known = strong_components(edges, pairs).withColumnRenamed("id", "node")
+    known = (known if known is not None else strong_components(edges)).withColumnRenamed("id", "node")
     at = stage(ids.join(known, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("point")), "points")
     a, b = (at.select(F.col("id").alias(f"{k}_id"), F.col("point").alias(f"{k}_point")) for k in "ab")
-    dag = stage(
-        edges.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id")).filter("a_point <> b_point").select(F.col("a_point").alias("src"), F.col("b_point").alias("dst")).distinct(),
-        "condensed",
-    )
+    dag = edges.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id")).filter("a_point <> b_point")
+    return at, stage(dag.select(F.col("a_point").alias("src"), F.col("b_point").alias("dst")).distinct(), "condensed")
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """``id``, ``layer``: the longest path that leads to a node once cycles are
+    condensed to single points; sources are layer 0. A round a layer, in which only
+    points that moved send their layer on."""
+    at, dag = condensed(edges)
     depth = stage(at.select("point").distinct().withColumn("layer", F.lit(0)), "layers")
+    front = depth
     while True:
-        deeper = depth.join(dag, F.col("point") == F.col("src")).groupBy(F.col("dst").alias("d")).agg((F.max("layer") + 1).alias("up"))
-        new = stage(depth.join(deeper, F.col("point") == F.col("d"), "left").select("point", "layer", F.coalesce("up", F.lit(0)).alias("up")), "layers")
-        changed = not new.filter("up > layer").isEmpty()
-        depth = new.select("point", F.greatest("layer", "up").alias("layer"))
-        if not changed:
+        deeper = front.join(dag, F.col("point") == F.col("src")).groupBy(F.col("dst").alias("d")).agg((F.max("layer") + 1).alias("up"))
+        new = depth.join(deeper, F.col("point") == F.col("d"), "left")
+        new, n = counted(new.select("point", F.greatest("layer", "up").alias("layer"), (F.col("up") > F.col("layer")).alias("moved")), "layers", "moved")
+        depth, front = new.select("point", "layer"), new.filter("moved").select("point", "layer")
+        if not n:
             break
     return at.join(depth, "point").select("id", "layer")
 
 
+def reached_by_all(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Relational division: ``id`` of the nodes that a path of one edge or more
+    connects with every one of ``starts`` (``id``). Walks go on from the starts alone,
+    all at once, so rows are the starts times what they reach."""
+    seen = front = stage(starts.select(F.col("id").alias("start")).distinct().withColumn("at", F.col("start")), "division").filter("false")
+    first = starts.select(F.col("id").alias("start")).distinct()
+    step = first.join(edges, F.col("start") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
+    while True:
+        new = step.join(seen.toDF("s", "a"), (F.col("start") == F.col("s")) & (F.col("at") == F.col("a")), "left_anti")
+        front, n = counted(new, "division")
+        if not n:
+            break
+        seen = seen.union(front)
+        step = front.join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
+    total = first.agg(F.count("*").alias("total"))
+    return seen.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n")).join(total, F.col("n") == F.col("total")).select("id")
+
+
 def first_paths(edges: DataFrame, start: DataFrame, max_hops: int, undirected: bool = False) -> DataFrame:
     """``id``, ``hops``, ``rank``, ``prev``, ``kind`` of a breadth-first search in
     which nodes are taken in the order found and neighbours by (id, out before in,
@@ -105,8 +174,8 @@ def first_paths(edges: DataFrame, start: DataFrame, max_hops: int, undirected: b
         new = joined.groupBy(F.col("to").alias("id")).agg(best).join(seen.select(F.col("id").alias("known")), F.col("id") == F.col("known"), "left_anti")
         rank = F.concat("b.at_rank", F.array("id")).alias("rank")
         ranked = new.select("id", F.lit(hop).alias("hops"), rank, F.col("b.prev").alias("prev"), F.col("b.kind").alias("kind"))
-        front = stage(ranked, "paths")
-        if front.isEmpty():
+        front, n = counted(ranked, "paths")
+        if not n:
             break
         seen = seen.union(front)
     return seen

@@ -9,7 +9,7 @@ from evgraph.operators import ask, build, traverse
 from evgraph.plans.registry import query
 from evgraph.schema import evidence_order
 from evgraph.sources import star
-from evgraph.sources.star import EDGES_SQL, FACTS_SQL, NODES_SQL, PATHS_SQL, TRADE_SQL
+from evgraph.sources.star import HANDOVERS_SQL, EDGES_SQL, FACTS_SQL, NODES_SQL, PATHS_SQL, TRADE_SQL
 
 
 def _supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +337,44 @@ def layers_T(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CLOSURE} select src as id from c where src = dst")
 def cyclic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.closure(star.trade(spark, sf_dir)).filter("src = dst").select(F.col("src").alias("id"))
+    return traverse.strong_components(star.trade(spark, sf_dir)).select("id")
+
+
+#: Which parts reach which; enough for DuckDB at small scales, not how Spark does it.
+_HANDED = f"""
+with recursive {HANDOVERS_SQL}, c(src, dst) as (select src, dst from h union select c.src, h.dst from c join h on h.src = c.dst),
+k as (select p.src as id, min(least(p.src, p.dst)) as point from c p join c q on p.src = q.dst and p.dst = q.src group by 1)"""
+
+
+@query(f"{_HANDED} select id, point as component from k")
+def scc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of a graph that has a node for every part."""
+    return traverse.strong_components(star.handovers(spark, sf_dir))
+
+
+@query(f"""
+{_HANDED}, ids as (select src as id from h union select dst from h),
+m as (select id, coalesce(point, id) as point from ids left join k using (id)),
+d as (select distinct a.point as src, b.point as dst from h join m a on h.src = a.id join m b on h.dst = b.id where a.point <> b.point),
+w(point, depth) as (select point, 0 from m union select d.dst, depth + 1 from w join d on d.src = w.point)
+select id, max(depth)::int as layer from m join w using (point) group by 1
+""")
+def layers_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.layers(star.handovers(spark, sf_dir))
+
+
+@query(f"""
+with recursive {HANDOVERS_SQL}, s as (select 'part:' || p_partkey as id from part where p_size = 1),
+walk as (select id, 0 as hops from s where id in (select src from h) or id in (select dst from h)
+  union select h.dst, hops + 1 from walk join h on h.src = id where hops < 6)
+select id, min(hops)::int as hops from walk group by 1
+""")
+def reach_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops from the smallest parts, many starts at once."""
+    edges = star.handovers(spark, sf_dir)
+    smallest = star.table(spark, sf_dir, "part").filter("p_size = 1").select(star.node_id("part", "p_partkey").alias("id"))
+    ids = edges.select(F.col("src").alias("known")).union(edges.select("dst"))
+    return traverse.reach(edges, smallest.join(ids, F.col("id") == F.col("known"), "left_semi"), depth=6)
 
 
 @query(f"""
@@ -358,10 +395,8 @@ select dst as id from c join starts using (src) group by 1 having count(distinct
 """)
 def on_every_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relational division: what every nation of a region reaches."""
-    starts = star.table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(star.node_id("nation", "n_nationkey").alias("s"))
-    reached = traverse.closure(star.trade(spark, sf_dir)).join(starts, F.col("src") == F.col("s"), "left_semi")
-    total = starts.agg(F.count("*").alias("total"))
-    return reached.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("n")).join(F.broadcast(total), F.col("n") == F.col("total")).select("id")
+    starts = star.table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(star.node_id("nation", "n_nationkey").alias("id"))
+    return traverse.reached_by_all(star.trade(spark, sf_dir), starts)
 
 
 @query(f"""

@@ -83,6 +83,16 @@ def trade(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top).drop("nth")
 
 
+def handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src``, ``dst``: from part to part of an order's next line, where both lines
+    were returned. Nodes grow with the parts, edges with the line items."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    back = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    steps = back.select("*", F.lead("l_partkey").over(w).alias("next"), F.lead("l_returnflag").over(w).alias("flag"))
+    both = steps.filter("l_returnflag = 'R' and flag = 'R'")
+    return both.select(node_id("part", "l_partkey").alias("src"), node_id("part", "next").alias("dst")).distinct()
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id``, ``path``, ``host``: page addresses as file paths."""
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
@@ -129,6 +139,12 @@ t as (
     select *, row_number() over (partition by src order by weight desc, dst) as nth from allpairs) where nth <= 3
 )"""
 )
+HANDOVERS_SQL = """
+h as (
+  select distinct 'part:' || l_partkey as src, 'part:' || nxt as dst from (
+    select l_partkey, l_returnflag, lead(l_partkey) over w as nxt, lead(l_returnflag) over w as flag from lineitem
+    window w as (partition by l_orderkey order by l_linenumber, l_partkey)) where l_returnflag = 'R' and flag = 'R'
+)"""
 PATHS_SQL = """
 p as (
   select page_id, path, split_part(path, '/', 1) as host from (

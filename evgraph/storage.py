@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +50,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, where: str = "true") -> tuple[DataFrame, int]:
+    """``df`` staged and its number of rows, or of those that fit ``where``, counted
+    while it is written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count_if(F.expr(where)).alias("n")), name)
+    return out, int(seen.get["n"])
+
+
 def drop(staged: DataFrame) -> None:
     """Delete one table that ``stage`` returned and nothing reads any more."""
     where = staged.inputFiles()

@@ -65,8 +65,36 @@ def test_closure_components_and_layers(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 5), (7, 7)], "src long, dst long")
     pairs = traverse.closure(edges)
     assert (1, 5) in rows(pairs) and (5, 1) not in rows(pairs) and (7, 7) in rows(pairs)
-    assert rows(traverse.strong_components(edges, pairs)) == [(1, 1), (2, 1), (3, 1), (7, 7)]
-    assert dict(rows(traverse.layers(edges, pairs))) == {1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 0, 7: 0}
+    assert rows(traverse.strong_components(edges)) == [(1, 1), (2, 1), (3, 1), (7, 7)]
+    assert dict(rows(traverse.layers(edges))) == {1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 0, 7: 0}
+
+
+def test_components_and_layers_of_a_random_graph(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(70), rng.randrange(70)) for _ in range(95)}
+    after = {n: {b for a, b in edges if a == n} for n in range(70)}
+    reach = {}
+    for n in range(70):
+        seen, todo = set(), list(after[n])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after[x]
+        reach[n] = seen
+    want = {n: min(m for m in reach[n] | {n} if n in reach[m] and m in reach[n]) for n in range(70) if n in reach[n]}
+    frame = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert dict(rows(traverse.strong_components(frame))) == want and len(set(want.values())) > 1
+    point = {n: want.get(n, n) for e in edges for n in e}
+
+    def depth(p):
+        return max((1 + depth(point[a]) for a, b in edges if point[b] == p and point[a] != p), default=0)
+
+    assert dict(rows(traverse.layers(frame))) == {n: depth(p) for n, p in point.items()}
+    starts = spark.createDataFrame([(0,), (1,), (2,)], "id long")
+    assert {r[0] for r in rows(traverse.reached_by_all(frame, starts))} == reach[0] & reach[1] & reach[2]
 
 
 def test_results_do_not_depend_on_partitions(spark, graph):
