@@ -147,7 +147,7 @@ def test_lock_text(spark):
     fields = ["a\tb", "c\\d", "e\nf\r", "\\t", ""]
     shown = lock.render(spark.createDataFrame([("note", fields)], "kind string, fields array<string>"))
     assert "\n" not in shown.first().value and lock.parse(shown).first().fields == fields
-    lines = spark.createDataFrame([("module\tx\r",), ("Bad\tx",), ("module\ta\tb",), ("new-kind\t1\t2\t3",), ("module\ta\\q",), ("module\tx\\",)], "value string")
+    lines = spark.createDataFrame([("module\tx\r",), ("Bad\tx",), ("module\ta\tb",), ("new_kind\t1\t2\t3",), ("module\ta\\q",), ("module\tx\\",)], "value string")
     assert [r.error for r in lock.parse(lines).collect()] == [None, "L-001", "L-002", None, "L-003", "L-003"]
 
 
