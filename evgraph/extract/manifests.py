@@ -82,13 +82,18 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 def members(patterns: DataFrame, directories: DataFrame) -> DataFrame:
     """Directories that a workspace's patterns (``root``, ``pattern``) name: ``*`` is
-    one segment, ``**`` any number. Patterns are few; directories meet those of the
-    same fixed prefix."""
+    one segment, ``**`` any number. Directories meet patterns by the fixed directory
+    that these begin with, one of their own prefixes: an equi join."""
     whole = F.concat_ws("/", F.when(F.col("root") != "", F.col("root")), "pattern")
     safe = F.regexp_replace(whole, r"([.+()\[\]{}^$|])", r"\\$1")
     regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(safe, r"\*\*", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*"), F.lit("$"))
-    listed = patterns.select("root", "pattern", regex.alias("regex"))
-    return directories.join(F.broadcast(listed), F.expr("dir rlike regex")).select("root", "pattern", "dir")
+    fixed = F.regexp_replace(F.substring_index(whole, "*", 1), "/?[^/]*$", "")
+    fixed = F.when(F.instr(whole, "*") > 0, fixed).otherwise(whole)
+    listed = patterns.select("root", "pattern", regex.alias("regex"), fixed.alias("fixed"))
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    under = directories.select("dir", F.explode(F.array_distinct(above)).alias("above"))
+    return under.join(listed, (F.col("above") == F.col("fixed")) & F.expr("dir rlike regex")).select("root", "pattern", "dir")
 
 
 #: Images that are stores and queues, by the name's beginning.

@@ -6,7 +6,7 @@ import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,15 @@ STOP_WORDS = (
 ).split()
 
 
+def marked(lines: DataFrame, key: list[str], line: str, markers: str, most: int = 200) -> DataFrame:
+    """``key``, ``kind``, ``said`` of lines that one of ``markers`` (a pattern) opens: which
+    one, and the first ``most`` characters after it."""
+    opens = rf"(?i)^[ \t]*({markers})\b"
+    whole = opens + "[ :]*(.*)$"
+    said = F.left(F.regexp_extract(line, whole, 2), F.lit(most))
+    return lines.filter(F.col(line).rlike(opens)).select(*key, F.regexp_extract(line, whole, 1).alias("kind"), said.alias("said"))
+
+
 def tokens(text: Column, keep_whole: bool = False) -> Column:
     """Identifier-aware words: camel case and underscores split, lower case, longer
     than one letter, no stop words; repeats stay. ``keep_whole`` adds unsplit words."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evgraph.operators import build, resolve
-from evgraph.schema import module_of, qualified_prefix, symbol_id
+from evgraph.schema import qualified_prefix, symbol_id
 from evgraph.storage import stage
 
 #: One citation of an edge a row.
@@ -52,15 +52,6 @@ def node_rows(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return whole.unionByName(named)
 
 
-def import_tops(files: DataFrame) -> DataFrame:
-    """``root``, ``first``: under which directories a first name of an import is found."""
-    parts = F.split("path", "/")
-    places = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("dir"), F.regexp_replace(F.get(parts, i), r"\.py$", "").alias("first")))
-    under = files.select(F.explode(places).alias("p")).select("p.dir", "p.first").distinct()
-    roots = resolve.source_roots(files)
-    return under.join(roots, F.col("dir") == F.col("root")).select("root", "first")
-
-
 def modules_named(asked: DataFrame, files: DataFrame, tops: DataFrame) -> DataFrame:
     """``path``, ``spec``, ``level``, ``target``: the file that a specifier in a file
     names, as a module before as a package, the longest root first; nothing if none."""
@@ -97,7 +88,7 @@ def import_facts(imports: DataFrame, files: DataFrame, declared: DataFrame | Non
     spec = F.when(F.col("is_from"), whole).otherwise(F.lit(None).cast("string"))
     rows = stage(rows.withColumn("whole", spec), "imports")
     asked = rows.select("path", F.explode(F.array("base", "whole")).alias("spec"), "level").filter("spec is not null")
-    names = stage(modules_named(asked, files, import_tops(files)), "modules")
+    names = stage(modules_named(asked, files, resolve.import_tops(files)), "modules")
     out = _found(_found(rows, names, F.col("base"), "target"), names, F.col("whole"), "sibling")
     known = spark.createDataFrame([(n,) for n in sorted(sys.stdlib_module_names)], "package string")
     if declared is not None:
@@ -290,4 +281,4 @@ def of_folder(spark: SparkSession, root: str) -> Graph:
     return graph(files, stage(python_facts.extract(files), "facts"), declared)
 
 
-__all__ = ["Graph", "find_symbols", "graph", "import_facts", "import_tops", "module_of", "modules_named", "node_rows", "of_folder"]
+__all__ = ["Graph", "find_symbols", "graph", "import_facts", "modules_named", "node_rows", "of_folder"]

@@ -114,6 +114,13 @@ def module_deps(edges: DataFrame, src: Column, dst: Column) -> DataFrame:
     return edges.select(src.alias("src_module"), dst.alias("dst_module")).filter("src_module <> dst_module").distinct()
 
 
+def module_records(modules: DataFrame, deps: DataFrame) -> DataFrame:
+    """``module``, ``deps``: every module with what it depends on, sorted. Modules depend
+    on few others; a list is as long as a module's own imports."""
+    lists = deps.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), "|").alias("list"))
+    return modules.select("module").join(lists, F.col("module") == F.col("src"), "left").select("module", F.coalesce("list", F.lit("")).alias("deps"))
+
+
 def runtime_edges(facts: DataFrame, keep: Column, site: Column) -> DataFrame:
     """Weight of a pair: its distinct sites among the facts that count at run time."""
     return facts.filter(keep).groupBy("src", "dst").agg(F.count_distinct(site).alias("weight"))

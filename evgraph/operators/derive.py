@@ -95,14 +95,15 @@ def request_flow(edges: DataFrame, handlers: DataFrame, most: int = STAGE_BOXES)
     return View(kept, story)
 
 
-def through(edges: DataFrame, members: DataFrame, rounds: int = 20) -> DataFrame:
-    """Edges between members once everything else is walked through: ``src``,
-    ``dst``, ``via`` (how many others lie between, at least)."""
+def through(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges between members once everything else is walked through, however much lies
+    between: ``src``, ``dst``, ``via`` (how many others lie between, at least)."""
     inside = members.select(F.col("id").alias("m"))
     direct = edges.select("src", "dst").distinct()
     front = stage(direct.join(inside, F.col("src") == F.col("m"), "left_semi").withColumn("via", F.lit(0)), "through")
-    seen = front
-    for hop in range(1, rounds + 1):
+    seen, hop = front, 0
+    while True:
+        hop += 1
         open_ends = front.join(inside, F.col("dst") == F.col("m"), "left_anti").select(F.col("src").alias("from"), F.col("dst").alias("mid"))
         more = open_ends.join(direct, F.col("mid") == F.col("src")).select(F.col("from").alias("src"), "dst").distinct()
         known = seen.select(F.col("src").alias("k_src"), F.col("dst").alias("k_dst"))
@@ -113,13 +114,56 @@ def through(edges: DataFrame, members: DataFrame, rounds: int = 20) -> DataFrame
     return seen.join(inside, F.col("dst") == F.col("m"), "left_semi").filter("src <> dst")
 
 
-def tree(modules: DataFrame, module: str, levels: int = 6) -> DataFrame:
-    """Drill tree: how many modules lie under each directory of each level."""
+def tree(modules: DataFrame, module: str, levels: int | None = None) -> DataFrame:
+    """Drill tree: how many modules lie under each directory of each level, down to
+    ``levels`` or to the end."""
     parts = F.split(F.col(module), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(levels))), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) if levels is None else F.least(F.size(parts), F.lit(levels))), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))
     return modules.select(F.inline(prefixes)).groupBy("level", "dir").agg(F.count("*").alias("modules"))
 
 
+def labels(modules: DataFrame, module: str = "module") -> DataFrame:
+    """``module``, ``label``: the last segment of a path, or its last two where that is
+    shared. The count is a shuffle of segments, joined back, so no label is hot."""
+    last = modules.select(F.col(module).alias("module")).distinct().withColumn("last", F.substring_index("module", "/", -1))
+    shared = last.groupBy("last").agg(F.count("*").alias("same")).filter("same > 1").select(F.col("last").alias("s"))
+    joined = last.join(shared, F.col("last") == F.col("s"), "left")
+    return joined.select("module", F.when(F.col("s").isNotNull(), F.substring_index("module", "/", -2)).otherwise(F.col("last")).alias("label"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """``end``, ``degree``: how many edges a node is an end of."""
+    return edges.select(F.col("src").alias("end")).union(edges.select("dst")).groupBy("end").agg(F.count("*").alias("degree"))
+
+
+def cohesion(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp``, ``members``, ``internal``, ``cohesion``: pairs of a group (``id``, ``grp``) that
+    an edge connects, over all it could have; a group of one holds together."""
+    pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    p, q = groups.select("id", "grp").toDF("p_id", "p_grp"), groups.select("id", "grp").toDF("q_id", "q_grp")
+    inside = pairs.join(p, F.col("a") == F.col("p_id")).join(q, (F.col("b") == F.col("q_id")) & (F.col("q_grp") == F.col("p_grp")))
+    counts = inside.groupBy("p_grp").agg(F.count("*").alias("e"))
+    e, n = F.coalesce("e", F.lit(0)), F.col("members")
+    ratio = F.when(n < 2, F.lit(1.0)).otherwise(F.bround(e / (n * (n - 1) / 2), 4))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
+    return sizes.join(counts, F.col("grp") == F.col("p_grp"), "left").select("grp", "members", e.alias("internal"), ratio.alias("cohesion"))
+
+
+def anchors(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp``, ``anchor``: the member of most connections in each group, ties by id."""
+    joined = groups.join(degrees(edges), F.col("id") == F.col("end"), "left")
+    most = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.col("id"))
+    return joined.groupBy("grp").agg(F.min(most).alias("x")).select("grp", F.col("x.id").alias("anchor"))
+
+
+def cited(facts: DataFrame, key: str, place: str, most: int = 6) -> DataFrame:
+    """``key``, ``cited``: the first ``most`` distinct places of each key, a top-k: places
+    are ranked, never gathered whole."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(place))
+    first = facts.select(key, place).distinct().withColumn("nth", nth).filter(F.col("nth") <= most)
+    return first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(place)), "|").alias("cited"))
+
+
 def derive_all(views: dict[str, Callable[[], View]]) -> tuple[dict[str, View], dict[str, str]]:
     """All views, and why those that failed are absent."""
     made, absent = {}, {}

@@ -140,19 +140,34 @@ def module_checks(deps: DataFrame) -> DataFrame:
 
     on_cycle = strong_components(deps).groupBy(F.col("component").alias("module")).agg(F.count("*").alias("value")).filter("value > 1")
     cycles = on_cycle.select(F.lit("module-cycle").alias("check"), "module", "value")
-    pairs = deps.filter("src <> dst").select("src", "dst").distinct()
-    fan_in = pairs.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("i"))
-    fan_out = pairs.groupBy(F.col("src").alias("m")).agg(F.count("*").alias("o"))
-    hubs = fan_in.join(fan_out, F.col("module") == F.col("m")).filter("i > 9 and o > 9")
-    return cycles.unionByName(hubs.select(F.lit("hub-module").alias("check"), "module", F.least("i", "o").alias("value")))
+    hub = hubs(deps.filter("src <> dst")).select(F.lit("hub-module").alias("check"), F.col("id").alias("module"), F.least("fan_in", "fan_out").alias("value"))
+    return cycles.unionByName(hub)
+
+
+def hubs(deps: DataFrame, limit: int = 9) -> DataFrame:
+    """``id``, ``fan_in``, ``fan_out`` of nodes with more than ``limit`` of either."""
+    pairs = deps.select("src", "dst").distinct()
+    fan_in = pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
+    fan_out = pairs.groupBy(F.col("src").alias("m")).agg(F.count("*").alias("fan_out"))
+    return fan_in.join(fan_out, F.col("id") == F.col("m")).filter((F.col("fan_in") > limit) & (F.col("fan_out") > limit)).drop("m")
+
+
+def shared(uses: DataFrame, resource: str, owner: str, limit: int) -> DataFrame:
+    """``resource``, ``owners`` of what more than ``limit`` owners use."""
+    return uses.groupBy(resource).agg(F.count_distinct(owner).alias("owners")).filter(F.col("owners") > limit)
+
+
+def heavy(members: DataFrame, owner: list[str], weight: Column, limit: int = 47) -> DataFrame:
+    """Owners whose members' weights add up to more than ``limit``, with the ``value``."""
+    return members.groupBy(*owner).agg(F.sum(weight).alias("value")).filter(F.col("value") > limit)
 
 
 def class_checks(functions: DataFrame, limit: int = 47) -> DataFrame:
     """Classes whose methods' complexities add up to more than ``limit``. ``functions``:
     path, qualified_name, complexity."""
     owner = F.substring_index("qualified_name", ".", 1)
-    summed = functions.filter(F.col("qualified_name").contains(".")).groupBy("path", owner.alias("class")).agg(F.sum("complexity").alias("value"))
-    return summed.filter(F.col("value") > limit).select(F.lit("large-class").alias("check"), "path", "class", "value")
+    methods = functions.filter(F.col("qualified_name").contains(".")).select("path", owner.alias("class"), "complexity")
+    return heavy(methods, ["path", "class"], F.col("complexity"), limit).select(F.lit("large-class").alias("check"), "path", "class", "value")
 
 
 def function_metrics(functions: DataFrame, checks: DataFrame) -> DataFrame:

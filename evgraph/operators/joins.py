@@ -31,12 +31,41 @@ def longest_prefix(rows: DataFrame, key: list[str], path: Column, known: DataFra
 
 
 def innermost(points: DataFrame, key: list[str], at: str, spans: DataFrame, low: str, high: str, name: str) -> DataFrame:
-    """The narrowest span around each point, ties by name; rows without one keep a
-    null. ``spans`` is a dimension: it is broadcast while it is small (Spark checks
-    its size), else use ``bucketed``."""
-    inside = (F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))
-    best = F.min(F.when(F.col(name).isNotNull(), F.struct((F.col(high) - F.col(low)).alias("width"), F.col(name).alias("name")))).alias("best")
-    return points.join(spans, inside, "left").groupBy(*key).agg(best).select(*key, F.col("best.name").alias(name))
+    """The narrowest span around each point, ties by name; rows without one keep a null.
+
+    Spans fall into cells of the power of two that is no less than their length, two
+    at most, and points into one cell of each size that occurs: an equi join whose
+    rows are the points times the sizes of spans, never all pairs. Low and high are
+    whole numbers.
+    """
+    inside = _inside(points, key, at, spans, low, high, name)
+    best = inside.groupBy(*key).agg(F.min(F.struct("width", F.col("bound").alias("name"))).alias("best"))
+    left = best.select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("best.name").alias(name))
+    on = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in key]
+    return points.select(*key).distinct().join(left, on, "left").select(*key, name)
+
+
+def narrowest(points: DataFrame, key: list[str], at: str, spans: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """What the narrowest span around each point binds, "" where spans of that width
+    disagree; points outside all spans are left out."""
+    inside = _inside(points, key, at, spans, low, high, name)
+    by = inside.groupBy(*key, "width").agg(F.count_distinct("bound").alias("n"), F.min("bound").alias("bound"))
+    best = by.groupBy(*key).agg(F.min(F.struct("width", "n", "bound")).alias("b"))
+    return best.select(*key, F.when(F.col("b.n") == 1, F.col("b.bound")).otherwise("").alias(name))
+
+
+def _inside(points: DataFrame, key: list[str], at: str, spans: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """``key``, ``width``, ``bound`` of all spans around each point, by cells."""
+    width = F.col(high) - F.col(low)
+    level = F.ceil(F.log2(F.greatest(width, F.lit(0)) + 1)).cast("int")
+    sized = spans.filter(F.col(low) <= F.col(high)).select(F.col(low).alias("s_low"), F.col(high).alias("s_high"), F.col(name).alias("bound"), width.alias("width"), level.alias("level"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    placed = sized.select("*", F.explode(F.sequence(F.floor(F.col("s_low") / size), F.floor(F.col("s_high") / size))).alias("cell"))
+    levels = sized.agg(F.collect_set("level").alias("levels"))  # sixty-four at most
+    each = points.select(*key, F.col(at).alias("p_at")).crossJoin(F.broadcast(levels)).select(*key, "p_at", F.explode("levels").alias("p_level"))
+    each = each.withColumn("p_cell", F.floor(F.col("p_at") / F.pow(F.lit(2.0), F.col("p_level"))))
+    met = each.join(placed, (F.col("p_level") == F.col("level")) & (F.col("p_cell") == F.col("cell")) & (F.col("p_at") >= F.col("s_low")) & (F.col("p_at") <= F.col("s_high")))
+    return met.select(*key, "width", "bound")
 
 
 def overlaps(a: DataFrame, b: DataFrame, on: list[str], low: str, high: str, width: float) -> DataFrame:

@@ -24,6 +24,14 @@ def source_roots(files: DataFrame) -> DataFrame:
     return tops.select(module_of(F.col("dir")).alias("root")).union(files.sparkSession.createDataFrame([("",)], "root string")).distinct()
 
 
+def import_tops(files: DataFrame) -> DataFrame:
+    """``root``, ``first``: under which directories a first name of an import is found."""
+    parts = F.split("path", "/")
+    places = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("dir"), F.regexp_replace(F.get(parts, i), r"\.py$", "").alias("first")))
+    under = files.select(F.explode(places).alias("p")).select("p.dir", "p.first").distinct()
+    return under.join(source_roots(files), F.col("dir") == F.col("root")).select("root", "first")
+
+
 def import_targets(imports: DataFrame, files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """``path``, ``start_line``, ``specifier``, ``imported``, ``target``, ``state`` of each
     imported name (empty where a module itself is imported).
@@ -34,15 +42,14 @@ def import_targets(imports: DataFrame, files: DataFrame, declared: DataFrame | N
     files in an equi join, and the least place wins.
     """
     key = ["path", "start_line", "specifier", "imported"]
-    roots = source_roots(files)
     each = F.explode(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("")))).alias("imported")
     asked = imports.select("path", "start_line", "specifier", "level", each)
     spec = F.concat_ws(".", F.when(F.col("specifier") != "", F.col("specifier")), F.when(F.col("imported") != "", F.col("imported")))
     up = F.expr("array_join(slice(split(path, '/'), 1, greatest(size(split(path, '/')) - level, 0)), '/')")
     relative = asked.filter("level > 0").select(*key, spec.alias("spec"), up.alias("root"))
-    # Roots are directories of one repository: a few rows, broadcast if Spark finds
-    # them small.
-    absolute = asked.filter("level = 0").select(*key, spec.alias("spec")).crossJoin(roots)
+    # A root is tried only where a file or directory under it has the first name.
+    first = F.substring_index(F.col("spec"), ".", 1)
+    absolute = asked.filter("level = 0").select(*key, spec.alias("spec")).join(import_tops(files), first == F.col("first")).select(*key, "spec", "root")
     spread = relative.unionByName(absolute)
     parts = F.split(F.regexp_replace("spec", r"\.", "/"), "/")
     stems = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
@@ -56,7 +63,7 @@ def import_targets(imports: DataFrame, files: DataFrame, declared: DataFrame | N
     out = asked.join(best, on, "left").select(*key, "level", "target")
     root = F.substring_index("specifier", ".", 1)
     if declared is not None:
-        out = out.join(F.broadcast(declared.select(F.col("name").alias("dep"))), root == F.col("dep"), "left")
+        out = out.join(declared.select(F.col("name").alias("dep")).distinct(), root == F.col("dep"), "left")
     else:
         out = out.withColumn("dep", F.lit(None).cast("string"))
     state = F.when(F.col("target").isNotNull(), "resolved").when((F.col("level") == 0) & F.col("dep").isNotNull(), "external").otherwise("unresolved")
@@ -74,11 +81,11 @@ def follow_reexports(names: DataFrame, exports: DataFrame, depth: int = 4) -> Da
     return now
 
 
-def ancestors(symbols: DataFrame, depth: int = 10) -> DataFrame:
+def ancestors(symbols: DataFrame) -> DataFrame:
     """``path``, ``class``, ``a_path``, ``ancestor``, ``order`` of all classes above a
     class, nearest first in the order bases are written. A base is the class of its
-    last name in the same file, else the one class of that name anywhere; cycles and
-    chains over ``depth`` end. One join per level."""
+    last name in the same file, else the one class of that name anywhere; a class
+    met again ends its chain. One join per level, until nothing is new."""
     classes = symbols.filter("kind = 'class'").select("path", F.col("name").alias("class"), "bases")
     bases = classes.select("path", "class", F.posexplode("bases").alias("nth", "base")).withColumn("base", F.substring_index("base", ".", -1))
     alone = classes.groupBy(F.col("class").alias("u_class")).agg(F.count("*").alias("n"), F.min("path").alias("u_path")).filter("n = 1")
@@ -87,10 +94,12 @@ def ancestors(symbols: DataFrame, depth: int = 10) -> DataFrame:
     up = stage(found.select("path", "class", "nth", F.coalesce("h_path", "u_path").alias("b_path"), "base").filter("b_path is not null"), "bases")
     now = up.select("path", "class", F.col("b_path").alias("a_path"), F.col("base").alias("ancestor"), F.array("nth").alias("order"))
     every = now
-    for _ in range(depth - 1):
+    while True:
         step = up.select(F.col("path").alias("s_path"), F.col("class").alias("s_class"), "nth", "b_path", "base")
         now = now.join(step, (F.col("a_path") == F.col("s_path")) & (F.col("ancestor") == F.col("s_class"))).select("path", "class", F.col("b_path").alias("a_path"), F.col("base").alias("ancestor"), F.concat("order", F.array("nth")).alias("order"))
-        now = stage(now.filter("not (path = a_path and class = ancestor)"), "ancestors")
+        met = every.select(F.col("path").alias("e_path"), F.col("class").alias("e_class"), F.col("a_path").alias("e_a"), F.col("ancestor").alias("e_an"))
+        again = (F.col("path") == F.col("e_path")) & (F.col("class") == F.col("e_class")) & (F.col("a_path") == F.col("e_a")) & (F.col("ancestor") == F.col("e_an"))
+        now = stage(now.filter("not (path = a_path and class = ancestor)").join(met, again, "left_anti"), "ancestors")
         if now.isEmpty():
             break
         every = every.unionByName(now)
@@ -113,7 +122,10 @@ def call_targets(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
     same = bare.join(tops, (F.col("path") == F.col("s_path")) & (F.col("name") == F.col("s_name"))).select(*key, F.lit(0).alias("tier"), "id")
     brought = imports.filter("target is not null").select(F.col("path").alias("i_path"), "target").distinct()
     via = bare.join(brought, F.col("path") == F.col("i_path")).join(tops, (F.col("target") == F.col("s_path")) & (F.col("name") == F.col("s_name"))).select(*key, F.lit(1).alias("tier"), "id")
-    anywhere = bare.join(tops, F.col("name") == F.col("s_name")).select(*key, F.lit(2).alias("tier"), "id")
+    # A name that too many files define is no answer: counted before any join.
+    few = tops.groupBy(F.col("s_name").alias("f_name")).agg(F.count("*").alias("f")).filter(F.col("f") <= MOST_CANDIDATES).select("f_name")
+    sparse = tops.join(few, F.col("s_name") == F.col("f_name"), "left_semi")
+    anywhere = bare.join(sparse, F.col("name") == F.col("s_name")).select(*key, F.lit(2).alias("tier"), "id")
     own = asked.filter("shape in ('self', 'super')")
     methods = ids.filter("kind = 'method'")
     mine = own.filter("shape = 'self'").join(methods, (F.col("path") == F.col("s_path")) & (F.col("name") == F.col("s_name")) & (F.col("enclosing_class") == F.col("s_class"))).select(*key, F.lit(0).alias("tier"), "id")

@@ -105,11 +105,13 @@ def routes(files: DataFrame) -> DataFrame:
     gated = files.filter((F.col("lang") == "python") & F.col("text").rlike(r"(?m)^\s*(from|import)\s+(fastapi|flask|starlette)\b"))
     lines = gated.select("path", F.split("text", "\n").alias("all")).select("path", "all", F.posexplode("all").alias("n", "line"))
     hit = lines.filter(F.col("line").rlike(ROUTE))
-    rest = F.array_join(F.slice("all", F.col("n") + 2, F.lit(12)), "\n")
+    # The function is the first one after the decorator, however long that is.
+    after = F.filter(F.slice("all", F.col("n") + 2, F.size("all")), lambda x: x.rlike(r"^\s*(?:async\s+)?def\s+\w+"))
+    rest = F.coalesce(F.get(after, F.lit(0)), F.lit(""))
     method = F.upper(F.regexp_extract("line", ROUTE, 2))
     named = F.regexp_extract("line", r"methods\s*=\s*\[([^\]]*)\]", 1)
     methods = F.when(method.isin("ROUTE", "API_ROUTE"), F.when(named != "", F.regexp_extract_all(F.upper(named), F.lit(r"([A-Z]+)"), 1)).otherwise(F.array(F.lit("GET")))).otherwise(F.array(method))
-    return hit.select("path", (F.col("n") + 1).alias("line"), F.explode(methods).alias("method"), F.regexp_extract("line", ROUTE, 3).alias("route"), F.regexp_extract(rest, r"(?m)^\s*(?:async\s+)?def\s+(\w+)", 1).alias("handler"))
+    return hit.select("path", (F.col("n") + 1).alias("line"), F.explode(methods).alias("method"), F.regexp_extract("line", ROUTE, 3).alias("route"), F.regexp_extract(rest, r"^\s*(?:async\s+)?def\s+(\w+)", 1).alias("handler"))
 
 
 #: Write methods, and paths that need no login.

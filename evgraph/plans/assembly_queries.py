@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evgraph.extract import python_facts
-from evgraph.operators import assemble, design, lock, styles
+from evgraph.operators import assemble, design, lock, resolve, styles
 from evgraph.plans.registry import query
 from evgraph.sources import star
 from evgraph.storage import stage
@@ -52,7 +52,7 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = customers.join(other, F.col("c_custkey") % 25 == F.col("o_key")).select(own, F.col("o_name").alias("spec"), F.lit(1).alias("level"))
     whole = customers.select(own, F.lit("").alias("spec"), F.lit(1).alias("level"))
     asked = far.unionByName(near).unionByName(whole).distinct()
-    return assemble.modules_named(asked, files, assemble.import_tops(files))
+    return assemble.modules_named(asked, files, resolve.import_tops(files))
 
 
 def _facts(rows: DataFrame, fact: str, **given: Column) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.operators import ask, build, traverse
+from evgraph.operators import ask, build, derive, health, traverse
 from evgraph.plans.registry import query
 from evgraph.schema import evidence_order
 from evgraph.sources import star
-from evgraph.sources.star import HANDOVERS_SQL, EDGES_SQL, FACTS_SQL, NODES_SQL, PATHS_SQL, TRADE_SQL
+from evgraph.sources.star import EDGES_SQL, FACTS_SQL, HANDOVERS_SQL, NODES_SQL, PATHS_SQL, TRADE_SQL
 
 
 def _supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +149,8 @@ from (select 'nation:' || n_nationkey as id from nation) a left join t on t.src
 def module_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules with their sorted dependencies, none of which is left out for having
     no dependency. A source has three of them at most, so the lists are bounded."""
-    t = star.trade(spark, sf_dir)
     every = star.table(spark, sf_dir, "nation").select(star.node_id("nation", "n_nationkey").alias("module"))
-    deps = t.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), "|").alias("deps"))
-    return every.join(deps, F.col("module") == F.col("src"), "left").select("module", F.coalesce("deps", F.lit("")).alias("deps"))
+    return build.module_records(every, star.trade(spark, sf_dir))
 
 
 @query(f"""
@@ -200,6 +198,11 @@ with {NODES_SQL}, asked as (select unnest({list(_NAMES)}) as name), hits as (
 kept as (select * from best b where r = 0 or not exists (select 1 from hits h where h.name = b.name and h.r = 0))"""
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by their region."""
+    return star.table(spark, sf_dir, "nation").select(star.node_id("nation", "n_nationkey").alias("id"), F.col("n_regionkey").alias("grp"))
+
+
 def _names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n in _NAMES], "name string")
 
@@ -383,10 +386,7 @@ select id, i::bigint as fan_in, o::bigint as fan_out from (select dst as id, cou
 join (select src as id, count(*) as o from e group by 1) using (id) where i > 9 and o > 9
 """)
 def hub_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = star.trade(spark, sf_dir, top=None)
-    fan_in = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
-    fan_out = edges.groupBy(F.col("src").alias("other")).agg(F.count("*").alias("fan_out"))
-    return fan_in.join(fan_out, F.col("id") == F.col("other")).filter("fan_in > 9 and fan_out > 9").select("id", "fan_in", "fan_out")
+    return health.hubs(star.trade(spark, sf_dir, top=None))
 
 
 @query(f"""
@@ -411,15 +411,7 @@ from n left join (select grp, e from (select p.grp as grp, count(*) as e from (s
 """)
 def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal edges of a group over all that it could have."""
-    groups = star.table(spark, sf_dir, "nation").select(star.node_id("nation", "n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
-    pairs = star.trade(spark, sf_dir).filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    p, q = (groups.select(F.col("id").alias(f"{k}_id"), F.col("region").alias(f"{k}_region")) for k in "pq")
-    inside = pairs.join(p, F.col("a") == F.col("p_id")).join(q, (F.col("b") == F.col("q_id")) & (F.col("q_region") == F.col("p_region")))
-    counts = inside.groupBy("p_region").agg(F.count("*").alias("e"))
-    sizes = groups.groupBy("region").agg(F.count("*").alias("members"))
-    e, n = F.coalesce("e", F.lit(0)), F.col("members")
-    ratio = F.when(n < 2, F.lit(1.0)).otherwise(F.bround(e / (n * (n - 1) / 2), 4))
-    return sizes.join(counts, F.col("region") == F.col("p_region"), "left").select("region", "members", e.alias("internal"), ratio.alias("cohesion"))
+    return derive.cohesion(star.trade(spark, sf_dir), _grouped(spark, sf_dir)).withColumnRenamed("grp", "region")
 
 
 @query(f"""
@@ -429,11 +421,7 @@ from nation left join d on id = 'nation:' || n_nationkey group by 1
 """)
 def anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The member of most connections in each group, ties by id."""
-    t = star.trade(spark, sf_dir)
-    degree = t.select(F.col("src").alias("end")).union(t.select("dst")).groupBy("end").agg(F.count("*").alias("degree"))
-    groups = star.table(spark, sf_dir, "nation").select(star.node_id("nation", "n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
-    joined = groups.join(degree, F.col("id") == F.col("end"), "left")
-    return joined.groupBy("region").agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.col("id"))).alias("x")).select("region", F.col("x.id").alias("anchor"))
+    return derive.anchors(star.trade(spark, sf_dir), _grouped(spark, sf_dir)).withColumnRenamed("grp", "region")
 
 
 @query(f"""

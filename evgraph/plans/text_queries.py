@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import text as fn
-from evgraph.operators import ask, design, findings, health, joins, traverse
+from evgraph.operators import ask, derive, design, findings, health, joins, traverse
 from evgraph.plans.registry import query
 from evgraph.sources import star
 from evgraph.sources.star import FACTS_SQL, LINES_SQL, PATHS_SQL, TRADE_SQL
@@ -107,8 +107,8 @@ select l_suppkey, l_partkey, sum(l_quantity::bigint)::bigint as wmc from lineite
 """)
 def class_wmc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight of an owner's members, summed, over the limit."""
-    summed = star.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("wmc"))
-    return summed.filter("wmc > 47")
+    items = star.table(spark, sf_dir, "lineitem")
+    return health.heavy(items, ["l_suppkey", "l_partkey"], F.col("l_quantity").cast("long")).withColumnRenamed("value", "wmc")
 
 
 _WINDOWS = rf"""
@@ -149,7 +149,7 @@ def shared_datastore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources that more owners share than they should."""
     items, suppliers = (star.table(spark, sf_dir, t) for t in ("lineitem", "supplier"))
     used = items.select("l_partkey", "l_suppkey").join(suppliers.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return used.groupBy("l_partkey").agg(F.count_distinct("s_nationkey").alias("owners")).filter("owners > 17")
+    return health.shared(used, "l_partkey", "s_nationkey", 17)
 
 
 @query("""
@@ -166,9 +166,7 @@ def auth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"with {LINES_SQL} select doc_id, n::int as n, regexp_extract(line, '(?i)^[ \t]*(licensed?|copyright)\b[ :]*(.*)$', 1) as kind, left(regexp_extract(line, '(?i)^[ \t]*(licensed?|copyright)\b[ :]*(.*)$', 2), 200) as said from l where regexp_matches(line, '(?i)^[ \t]*(licensed?|copyright)\b')")
 def rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a marker opens; the markers are a parameter of the pattern."""
-    mark = r"(?i)^[ \t]*(licensed?|copyright)\b[ :]*(.*)$"
-    found = star.lines(spark, sf_dir).filter(F.col("line").rlike(r"(?i)^[ \t]*(licensed?|copyright)\b"))
-    return found.select("doc_id", "n", F.regexp_extract("line", mark, 1).alias("kind"), F.left(F.regexp_extract("line", mark, 2), F.lit(200)).alias("said"))
+    return fn.marked(star.lines(spark, sf_dir), ["doc_id", "n"], "line", "licensed?|copyright")
 
 
 _BANDS = [("all", 0, 10_000_000), ("low", 0, 50_000), ("mid", 50_001, 250_000), ("core", 100_000, 200_000), ("peak", 149_000, 151_000)]
@@ -180,7 +178,7 @@ with b(band, lo, hi) as (values {_BANDS_SQL})
 select o_orderkey, arg_min(band, (hi - lo, band)) as band from orders left join b on o_totalprice between lo and hi group by 1
 """)
 def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = F.broadcast(spark.createDataFrame(_BANDS, "band string, lo long, hi long"))
+    bands = spark.createDataFrame(_BANDS, "band string, lo long, hi long")
     return joins.innermost(star.table(spark, sf_dir, "orders"), ["o_orderkey"], "o_totalprice", bands, "lo", "hi", "band")
 
 
@@ -310,13 +308,14 @@ select region, id, degree::bigint as degree, nth::int as nth, (total - 3)::bigin
 """)
 def top_k_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most connected members of each stage, and how many more there are."""
-    t = star.trade(spark, sf_dir)
-    degree = t.select(F.col("src").alias("end")).union(t.select("dst")).groupBy("end").agg(F.count("*").alias("n"))
     members = star.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), star.node_id("nation", "n_nationkey").alias("id"))
-    known = members.join(degree, F.col("id") == F.col("end"), "left").select("region", "id", F.coalesce("n", F.lit(0)).alias("degree"))
-    w = Window.partitionBy("region")
-    ranked = known.select("*", F.row_number().over(w.orderBy(F.desc("degree"), "id")).alias("nth"), (F.count("*").over(w) - 3).alias("more"))
-    return ranked.filter("nth <= 3")
+    known = members.join(derive.degrees(star.trade(spark, sf_dir)), F.col("id") == F.col("end"), "left").select("region", "id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    first, rest = derive.capped(known, ["region"], "degree", 3)
+    nth = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("degree"), "id")).alias("nth")
+    more = rest.toDF("r", "more")
+    fewer = known.groupBy("region").agg((F.count("*") - 3).alias("left")).toDF("l", "left")
+    joined = first.select("region", "id", "degree", nth).join(more, F.col("region") == F.col("r"), "left").join(fewer, F.col("region") == F.col("l"))
+    return joined.select("region", "id", "degree", "nth", F.coalesce("more", "left").alias("more"))
 
 
 _SPANS = "s as (select l_orderkey, l_linenumber, l_partkey as lane, date_diff('day', date '1990-01-01', l_shipdate::date) as lo, date_diff('day', date '1990-01-01', l_shipdate::date) + l_quantity::int % 5 as hi from lineitem)"
@@ -539,11 +538,8 @@ with {FACTS_SQL} select regexp_extract(src, ':(.*)$', 1) as seller, count(distin
   array_to_string((list_sort(list_distinct(list('lineitem/' || l_orderkey))))[1:6], '|') as cited from facts group by 1
 """)
 def capped_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of an edge with the first six places it is cited at. The six are a
-    top-k: distinct places are ranked, never gathered whole."""
+    """Counts of an edge with the first six places it is cited at."""
     facts = star.trade_facts(spark, sf_dir).select(F.regexp_extract("src", ":(.*)$", 1).alias("seller"), "dst", "l_orderkey", "l_linenumber")
     counts = facts.groupBy("seller").agg(F.count_distinct("dst").alias("partners"), F.count_distinct("l_orderkey", "l_linenumber").alias("sites"))
-    places = facts.select("seller", F.concat(F.lit("lineitem/"), F.col("l_orderkey").cast("string")).alias("place")).distinct()
-    nth = F.row_number().over(Window.partitionBy("seller").orderBy("place"))
-    first = places.withColumn("nth", nth).filter("nth <= 6").groupBy("seller").agg(F.array_join(F.array_sort(F.collect_list("place")), "|").alias("cited"))
-    return counts.join(first, "seller")
+    places = facts.select("seller", F.concat(F.lit("lineitem/"), F.col("l_orderkey").cast("string")).alias("place"))
+    return counts.join(derive.cited(places, "seller", "place"), "seller")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.operators import build, communities, derive, layout
+from evgraph.operators import build, communities, derive, joins, layout
 from evgraph.plans.registry import query
 from evgraph.sources import star
 from evgraph.sources.star import PATHS_SQL, TRADE_SQL
@@ -67,7 +67,7 @@ with {PATHS_SQL}, s as (select string_split(path, '/') as w from p), x as (selec
 select level::int as level, array_to_string(w[1:level], '/') as dir, count(*)::bigint as modules from x group by 1, 2
 """)
 def drill_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.tree(star.paths(spark, sf_dir), "path")
+    return derive.tree(star.paths(spark, sf_dir), "path", levels=6)
 
 
 @query(f"""
@@ -76,13 +76,8 @@ l as (select module, string_split(module, '/') as w, count(*) over (partition by
 select module, case when same > 1 then array_to_string(w[greatest(len(w) - 1, 1):len(w)], '/') else w[-1] end as label from l
 """)
 def view_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last segment of a module's path, or its last two where that is shared.
-    The count is a shuffle of segments, joined back, so no label is hot."""
-    modules = star.paths(spark, sf_dir).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("module")).distinct()
-    last = modules.withColumn("last", F.substring_index("module", "/", -1))
-    shared = last.groupBy("last").agg(F.count("*").alias("same")).filter("same > 1").select(F.col("last").alias("s"))
-    joined = last.join(shared, F.col("last") == F.col("s"), "left")
-    return joined.select("module", F.when(F.col("s").isNotNull(), F.substring_index("module", "/", -2)).otherwise(F.col("last")).alias("label"))
+    """The last segment of a module's path, or its last two where that is shared."""
+    return derive.labels(star.paths(spark, sf_dir).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("module")))
 
 
 def communities_T(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +161,4 @@ def local_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     width disagree."""
     binds = spark.createDataFrame([("Gold", 1, 4), ("Silver", 3, 6), ("Bronze", 2, 5), ("Iron", 1, 9)], "kind string, lo long, hi long")
     places = star.table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
-    inside = places.join(F.broadcast(binds), (F.col("turn") >= F.col("lo")) & (F.col("turn") <= F.col("hi")))
-    width = (F.col("hi") - F.col("lo")).alias("width")
-    by = inside.groupBy("conv_id", "turn", width).agg(F.count_distinct("kind").alias("n"), F.min("kind").alias("kind"))
-    best = by.groupBy("conv_id", "turn").agg(F.min(F.struct("width", "n", "kind")).alias("b"))
-    return best.select("conv_id", "turn", F.when(F.col("b.n") == 1, F.col("b.kind")).otherwise("").alias("kind"))
+    return joins.narrowest(places, ["conv_id", "turn"], "turn", binds, "lo", "hi", "kind")

@@ -2,7 +2,7 @@
 
 import pytest
 from evgraph.extract import python_facts
-from evgraph.operators import assemble
+from evgraph.operators import assemble, resolve
 from pyspark.sql import functions as F
 
 SHOP = {
@@ -88,7 +88,7 @@ def test_an_empty_folder_is_an_empty_graph(spark):
 def test_modules_named(spark, spec, level, path, want):
     files, _ = tables(spark, SHOP)
     asked = spark.createDataFrame([(path, spec, level)], "path string, spec string, level int")
-    got = [r.target for r in assemble.modules_named(asked, files, assemble.import_tops(files)).collect()]
+    got = [r.target for r in assemble.modules_named(asked, files, resolve.import_tops(files)).collect()]
     assert got == ([want] if want else [])
 
 
