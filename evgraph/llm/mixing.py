@@ -286,7 +286,11 @@ def mix(
 
 def shuffled(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: ``columns`` of every copy with ``epoch`` and ``shard``, dealt
-    by shard and random order and sorted by them, so each shard is shuffled."""
+    by shard and random order and sorted by them, so each shard is shuffled.
+
+    Rows that are not taken give none, whatever they hold; nulls and texts of any
+    length pass through; copies of equal rows differ by their order. A column named
+    like an added one is given twice, as asked. An empty table gives none."""
     rows = mixed.select(*[quoted(c) for c in columns], F.explode("copies").alias("__evgraph_copy"))
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ("__evgraph_copy.shard", "__evgraph_copy.order")

@@ -428,6 +428,8 @@ def pack(
 
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves: ``sequence_id`` and its ids in order. A
-    sequence holds at most as many pieces as tokens, so its group is bounded."""
+    sequence holds at most as many pieces as tokens, so its group is bounded. Empty and
+    null texts are there by their end alone; an empty table gives none; pieces must
+    have been packed ``with_ids``, other columns are left out."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p.ids)).alias("ids"))

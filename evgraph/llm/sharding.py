@@ -138,5 +138,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 20) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order."""
+    """One folder per shard, rows in slot order; a shard without rows has no folder, and
+    an empty table none at all. Nulls, long texts and repeated rows are written as they
+    are; ``shard`` becomes the folder's name."""
     sharded.write.partitionBy("shard").parquet(path)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -271,6 +272,33 @@ def test_odd_vectors(spark):
     assert [r.n_links for r in embeddings.near_duplicates(floats).collect()] == [1, 1]
 
 
+@pytest.mark.parametrize("dims", [64, 16])
+def test_recall_at_exactly_the_limit(spark, dims):
+    """Pairs at a cosine of 0.95 (and a hair more, for rounding): the hardest that count."""
+    rng = np.random.default_rng(dims)
+    n = 500
+    a = rng.normal(size=(n, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=(n, dims))
+    side -= (side * a).sum(axis=1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = 0.95 + 1e-12
+    b = (cosine * a + np.sqrt(1 - cosine**2) * side) * rng.uniform(0.1, 9, size=(n, 1))
+    vectors = np.concatenate([a, b])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    close = exact(vectors, 0.95)
+    out = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    assert all(out[i].n_links <= close[i].sum() for i in range(2 * n))
+    found = sum(out[i].component_id == out[i + n].component_id for i in range(n))
+    assert found >= 0.97 * n
+
+
+def test_many_vector_lengths(spark):
+    rows = [(i * 10 + k, [1.0 + (k == 2)] + [1.0] * i) for i in range(1, 1100, 7) for k in range(2)]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(out) == len(rows) and all(r.n_links == 1 and r.component_id == r.vec_id // 10 * 10 for r in out)
+
+
 @pytest.mark.parametrize("chunk", [500_000, 40])
 def test_components(spark, chunk):
     rng = random.Random(6)
@@ -295,6 +323,88 @@ def test_components(spark, chunk):
 # pipeline
 
 
+def test_pipeline_against_brute_force(spark):
+    """Every stage on what the one before it kept of a whole table."""
+    import corpus_pipeline as cp
+    import duckdb
+    from evgraph.llm import mixing, oracles, toxicity
+    from evgraph.llm.common import stage
+
+    at = "/root/testdata/sf0.01"
+    docs = cp.read(spark, at, "documents")
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    fine = {r[0] for r in base.execute(f"select doc_id from ({oracles.QUALITY}) where kept").fetchall()}
+    kept = stage(cp.quality_rules(spark, docs, at), "kept")
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == fine and kept.columns == docs.columns
+
+    model = toxicity.train(kept, cp.read(spark, at, "labels"))
+    clean = stage(cp.toxic_text(spark, kept, at), "clean")
+    rows = {r.doc_id: r for r in clean.collect()}
+    assert set(rows) == {r.doc_id for r in kept.collect() if model.expected(r.text) < 0.5}
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = {i: shingles(r.text) for i, r in rows.items()}
+    holds = collections.defaultdict(list)
+    for i, x in sets.items():
+        for g in x:
+            holds[g].append(i)
+    both = collections.Counter()
+    for ids in holds.values():
+        for k, i in enumerate(ids):
+            for j in ids[:k]:
+                both[min(i, j), max(i, j)] += 1
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, j), n in both.items():
+        if 10 * n >= 8 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = top(i), top(j)
+            parent[max(a, b)] = min(a, b)
+    want = {i for i in sets if top(i) == i}
+    single = stage(cp.near_duplicates(spark, clean, at), "single")
+    got = {r.doc_id for r in single.select("doc_id").collect()}
+    assert want <= got and len(got) <= 1.01 * len(want) and len(want) < len(sets)
+
+    mixed = cp.source_mix(spark, single, at).select("doc_id", "source", "text").collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+    left = [rows[i] for i in sorted(got)]
+    names = sorted({r.source for r in left if r.source is not None}) + ([None] if any(r.source is None for r in left) else [])
+    sizes = np.array([sum(words(r.text) for r in left if r.source == s) for s in names])
+    goal = mixing.targets(sizes, np.array([1 + i % 3 for i in range(len(names))], dtype=float))
+    for s, g in zip(names, goal, strict=True):
+        longest = max(words(r.text) for r in left if r.source == s)
+        assert abs(sum(words(r.text) for r in mixed if r.source == s) - g) <= longest / 2 + 1
+    times = collections.Counter(r.doc_id for r in mixed)
+    assert set(times) <= got and max(times.values()) <= 3
+
+    packed = cp.best_fit_packing(spark, spark.createDataFrame([(r.doc_id, r.text) for r in mixed], "doc_id long, text string"), at).toPandas()
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert collections.Counter(packed[packed.piece == 0].doc_id) == times
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    text = " ".join(f"the w{i} of x{i} and y{i}" for i in range(40))
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, text, None, None, None), (2, text, None, None, None), (None, text + " more", "en", "s", 9), (3, "long " * 50_000, "en", "t", 1), (4, text.upper(), "en", "s", 2)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, Severity string, FINGERPRINT string")
+    kept = cp.quality_rules(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and kept.count() == 4
+    for f in (cp.toxic_text, cp.near_duplicates, cp.source_mix):
+        assert f(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+    one = cp.near_duplicates(spark, kept, "/root/testdata/sf0.001").collect()
+    assert [r.doc_id for r in one] == [2]
+    assert cp.best_fit_packing(spark, docs, "/root/testdata/sf0.001").filter("piece = 0").count() == len(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
