@@ -1,4 +1,5 @@
-"""Ask a stored graph: python -m evgraph FOLDER FUNCTION [ARGUMENT...]."""
+"""Build a graph, and ask it: python -m evgraph FOLDER build SOURCES, then
+python -m evgraph FOLDER FUNCTION [ARGUMENT...]."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evgraph.operators import ask, traverse
 from evgraph.sources import graph_json
@@ -38,6 +40,19 @@ def answer(spark: SparkSession, nodes: DataFrame, edges: DataFrame, function: st
     return calls[function]()
 
 
+def build(spark: SparkSession, folder: str, sources: str) -> int:
+    """Saves the graph of a folder of Python files as tables, and prints how many of its
+    references were pinned."""
+    from evgraph.operators import assemble
+
+    made = assemble.of_folder(spark, sources)
+    edges = made.edges.withColumnRenamed("start_line", "line").withColumn("context", F.lit(None).cast("string"))
+    graph_json.save(made.nodes, edges, folder)
+    for line in made.scorecard().orderBy("kind").toJSON().toLocalIterator():
+        print(line)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="evgraph", description=__doc__)
     parser.add_argument("folder", help="where nodes and edges were saved, or a graph document")
@@ -45,6 +60,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("argument", nargs="*")
     given = parser.parse_args(argv)
     spark = SparkSession.builder.appName("evgraph").getOrCreate()
+    if given.function == "build":
+        return build(spark, given.folder, given.argument[0])
     nodes, edges = graph_json.read(spark, given.folder) if given.folder.endswith(".json") else graph_json.load(spark, given.folder)
     rows = 0
     for line in answer(spark, nodes, edges, given.function, given.argument).toJSON().toLocalIterator():

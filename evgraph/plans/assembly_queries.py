@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evgraph.extract import python_facts
-from evgraph.operators import assemble, design, lock, resolve, styles
+from evgraph.operators import assemble, components, deploy, design, lock, resolve, styles
 from evgraph.plans.registry import query
+from evgraph.schema import module_of
 from evgraph.sources import star
+from evgraph.sources.star import FACTS_SQL, PATHS_SQL
 from evgraph.storage import stage
 
 _PLACES = """
@@ -184,4 +186,53 @@ def lock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lock.render(found).select(F.substring_index("value", "\t", 1).alias("kind"), F.col("value").alias("line"))
 
 
-__all__ = ["call_targets", "design_breaches", "design_fits", "import_targets", "lock_facts", "style_parts"]
+@query(f"""
+with {PATHS_SQL}, m as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as module from p),
+c as (select distinct array_to_string(string_split(module, '/')[1:1], '/') as context from m union select '')
+select context as id, module from c join m on context = '' or module = context or starts_with(module, context || '/')
+""")
+def modules_under(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories inside what is built: every host, and the root."""
+    modules = star.paths(spark, sf_dir).select(module_of(F.col("path")).alias("module")).distinct()
+    hosts = modules.select(F.substring_index("module", "/", 1).alias("context")).union(spark.createDataFrame([("",)], "context string")).distinct()
+    return deploy.modules_under(hosts.select(F.col("context").alias("id"), "context"), modules)
+
+
+@query(f"""
+with {FACTS_SQL}, g as (select 'nation:' || n_nationkey as id, n_regionkey as r from nation)
+select 'r' || a.r as module, 'r' || a.r || '/' || src as src, 'r' || b.r || '/' || dst as dst, count(distinct (l_orderkey, l_linenumber))::bigint as weight
+from facts join g a on a.id = src join g b on b.id = dst where a.r = b.r and src <> dst group by 1, 2, 3
+""")
+def component_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as files of their regions, line items as calls between them."""
+    nations = star.table(spark, sf_dir, "nation").select(star.node_id("nation", "n_nationkey").alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("r"))
+    named = nations.select("id", F.concat_ws("/", "r", "id").alias("path"))
+    a, b = named.toDF("a_id", "src"), named.toDF("b_id", "dst")
+    facts = star.trade_facts(spark, sf_dir).withColumnsRenamed({"src": "s", "dst": "d"}).join(a, F.col("s") == F.col("a_id")).join(b, F.col("d") == F.col("b_id"))
+    edges = facts.select("src", "dst", F.lit("calls").alias("kind"), F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"))
+    return components.flow(named.select("path"), edges).edges
+
+
+@query("""
+with r as (select 'part/' || p_size as module, p_brand || ' /' || p_name as said from part),
+d as (select module, said, row_number() over (partition by module order by said) as nth, count(*) over (partition by module) as k from (select distinct module, said from r)),
+f as (select module, string_agg(said, ', ' order by said) as few, max(k) > 3 as further from d where nth <= 3 group by 1),
+c as (select module, count(*) as n from r group by 1)
+select 'Entry points' as card, c.module || ': ' || n || case when n = 1 then ' route' else ' routes' end || ' · ' || few || case when further then ' …' else '' end as item, n::bigint as n from c join f using (module)
+union all select 'Data stores', c_mktsegment || ' via ' || n_name, count(*)::bigint from customer join nation on c_nationkey = n_nationkey group by 2
+union all select 'Data stores', s_name || ' (compose)', 1::bigint from supplier
+union all select 'Unresolved', event_type || ': ' || count(*) || ' unresolved', count(*)::bigint from events group by event_type
+""")
+def repository_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a repository is, summed up: parts as routes, segments and suppliers as stores."""
+    t = lambda n: star.table(spark, sf_dir, n)
+    routes = t("part").select(F.col("p_brand").alias("method"), F.concat(F.lit("/"), "p_name").alias("route"), F.concat(F.lit("part/"), F.col("p_size").cast("string"), F.lit("/r.py")).alias("path"))
+    bought = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    stores = bought.select(F.lit("database").alias("category"), F.col("c_mktsegment").alias("label"), F.col("n_name").alias("package"))
+    nodes = t("supplier").select(F.lit("datastore").alias("kind"), F.col("s_name").alias("label"))
+    states = t("events").select(F.col("event_type").alias("kind"), F.lit("unresolved").alias("resolution"))
+    none = spark.createDataFrame([], "name string, target string, lang string")
+    return components.cards(routes, none, stores, nodes, states)
+
+
+__all__ = ["call_targets", "component_flow", "design_breaches", "design_fits", "import_targets", "lock_facts", "modules_under", "repository_cards", "style_parts"]

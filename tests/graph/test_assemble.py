@@ -98,3 +98,15 @@ def test_prefix_of_names(spark):
     rows = spark.createDataFrame([("a/b.py",), ("a/__init__.py",), ("__init__.py",), ("c.py",)], "path string")
     got = rows.select(qualified_prefix(F.col("path")), symbol_id(F.col("path"), F.lit("f"))).collect()
     assert [tuple(r) for r in got] == [("a.b", "a/b.py#a.b.f"), ("a", "a/__init__.py#a.f"), ("", "__init__.py#f"), ("c", "c.py#c.f")]
+
+
+def test_build_and_ask(spark, tmp_path, capsys):
+    from evgraph import __main__ as command
+
+    for path, text in SHOP.items():
+        (tmp_path / "src" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / path).write_text(text)
+    assert command.main([str(tmp_path / "graph"), "build", str(tmp_path / "src")]) == 0
+    assert '"resolved":5' in capsys.readouterr().out
+    assert command.main([str(tmp_path / "graph"), "affected", "Base"]) == 0
+    assert "Order" in capsys.readouterr().out
