@@ -79,7 +79,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Rows are in proportion to the edges, never to the pairs that reach each other.
     """
     live = stage(edges.select("src", "dst").distinct(), "live")
-    out = stage(live.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component")), "components")
+    out = live.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
     live, size = _trimmed(live.filter("src <> dst"))
     while size:
         label = stage(live.select(F.col("src").alias("id")).union(live.select("dst")).distinct().withColumn("least", F.col("id")), "labels")
@@ -123,7 +123,7 @@ def layers(edges: DataFrame) -> DataFrame:
     """``id``, ``layer``: the longest path that leads to a node once cycles are
     condensed to single points; sources are layer 0. A round a layer, in which only
     points that moved send their layer on."""
-    at, dag = condensed(edges)
+    at, dag = condensed(stage(edges.select("src", "dst").distinct(), "edges"))
     depth = stage(at.select("point").distinct().withColumn("layer", F.lit(0)), "layers")
     front = depth
     while True:
