@@ -12,75 +12,75 @@ from pyspark.sql import types as T
 from evgraph.operators.joins import first_candidate
 
 #: Category, what is shown, and the packages that mean it.
-VOCABULARY = """
-database|MongoDB|pymongo motor mongoengine beanie mongoose mongodb
-database|SQL database|sqlalchemy typeorm sequelize knex drizzle-orm
-database|PostgreSQL|psycopg psycopg2 asyncpg pg postgres
-database|MySQL|mysql pymysql mysql2 aiomysql
-database|SQLite|sqlite3 better-sqlite3
-database|Redis|redis aioredis ioredis
-database|Prisma database|prisma @prisma/client
-database|Elasticsearch|elasticsearch @elastic/elasticsearch
-database|OpenSearch|opensearchpy
-database|Cassandra|cassandra
-database|Neo4j|neo4j
-database|Pinecone|pinecone
-database|Weaviate|weaviate
-database|Chroma|chromadb
-database|Qdrant|qdrant_client
-database|Milvus|pymilvus
-database|DynamoDB|dynamodb
-messagebus|Kafka|kafka confluent_kafka aiokafka kafkajs
-messagebus|RabbitMQ|pika aio_pika amqplib amqp
-messagebus|message broker|kombu
-messagebus|Redis queue|bullmq bull
-messagebus|NATS|nats
-messagebus|Pulsar|pulsar
-messagebus|Pub/Sub|@google-cloud/pubsub
-messagebus|MQTT|paho mqtt
-cloud|OpenAI API|openai langchain_openai
-cloud|Anthropic API|anthropic @anthropic-ai/sdk langchain_anthropic
-cloud|Gemini API|google.generativeai @google/generative-ai langchain_google_genai
-cloud|Cohere API|cohere
-cloud|AWS SDK|boto3 botocore aioboto3 @aws-sdk aws-sdk
-cloud|Google Cloud|google.cloud @google-cloud
-cloud|Google APIs|googleapis
-cloud|Azure|azure @azure
-cloud|Firebase|firebase firebase_admin firebase-admin
-cloud|Stripe|stripe
-cloud|Twilio|twilio
-cloud|SendGrid|sendgrid @sendgrid/mail
-cloud|Slack API|slack_sdk @slack/web-api
-cloud|GitHub API|github @octokit
-cloud|Supabase|supabase @supabase/supabase-js
-cloud|Sentry|sentry_sdk @sentry
-security|JWT|jwt pyjwt jose python_jose jsonwebtoken flask_jwt_extended
-security|password hashing|passlib bcrypt argon2
-security|OAuth|authlib oauthlib
-security|Passport auth|passport
-security|FastAPI security|fastapi.security
-security|Flask-Login|flask_login
-security|Django auth|django.contrib.auth
-security|NextAuth|next-auth
-security|Auth0|@auth0 auth0
-security|Clerk|@clerk
-security|Keycloak|keycloak
-frontend|React|react react-dom
-frontend|Next.js|next
-frontend|Vue|vue
-frontend|Nuxt|nuxt
-frontend|Svelte|svelte
-frontend|SvelteKit|@sveltejs/kit
-frontend|Angular|@angular/core
-frontend|Solid|solid-js
-frontend|Preact|preact
-frontend|Lit|lit
-"""
+VOCABULARY = (
+    ("database", "MongoDB", "pymongo motor mongoengine beanie mongoose mongodb"),
+    ("database", "SQL database", "sqlalchemy typeorm sequelize knex drizzle-orm"),
+    ("database", "PostgreSQL", "psycopg psycopg2 asyncpg pg postgres"),
+    ("database", "MySQL", "mysql pymysql mysql2 aiomysql"),
+    ("database", "SQLite", "sqlite3 better-sqlite3"),
+    ("database", "Redis", "redis aioredis ioredis"),
+    ("database", "Prisma database", "prisma @prisma/client"),
+    ("database", "Elasticsearch", "elasticsearch @elastic/elasticsearch"),
+    ("database", "OpenSearch", "opensearchpy"),
+    ("database", "Cassandra", "cassandra"),
+    ("database", "Neo4j", "neo4j"),
+    ("database", "Pinecone", "pinecone"),
+    ("database", "Weaviate", "weaviate"),
+    ("database", "Chroma", "chromadb"),
+    ("database", "Qdrant", "qdrant_client"),
+    ("database", "Milvus", "pymilvus"),
+    ("database", "DynamoDB", "dynamodb"),
+    ("messagebus", "Kafka", "kafka confluent_kafka aiokafka kafkajs"),
+    ("messagebus", "RabbitMQ", "pika aio_pika amqplib amqp"),
+    ("messagebus", "message broker", "kombu"),
+    ("messagebus", "Redis queue", "bullmq bull"),
+    ("messagebus", "NATS", "nats"),
+    ("messagebus", "Pulsar", "pulsar"),
+    ("messagebus", "Pub/Sub", "@google-cloud/pubsub"),
+    ("messagebus", "MQTT", "paho mqtt"),
+    ("cloud", "OpenAI API", "openai langchain_openai"),
+    ("cloud", "Anthropic API", "anthropic @anthropic-ai/sdk langchain_anthropic"),
+    ("cloud", "Gemini API", "google.generativeai @google/generative-ai langchain_google_genai"),
+    ("cloud", "Cohere API", "cohere"),
+    ("cloud", "AWS SDK", "boto3 botocore aioboto3 @aws-sdk aws-sdk"),
+    ("cloud", "Google Cloud", "google.cloud @google-cloud"),
+    ("cloud", "Google APIs", "googleapis"),
+    ("cloud", "Azure", "azure @azure"),
+    ("cloud", "Firebase", "firebase firebase_admin firebase-admin"),
+    ("cloud", "Stripe", "stripe"),
+    ("cloud", "Twilio", "twilio"),
+    ("cloud", "SendGrid", "sendgrid @sendgrid/mail"),
+    ("cloud", "Slack API", "slack_sdk @slack/web-api"),
+    ("cloud", "GitHub API", "github @octokit"),
+    ("cloud", "Supabase", "supabase @supabase/supabase-js"),
+    ("cloud", "Sentry", "sentry_sdk @sentry"),
+    ("security", "JWT", "jwt pyjwt jose python_jose jsonwebtoken flask_jwt_extended"),
+    ("security", "password hashing", "passlib bcrypt argon2"),
+    ("security", "OAuth", "authlib oauthlib"),
+    ("security", "Passport auth", "passport"),
+    ("security", "FastAPI security", "fastapi.security"),
+    ("security", "Flask-Login", "flask_login"),
+    ("security", "Django auth", "django.contrib.auth"),
+    ("security", "NextAuth", "next-auth"),
+    ("security", "Auth0", "@auth0 auth0"),
+    ("security", "Clerk", "@clerk"),
+    ("security", "Keycloak", "keycloak"),
+    ("frontend", "React", "react react-dom"),
+    ("frontend", "Next.js", "next"),
+    ("frontend", "Vue", "vue"),
+    ("frontend", "Nuxt", "nuxt"),
+    ("frontend", "Svelte", "svelte"),
+    ("frontend", "SvelteKit", "@sveltejs/kit"),
+    ("frontend", "Angular", "@angular/core"),
+    ("frontend", "Solid", "solid-js"),
+    ("frontend", "Preact", "preact"),
+    ("frontend", "Lit", "lit"),
+)
 
 
 def vocabulary(spark) -> DataFrame:
     """``key``, ``category``, ``label``: a fixed dimension."""
-    rows = [line.split("|") for line in VOCABULARY.strip().split("\n")]
+    rows = VOCABULARY
     return spark.createDataFrame([(k, c, label) for c, label, keys in rows for k in keys.split()], "key string, category string, label string")
 
 
