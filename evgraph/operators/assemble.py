@@ -125,7 +125,8 @@ def _import_edges(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     statement = rows.groupBy("path", "start_line", "base", "level", "is_from").agg(F.bool_or(F.col("target").isNotNull() | F.col("is_module")).alias("hit"), F.bool_or("external").alias("external"))
     states = statement.select(F.lit("imports").alias("kind"), F.when(F.col("hit"), "resolved").otherwise(missed).alias("resolution"))
     found_one = F.col("is_module") | F.col("symbol").isNotNull()
-    name = rows.filter("is_from").select(F.lit("references").alias("kind"), F.when(found_one, "resolved").when(F.col("target").isNull(), missed).otherwise("unresolved").alias("resolution"))
+    # A star brings names, it is none.
+    name = rows.filter("is_from and real <> '*'").select(F.lit("references").alias("kind"), F.when(found_one, "resolved").when(F.col("target").isNull(), missed).otherwise("unresolved").alias("resolution"))
     return out, states.unionByName(name)
 
 

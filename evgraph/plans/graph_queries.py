@@ -424,31 +424,14 @@ def anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.anchors(star.trade(spark, sf_dir), _grouped(spark, sf_dir)).withColumnRenamed("grp", "region")
 
 
-@query(f"""
-with {EDGES_SQL}
-select file, line, n::bigint as n, row_number() over (order by line = 1, file, line)::int as place
-from (select file, line, count(*) as n from edges where file in ('nation', 'supplier') group by 1, 2)
-order by place limit 60
-""")
-def evidence_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first citations in the order that puts whole files last (line 1 stands in
-    for a whole file here)."""
-    from pyspark.sql import Window
-
-    sites = star.edges(spark, sf_dir, lines=False).filter("file in ('nation', 'supplier')").groupBy("file", "line").agg(F.count("*").alias("n"))
-    start = F.when(F.col("line") == 1, 0).otherwise(F.col("line"))
-    key = evidence_order(F.struct(F.col("file"), start.alias("start_line"), F.col("line").alias("end_line"), F.lit(None).cast("string").alias("rev")))
-    first = sites.withColumn("key", key).orderBy("key").limit(60)
-    return first.select("file", "line", "n", F.row_number().over(Window.orderBy("key")).alias("place"))
-
-
 @query(f"""
 with {EDGES_SQL}
 select file, line, count(*)::bigint as n, line = 1 as whole from edges group by file, line order by whole, file, line
 """)
-def evidence_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every citation of the graph in the order of ``evidence_ordered``, by ``whole``,
-    ``file`` and ``line``: a range sort, so no task holds all rows."""
+def evidence_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every citation of the graph in the order that puts whole files last (line 1 stands
+    in for a whole file here), by ``whole``, ``file`` and ``line``: a range sort, so no
+    task holds all rows."""
     sites = star.edges(spark, sf_dir).groupBy("file", "line").agg(F.count("*").alias("n"))
     start = F.when(F.col("line") == 1, 0).otherwise(F.col("line"))
     key = evidence_order(F.struct(F.col("file"), start.alias("start_line"), F.col("line").alias("end_line"), F.lit(None).cast("string").alias("rev")))

@@ -76,6 +76,12 @@ def test_shapes_of_calls(spark):
     assert ("a/use.py", store + "Store") in names and ("a/__init__.py", store + "Store") in names
 
 
+def test_a_star_is_no_name(spark):
+    files, facts = tables(spark, {"a.py": "from b import *\nfrom b import f, gone\n", "b.py": "def f():\n    pass\n"})
+    card = {r.kind: (r.resolved, r.unresolved) for r in assemble.graph(files, facts).scorecard().collect()}
+    assert card == {"imports": (2, 0), "references": (1, 1)}
+
+
 def test_an_empty_folder_is_an_empty_graph(spark):
     files, facts = tables(spark, {"x.py": ""})
     got = assemble.graph(files.limit(0), facts.limit(0))

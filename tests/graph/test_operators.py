@@ -277,7 +277,7 @@ def test_evidence_order_has_every_citation(spark):
     from evgraph.sources import star
 
     path = "/root/testdata/sf0.001"
-    rows = catalog.QUERIES["evidence_order_all"](spark, path).collect()
+    rows = catalog.QUERIES["evidence_ordered"](spark, path).collect()
     assert len(rows) == star.edges(spark, path).select("file", "line").distinct().count() > 60
     assert sum(r.n for r in rows) == star.edges(spark, path).count()
     keys = [(r.whole, r.file, r.line) for r in rows]
