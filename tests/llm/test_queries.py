@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 COLUMNS = {
     "op1_sharding": "doc_id size text_crc32 law shard slot grown_shard",
-    "op2_mixing": "doc_id size source_size target taken",
+    "op2_mixing": "doc_id size source_size target taken shards orders",
     "op3_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op4_toxicity": "doc_id severity grade toxic",
     "op5_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
