@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.storage import drop_staged, shared_dir, stage
+from evgraph.storage import counted, drop_staged, shared_dir, stage
 
-__all__ = ["SPACE", "WORD", "drop_staged", "mix64", "permute", "quoted", "read", "shared_dir", "stage", "without", "word_count", "words_of"]
+__all__ = ["SPACE", "WORD", "counted", "drop_staged", "mix64", "permute", "quoted", "read", "shared_dir", "stage", "without", "word_count", "words_of"]
 
 #: The white space that separates words; every other code point is part of one.
 SPACE = r"[\x20\x09-\x0D]"

@@ -57,3 +57,63 @@ select conv_id, count(*)::bigint as n_turns,
        sum(chars)::bigint as formatted_chars
 from e group by conv_id
 """
+
+# The crc32 of a short text: its bytes one after the other, each with eight shifts (-1).
+_CRC = """
+  xor(list_reduce(flatten([[4294967295]] || list_transform(string_split(doc_id::varchar, ''),
+      lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, e: case when e >= 0 then xor(c, e) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295)
+"""
+
+
+def _part(value: str) -> str:
+    return f"case when {value} is null then '-' else octet_length(encode({value}::varchar)) || ':' || {value}::varchar end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MERKLE = f"""
+with recursive d as (
+  select doc_id, source, {_leaf("text")} as leaf,
+         case when {_CRC} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as now
+  from documents
+), l as (
+  select *, row_number() over (partition by source order by doc_id, leaf) - 1 as i,
+         count(*) over (partition by source) as n, dense_rank() over (order by source nulls first) - 1 as s
+  from d
+), t as (
+  select s, 0 as level, i, leaf as h, n from l
+  union all
+  select s, level + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3)
+  from t where n > 1 group by s, level, i // 3
+), u as (
+  select 0 as level, s as i, h, (select count(*) from t where n = 1) as n from t where n = 1
+  union all
+  select level + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3)
+  from u where n > 1 group by level, i // 3
+), x as (  -- the nodes on the way up of each leaf, levels of both trees one after the other
+  select l.s, l.i, t.level, t.i as at, t.n, false as top from l join t on t.s = l.s and t.i = l.i // pow(3, t.level)::bigint
+  union all
+  select l.s, l.i, 1000 + u.level, u.i, u.n, true from l join u on u.i = l.s // pow(3, u.level)::bigint
+), k as (
+  select s, level, i, h, false as top from t union all select 0, 1000 + level, i, h, true from u
+), p as (
+  select x.s, x.i, x.level, coalesce(string_agg(k.h, '' order by k.i) filter (k.i < x.at), '') as a,
+         coalesce(string_agg(k.h, '' order by k.i) filter (k.i > x.at), '') as b
+  from x left join k on k.top = x.top and (x.top or k.s = x.s) and k.level = x.level and k.i // 3 = x.at // 3 and k.i <> x.at
+  where x.n > 1 group by all
+), q as (
+  select s, i, sha256(coalesce(string_agg(a || b, '' order by level), '')) as proof, list(struct_pack(a := a, b := b) order by level) as steps
+  from p group by all
+), r as (
+  select l.*, coalesce(proof, sha256('')) as proof_sha256, coalesce(steps, []) as steps from l left join q using (s, i)
+)
+select doc_id, leaf, (select h from t where t.s = r.s and t.n = 1) as subroot, (select h from u where n = 1) as root, proof_sha256,
+       list_reduce([now] || list_transform(steps, lambda z: z.a || chr(10) || z.b),
+         lambda acc, z: sha256(split_part(z, chr(10), 1) || acc || split_part(z, chr(10), 2))) as folded_root,
+       list_reduce([now] || list_transform(steps, lambda z: z.a || chr(10) || z.b),
+         lambda acc, z: sha256(split_part(z, chr(10), 1) || acc || split_part(z, chr(10), 2))) = (select h from u where n = 1) as verified
+from r
+"""

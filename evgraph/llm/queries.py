@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import chat, embeddings, html, mixing, oracles, packing, quality, sharding, simhash, tokens, toxicity
+from evgraph.llm import chat, embeddings, html, merkle, mixing, oracles, packing, quality, sharding, simhash, tokens, toxicity
 from evgraph.llm.common import read
 
 
@@ -79,6 +79,17 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    of = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select("doc_id", "source", of(F.col("text")).alias("leaf"), F.when(tampered, of(F.replace("text", F.lit("\n"), F.lit("")))).alias("now"))
+    known = merkle.manifest(leaves, group="source", order="doc_id")
+    folded = merkle.fold(F.coalesce("now", "leaf"), F.col("proof")).alias("folded_root")
+    found = known.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -90,5 +101,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-SQL = {"op3_quality_rules": oracles.QUALITY, "op9_chat_formatting": oracles.CHAT}
+SQL = {"op3_quality_rules": oracles.QUALITY, "op9_chat_formatting": oracles.CHAT, "op11_merkle_manifest": oracles.MERKLE}

@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op10_embedding_near_dedup": "vec_id n_links component_id kept",
+    "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
