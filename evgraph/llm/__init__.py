@@ -1,5 +1,6 @@
 """Training-data operators: sharding, mixing, quality, toxicity, packing, token
-counts, HTML extraction, near-duplicates, chat formatting, embedding duplicates.
+counts, HTML extraction, near-duplicates, chat formatting, embedding duplicates,
+manifests, a quality classifier, phrases.
 
 Nothing outside this subpackage imports it.
 """

@@ -117,3 +117,41 @@ select doc_id, leaf, (select h from t where t.s = r.s and t.n = 1) as subroot, (
          lambda acc, z: sha256(split_part(z, chr(10), 1) || acc || split_part(z, chr(10), 2))) = (select h from u where n = 1) as verified
 from r
 """
+
+PHRASES = r"""
+with d as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+), s as (
+  select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as s from d
+), w as (
+  select lang, regexp_extract_all(s, '[^\x20\x09]+') as w from s
+), g as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+  from (select *, unnest(range(1, len(w) - k + 2)) as i from (select *, unnest([1, 2, 3, 4]) as k from w) where len(w) >= k)
+), f as (
+  select lang, k, phrase, count(*) as a from g group by all
+), c as (
+  select *, string_split(phrase, ' ') as w from f where k > 1 and a >= 30
+), halves as (
+  select lang, phrase, a, j, array_to_string(w[1 : j], ' ') as head, array_to_string(w[j + 1 : k], ' ') as rest
+  from (select *, unnest(range(1, k)) as j from c)
+), cuts as (
+  select h.lang, h.phrase, h.a, j, l.a as l, r.a as r, (2000000::hugeint * h.a // (l.a + r.a))::bigint as score
+  from halves h join f l on l.lang = h.lang and l.phrase = h.head join f r on r.lang = h.lang and r.phrase = h.rest
+), best as (
+  select *, row_number() over (partition by lang, phrase order by score, j) as nth from cuts
+), within as (
+  select lang, array_to_string(w[i : i + n - 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest(range(1, k - n + 2)) as i from (select *, unnest(range(2, k)) as n from c)) group by 1, 2
+), kept as (
+  select b.* from best b left join within x using (lang, phrase)
+  where nth = 1 and (longer is null or 100::hugeint * longer < 80::hugeint * a)
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+), n as (
+  select lang, sum(a)::bigint as n from f where k = 1 group by lang
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.llm import chat, embeddings, html, merkle, mixing, oracles, packing, quality, sharding, simhash, tokens, toxicity
+from evgraph.llm import chat, embeddings, html, merkle, mixing, oracles, packing, phrases, quality, rules, sharding, simhash, tokens, toxicity
 from evgraph.llm.common import read
 
 
@@ -90,6 +90,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.train(docs, read(spark, sf_dir, "labels"))
+    return rules.score(docs, model).select("doc_id", rules.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -102,5 +112,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_phrase_mining": op13_phrase_mining,
 }
-SQL = {"op3_quality_rules": oracles.QUALITY, "op9_chat_formatting": oracles.CHAT, "op11_merkle_manifest": oracles.MERKLE}
+SQL = {"op3_quality_rules": oracles.QUALITY, "op9_chat_formatting": oracles.CHAT, "op11_merkle_manifest": oracles.MERKLE, "op13_phrase_mining": oracles.PHRASES}

@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op10_embedding_near_dedup": "vec_id n_links component_id kept",
+    "op12_quality_classifier": "doc_id held_out score predicted",
     "op11_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
@@ -36,6 +37,13 @@ def db():
     return con
 
 
+def test_phrases_and_sql(spark, db):
+    found = queries.op13_phrase_mining(spark, DATA)
+    want = db.execute(queries.SQL["op13_phrase_mining"])
+    at = [[d[0] for d in want.description].index(c) for c in found.columns]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall()) != []
+
+
 @pytest.mark.parametrize("name", COLUMNS)
 def test_columns_and_sql(spark, db, name):
     found = queries.QUERIES[name](spark, DATA)
