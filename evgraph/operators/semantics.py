@@ -11,77 +11,133 @@ from pyspark.sql import types as T
 
 from evgraph.operators.joins import first_candidate
 
-#: Category, what is shown, and the packages that mean it.
+#: An imported package, its category, and what is shown for it.
 VOCABULARY = (
-    ("database", "MongoDB", "pymongo motor mongoengine beanie mongoose mongodb"),
-    ("database", "SQL database", "sqlalchemy typeorm sequelize knex drizzle-orm"),
-    ("database", "PostgreSQL", "psycopg psycopg2 asyncpg pg postgres"),
-    ("database", "MySQL", "mysql pymysql mysql2 aiomysql"),
-    ("database", "SQLite", "sqlite3 better-sqlite3"),
-    ("database", "Redis", "redis aioredis ioredis"),
-    ("database", "Prisma database", "prisma @prisma/client"),
-    ("database", "Elasticsearch", "elasticsearch @elastic/elasticsearch"),
-    ("database", "OpenSearch", "opensearchpy"),
-    ("database", "Cassandra", "cassandra"),
-    ("database", "Neo4j", "neo4j"),
-    ("database", "Pinecone", "pinecone"),
-    ("database", "Weaviate", "weaviate"),
-    ("database", "Chroma", "chromadb"),
-    ("database", "Qdrant", "qdrant_client"),
-    ("database", "Milvus", "pymilvus"),
-    ("database", "DynamoDB", "dynamodb"),
-    ("messagebus", "Kafka", "kafka confluent_kafka aiokafka kafkajs"),
-    ("messagebus", "RabbitMQ", "pika aio_pika amqplib amqp"),
-    ("messagebus", "message broker", "kombu"),
-    ("messagebus", "Redis queue", "bullmq bull"),
-    ("messagebus", "NATS", "nats"),
-    ("messagebus", "Pulsar", "pulsar"),
-    ("messagebus", "Pub/Sub", "@google-cloud/pubsub"),
-    ("messagebus", "MQTT", "paho mqtt"),
-    ("cloud", "OpenAI API", "openai langchain_openai"),
-    ("cloud", "Anthropic API", "anthropic @anthropic-ai/sdk langchain_anthropic"),
-    ("cloud", "Gemini API", "google.generativeai @google/generative-ai langchain_google_genai"),
-    ("cloud", "Cohere API", "cohere"),
-    ("cloud", "AWS SDK", "boto3 botocore aioboto3 @aws-sdk aws-sdk"),
-    ("cloud", "Google Cloud", "google.cloud @google-cloud"),
-    ("cloud", "Google APIs", "googleapis"),
-    ("cloud", "Azure", "azure @azure"),
-    ("cloud", "Firebase", "firebase firebase_admin firebase-admin"),
-    ("cloud", "Stripe", "stripe"),
-    ("cloud", "Twilio", "twilio"),
-    ("cloud", "SendGrid", "sendgrid @sendgrid/mail"),
-    ("cloud", "Slack API", "slack_sdk @slack/web-api"),
-    ("cloud", "GitHub API", "github @octokit"),
-    ("cloud", "Supabase", "supabase @supabase/supabase-js"),
-    ("cloud", "Sentry", "sentry_sdk @sentry"),
-    ("security", "JWT", "jwt pyjwt jose python_jose jsonwebtoken flask_jwt_extended"),
-    ("security", "password hashing", "passlib bcrypt argon2"),
-    ("security", "OAuth", "authlib oauthlib"),
-    ("security", "Passport auth", "passport"),
-    ("security", "FastAPI security", "fastapi.security"),
-    ("security", "Flask-Login", "flask_login"),
-    ("security", "Django auth", "django.contrib.auth"),
-    ("security", "NextAuth", "next-auth"),
-    ("security", "Auth0", "@auth0 auth0"),
-    ("security", "Clerk", "@clerk"),
-    ("security", "Keycloak", "keycloak"),
-    ("frontend", "React", "react react-dom"),
-    ("frontend", "Next.js", "next"),
-    ("frontend", "Vue", "vue"),
-    ("frontend", "Nuxt", "nuxt"),
-    ("frontend", "Svelte", "svelte"),
-    ("frontend", "SvelteKit", "@sveltejs/kit"),
-    ("frontend", "Angular", "@angular/core"),
-    ("frontend", "Solid", "solid-js"),
-    ("frontend", "Preact", "preact"),
-    ("frontend", "Lit", "lit"),
+    ("pymongo", "database", "MongoDB"),
+    ("motor", "database", "MongoDB"),
+    ("mongoengine", "database", "MongoDB"),
+    ("beanie", "database", "MongoDB"),
+    ("mongoose", "database", "MongoDB"),
+    ("mongodb", "database", "MongoDB"),
+    ("sqlalchemy", "database", "SQL database"),
+    ("psycopg", "database", "PostgreSQL"),
+    ("psycopg2", "database", "PostgreSQL"),
+    ("asyncpg", "database", "PostgreSQL"),
+    ("pg", "database", "PostgreSQL"),
+    ("postgres", "database", "PostgreSQL"),
+    ("mysql", "database", "MySQL"),
+    ("pymysql", "database", "MySQL"),
+    ("mysql2", "database", "MySQL"),
+    ("aiomysql", "database", "MySQL"),
+    ("sqlite3", "database", "SQLite"),
+    ("better-sqlite3", "database", "SQLite"),
+    ("redis", "database", "Redis"),
+    ("aioredis", "database", "Redis"),
+    ("ioredis", "database", "Redis"),
+    ("prisma", "database", "Prisma database"),
+    ("@prisma/client", "database", "Prisma database"),
+    ("typeorm", "database", "SQL database"),
+    ("sequelize", "database", "SQL database"),
+    ("knex", "database", "SQL database"),
+    ("drizzle-orm", "database", "SQL database"),
+    ("elasticsearch", "database", "Elasticsearch"),
+    ("@elastic/elasticsearch", "database", "Elasticsearch"),
+    ("opensearchpy", "database", "OpenSearch"),
+    ("cassandra", "database", "Cassandra"),
+    ("neo4j", "database", "Neo4j"),
+    ("pinecone", "database", "Pinecone"),
+    ("weaviate", "database", "Weaviate"),
+    ("chromadb", "database", "Chroma"),
+    ("qdrant_client", "database", "Qdrant"),
+    ("pymilvus", "database", "Milvus"),
+    ("dynamodb", "database", "DynamoDB"),
+    ("kafka", "messagebus", "Kafka"),
+    ("confluent_kafka", "messagebus", "Kafka"),
+    ("aiokafka", "messagebus", "Kafka"),
+    ("kafkajs", "messagebus", "Kafka"),
+    ("pika", "messagebus", "RabbitMQ"),
+    ("aio_pika", "messagebus", "RabbitMQ"),
+    ("amqplib", "messagebus", "RabbitMQ"),
+    ("amqp", "messagebus", "RabbitMQ"),
+    ("kombu", "messagebus", "message broker"),
+    ("bullmq", "messagebus", "Redis queue"),
+    ("bull", "messagebus", "Redis queue"),
+    ("nats", "messagebus", "NATS"),
+    ("pulsar", "messagebus", "Pulsar"),
+    ("@google-cloud/pubsub", "messagebus", "Pub/Sub"),
+    ("paho", "messagebus", "MQTT"),
+    ("mqtt", "messagebus", "MQTT"),
+    ("openai", "cloud", "OpenAI API"),
+    ("anthropic", "cloud", "Anthropic API"),
+    ("@anthropic-ai/sdk", "cloud", "Anthropic API"),
+    ("google.generativeai", "cloud", "Gemini API"),
+    ("@google/generative-ai", "cloud", "Gemini API"),
+    ("langchain_google_genai", "cloud", "Gemini API"),
+    ("langchain_openai", "cloud", "OpenAI API"),
+    ("langchain_anthropic", "cloud", "Anthropic API"),
+    ("cohere", "cloud", "Cohere API"),
+    ("boto3", "cloud", "AWS SDK"),
+    ("botocore", "cloud", "AWS SDK"),
+    ("aioboto3", "cloud", "AWS SDK"),
+    ("@aws-sdk", "cloud", "AWS SDK"),
+    ("aws-sdk", "cloud", "AWS SDK"),
+    ("google.cloud", "cloud", "Google Cloud"),
+    ("@google-cloud", "cloud", "Google Cloud"),
+    ("googleapis", "cloud", "Google APIs"),
+    ("azure", "cloud", "Azure"),
+    ("@azure", "cloud", "Azure"),
+    ("firebase", "cloud", "Firebase"),
+    ("firebase_admin", "cloud", "Firebase"),
+    ("firebase-admin", "cloud", "Firebase"),
+    ("stripe", "cloud", "Stripe"),
+    ("twilio", "cloud", "Twilio"),
+    ("sendgrid", "cloud", "SendGrid"),
+    ("@sendgrid/mail", "cloud", "SendGrid"),
+    ("slack_sdk", "cloud", "Slack API"),
+    ("@slack/web-api", "cloud", "Slack API"),
+    ("github", "cloud", "GitHub API"),
+    ("@octokit", "cloud", "GitHub API"),
+    ("supabase", "cloud", "Supabase"),
+    ("@supabase/supabase-js", "cloud", "Supabase"),
+    ("sentry_sdk", "cloud", "Sentry"),
+    ("@sentry", "cloud", "Sentry"),
+    ("jwt", "security", "JWT"),
+    ("pyjwt", "security", "JWT"),
+    ("jose", "security", "JWT"),
+    ("python_jose", "security", "JWT"),
+    ("jsonwebtoken", "security", "JWT"),
+    ("passlib", "security", "password hashing"),
+    ("bcrypt", "security", "password hashing"),
+    ("argon2", "security", "password hashing"),
+    ("authlib", "security", "OAuth"),
+    ("oauthlib", "security", "OAuth"),
+    ("passport", "security", "Passport auth"),
+    ("fastapi.security", "security", "FastAPI security"),
+    ("flask_login", "security", "Flask-Login"),
+    ("flask_jwt_extended", "security", "JWT"),
+    ("django.contrib.auth", "security", "Django auth"),
+    ("next-auth", "security", "NextAuth"),
+    ("@auth0", "security", "Auth0"),
+    ("auth0", "security", "Auth0"),
+    ("@clerk", "security", "Clerk"),
+    ("keycloak", "security", "Keycloak"),
+    ("react", "frontend", "React"),
+    ("react-dom", "frontend", "React"),
+    ("next", "frontend", "Next.js"),
+    ("vue", "frontend", "Vue"),
+    ("nuxt", "frontend", "Nuxt"),
+    ("svelte", "frontend", "Svelte"),
+    ("@sveltejs/kit", "frontend", "SvelteKit"),
+    ("@angular/core", "frontend", "Angular"),
+    ("solid-js", "frontend", "Solid"),
+    ("preact", "frontend", "Preact"),
+    ("lit", "frontend", "Lit"),
 )
 
 
 def vocabulary(spark) -> DataFrame:
     """``key``, ``category``, ``label``: a fixed dimension."""
-    rows = VOCABULARY
-    return spark.createDataFrame([(k, c, label) for c, label, keys in rows for k in keys.split()], "key string, category string, label string")
+    return spark.createDataFrame(VOCABULARY, "key string, category string, label string")
 
 
 def externals(imports: DataFrame, key: list[str], specifier: str = "specifier") -> DataFrame:
