@@ -108,6 +108,33 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.groupBy("id").agg(F.min("component").alias("component"))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """``id``, ``component`` (its least id) of all ends of ``edges``, taken both ways.
+
+    By contraction: every point merges with the neighbour of the least hash (itself
+    included), twice over, and what connects merged points goes on. Hashes change from
+    round to round, so rounds grow with the logarithm of the points, not with the length
+    of paths, and a point of many edges is a partial minimum a task.
+    """
+    live = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    live, n = counted(live, "links")
+    at = stage(live.select(F.col("src").alias("id")).distinct().withColumn("point", F.col("id")), "points")
+    live, turn = live.filter("src <> dst"), 0
+    while n:
+        turn += 1
+        mark = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
+        to = live.groupBy("src").agg(F.min(mark("dst")).alias("m")).select(F.col("src").alias("old"), F.least("m", mark("src"))["id"].alias("to"))
+        to = stage(to, "merges")
+        on = to.select(F.col("old").alias("mid"), F.col("to").alias("end"))
+        to = stage(to.join(on, F.col("to") == F.col("mid")).select("old", F.col("end").alias("to")), "merges")
+        at = stage(at.join(to, F.col("point") == F.col("old"), "left").select("id", F.coalesce("to", "point").alias("point")), "points")
+        a, b = (to.select(F.col("old").alias(f"{k}_old"), F.col("to").alias(f"{k}_to")) for k in "ab")
+        both = live.join(a, F.col("src") == F.col("a_old")).join(b, F.col("dst") == F.col("b_old")).filter("a_to <> b_to")
+        live, n = counted(both.select(F.col("a_to").alias("src"), F.col("b_to").alias("dst")).distinct(), "links")
+    least = at.groupBy("point").agg(F.min("id").alias("component")).withColumnRenamed("point", "p")
+    return at.join(least, F.col("point") == F.col("p")).select("id", "component")
+
+
 def condensed(edges: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``id``, ``point`` (its component, or itself) of every node, and the edges between
     different points."""

@@ -105,6 +105,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
 
 
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path``, ``text``: the line items of each customer in order, as lines of a source
+    file; some quantities open or close comments, docstrings and imports."""
+    special = {1: "/* open", 2: "end */", 3: '"""', 4: "'''one line'''", 5: "import (", 6: ")", 7: "import {", 8: "}", 9: "# note", 10: "from x import y", 11: "  ", 12: "/* shut */", 13: "***", 14: "from x import ("}
+    plain = F.concat("l_returnflag", F.lit("\t  "), "l_linestatus", F.lit(" "), F.year("l_shipdate").cast("string"))
+    line = plain
+    for quantity, text in special.items():
+        line = F.when(F.col("l_quantity") == quantity, text).otherwise(line)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    both = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    held = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "line")))
+    return both.groupBy("o_custkey").agg(F.array_join(F.transform(held, lambda x: x.line), "\n").alias("text")).select(F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("path"), "text")
+
+
 #: The same graphs for DuckDB, as common table expressions.
 NODES_SQL = """
 nodes as (
@@ -145,6 +160,15 @@ h as (
     select l_partkey, l_returnflag, lead(l_partkey) over w as nxt, lead(l_returnflag) over w as flag from lineitem
     window w as (partition by l_orderkey order by l_linenumber, l_partkey)) where l_returnflag = 'R' and flag = 'R'
 )"""
+LISTINGS_SQL = """
+files as (
+  select 'customer/' || o_custkey as path, list(case l_quantity::int
+    when 1 then '/* open' when 2 then 'end */' when 3 then '\"\"\"' when 4 then repeat(chr(39), 3) || 'one line' || repeat(chr(39), 3)
+    when 5 then 'import (' when 6 then ')' when 7 then 'import {' when 8 then '}' when 9 then '# note' when 10 then 'from x import y'
+    when 11 then '' when 12 then '/* shut */' when 13 then '***' when 14 then 'from x import ('
+    else l_returnflag || ' ' || l_linestatus || ' ' || year(l_shipdate) end order by l_orderkey, l_linenumber) as w
+  from lineitem join orders on l_orderkey = o_orderkey group by o_custkey
+)"""
 PATHS_SQL = """
 p as (
   select page_id, path, split_part(path, '/', 1) as host from (
