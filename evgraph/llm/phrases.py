@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,44 +20,79 @@ ENDS = ".,;:!?\n\v\f\r"
 #: Bits of the filter of frequent sequences that tasks get: eight megabytes, always.
 FILTER_BITS = 1 << 26
 #: Bytes of text whose sequences are counted together before they are handed on.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: The language of texts without one.
 UNKNOWN = "und"
 
+_ENDS = [x.encode() for x in ENDS]
 _TABLE = bytes.maketrans(ENDS.encode() + b"\t", b"\n" * len(ENDS) + b" ")
 
 
-def _pieces(texts: list[bytes]) -> list[bytes]:
-    """All words in order, line ends between pieces."""
+@dataclass
+class Words:
+    """The words of texts in order as places in ``distinct``, -1 between pieces."""
+
+    at: np.ndarray
+    distinct: pa.Array
+
+
+def _words(texts: list[bytes]) -> Words:
     line = b"\n".join(texts).lower().translate(_TABLE)  # bytes.lower changes A-Z alone
-    return [w for w in line.replace(b"\n", b" \n ").split(b" ") if w]
+    line = line.replace(b"\n", b" \n ")
+    coded = pc.split_pattern(pa.array([line], pa.large_binary()), pattern=" ").values.dictionary_encode()
+    at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary())
+    # Blanks that follow each other have an empty word between them.
+    empty, end = (pc.index(distinct, pa.scalar(x, distinct.type)).as_py() for x in (b"", b"\n"))
+    at = at[at != empty]
+    return Words(np.where(at == end, -1, at), distinct)
 
 
-def _chunks(found: list[tuple[bytes, bytes]], size: int = CHUNK) -> Iterator[tuple[bytes, list[bytes]]]:
+def _chunks(found: list[tuple[bytes, bytes]], size: int = CHUNK) -> Iterator[tuple[bytes, Words]]:
     """(language, words) of texts, some ``size`` bytes at a time; texts over that are cut
     between pieces."""
     by_lang: dict[bytes, list[bytes]] = {}
     held: dict[bytes, int] = {}
     for lang, text in found:
         while len(text) > size:
-            line = text.translate(_TABLE)
-            cut = line.rfind(b"\n", 0, size) + 1 or line.find(b"\n") + 1
+            cut = 1 + max(text.rfind(x, 0, size) for x in _ENDS) or 1 + min((i for i in map(text.find, _ENDS) if i >= 0), default=-1)
             if not cut:
                 break
-            yield lang, _pieces([text[:cut]])
+            yield lang, _words([text[:cut]])
             text = text[cut:]
         by_lang.setdefault(lang, []).append(text)
         held[lang] = held.get(lang, 0) + len(text)
         if held[lang] > size:
-            yield lang, _pieces(by_lang.pop(lang))
+            yield lang, _words(by_lang.pop(lang))
             held.pop(lang)
     for lang, texts in by_lang.items():
-        yield lang, _pieces(texts)
+        yield lang, _words(texts)
+
 
+#: What hashes of words are polynomials of, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-def _hashes(words: list[bytes], lang: bytes) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+def _hashes(words: pa.Array, lang: bytes) -> np.ndarray:
+    """A hash of each word: of its bytes as a polynomial, from prefix sums over all bytes
+    that stand between the words' ends."""
+    words = pa.concat_arrays([words])  # at offset 0
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32, count=len(words) + 1).astype(np.int64)
+    held = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(held) + 1, dtype=np.uint64)
+        np.cumsum((held.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(held))[:-1], out=sums[1:])
+        own = (sums[ends[1:]] - sums[ends[:-1]]) * _powers(_INVERSE, len(held))[ends[:-1]]
+        return mix64(own ^ np.uint64(xxhash.xxh64_intdigest(lang)))
 
 
 def _combined(parts: list[np.ndarray]) -> np.ndarray:
@@ -78,37 +114,33 @@ def _held(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (at(a) & at(b)).astype(bool)
 
 
-def sequences(tokens: list[bytes], lang: bytes, k: int, marks: np.ndarray | None) -> tuple[list[bytes], np.ndarray]:
+def sequences(words: Words, lang: bytes, k: int, marks: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
     """The sequences of ``k`` words within pieces and how often each is there, but none of
     which ``marks`` says that its first or its last k - 1 words are not frequent."""
-    ids: dict[bytes, int] = {b"\n": 0}
-    at = np.fromiter((ids.setdefault(w, len(ids)) for w in tokens), dtype=np.int64, count=len(tokens))
-    words = list(ids)
+    at, distinct = words.at, words.distinct
     if k == 1:
-        n = np.bincount(at, minlength=len(words))[1:]
-        return words[1:], n
+        n = np.bincount(at[at >= 0], minlength=len(distinct))
+        return distinct.take(pa.array(np.flatnonzero(n))), n[n > 0]
     # How many words follow within the piece, the word itself counted.
-    end = np.append(np.flatnonzero(at == 0), len(at))
-    left = end[np.searchsorted(end, np.arange(len(at)), side="left")] - np.arange(len(at))
+    end = np.append(np.flatnonzero(at < 0), len(at))
+    left = np.repeat(end, np.diff(end, prepend=-1))[: len(at)] - np.arange(len(at))
     first = np.flatnonzero(left >= k)
     if marks is not None and len(first):
-        h = _hashes(words, lang)[at]
-        if k == 2:
-            fine = _held(marks, _combined([h]))
-        else:
-            fine = np.zeros(len(at), dtype=bool)
-            i = np.flatnonzero(left >= k - 1)
-            fine[i] = _held(marks, _combined([h[i + j] for j in range(k - 1)]))
+        h = _hashes(distinct, lang)[at]  # between pieces any, as no sequence goes there
+        i = np.flatnonzero(left >= k - 1)
+        fine = np.zeros(len(at) + 1, dtype=bool)
+        fine[i] = _held(marks, _combined([h[i + j] for j in range(k - 1)]))
         first = first[fine[first] & fine[first + 1]]
     code = at[first]
     for j in range(1, k):
-        code = np.unique(code, return_inverse=True)[1] * len(words) + at[first + j]
+        code = (np.unique(code, return_inverse=True)[1] if j > 1 else code) * len(distinct) + at[first + j]
     _, where, n = np.unique(code, return_index=True, return_counts=True)
-    return [b" ".join(words[at[i + j]] for j in range(k)) for i in first[where].tolist()], n
+    parts = [distinct.take(pa.array(at[first[where] + j])) for j in range(k)]
+    return pc.binary_join_element_wise(*parts, b" "), n
 
 
-def _strings(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary()).view(pa.string())
+def _strings(values: pa.Array) -> pa.Array:
+    return values.cast(pa.binary()).view(pa.string())
 
 
 def _level(docs: DataFrame, k: int, marks, least: int) -> DataFrame:
@@ -117,14 +149,15 @@ def _level(docs: DataFrame, k: int, marks, least: int) -> DataFrame:
 
     def emit(batches):
         known = None if marks is None else marks.value
-        for batch in batches:
-            langs = batch.column(0).cast(pa.binary()).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for lang, tokens in _chunks(list(zip(langs, texts, strict=True))):
-                found, n = sequences(tokens, lang, k, known)
+        rows = (part for batch in batches for start in range(0, batch.num_rows, 256) for part in [batch.slice(start, 256)])
+        for part in rows:
+            langs, texts = (part.column(i).cast(pa.binary()).to_pylist() for i in (0, 1))
+            for lang, words in _chunks(list(zip(langs, texts, strict=True))):
+                found, n = sequences(words, lang, k, known)
                 if k == 1:
-                    found, n = [*found, b""], np.append(n, n.sum())
-                yield pa.record_batch([_strings([lang] * len(found)), _strings(found), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
+                    found, n = pa.concat_arrays([found, pa.array([b""], found.type)]), np.append(n, n.sum())
+                lang_of = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(n), dtype=np.int64)))
+                yield pa.record_batch([_strings(lang_of), _strings(found), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
 
     seen = docs.mapInArrow(emit, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     return stage(seen.filter((F.col("a") >= least) | (F.col("phrase") == "")), f"level{k}")
@@ -137,8 +170,13 @@ def _filter(level: DataFrame, bits: int) -> np.ndarray:
 
     def mark(batches):
         for batch in batches:
-            langs, found = (batch.column(i).cast(pa.binary()).to_pylist() for i in (0, 1))
-            h = np.array([_combined([_hashes([w], x) for w in p.split(b" ")])[0] for x, p in zip(langs, found, strict=True)], dtype=np.uint64)
+            langs, found = (batch.column(i).cast(pa.binary()) for i in (0, 1))
+            h = np.zeros(len(found), dtype=np.uint64)
+            for lang in langs.unique():
+                rows = np.flatnonzero(pc.equal(langs, lang))
+                parts = pc.split_pattern(found.take(pa.array(rows)), pattern=" ").values
+                words = _hashes(parts, lang.as_py()).reshape(len(rows), -1)
+                h[rows] = _combined(list(words.T))
             at = np.unique(np.concatenate(_places(h, bits)))
             word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
             start = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, int)

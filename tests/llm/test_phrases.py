@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from evgraph.llm import phrases
 from pyspark.sql import functions as F
@@ -86,16 +87,21 @@ def test_chunks_end_between_pieces(monkeypatch):
         sums = []
         for chunks in (cut, whole):
             seen = Counter()
-            for lang, tokens in chunks:
-                for p, n in zip(*phrases.sequences(tokens, lang, k, None), strict=True):
+            for lang, words in chunks:
+                found, times = phrases.sequences(words, lang, k, None)
+                for p, n in zip(found.to_pylist(), times, strict=True):
                     seen[lang, p] += int(n)
             sums.append(seen)
         assert sums[0] == sums[1]
 
 
 def test_a_filter_loses_nothing():
-    words = [f"w{i}".encode() for i in range(500)]
+    words = pa.array([f"w{i}".encode() for i in range(500)])
     h = phrases._combined([phrases._hashes(words, b"en")])
+    alone = np.concatenate([phrases._hashes(words.slice(i, 1), b"en") for i in range(500)])
+    assert (phrases._combined([alone]) == h).all() and len(set(h.tolist())) == 500
+    assert (phrases._hashes(words, b"fr") != phrases._hashes(words, b"en")).all()
+    assert len(set(phrases._hashes(pa.array([b"", b"\0", b"\0\0", b"a", b"aa"]), b"").tolist())) == 5
     marks = np.zeros(1 << 10, dtype=np.uint64)
     for place in np.concatenate(phrases._places(h[:250], 1 << 16)).tolist():
         marks[place >> 6] |= np.uint64(1) << np.uint64(place & 63)
