@@ -14,8 +14,11 @@ from evgraph.llm.components import components, forest
 #: Fingerprints are two halves of 32 bits: where two differ in r bits, they differ in
 #: r // 2 at most in one of the halves. Each half has a tree of its own.
 HALVES = 2
-#: Rows that live in a leaf of the trees, on average.
-LEAF = 256
+#: Rows that live in a leaf of the trees, on average. A level more halves the comparisons
+#: of a row and adds a quarter to its copies.
+LEAF = 4096
+#: Rows that one call of a task gets, about.
+CALL_ROWS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -180,7 +183,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000,
     bits of who lives there and who visits, and yields a spanning forest of its links,
     so a dense group of n gives fewer than n rows, never all pairs.
     """
-    depth = max(0, int(np.ceil(np.log2(max(1, fps.count()) / leaf))))
+    distinct = fps.count()
+    depth = max(0, int(np.ceil(np.log2(max(1, distinct) / leaf))))
 
     def spread(batches):
         for batch in batches:
@@ -207,9 +211,11 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, leaf_rows: int = 50_000,
         split = rows.join(cuts.select("leaf", "v", "cut"), "leaf", "left").select("fp", "home", F.explode(to).alias("to"))
         rows = stage(split.select("fp", F.col("to.leaf").alias("leaf"), (F.col("home") & F.col("to.in")).alias("home")), "leaves")
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Most leaves are small: many of them share a task's call.
-    bucket = F.pmod(F.xxhash64("leaf"), F.lit(4 * n)).cast("int").alias("bucket")
+    # Leaves share a task's call, as many as hold ``CALL_ROWS`` rows; each level adds a
+    # quarter to the copies of a row.
+    copies = int(HALVES * distinct * 1.25**depth)
+    n = max(4 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), copies // CALL_ROWS)
+    bucket = F.pmod(F.xxhash64("leaf"), F.lit(n)).cast("int").alias("bucket")
 
     def pairs(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("leaf", kind="stable")
@@ -298,7 +304,8 @@ def _candidates(classes: DataFrame, most: int) -> DataFrame:
     band value; bands get longer and more as texts get more (``_bands``). Leaves over ``most`` rows are cut into chunks whose pairs are groups
     of their own; groups give spanning forests, never all pairs.
     """
-    bands = _bands(classes.count())
+    known = classes.count()
+    bands = _bands(known)
 
     def leaves(batches):
         for batch in batches:
@@ -323,8 +330,8 @@ def _candidates(classes: DataFrame, most: int) -> DataFrame:
     else:
         marked = rows.join(cut, F.col("leaf") == F.col("l"), "left").select("id", *columns, "leaf", chunks.alias("c"), mine.alias("mine"))
         dealt = marked.select("id", *columns, "leaf", "mine", spread).select("id", *columns, "leaf", "to.i", "to.j")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(8 * n)).cast("int")
+    n = max(8 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), known * len(bands) // CALL_ROWS)
+    bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(n)).cast("int")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["leaf", "i", "j", "id"], kind="stable")
