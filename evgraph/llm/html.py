@@ -65,13 +65,15 @@ def named(name: str) -> int:
 
 def part_of(tag: str, attributes: dict[str, str], inside: bool) -> int:
     """What an element says of itself: by its kind or role, else by its names, which
-    say nothing where they contradict each other. A header in an article is its own."""
+    say nothing where they contradict each other. A header in an article is its own, and
+    an ``article`` whose names all say something else is none (a comment is marked so)."""
     role = ROLES.get(attributes.get("role", "").lower(), 0)
     kind = PARTS.get(tag, 0) or (-1 if tag == "header" and not inside else 0)
-    if role or kind:
-        return role or kind
     says = {named(x) for k in ("class", "id") for x in attributes.get(k, "").split()} - {0}
-    return says.pop() if len(says) == 1 else 0
+    own = says.pop() if len(says) == 1 else 0
+    if kind > 0 and own < 0 and not role:
+        return own
+    return role or kind or own
 
 
 def unseen(tag: str, attributes: dict[str, str]) -> bool:
@@ -174,21 +176,31 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-#: Of a block and of the ones before and after it; then what its markup says, and
-#: whether any block of the page is said to be in an article.
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "part", "any_article")
-
-
-def features(found: list[Block]) -> list[tuple[float, ...]]:
-    """One vector per block: its own size and link density, and its neighbours'."""
-    whole = float(any(b.part > 0 for b in found))
-    edge = (0.0, 0.0)
-    size = [(float(b.words), min(1.0, b.links / b.words) if b.words else 0.0) for b in found]
-    rows = []
-    for i, b in enumerate(found):
-        before, after = size[i - 1] if i else edge, size[i + 1] if i + 1 < len(size) else edge
-        rows.append((*size[i], *before, *after, float(b.part), whole))
-    return rows
+#: How many blocks before and after one say something about it.
+NEAR = 2
+#: Sizes and link densities of a block and of its neighbours, the nearest first.
+SIZES = ("words", "density", *(f"{what}_{side}{k}" for k in range(1, NEAR + 1) for side in ("before", "after") for what in ("words", "density")))
+#: What markup names: the block's part, and whether any block is named as in an article.
+NAMES = ("part", "any_article")
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """A row per block: ``SIZES``, then ``NAMES``. There is nothing beyond a page's ends:
+    0 words, and a density of -1."""
+    n = len(found)
+    out = np.zeros((n, len(SIZES) + len(NAMES)))
+    words = np.array([b.words for b in found], dtype=float)
+    density = np.minimum(1.0, np.array([b.links for b in found], dtype=float) / np.maximum(words, 1))
+    out[:, 0], out[:, 1] = words, density
+    for k in range(1, NEAR + 1):
+        at = 2 + 4 * (k - 1)
+        out[:, [at + 1, at + 3]] = -1
+        if n > k:
+            out[k:, at], out[k:, at + 1] = words[:-k], density[:-k]
+            out[:-k, at + 2], out[:-k, at + 3] = words[k:], density[k:]
+    out[:, -2] = [b.part for b in found]
+    out[:, -1] = any(b.part > 0 for b in found)
+    return out
 
 
 @dataclass
@@ -200,37 +212,61 @@ class Node:
     high: "Node | None" = None
 
 
-def fit_tree(rows: list[tuple[float, ...]], labels: list[bool], depth: int = 7, least: int = 6) -> Node:
-    """A binary classification tree by Gini impurity; ties take the first feature."""
-    share = sum(labels) / len(labels)
-    if depth == 0 or share in (0.0, 1.0):
-        return Node(share)
-    best, n = None, len(labels)
-    for f in range(len(rows[0])):
-        order = sorted(range(n), key=lambda i: rows[i][f])
-        left, total = 0, sum(labels)
-        for k in range(1, n):
-            left += labels[order[k - 1]]
-            a, b = rows[order[k - 1]][f], rows[order[k]][f]
-            if a == b or k < least or n - k < least:
-                continue
-            p, q = left / k, (total - left) / (n - k)
-            gini = k * p * (1 - p) + (n - k) * q * (1 - q)
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, f, (a + b) / 2)
-    if best is None or best[0] >= n * share * (1 - share) - 1e-12:
-        return Node(share)
-    _, f, cut = best
-    low = [i for i in range(n) if rows[i][f] <= cut]
-    high = [i for i in range(n) if rows[i][f] > cut]
-    part = lambda at: fit_tree([rows[i] for i in at], [labels[i] for i in at], depth - 1, least)
-    return Node(share, f, cut, part(low), part(high))
-
-
-def accept(tree: Node, row: tuple[float, ...]) -> bool:
+#: A leaf of sizes and densities is left open, and names are asked, where the share of
+#: blocks of the main text in it is neither below this nor above its complement.
+OPEN = 0.01
+
+
+def _split(rows: np.ndarray, labels: np.ndarray, columns: range, least: int) -> tuple[int, float] | None:
+    """The column and cut of the least Gini impurity; ties take the first column."""
+    n, total, best = len(labels), labels.sum(), None
+    k = np.arange(1, n)
+    for f in columns:
+        order = np.argsort(rows[:, f], kind="stable")
+        x, left = rows[order, f], np.cumsum(labels[order])[:-1]
+        fine = (x[:-1] < x[1:]) & (k >= least) & (n - k >= least)
+        if not fine.any():
+            continue
+        right = total - left
+        gini = np.where(fine, left * (k - left) / k + right * (n - k - right) / (n - k), np.inf)
+        at = int(np.argmin(gini))
+        if best is None or gini[at] < best[0] - 1e-9:
+            best = (float(gini[at]), f, float((x[at] + x[at + 1]) / 2))
+    if best is None or best[0] >= total * (n - total) / n - 1e-9:
+        return None
+    return best[1], best[2]
+
+
+def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 4, least: int = 50, more: int = 8, fewer: int = 2) -> Node:
+    """A binary classification tree. The first ``depth`` questions are for sizes and
+    densities alone, with ``least`` blocks on either side; where these leave a leaf open
+    (``OPEN``), names are among what ``more`` questions may ask, with ``fewer`` blocks."""
+    sizes, every = range(len(SIZES)), range(len(SIZES) + len(NAMES))
+
+    def grow(at: np.ndarray, deep: int, columns: range) -> Node:
+        share = float(labels[at].mean())
+        cut = _split(rows[at], labels[at], columns, least if columns is sizes else fewer) if deep and 0 < share < 1 else None
+        if cut is None:
+            if columns is sizes and OPEN < share < 1 - OPEN:
+                return grow(at, more, every)
+            return Node(share)
+        low = rows[at, cut[0]] <= cut[1]
+        return Node(share, *cut, grow(at[low], deep - 1, columns), grow(at[~low], deep - 1, columns))
+
+    return grow(np.arange(len(labels)), depth, sizes)
+
+
+def leaf(tree: Node, row: np.ndarray) -> tuple[float, bool]:
+    """The share of the main text among blocks like this one, and whether names were asked."""
+    named_ = False
     while tree.feature >= 0:
+        named_ |= tree.feature >= len(SIZES)
         tree = tree.low if row[tree.feature] <= tree.most else tree.high
-    return tree.share >= 0.5
+    return tree.share, named_
+
+
+def accept(tree: Node, row: np.ndarray) -> bool:
+    return leaf(tree, row)[0] >= 0.5
 
 
 def _sample(words: int, links: int = 0) -> str:
@@ -262,7 +298,19 @@ LABELLED = (
     [("<div>", 4, 4, "</div>", 0), ("<div>", 2, 0, "</div>", 0), ("<div>", 3, 3, "</div>", 0), ("<h1>", 11, 0, "</h1>", 1), ("<p>", 22, 0, "</p>", 1), ("<ol><li>", 9, 0, "</li>", 1), ("<li>", 13, 0, "</li>", 1), ("<li>", 7, 0, "</li>", 1), ("<li>", 16, 0, "</li></ol>", 1), ("<p>", 41, 3, "</p>", 1), ("<p>", 35, 0, "</p>", 1), ("<div>", 6, 6, "</div>", 0), ("<div>", 13, 7, "</div>", 0), ("<div>", 12, 6, "</div>", 0), ("<div>", 4, 4, "</div>", 0), ("<div>", 9, 1, "</div>", 0)],
     # A shop: a description among prices, buttons and links.
     [("<div>", 2, 2, "</div>", 0), ("<div>", 1, 1, "</div>", 0), ("<div>", 2, 0, "</div>", 0), ("<div>", 3, 3, "</div>", 0), ("<div>", 1, 0, "</div>", 0), ("<div>", 2, 2, "</div>", 0), ("<h1>", 6, 0, "</h1>", 1), ("<p>", 48, 0, "</p>", 1), ("<p>", 31, 0, "</p>", 1), ("<div>", 3, 3, "</div>", 0), ("<div>", 2, 0, "</div>", 0), ("<div>", 2, 2, "</div>", 0), ("<div>", 3, 0, "</div>", 0), ("<div>", 5, 5, "</div>", 0)],
+    # Articles that end their page, hold lists of links or parts with odd names, and comments
+    # that are marked as articles.
+    [("<nav><ul><li>", 2, 2, "</li>", 0), ("<li>", 1, 1, "</li>", 0), ("<li>", 3, 3, "</li></ul></nav>", 0), ("<article><h1>", 5, 0, "</h1>", 1), ("<p>", 45, 0, "</p>", 1), ("<p>", 12, 0, "</p>", 1), ("<p>", 30, 0, "</p></article>", 1)],
+    [("<main><h1>", 4, 0, "</h1>", 1), ("<ul><li>", 2, 2, "</li>", 0), ("<li>", 2, 2, "</li>", 0), ("<li>", 3, 3, "</li>", 0), ("<li>", 1, 1, "</li>", 0), ("<li>", 2, 2, "</li>", 0), ("<li>", 2, 2, "</li></ul>", 0), ("<p>", 60, 0, "</p>", 1), ("<p>", 38, 0, "</p></main>", 1), ("<footer>", 9, 0, "</footer>", 0)],
+    [("<article><h1>", 7, 0, "</h1>", 1), ("<p>", 55, 0, "</p>", 1), ("<p>", 30, 0, "</p></article>", 1), ("<article class=comment><p>", 28, 0, "</p></article>", 0), ("<article class=comment><p>", 17, 0, "</p></article>", 0), ("<footer>", 10, 0, "</footer>", 0)],
+    [("<article><h1>", 6, 0, "</h1>", 1), ("<p>", 52, 0, "</p>", 1), ("<div class=share-price><p>", 50, 0, "</p></div>", 1), ("<p>", 33, 0, "</p>", 1), ("<p>", 41, 0, "</p></article>", 1)],
+    [("<article><h1>", 2, 0, "</h1>", 1), ("<p>", 1, 0, "</p>", 1), ("<div class=post-comments><p>", 1, 0, "</p></div></article>", 0)],
+    [("<div role=navigation><p>", 1, 0, "</p></div>", 0), ("<div id=mainContent><p>", 1, 0, "</p></div>", 1), ("<div class=comment-body><p>", 45, 0, "</p></div>", 0)],
+    [("<article><h1>", 3, 0, "</h1>", 1), ("<p>", 2, 0, "</p></article>", 1), ("<section id=comments><p>", 12, 0, "</p></section>", 0), ("<footer>", 1, 0, "</footer>", 0)],
+    # A short text between a menu and a list of links.
+    [("<div>", 1, 1, "</div>", 0), ("<div>", 2, 2, "</div>", 0), ("<div>", 2, 2, "</div>", 0), ("<h2>", 7, 0, "</h2>", 1), ("<p>", 58, 0, "</p>", 1), ("<p>", 20, 0, "</p>", 1), ("<ul><li>", 7, 7, "</li>", 0), ("<li>", 10, 10, "</li>", 0), ("<li>", 9, 9, "</li></ul>", 0)],
     # Texts with little or nothing around them.
+    [("<p>", 1, 0, "</p>", 1), ("<p>", 1, 0, "</p>", 1)],
     [("<p>", 12, 0, "</p>", 1)],
     [("<h1>", 5, 0, "</h1>", 1), ("<p>", 70, 1, "</p>", 1), ("<p>", 33, 0, "</p>", 1), ("<p>", 28, 0, "", 1)],
     [("<h1>", 4, 0, "</h1>", 1), ("<p>", 21, 0, "</p>", 1), ("<p>", 18, 0, "</p>", 1), ("<p>", 26, 0, "</p>", 1), ("<p>", 3, 3, "</p>", 0)],
@@ -284,8 +332,8 @@ def laid_out(page: list[tuple[str, int, int, str, int]], rng: np.random.Generato
 
 
 @lru_cache(maxsize=1)
-def trained() -> Node:
-    """The tree fitted to ``LABELLED``, each layout at several lengths of its blocks."""
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``LABELLED``, each layout at several lengths of its blocks."""
     rng, rows, labels = np.random.default_rng(7), [], []
     for page in LABELLED:
         for _ in range(LAYOUTS):
@@ -293,25 +341,64 @@ def trained() -> Node:
             found = blocks(markup)
             if len(found) != len(marks):
                 raise ValueError("a labelled page does not split into its rows")
-            rows += features(found)
+            rows.append(features(found))
             labels += marks
-    return fit_tree(rows, labels)
+    return np.concatenate(rows), np.array(labels, dtype=float)
 
 
-def main_text(page: str | None) -> str:
+@lru_cache(maxsize=1)
+def trained() -> Node:
+    """The tree fitted to ``LABELLED`` alone."""
+    return fit_tree(*_table())
+
+
+def train(pages: DataFrame, page: str = "html", sample_pages: int = 200, sample_blocks: int = 40_000) -> Node:
+    """A tree fitted to ``LABELLED`` and to the blocks of at most ``sample_pages`` different
+    pages whose markup names an article, ``sample_blocks`` blocks at most: those that are in
+    one are the main text. Each is learned twice, the second time without any name, so that
+    sizes decide whatever they can. They are the pages of the least hashes, so reruns agree, and only
+    sizes and labels reach the driver. Without such a page the tree is that of ``LABELLED``.
+    """
+    held = pages.select(quoted(page).alias("x")).filter(F.col("x").rlike("(?i)<article|role=.?article"))
+    first = held.select(F.xxhash64("x").alias("h")).distinct().orderBy("h").limit(sample_pages)
+
+    def sized(batches):
+        for batch in batches:
+            found = [blocks(x) for x in batch["x"]]
+            sizes = [[[b.words, b.links, b.part] for b in f[:sample_blocks]] for f in found]
+            yield pd.DataFrame({"h": batch["h"], "b": sizes})
+
+    rows = held.withColumn("h", F.xxhash64("x")).join(F.broadcast(first.withColumnRenamed("h", "k")), F.col("h") == F.col("k"), "left_semi")
+    got = rows.groupBy("h").agg(F.min("x").alias("x")).mapInPandas(sized, "h long, b array<array<long>>").orderBy("h").toPandas()
+    table, labels = _table()
+    rows, marks, left = [table], [labels], sample_blocks
+    for found in got["b"]:
+        page_blocks = [Block("", int(w), int(k), int(p)) for w, k, p in found]
+        if not any(b.part > 0 for b in page_blocks) or len(page_blocks) > left:
+            continue
+        left -= len(page_blocks)
+        known = features(page_blocks)
+        silent = known.copy()
+        silent[:, len(SIZES) :] = 0
+        rows += [known, silent]
+        marks += [np.array([b.part > 0 for b in page_blocks], dtype=float)] * 2
+    return fit_tree(np.concatenate(rows), np.concatenate(marks))
+
+
+def main_text(page: str | None, tree: Node | None = None) -> str:
     found = blocks(page or "")
-    tree = trained()
+    tree = tree or trained()
     return "\n".join(b.text for b, row in zip(found, features(found), strict=True) if accept(tree, row))
 
 
-def extract(pages: DataFrame, page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, page: str = "html", tree: Node | None = None) -> DataFrame:
     """Add ``text``: the main text of each whole page, blocks joined by a line end.
 
-    A page is cut at block-level tags into flat text blocks. A decision tree, fitted
-    to the small labelled table above, accepts a block by its word count and link
-    density, those of the blocks before and after it, and, where the markup names
-    an article or a part beside it, by that. Each row stands alone: no shuffle,
-    bounded Arrow batches, no hot host.
+    A page is cut at block-level tags into flat text blocks. A decision tree (by default the
+    one that ``train`` fits to these pages) accepts a block by its word count and
+    link density and those of the two blocks before and after it. Only where these leave
+    it open does it ask what the markup names. Each row stands alone: no shuffle, bounded
+    Arrow batches, no hot host.
 
     Character references are decoded once, white space in a block becomes one space,
     blocks are trimmed. Null and empty pages give empty texts, broken or cut-off
@@ -320,9 +407,11 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
     the page itself; others pass through. An empty table gives an empty result.
     """
 
+    tree = tree or train(pages, page)
+
     @F.pandas_udf("string")
     def text(found: pd.Series) -> pd.Series:
-        return found.map(main_text)
+        return found.map(lambda x: main_text(x, tree))
 
     rest = [quoted(c) for c in pages.columns if c.lower() != "text"]
     return pages.select(*rest, text(quoted(page)).alias("text"))

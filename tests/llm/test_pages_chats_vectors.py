@@ -64,11 +64,14 @@ def test_names(name, says):
 
 
 def split_on(node):
-    return set() if node.feature < 0 else {html.FEATURES[node.feature]} | split_on(node.low) | split_on(node.high)
+    return set() if node.feature < 0 else {(html.SIZES + html.NAMES)[node.feature]} | split_on(node.low) | split_on(node.high)
 
 
 def test_the_tree_decides_by_sizes_and_densities_of_neighbours():
-    assert {"words", "density", "density_before", "density_after", "words_after"} <= split_on(html.trained())
+    tree = html.trained()
+    assert {"words", "density", "density_before1", "density_after1", "words_after1", "density_before2"} <= split_on(tree)
+
+    assert tree.feature < len(html.SIZES) and max(tree.low.feature, tree.high.feature) < len(html.SIZES)
 
 
 def test_the_tree_separates_layouts_of_other_lengths():
@@ -146,6 +149,31 @@ def test_extract_against_a_parser(spark):
     assert len(rows) == 250 and all(r.text == want(r.html) for r in rows)
 
 
+def test_sizes_decide_where_names_are_taken_out(spark):
+    """All pages of a table with every name gone give the same texts, by a tree fitted to
+    some pages that had them."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    tree = html.train(pages, sample_pages=150)
+    assert tree == html.train(pages.repartition(7), sample_pages=150)
+    found = [r.html for r in pages.collect()]
+    mute = [re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", x).replace('class="ad"', "") for x in found]
+    assert all(b.part == 0 for x in mute for b in html.blocks(x))
+    assert [html.main_text(x, tree) for x in mute] == [html.main_text(x, tree) for x in found]
+
+
+def test_parts_that_names_get_wrong():
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    item = "<li><a href=x>{}</a></li>".format
+    links = "<main><h1>A b c d</h1><ul>" + "".join(item(words(n)) for n in (2, 2, 3, 2, 1, 2, 2, 2)) + f"</ul><p>{words(60)}</p><p>{words(40)}</p></main><footer>{words(9)}</footer>"
+    assert html.main_text(links).split("\n")[-2:] == [words(60), words(40)] and "w0 w1 w2\n" not in html.main_text(links)
+    comment = f"<article><h1>A b c d e</h1><p>{words(60)}</p><p>{words(33)}</p></article><article class='comment'><p>{words(29)}</p></article><footer>{words(9)}</footer>"
+    assert html.main_text(comment) == "\n".join(["A b c d e", words(60), words(33)])
+    ends = f"<nav><ul>{item(words(2))}{item(words(1))}{item(words(2))}</ul></nav><article><h1>A b c d e</h1><p>{words(50)}</p><p>{words(12)}</p><p>{words(31)}</p></article>"
+    assert html.main_text(ends) == "\n".join(["A b c d e", words(50), words(12), words(31)])
+    odd = f"<article><h1>A b c d e f</h1><p>{words(52)}</p><div class=share-price><p>{words(50)}</p></div><p>{words(33)}</p><p>{words(41)}</p></article>"
+    assert html.main_text(odd) == "\n".join(["A b c d e f", words(52), words(50), words(33), words(41)])
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (1, "u", PAGE, "old"), (None, None, "<p>" + "x " * 200_000, None)], "page_id long, url string, html string, TEXT string")
     out = html.extract(pages).collect()
