@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.operators.traverse import layers
-from evgraph.storage import stage
+from evgraph.storage import counted, stage
 
 #: Boxes at the top, in a stage and in a drilled component.
 TOP_BOXES, STAGE_BOXES, COMPONENT_BOXES, DOMAIN_DEPTH = 12, 12, 24, 2
@@ -164,6 +164,55 @@ def cited(facts: DataFrame, key: str, place: str, most: int = 6) -> DataFrame:
     return first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(place)), "|").alias("cited"))
 
 
+def top_groups(groups: DataFrame, edges: DataFrame, most: int = TOP_BOXES) -> DataFrame:
+    """``module``, ``anchor``, ``how`` for at most ``most`` groups (``anchor``, ``module``) and
+    those that fit none of them. ``edges``: src, dst between modules.
+
+    The ``most`` largest groups are kept, ties by anchor. In the same order each further one
+    joins the kept group that its modules have most connections with (``connected``), what
+    joined before it included; without any, the one that holds the module of the longest
+    common path (``near``); else it stays alone. Ties go to the least anchor.
+
+    A group looks only at those before it. All are decided at once from what the last round
+    decided, again until nothing changes: by then each has seen the final places of all
+    before it, so the result is that of going one by one, in as many rounds as one decision
+    hangs on another. Paths meet by equal prefixes, of which each kept group counts once.
+    """
+    sizes = groups.groupBy("anchor").agg(F.count("*").alias("n"))
+    order = F.struct((-F.col("n")).alias("less"), F.col("anchor").alias("name")).alias("turn")
+    ranked = stage(groups.join(sizes.select(F.col("anchor").alias("of"), "n"), F.col("anchor") == F.col("of")).select("module", "anchor", order), "turns")
+    first = stage(ranked.select("anchor", "turn").distinct().orderBy("turn").limit(most).select(F.col("anchor").alias("kept")), "kept")
+    rest = ranked.join(first, F.col("anchor") == F.col("kept"), "left_anti")
+    whole = ranked.select(F.col("module").alias("m"), F.col("anchor").alias("g"), F.col("turn").alias("t"))
+    pairs = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    near = rest.join(pairs, F.col("module") == F.col("src")).join(whole, F.col("dst") == F.col("m")).filter("t < turn")
+    near = stage(near.groupBy("anchor", "g").agg(F.count("*").alias("n")), "connections")
+    parts = F.split("module", "/", -1)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("deep"), F.array_join(F.slice(parts, 1, k), "/").alias("prefix")))
+    dirs = stage(ranked.select("anchor", "turn", F.inline(prefixes)).distinct(), "prefixes")
+    asks = dirs.join(first, F.col("anchor") == F.col("kept"), "left_anti")
+    known = dirs.select(F.col("prefix").alias("p"), F.col("anchor").alias("g"), F.col("turn").alias("t"))
+    own = first.select(F.col("kept").alias("from"), F.col("kept").alias("to"))
+    place, before = own, -1
+    while True:
+        at = place.select(F.col("from").alias("f"), "to")
+        linked = near.join(at, F.col("g") == F.col("f")).groupBy("anchor", "to").agg(F.sum("n").alias("n"))
+        linked = linked.groupBy("anchor").agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("to"))).alias("x")).select("anchor", F.col("x.to").alias("to"), F.lit("connected").alias("how"))
+        # Of each kept group, when its first module below a prefix came.
+        held = known.join(at, F.col("g") == F.col("f")).groupBy("p", "to").agg(F.min("t").alias("t"))
+        below = asks.join(linked.select(F.col("anchor").alias("done")), F.col("anchor") == F.col("done"), "left_anti").join(held, (F.col("prefix") == F.col("p")) & (F.col("t") < F.col("turn")))
+        below = below.groupBy("anchor").agg(F.min(F.struct((-F.col("deep")).alias("less"), F.col("to"))).alias("x")).select("anchor", F.col("x.to").alias("to"), F.lit("near").alias("how"))
+        new, n = counted(linked.unionByName(below), "places")
+        same = 0 if n != before else new.join(place.select(F.col("from").alias("f"), F.col("to").alias("old")), (F.col("anchor") == F.col("f")) & (F.col("to") == F.col("old")), "left_semi").count()
+        place, unchanged, before = own.unionByName(new.select(F.col("anchor").alias("from"), "to")), n == before and same == n, n
+        if unchanged:
+            break
+    told = new.select(F.col("anchor").alias("f"), "to", "how")
+    out = ranked.join(told, F.col("anchor") == F.col("f"), "left").join(first, F.col("anchor") == F.col("kept"), "left")
+    how = F.when(F.col("kept").isNotNull(), "kept").otherwise(F.coalesce("how", F.lit("alone")))
+    return out.select("module", F.coalesce("to", "anchor").alias("anchor"), how.alias("how"))
+
+
 def derive_all(views: dict[str, Callable[[], View]]) -> tuple[dict[str, View], dict[str, str]]:
     """All views, and why those that failed are absent."""
     made, absent = {}, {}

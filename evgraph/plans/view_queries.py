@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evgraph.operators import build, communities, derive, joins, layout
 from evgraph.plans.registry import query
 from evgraph.sources import star
-from evgraph.sources.star import PATHS_SQL, TRADE_SQL
+from evgraph.sources.star import HANDOVERS_SQL, PATHS_SQL, TRADE_SQL
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,69 @@ def communities_T(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query()(communities_T)
 
+
+def communities_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the part graph, whose points grow with the parts; a search, like the last."""
+    steps = star.handovers(spark, sf_dir).withColumn("weight", F.lit(1))
+    parts = star.table(spark, sf_dir, "part").select(star.node_id("part", "p_partkey").alias("module"))
+    return communities.communities(parts, build.weighted_pairs(steps, F.col("weight")))
+
+
+query()(communities_parts)
+
+
+@query(f"""
+with recursive {HANDOVERS_SQL}, m as (
+  select 'part:' || p_partkey as id, p_brand || '/' || p_type || '/' || p_partkey as path, p_brand || p_type[1] || p_size as key from part
+), a as (
+  select key, min(path) as anchor, count(*) as n from m group by key
+), o as (
+  select *, row_number() over (order by n desc, anchor) as turn from a
+), p as (
+  select path, id, o.anchor, turn from m join o using (key)
+), e as (
+  select distinct x.turn as a, y.turn as b, x.path as pa, y.path as pb from (select src, dst from h union select dst, src from h) t
+  join p x on x.id = t.src join p y on y.id = t.dst
+), adj as (
+  select a, list({{'h': b, 'c': c}}) as adj from (select a, b, count(*) as c from e where b < a group by 1, 2) group by a
+), dirs as (
+  select distinct turn, deep, array_to_string(string_split(path, '/')[1 : deep], '/') as dir from (select *, unnest([1, 2, 3]) as deep from p)
+), pre as (
+  select a, list({{'h': b, 'd': d}}) as pre from (
+    select x.turn as a, y.turn as b, max(x.deep) as d from dirs x join dirs y on x.dir = y.dir and y.turn < x.turn where x.turn > 12 group by 1, 2) group by a
+), g as (
+  select o.turn, coalesce(adj, []) as adj, coalesce(pre, []) as pre from o left join adj on adj.a = o.turn left join pre on pre.a = o.turn
+), ks as (
+  select list(turn order by anchor) as ks from o where turn <= 12
+), s as (
+  select least(12, (select count(*) from o)) as turn, list_transform(range(1, 13), lambda x: x) as put from ks
+  union all
+  select turn, list_append(put, case when list_max(cs) > 0 then ks[list_position(cs, list_max(cs))] when list_max(ds) > 0 then ks[list_position(ds, list_max(ds))] else 0 end)
+  from (
+    select g.turn, s.put, ks.ks,
+      list_transform(ks.ks, lambda t: coalesce(list_sum(list_transform(list_filter(g.adj, lambda x: s.put[x.h] = t), lambda x: x.c)), 0)::bigint) as cs,
+      list_transform(ks.ks, lambda t: coalesce(list_max(list_transform(list_filter(g.pre, lambda x: s.put[x.h] = t), lambda x: x.d)), 0)::bigint) as ds
+    from s join g on g.turn = s.turn + 1, ks)
+), last as (
+  select put from s order by turn desc limit 1
+)
+select path as module, coalesce(k.anchor, p.anchor) as anchor,
+  case when p.turn <= 12 then 'kept' when k.turn is null then 'alone'
+       when list_max(list_transform(coalesce(g.adj, []), lambda x: (put[x.h] > 0)::int)) > 0 then 'connected' else 'near' end as how
+from p join g on g.turn = p.turn, last left join o k on k.turn = nullif(put[p.turn], 0)
+""")
+def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in groups, merged to a dozen by how they follow each other, then by path."""
+    part = star.table(spark, sf_dir, "part")
+    path = F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string"))
+    key = F.concat("p_brand", F.substring("p_type", 1, 1), F.col("p_size").cast("string"))
+    modules = part.select(star.node_id("part", "p_partkey").alias("id"), path.alias("module"), key.alias("key"))
+    anchors = modules.groupBy("key").agg(F.min("module").alias("anchor")).withColumnRenamed("key", "of")
+    groups = modules.join(anchors, F.col("key") == F.col("of")).select("anchor", "module")
+    a, b = (modules.select(F.col("id").alias(f"{k}_id"), F.col("module").alias(k)) for k in ("src_module", "dst_module"))
+    steps = star.handovers(spark, sf_dir).join(a, F.col("src") == F.col("src_module_id")).join(b, F.col("dst") == F.col("dst_module_id"))
+    return derive.top_groups(groups, steps.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst")))
+
 _CANVAS = """
 b as (select 'v' || (p_partkey // 300) as view, 'b' || p_partkey as id, (p_partkey * 37 % 2000)::int as x1, (p_partkey * 37 % 2000 + p_size)::int as x2,
   (p_partkey * 91 % 1000)::int as y1, (p_partkey * 91 % 1000 + 20)::int as y2 from part),
@@ -162,3 +225,50 @@ def local_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     binds = spark.createDataFrame([("Gold", 1, 4), ("Silver", 3, 6), ("Bronze", 2, 5), ("Iron", 1, 9)], "kind string, lo long, hi long")
     places = star.table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     return joins.narrowest(places, ["conv_id", "turn"], "turn", binds, "lo", "hi", "kind")
+
+
+@query("""
+with b as (select 'v' || (p_partkey % 5) as view, 'b' || p_partkey as id, p_partkey * 7919 % 20000 as x1, p_partkey * 6101 % 20000 as y1, p_partkey * 7919 % 20000 + 40 + p_size as x2, p_partkey * 6101 % 20000 + 24 as y2 from part),
+m as (select 'v' || (o_orderkey % 5) as view, 'r' || o_orderkey as route, o_orderkey * 3571 % 20000 as x1, o_orderkey * 2969 % 20000 as y1, o_orderkey * 3571 % 20000 + 30 as x2, o_orderkey * 2969 % 20000 + 12 as y2 from orders),
+s as (select 'v' || (l_orderkey % 5) as view, 'r' || l_orderkey as route, (l_orderkey * 3571 + l_linenumber * 50) % 20000 as x1, l_partkey * 4337 % 20000 as y1, (l_orderkey * 3571 + l_linenumber * 50) % 20000 + 200 as x2 from lineitem)
+select m.view, m.route, 'box' as "on", b.id as other from m join b on m.view = b.view and m.x1 < b.x2 and m.x2 > b.x1 and m.y1 < b.y2 and m.y2 > b.y1
+union select m.view, m.route, 'route', s.route from m join s on m.view = s.view and m.route <> s.route and m.x1 < s.x2 and m.x2 > s.x1 and m.y1 < s.y1 and m.y2 > s.y1
+union select m.view, m.route, 'label', n.route from m join m n on m.view = n.view and m.route < n.route and m.x1 < n.x2 + 4 and m.x2 + 4 > n.x1 and m.y1 < n.y2 + 4 and m.y2 + 4 > n.y1
+""")
+def label_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of orders that lie over boxes of parts, over other orders' lines or labels."""
+    t = lambda name: star.table(spark, sf_dir, name)
+    view = lambda key: F.concat(F.lit("v"), (F.col(key) % 5).cast("string")).alias("view")
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    at = lambda key, by: F.col(key) * by % 20_000
+
+    def rect(df: DataFrame, key: str, mark: str, to: str, across: int, down: int, wide: Column, high: int) -> DataFrame:
+        x, y = at(key, across), at(key, down)
+        return df.select(view(key), name(mark, key).alias(to), x.alias("x1"), y.alias("y1"), (x + wide).alias("x2"), (y + high).alias("y2"))
+
+    boxes = rect(t("part"), "p_partkey", "b", "id", 7919, 6101, F.col("p_size") + 40, 24)
+    labels = rect(t("orders"), "o_orderkey", "r", "route", 3571, 2969, F.lit(30), 12)
+    x, y = (F.col("l_orderkey") * 3571 + F.col("l_linenumber") * 50) % 20_000, at("l_partkey", 4337)
+    lines = t("lineitem").select(view("l_orderkey"), name("r", "l_orderkey").alias("route"), x.alias("x1"), y.alias("y1"), (x + 200).alias("x2"), y.alias("y2"))
+    return layout.label_faults(labels, boxes, lines)
+
+
+@query(f"""
+with {_CANVAS}, f as (
+  select view, 'band' || (y1 // 100) as frame, (y1 // 100) * 100 as low, (y1 // 100) * 100 + 110 as high, id from b
+), g as (select distinct view, frame, low, high from f),
+q as (select view, frame, id as member from f union all select view, frame, 'ghost' from g where low = 300)
+select q.view, q.frame, member, case when b.id is null then 'no-box' else 'not-inside' end as fault
+from q join g on g.view = q.view and g.frame = q.frame left join b on b.view = q.view and b.id = q.member
+where b.id is null or b.y1 < low or b.y2 > high
+""")
+def band_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that reach out of the band that claims them, and claims of what is no box."""
+    boxes, _ = _canvas(spark, sf_dir)
+    low = F.expr("(y1 div 100) * 100").cast("int")
+    held = boxes.select("view", F.concat(F.lit("band"), F.expr("y1 div 100").cast("string")).alias("frame"), low.alias("low"), "id")
+    none = F.lit(None).cast("int")
+    frames = held.select("view", "frame", none.alias("x1"), F.col("low").alias("y1"), none.alias("x2"), (F.col("low") + 110).alias("y2")).distinct()
+    members = held.select("view", "frame", F.col("id").alias("member")).union(frames.filter("y1 = 300").select("view", "frame", F.lit("ghost")))
+    canvas = boxes.select("view", F.lit(4000).alias("width"), F.lit(4000).alias("height")).distinct()
+    return layout.frame_faults(frames, members, boxes, canvas)
