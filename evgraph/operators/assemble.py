@@ -1,4 +1,4 @@
-"""From the facts of Python files to a graph: nodes, and edges with their evidence.
+"""From the facts of Python and Rust files to a graph: nodes, and edges with evidence.
 
 Every reference ends in one state, and references of each kind and state are counted.
 All steps are equi joins on facts; nothing is gathered but what a small fixed table
@@ -33,21 +33,21 @@ class Graph:
     references: DataFrame
 
     def scorecard(self) -> DataFrame:
-        return build.scorecard(self.references.withColumn("lang", F.lit("python")), ["lang", "kind"])
+        return build.scorecard(self.references, ["lang", "kind"])
 
 
-def node_rows(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def node_rows(files: DataFrame, symbols: DataFrame, lang: str = "python") -> DataFrame:
     """A node for each file, cited by its first line (0 if it has none), and one for
     each symbol; of symbols with one id the first by line."""
     line = F.when(F.col("line_count") > 0, 1).otherwise(0)
     whole = files.select(
         F.col("path").alias("id"), F.lit("module").alias("kind"), F.substring_index("path", "/", -1).alias("label"), F.col("path").alias("qualified_name"),
-        F.col("path").alias("file"), line.alias("start_line"), line.alias("end_line"), F.lit("").alias("class"), F.lit("python.module").alias("producer"),
+        F.col("path").alias("file"), line.alias("start_line"), line.alias("end_line"), F.lit("").alias("class"), F.lit(f"{lang}.module").alias("producer"),
     )
     first = symbols.groupBy("id").agg(F.min(F.struct("start_line", "end_line", "kind", "name", "path", "qualified_name", "enclosing_class")).alias("s"))
     named = first.select(
         "id", "s.kind", F.col("s.name").alias("label"), F.concat_ws(".", F.nullif(qualified_prefix(F.col("s.path")), F.lit("")), "s.qualified_name").alias("qualified_name"),
-        F.col("s.path").alias("file"), "s.start_line", "s.end_line", F.col("s.enclosing_class").alias("class"), F.lit("python.symbols").alias("producer"),
+        F.col("s.path").alias("file"), "s.start_line", "s.end_line", F.col("s.enclosing_class").alias("class"), F.lit(f"{lang}.symbols").alias("producer"),
     )
     return whole.unionByName(named)
 
@@ -98,18 +98,19 @@ def import_facts(imports: DataFrame, files: DataFrame, declared: DataFrame | Non
 
 
 def find_symbols(asked: DataFrame, imports: DataFrame, tops: DataFrame, depth: int = 4) -> DataFrame:
-    """``file``, ``name``, ``id``: the top-level symbol that a name stands for in a
-    file, by way of at most ``depth`` re-exports where the file does not define it."""
-    given = imports.filter("is_from and target is not null and target <> path and real <> '*'")
-    exports = given.groupBy(F.col("path").alias("file"), F.col("alias").alias("name")).agg(F.max(F.struct("start_line", "target", "real")).alias("e"))
-    exports = exports.select("file", "name", F.col("e.target").alias("to_file"), F.col("e.real").alias("to_name"))
-    exports = exports.join(tops.select(F.col("path").alias("o_path"), F.col("name").alias("o_name")), (F.col("file") == F.col("o_path")) & (F.col("name") == F.col("o_name")), "left_anti")
-    chased = resolve.follow_reexports(asked.select("file", "name").distinct(), stage(exports, "exports"), depth)
-    hits = chased.join(tops.select("path", F.col("name").alias("s_name"), "id", "start_line"), (F.col("at") == F.col("path")) & (F.col("as") == F.col("s_name")))
+    """``file``, ``name``, ``id``: the top-level symbol that a name stands for in a file, by
+    way of at most ``depth`` imports of that name, or of all names, where the file does
+    not define it."""
+    given = imports.filter("is_from and target is not null and target <> path")
+    named = given.filter("real <> '*'").groupBy(F.col("path").alias("file"), F.col("alias").alias("name")).agg(F.max(F.struct("start_line", "target", "real")).alias("e"))
+    named = stage(named.select("file", "name", F.col("e.target").alias("to_file"), F.col("e.real").alias("to_name"), F.col("e.start_line").alias("line")), "exports")
+    stars = given.filter("real = '*'").groupBy(F.col("path").alias("file"), F.col("target").alias("to_file")).agg(F.min("start_line").alias("line"))
+    found = resolve.search_exports(asked, named, stage(stars, "stars"), tops, depth)
+    hits = found.join(tops.select("path", F.col("name").alias("s_name"), "id", "start_line"), (F.col("at") == F.col("path")) & (F.col("as") == F.col("s_name")))
     return hits.groupBy("file", "name").agg(F.min(F.struct("start_line", "id")).alias("f")).select("file", "name", "f.id")
 
 
-def _import_edges(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _import_edges(rows: DataFrame, found: DataFrame, lang: str = "python") -> tuple[DataFrame, DataFrame]:
     """Edges and states of imports, and of the names they bring."""
     known = found.select(F.col("file").alias("k_file"), F.col("name").alias("k_name"), F.col("id").alias("symbol"))
     rows = rows.join(known, (F.col("target") == F.col("k_file")) & (F.col("real") == F.col("k_name")), "left")
@@ -120,7 +121,7 @@ def _import_edges(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     edge = lambda df, dst, kind: df.select(F.col("path").alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"), *place)
     edges = edge(rows.filter("target is not null"), "target", "imports").distinct()
     edges = edges.union(edge(rows.filter("is_module"), "sibling", "imports")).union(edge(rows.filter("not is_module and symbol is not null"), "symbol", "references")).distinct()
-    out = edges.select("src", "dst", "kind", "file", "start_line", "end_line", F.lit("resolved").alias("resolution"), F.lit(1).alias("arity"), F.lit(None).cast("string").alias("shape"), F.lit("python.imports").alias("producer"))
+    out = edges.select("src", "dst", "kind", "file", "start_line", "end_line", F.lit("resolved").alias("resolution"), F.lit(1).alias("arity"), F.lit(None).cast("string").alias("shape"), F.lit(f"{lang}.imports").alias("producer"))
     missed = F.when(F.col("external"), "external").otherwise("unresolved")
     statement = rows.groupBy("path", "start_line", "base", "level", "is_from").agg(F.bool_or(F.col("target").isNotNull() | F.col("is_module")).alias("hit"), F.bool_or("external").alias("external"))
     states = statement.select(F.lit("imports").alias("kind"), F.when(F.col("hit"), "resolved").otherwise(missed).alias("resolution"))
@@ -163,7 +164,7 @@ def _typed(calls: DataFrame, symbols: DataFrame, line: DataFrame, type_name: str
     return at.join(of, (F.col("c_path") == F.col("f_path")) & (F.col("c_name") == F.col("f_class")) & (F.col("method") == F.col("f_method"))).select("call", "hit")
 
 
-def _call_edges(calls: DataFrame, facts: DataFrame, symbols: DataFrame, rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def _call_edges(calls: DataFrame, facts: DataFrame, symbols: DataFrame, rows: DataFrame, most: int, lang: str = "python") -> tuple[DataFrame, DataFrame]:
     """Edges and states of calls, by their shape. A hit resolves a call, several are
     candidates with the call and each definition as evidence, over ``most`` none."""
     calls = stage(calls.withColumn("call", F.monotonically_increasing_id()), "calls")
@@ -186,11 +187,15 @@ def _call_edges(calls: DataFrame, facts: DataFrame, symbols: DataFrame, rows: Da
     dotted = scoped.filter("shape = 'qualified'")
     through = dotted.filter("declared is null and i is not null")
     modules = through.select("call", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("i.target").alias("file")), F.struct(F.lit(1).alias("way"), F.col("i.sibling").alias("file")))).alias("w"), "name").select("call", "w.way", "w.file", "name").filter("file is not null")
-    looked = modules.unionByName(brought.withColumn("way", F.lit(0)))
+    # A name that no import names may come by one that brings all names of a file.
+    stars = rows.filter("is_from and real = '*' and target is not null and target <> path").select(F.col("path").alias("star")).distinct()
+    starred = bare.filter("n is null and i is null").join(stars, F.col("path") == F.col("star"), "left_semi").select("call", F.lit(0).alias("way"), F.col("path").alias("file"), "name")
+    looked = stage(modules.unionByName(brought.withColumn("way", F.lit(0))).unionByName(starred), "looked")
     ids = find_symbols(looked, rows, tops).toDF("k_file", "k_name", "hit")
     by_import = looked.join(ids, (F.col("file") == F.col("k_file")) & (F.col("name") == F.col("k_name"))).groupBy("call").agg(F.min(F.struct("way", "hit")).alias("b")).select("call", "b.hit")
     everywhere = tops.groupBy(F.col("name").alias("s_name")).agg(F.count_distinct("id").alias("all")).filter(F.col("all") <= most)
-    anywhere = bare.filter("n is null and i is null").join(everywhere, F.col("name") == F.col("s_name"), "left_semi").join(tops.select(F.col("name").alias("m"), F.col("id").alias("hit")), F.col("name") == F.col("m")).select("call", "hit")
+    told = by_import.select(F.col("call").alias("told"))
+    anywhere = bare.filter("n is null and i is null").join(told, F.col("call") == F.col("told"), "left_anti").join(everywhere, F.col("name") == F.col("s_name"), "left_semi").join(tops.select(F.col("name").alias("m"), F.col("id").alias("hit")), F.col("name") == F.col("m")).select("call", "hit")
     by_local = _typed(dotted.filter("declared <> ''"), symbols, line, "declared")
     by_class = _typed(dotted.filter("declared is null and i is null"), symbols, line, "receiver")
     # Calls on oneself, on one's bases, on a typed field, on a field of a typed local.
@@ -226,7 +231,7 @@ def _call_edges(calls: DataFrame, facts: DataFrame, symbols: DataFrame, rows: Da
     judged = stage(judged.select("call", "path", "start_line", "end_line", "shape", "enclosing", n.cast("int").alias("arity"), state.alias("resolution")), "judged")
     sure = judged.filter("resolution in ('resolved', 'candidate')").join(hits.withColumnRenamed("call", "h"), F.col("call") == F.col("h"))
     src = symbol_id(F.col("path"), F.col("enclosing")).alias("src")
-    tail = ["resolution", "arity", "shape", F.lit("python.calls").alias("producer")]
+    tail = ["resolution", "arity", "shape", F.lit(f"{lang}.calls").alias("producer")]
     edges = sure.select(src, F.col("hit").alias("dst"), F.lit("calls").alias("kind"), F.col("path").alias("file"), "start_line", "end_line", *tail)
     places = symbols.groupBy(F.col("id").alias("s_id")).agg(F.min(F.struct("path", "start_line", "end_line")).alias("s"))
     shown = sure.filter("resolution = 'candidate'").drop("start_line", "end_line").join(places, F.col("hit") == F.col("s_id"))
@@ -269,17 +274,55 @@ def graph(files: DataFrame, facts: DataFrame, declared: DataFrame | None = None,
     edges, states = parts[0]
     for e, s in parts[1:]:
         edges, states = edges.unionByName(e), states.unionByName(s)
-    return Graph(node_rows(sources, symbols), stage(edges.select(*EDGE), "edges"), stage(states, "states"))
+    return Graph(node_rows(sources, symbols), stage(edges.select(*EDGE), "edges"), stage(states.withColumn("lang", F.lit("python")), "states"))
+
+
+def rust_graph(files: DataFrame, facts: DataFrame, declared: DataFrame | None = None, most: int = resolve.MOST_CANDIDATES) -> Graph:
+    """The graph of Rust files among ``files`` (path, lang, line_count, text) from their
+    ``facts`` (``rust_facts``); manifests among them say which crates there are.
+
+    Paths of ``use`` and ``mod`` are looked up in the trees of modules (``crates``), calls
+    by shape like those of any language. A path into a declared package or the standard
+    library is external, another without a file unresolved.
+    """
+    from evgraph.operators import crates
+
+    sources = stage(files.filter("lang = 'rust'").select("path", "line_count"), "sources")
+    of = lambda fact: facts.filter(F.col("fact") == fact)
+    kept = ["path", "name", "qualified_name", "kind", "start_line", "end_line", "enclosing", "enclosing_class", "bases"]
+    symbols = stage(of("symbol").select(*kept, symbol_id(F.col("path"), F.col("qualified_name")).alias("id")), "symbols")
+    known = stage(crates.packages(files), "packages")
+    found, _ = crates.resolved(of("import"), sources, symbols, known)
+    outside = sources.sparkSession.createDataFrame([(n,) for n in crates.STANDARD], "package string")
+    if declared is not None:
+        outside = outside.union(declared.select(F.regexp_replace("name", "-", "_"))).distinct()
+    outside = outside.join(known, F.col("package") == F.col("crate"), "left_anti")
+    head = F.element_at("parts", 1)
+    rows = found.join(outside, head == F.col("package"), "left").withColumn("external", F.col("package").isNotNull() & F.col("target").isNull())
+    rows = stage(rows.withColumn("is_from", F.col("real") != "").withColumn("level", F.lit(0)).withColumn("sibling", F.lit(None).cast("string")), "import-facts")
+    here = rows.filter("target is null or target <> path")
+    edges = here.filter("target is not null").select(F.col("path").alias("src"), F.col("target").alias("dst"), F.col("path").alias("file"), "start_line", "end_line").distinct()
+    blank = F.lit(None).cast("string")
+    imports = edges.select("src", "dst", F.lit("imports").alias("kind"), "file", "start_line", "end_line", F.lit("resolved").alias("resolution"), F.lit(1).alias("arity"), blank.alias("shape"), F.lit("rust.imports").alias("producer"))
+    state = F.when(F.col("target").isNotNull(), "resolved").when(F.col("external"), "external").otherwise("unresolved")
+    states = here.select(F.lit("imports").alias("kind"), state.alias("resolution"))
+    calls = of("call").select("path", "start_line", "end_line", "name", "shape", "receiver", "enclosing", "enclosing_class")
+    called, told = _call_edges(calls, facts, symbols, rows, most, "rust")
+    return Graph(node_rows(sources, symbols, "rust"), stage(imports.unionByName(called).select(*EDGE), "edges"), stage(states.unionByName(told).withColumn("lang", F.lit("rust")), "states"))
 
 
 def of_folder(spark: SparkSession, root: str) -> Graph:
-    """From a folder of source files to its graph."""
-    from evgraph.extract import manifests, python_facts
+    """From a folder of source files to its graph, Python and Rust in one."""
+    from evgraph.extract import manifests, python_facts, rust_facts
     from evgraph.sources.files import scan
 
     files = stage(scan(spark, root), "files")
     declared = manifests.dependencies(files).select("name").distinct()
-    return graph(files, stage(python_facts.extract(files), "facts"), declared)
+    found = graph(files, stage(python_facts.extract(files), "facts"), declared)
+    if files.filter("lang = 'rust'").isEmpty():
+        return found
+    more = rust_graph(files, stage(rust_facts.extract(files), "facts"), declared)
+    return Graph(found.nodes.unionByName(more.nodes), found.edges.unionByName(more.edges), found.references.unionByName(more.references))
 
 
-__all__ = ["Graph", "find_symbols", "graph", "import_facts", "modules_named", "node_rows", "of_folder"]
+__all__ = ["Graph", "find_symbols", "graph", "import_facts", "modules_named", "node_rows", "of_folder", "rust_graph"]

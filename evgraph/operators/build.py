@@ -126,6 +126,31 @@ def runtime_edges(facts: DataFrame, keep: Column, site: Column) -> DataFrame:
     return facts.filter(keep).groupBy("src", "dst").agg(F.count_distinct(site).alias("weight"))
 
 
+def merge_attributes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What facts (``src``, ``dst``, ``kind``, ``fact`` (its number), ``attrs`` (a map)) say of each
+    edge, and their citations (``file``, ``start_line``, ``end_line``; a row each).
+
+    One fact's attributes stay as they are. Of several, a value that all who name it share
+    stays, different ones are joined in order, and ``type_only`` holds only if every fact
+    says so: one that runs makes the edge run. ``sites`` then counts citations. Values are
+    reduced by edge and name before any list is made. The second table has the
+    distinct citations with their place (``nth`` from 1) in canonical order.
+    """
+    from pyspark.sql import Window
+
+    cited = facts.select(*KEY, "file", "start_line", "end_line").distinct()
+    sizes = facts.groupBy(*KEY).agg(F.count_distinct("fact").alias("facts")).join(cited.groupBy(*KEY).agg(F.count("*").alias("sites")), list(KEY))
+    said = facts.select(*KEY, "fact", F.explode("attrs").alias("name", "value")).distinct()
+    each = said.groupBy(*KEY, "name").agg(F.count_distinct("fact").alias("named"), F.count_distinct(F.when(F.col("value") == "true", F.col("fact"))).alias("true"), F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
+    ruled = each.join(sizes, list(KEY)).filter((F.col("name") != "type_only") | (F.col("facts") == 1) | (F.col("true") == F.col("facts")))
+    lists = ruled.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("held"))
+    whole = sizes.join(lists, list(KEY), "left").select(*KEY, "facts", "sites", F.coalesce("held", F.create_map().cast("map<string,string>")).alias("held"))
+    sites = F.create_map(F.lit("sites"), F.col("sites").cast("string"))
+    rest = F.map_filter("held", lambda k, v: k != "sites")
+    order = Window.partitionBy(*KEY).orderBy(F.col("start_line") == 0, "file", "start_line", "end_line")
+    return whole.select(*KEY, F.when(F.col("facts") == 1, F.col("held")).otherwise(F.map_concat(rest, sites)).alias("attrs")), cited.withColumn("nth", F.row_number().over(order))
+
+
 def weighted_pairs(edges: DataFrame, weight: Column) -> DataFrame:
     """Undirected pairs with summed weights; loops fall away."""
     return (

@@ -93,3 +93,19 @@ def system(nodes: DataFrame, edges: DataFrame, shipped: DataFrame, roles: DataFr
     foreign = across.join(own, (F.col("a_id") == F.col("o_id")) & (F.col("b_module") == F.col("o_module")), "left_anti")
     code = foreign.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")).distinct()
     return View(made, declared.withColumn("kind", F.lit("declared")).unionByName(code.withColumn("kind", F.lit("code"))))
+
+
+def environment_overlays(environments: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Declared environments (``name``, ``sources``) and the services in them (``name``,
+    ``service``). ``environments``: name, source, file; ``services``: id, file, dockerfile.
+
+    A file's name puts all services that the file defines into its environment, and an image's
+    file those that are built from it; other declarations name no service. Both meet by
+    equal file names; sources are as few as there are kinds of them.
+    """
+    facts = environments.select("name", "source", "file").distinct()
+    badges = facts.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+    here = services.select(F.col("id").alias("service"), F.col("file").alias("at"), F.lit("filename").alias("by"))
+    made = services.filter("dockerfile is not null").select(F.col("id").alias("service"), F.col("dockerfile").alias("at"), F.lit("dockerfile").alias("by"))
+    linked = facts.join(here.unionByName(made), (F.col("file") == F.col("at")) & (F.col("source") == F.col("by")))
+    return badges, linked.select("name", "service").distinct()

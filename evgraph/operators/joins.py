@@ -86,6 +86,23 @@ def overlaps(a: DataFrame, b: DataFrame, on: list[str], low: str, high: str, wid
     return x.join(y, equal).filter(meet & once).drop("a_cell", "b_cell")
 
 
+def touching(a: DataFrame, b: DataFrame, on: list[str], size: float) -> DataFrame:
+    """Pairs of rectangles (x1, y1, x2, y2) with equal ``on`` that share a point, as columns
+    ``a_`` and ``b_``. Each is put into the cells of a grid that it touches, so the join is
+    an equi join on the cell; a pair is kept in the one cell where its overlap begins."""
+
+    def cells(df: DataFrame, tag: str) -> DataFrame:
+        along = lambda low, high: F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
+        named = df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns], along("x1", "x2").alias("xs"), along("y1", "y2").alias("ys"))
+        return named.withColumn(f"{tag}_cx", F.explode("xs")).withColumn(f"{tag}_cy", F.explode("ys")).drop("xs", "ys")
+
+    x, y = cells(a, "a"), cells(b, "b")
+    equal = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*on, "cx", "cy")]
+    meet = (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))
+    once = (F.col("a_cx") == F.floor(F.greatest("a_x1", "b_x1") / size)) & (F.col("a_cy") == F.floor(F.greatest("a_y1", "b_y1") / size))
+    return x.join(y, equal).filter(meet & once).drop("a_cx", "a_cy", "b_cx", "b_cy")
+
+
 def absent_within(rows: DataFrame, key: list[str], at: str, others: DataFrame, other_at: str, ahead: int) -> DataFrame:
     """Rows with no partner of equal ``key`` at ``at`` + 1 to ``at`` + ``ahead``."""
     spread = others.select(*[F.col(k).alias(f"o_{k}") for k in key], F.explode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda d: F.col(other_at) - d)).alias("o_at")).distinct()

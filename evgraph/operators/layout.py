@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.operators.joins import overlaps
+from evgraph.operators.joins import overlaps, touching
 
 GAP = 4
 CELL = 256.0
@@ -73,3 +73,67 @@ def long_edges(edges: DataFrame, layer: DataFrame) -> DataFrame:
     low, high = F.least("a_layer", "b_layer"), F.greatest("a_layer", "b_layer")
     between = F.when(high - low > 1, F.sequence(low + 1, high - 1)).otherwise(F.array().cast("array<int>"))
     return joined.select("src", "dst", (F.col("a_layer") > F.col("b_layer")).alias("turned"), between.alias("dummies"))
+
+
+def oriented(edges: DataFrame, layer: DataFrame) -> DataFrame:
+    """``low``, ``high``, ``src``, ``dst``, ``turned``: every edge between different nodes
+    turned to run down by (layer, id). Edges that close a cycle run up or within a layer,
+    where ids decide, so no cycle is left, and the real ends say where the arrow points."""
+    a, b = (layer.select(F.col("id").alias(f"{k}_id"), F.col("layer").alias(f"{k}_layer")) for k in "ab")
+    joined = edges.select("src", "dst").distinct().filter("src <> dst").join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id"))
+    turned = F.struct("a_layer", "src") > F.struct("b_layer", "dst")
+    low, high = F.when(turned, F.col("dst")).otherwise(F.col("src")), F.when(turned, F.col("src")).otherwise(F.col("dst"))
+    return joined.select(low.alias("low"), high.alias("high"), "src", "dst", turned.alias("turned"))
+
+
+def route_faults(routes: DataFrame, points: DataFrame, boxes: DataFrame, canvas: DataFrame, gap: int = GAP) -> DataFrame:
+    """``view``, ``route``, ``fault`` of routes (view, route, src, dst) by their ``points`` (view,
+    route, nth, x, y): ``no-box`` for an end that is none, and else ``short`` with fewer than
+    two points, ``off-canvas``, ``loose`` where the first or last point is not on its box."""
+    at = boxes.select(F.col("view").alias("b_view"), F.col("id").alias("b_id"), "x1", "y1", "x2", "y2")
+    ends = routes.select("view", "route", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("src").alias("end")), F.struct(F.lit(False).alias("first"), F.col("dst").alias("end")))).alias("e"))
+    ends = ends.select("view", "route", "e.first", "e.end").join(at, (F.col("view") == F.col("b_view")) & (F.col("end") == F.col("b_id")), "left")
+    lost = ends.filter("b_id is null").select("view", "route").distinct()
+    place = F.struct("nth", "x", "y")
+    line = points.groupBy(F.col("view").alias("p_view"), F.col("route").alias("p_route")).agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("z"), F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+    sound = routes.select("view", "route").join(lost, ["view", "route"], "left_anti").join(line, (F.col("view") == F.col("p_view")) & (F.col("route") == F.col("p_route")), "left")
+    size = canvas.select(F.col("view").alias("c_view"), "width", "height")
+    drawn = sound.join(size, F.col("view") == F.col("c_view"), "left")
+    short = F.coalesce("n", F.lit(0)) < 2
+    off = ~short & ((F.col("left") < 0) | (F.col("top") < 0) | (F.col("right") > F.col("width")) | (F.col("bottom") > F.col("height")))
+    tips = ends.filter("b_id is not null").join(drawn.filter(~short).select(F.col("view").alias("d_view"), F.col("route").alias("d_route"), "a", "z"), (F.col("view") == F.col("d_view")) & (F.col("route") == F.col("d_route")))
+    tip = lambda c: F.when(F.col("first"), F.col(f"a.{c}")).otherwise(F.col(f"z.{c}"))
+    on_box = tip("x").between(F.col("x1") - gap, F.col("x2") + gap) & tip("y").between(F.col("y1") - gap, F.col("y2") + gap)
+    said = lambda rows, fault: rows.select("view", "route", F.lit(fault).alias("fault"))
+    return said(lost, "no-box").union(said(drawn.filter(short), "short")).union(said(drawn.filter(off), "off-canvas")).union(said(tips.filter(~on_box), "loose")).distinct()
+
+
+def frame_faults(frames: DataFrame, members: DataFrame, boxes: DataFrame, canvas: DataFrame) -> DataFrame:
+    """``view``, ``frame``, ``member``, ``fault`` of frames (view, frame, x1, y1, x2, y2; a band
+    has no x) that claim ``members`` (view, frame, member): ``no-box`` for one that is none,
+    ``not-inside`` for one the frame does not hold, ``off-canvas`` for the frame itself."""
+    held = members.join(boxes.select(F.col("view").alias("b_view"), F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]), (F.col("view") == F.col("b_view")) & (F.col("member") == F.col("b_id")), "left")
+    lost = held.filter("b_id is null").select("view", "frame", "member", F.lit("no-box").alias("fault"))
+    at = frames.select(F.col("view").alias("f_view"), F.col("frame").alias("f_frame"), "x1", "y1", "x2", "y2")
+    both = held.filter("b_id is not null").join(at, (F.col("view") == F.col("f_view")) & (F.col("frame") == F.col("f_frame")))
+    out = (F.col("b_y1") < F.col("y1")) | (F.col("b_y2") > F.col("y2")) | F.coalesce((F.col("b_x1") < F.col("x1")) | (F.col("b_x2") > F.col("x2")), F.lit(False))
+    outer = both.filter(out).select("view", "frame", "member", F.lit("not-inside").alias("fault"))
+    size = canvas.select(F.col("view").alias("c_view"), "width", "height")
+    beyond = (F.col("x1") < 0) | (F.col("y1") < 0) | (F.col("x2") > F.col("width")) | (F.col("y2") > F.col("height"))
+    off = frames.join(size, F.col("view") == F.col("c_view")).filter(beyond & F.col("x1").isNotNull()).select("view", "frame", F.lit(None).cast("string").alias("member"), F.lit("off-canvas").alias("fault"))
+    return lost.unionByName(outer).unionByName(off).distinct()
+
+
+def label_faults(labels: DataFrame, boxes: DataFrame, segments: DataFrame, gap: int = GAP) -> DataFrame:
+    """``view``, ``route``, ``on``, ``other``: labels of routes (view, route, x1, y1, x2, y2) that
+    lie over a box, over another route's segment, or closer than ``gap`` to another
+    label, found by the cells of a grid."""
+    mask = labels.select("view", F.col("route").alias("id"), "x1", "y1", "x2", "y2")
+    over = (F.col("a_x1") < F.col("b_x2")) & (F.col("a_x2") > F.col("b_x1")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("a_y2") > F.col("b_y1"))
+    told = lambda pairs, on: pairs.select(F.col("a_view").alias("view"), F.col("a_id").alias("route"), F.lit(on).alias("on"), F.col("b_id").cast("string").alias("other"))
+    on_box = touching(mask, boxes.select("view", "id", "x1", "y1", "x2", "y2"), ["view"], CELL).filter(over)
+    lines = segments.select("view", F.col("route").alias("id"), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
+    on_line = touching(mask, lines, ["view"], CELL).filter(over & (F.col("a_id") != F.col("b_id")))
+    wide = mask.select("view", "id", "x1", "y1", (F.col("x2") + gap).alias("x2"), (F.col("y2") + gap).alias("y2"))
+    on_label = touching(wide, wide, ["view"], CELL).filter(over & (F.col("a_id") < F.col("b_id")))
+    return told(on_box, "box").union(told(on_line, "route")).union(told(on_label, "label")).distinct()

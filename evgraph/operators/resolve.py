@@ -81,6 +81,37 @@ def follow_reexports(names: DataFrame, exports: DataFrame, depth: int = 4) -> Da
     return now
 
 
+def search_exports(asked: DataFrame, named: DataFrame, stars: DataFrame, tops: DataFrame, depth: int = 4) -> DataFrame:
+    """``file``, ``name``, ``at``, ``as``: the first definition of a name that a file has or
+    brings, depth first in the order of its imports, ``depth`` imports away at most.
+
+    ``named``: file, name, to_file, to_name, line; ``stars`` (all names of a file): file,
+    to_file, line; ``tops``: path, name. A file's own definition ends its search. All
+    searches take a step at once; the lines of the imports on the way, compared as an
+    array, are the order depth-first search would go in, so the least is what it finds. A
+    step has a row for each file that a search is at, however many ways lead there.
+    """
+    blank = F.array().cast("array<int>")
+    front = asked.select("file", "name").distinct().select("file", "name", F.col("file").alias("at"), F.col("name").alias("as"), blank.alias("way"))
+    known = tops.select(F.col("path").alias("k_path"), F.col("name").alias("k_name")).distinct()
+    by_name = named.select(F.col("file").alias("n_file"), F.col("name").alias("n_name"), "to_file", "to_name", F.col("line").alias("n_line"))
+    by_star = stars.select(F.col("file").alias("s_file"), F.col("to_file").alias("s_to"), F.col("line").alias("s_line"))
+    here = (F.col("at") == F.col("k_path")) & (F.col("as") == F.col("k_name"))
+    hits = None
+    for k in range(depth + 1):
+        found = front.join(known, here, "left_semi")
+        hits = found if hits is None else hits.unionByName(found)
+        if k == depth:
+            break
+        open_ = front.join(known, here, "left_anti")
+        on = lambda line: F.concat("way", F.array(line.cast("int"))).alias("way")
+        one = open_.join(by_name, (F.col("at") == F.col("n_file")) & (F.col("as") == F.col("n_name"))).select("file", "name", F.col("to_file").alias("at"), F.col("to_name").alias("as"), on(F.col("n_line")))
+        all_ = open_.join(by_star, F.col("at") == F.col("s_file")).select("file", "name", F.col("s_to").alias("at"), "as", on(F.col("s_line")))
+        front = stage(one.unionByName(all_).groupBy("file", "name", "at", "as").agg(F.min("way").alias("way")), "search")
+    best = hits.groupBy("file", "name").agg(F.min(F.struct("way", "at", "as")).alias("b"))
+    return best.select("file", "name", "b.at", "b.as")
+
+
 def ancestors(symbols: DataFrame) -> DataFrame:
     """``path``, ``class``, ``a_path``, ``ancestor``, ``order`` of all classes above a
     class, nearest first in the order bases are written. A base is the class of its

@@ -355,13 +355,16 @@ def scc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.strong_components(star.handovers(spark, sf_dir))
 
 
-@query(f"""
+#: The layer of each part, as common table expressions.
+LAYERS_SQL = f"""
 {_HANDED}, ids as (select src as id from h union select dst from h),
 m as (select id, coalesce(point, id) as point from ids left join k using (id)),
 d as (select distinct a.point as src, b.point as dst from h join m a on h.src = a.id join m b on h.dst = b.id where a.point <> b.point),
-w(point, depth) as (select point, 0 from m union select d.dst, depth + 1 from w join d on d.src = w.point)
-select id, max(depth)::int as layer from m join w using (point) group by 1
-""")
+w(point, depth) as (select point, 0 from m union select d.dst, depth + 1 from w join d on d.src = w.point),
+lay as (select id, max(depth)::int as layer from m join w using (point) group by 1)"""
+
+
+@query(f"{LAYERS_SQL} select id, layer from lay")
 def layers_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.layers(star.handovers(spark, sf_dir))
 

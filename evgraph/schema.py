@@ -59,9 +59,11 @@ def module_of(path: Column) -> Column:
 
 def qualified_prefix(path: Column) -> Column:
     """What the names of a file begin with: its path by dots, without its ending; a
-    package's own file stands for its directory."""
+    package's own file stands for its directory. Rust files go by crate and module."""
     bare = F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), r"(^|/)__init__$", "")
-    return F.replace(bare, F.lit("/"), F.lit("."))
+    module = F.regexp_replace(F.regexp_replace(bare, r"^(?:.*/)?([^/]+/)src/", "$1"), r"^src/", "")
+    module = F.regexp_replace(F.regexp_replace(module, "/mod$", ""), "(^|/)(lib|main)$", "")
+    return F.replace(F.when(path.endswith(".rs"), module).otherwise(bare), F.lit("/"), F.lit("."))
 
 
 def symbol_id(path: Column, qualified_name: Column) -> Column:
