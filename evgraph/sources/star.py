@@ -86,7 +86,7 @@ def trade(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
 def handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src``, ``dst``: from part to part of an order's next line, where both lines
     were returned. Nodes grow with the parts, edges with the line items."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     back = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     steps = back.select("*", F.lead("l_partkey").over(w).alias("next"), F.lead("l_returnflag").over(w).alias("flag"))
     both = steps.filter("l_returnflag = 'R' and flag = 'R'")
@@ -158,16 +158,16 @@ HANDOVERS_SQL = """
 h as (
   select distinct 'part:' || l_partkey as src, 'part:' || nxt as dst from (
     select l_partkey, l_returnflag, lead(l_partkey) over w as nxt, lead(l_returnflag) over w as flag from lineitem
-    window w as (partition by l_orderkey order by l_linenumber, l_partkey)) where l_returnflag = 'R' and flag = 'R'
+    window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag)) where l_returnflag = 'R' and flag = 'R'
 )"""
 LISTINGS_SQL = """
 files as (
-  select 'customer/' || o_custkey as path, list(case l_quantity::int
+  select path, list(line order by l_orderkey, l_linenumber, line) as w from (select 'customer/' || o_custkey as path, l_orderkey, l_linenumber, case l_quantity::int
     when 1 then '/* open' when 2 then 'end */' when 3 then '\"\"\"' when 4 then repeat(chr(39), 3) || 'one line' || repeat(chr(39), 3)
     when 5 then 'import (' when 6 then ')' when 7 then 'import {' when 8 then '}' when 9 then '# note' when 10 then 'from x import y'
     when 11 then '' when 12 then '/* shut */' when 13 then '***' when 14 then 'from x import ('
-    else l_returnflag || ' ' || l_linestatus || ' ' || year(l_shipdate) end order by l_orderkey, l_linenumber) as w
-  from lineitem join orders on l_orderkey = o_orderkey group by o_custkey
+    else l_returnflag || ' ' || l_linestatus || ' ' || year(l_shipdate) end as line
+  from lineitem join orders on l_orderkey = o_orderkey) group by path
 )"""
 PATHS_SQL = """
 p as (
