@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evgraph.functions import classify
 from evgraph.functions import text as fn
-from evgraph.operators import ask, derive, design, findings, health, joins, traverse
+from evgraph.operators import ask, derive, design, findings, health, joins, lock, semantics, traverse
 from evgraph.plans.registry import query
 from evgraph.sources import star
 from evgraph.sources.star import FACTS_SQL, LINES_SQL, PATHS_SQL, TRADE_SQL
@@ -81,13 +82,18 @@ def debt_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECRET = r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)[a-z_]*[ ]*[:=][ ]*[^ \t\n]{4,}"
 
 
+_RULES = " union all ".join(f"select '{rule}' as rule, $r${pattern}$r$ as pattern" for rule, pattern in semantics.SECRETS)
+
+
 @query(rf"""
-select doc_id, len(regexp_extract_all(text, '{_SECRET}'))::bigint as hits,
-  regexp_extract(text, '{_SECRET}') as first from documents where regexp_matches(text, '{_SECRET}')
+with {LINES_SQL}, r as ({_RULES}),
+f as (select doc_id, n, rule, regexp_extract(line, pattern, 1) as value from l, r where regexp_matches(line, pattern))
+select doc_id, (n + 1)::int as line, rule from f where not regexp_matches(value, $p${semantics.PLACEHOLDER}$p$)
 """)
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = star.table(spark, sf_dir, "documents").filter(F.col("text").rlike(_SECRET))
-    return docs.select("doc_id", F.regexp_count("text", F.lit(_SECRET)).cast("long").alias("hits"), F.regexp_extract("text", _SECRET, 0).alias("first"))
+    """Lines that hold a secret, by rule; the value is never part of the result."""
+    docs = star.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", F.lit("source").alias("role"))
+    return semantics.secrets(docs).select(F.col("path").cast("long").alias("doc_id"), "line", "rule")
 
 
 @query(rf"""
@@ -210,22 +216,65 @@ def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.longest_prefix(paths, ["page_id"], F.col("path"), known, "dir").select("page_id", F.col("candidate").alias("prefix"))
 
 
+#: Made-up places of parts as files, and what a few of them begin with.
+_DIRS = ("src", "vendor/lib", "app/tests", "generated", ".github", "src/migrations", "app/__tests__", "lib/core", "docs", "third_party")
+_NAMES = ("main.py", "view.ts", "table.sql", "package.json", "run_test.go", "api_pb2.py", "Cargo.toml", "lib.rs", "notes.txt", "deploy.tf", "settings-prod.yaml", "compose.yml")
+_TEXTS = ("", "x = 1\ny = 2\n", "# Code generated by a tool. DO NOT EDIT.\nx = 1", "revision = 'a'\ndown_revision = 'b'\n", "no end")
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_FILES = f"""
+files as (
+  select p_partkey, {_listed(_DIRS)}[p_size % {len(_DIRS)} + 1] || '/' || p_partkey || '/' || {_listed(_NAMES)}[p_partkey % {len(_NAMES)} + 1] as path,
+    replace({_listed(tuple(t.replace(chr(10), '@') for t in _TEXTS))}[(p_partkey // 7) % {len(_TEXTS)} + 1], '@', chr(10)) as text from part
+), g as (
+  select *, string_split(path, '/')[:-2] as dirs, string_split(path, '/')[-1] as name, regexp_extract(path, '\\.([A-Za-z]+)$', 1) as ext,
+    array_to_string(string_split(text, chr(10))[:5], chr(10)) as head from files
+), k as (
+  select *, map {{{', '.join(f"'{a}': '{b}'" for a, b in classify.LANGUAGES.items())}}}[ext] as lang,
+    coalesce(map {{{', '.join(f"'{a}': '{b}'" for a, b in classify.CONFIG_NAMES.items())}}}[name],
+      {', '.join(f"case when regexp_matches(path, $q${p}$q$) then '{v}' end" for p, v in classify.CONFIG_PATTERNS)}) as config
+  from g
+)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path``, ``text`` of a made-up file for each part."""
+    pick = lambda values, key: F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+    key = F.col("p_partkey")
+    path = F.concat_ws("/", pick(_DIRS, F.col("p_size")), key.cast("string"), pick(_NAMES, key))
+    return star.table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), pick(_TEXTS, F.floor(key / 7)).alias("text"))
+
+
 @query(f"""
-with {PATHS_SQL} select page_id, case when regexp_matches(host, '^m[.]') then 'mobile' when contains(html, 'class="ad"') and length(html) < 2000 then 'vendored'
-  when list_contains(string_split(path, '/'), 'de') then 'config' when regexp_matches(path, '/[0-9]+$') then 'source' else 'other' end as role
-from p join pages using (page_id)
+with {_FILES} select p_partkey, case
+  when regexp_matches(path, '^\\.[^/]*/') then 'tooling' when list_has_any(dirs, {_listed(classify.VENDOR_DIRS)}) then 'vendored'
+  when lang = 'sql' and list_has_any(dirs, {_listed(classify.GENERATED_DIRS)}) then 'config'
+  when list_has_any(dirs, {_listed(classify.GENERATED_DIRS)}) or regexp_matches(name, $q${classify.GENERATED_FILE}$q$) then 'generated'
+  when lang = 'python' and starts_with(text, 'revision') then 'generated'
+  when list_has_any(dirs, {_listed(classify.TEST_DIRS)}) or regexp_matches(name, $q${classify.TEST_FILE}$q$) then 'test'
+  when config is not null then 'config' when lang is not null and regexp_matches(head, $q${classify.BANNER}$q$) then 'generated' else 'source' end as role
+from k
 """)
 def classify_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that fits gives the role."""
-    pages = star.paths(spark, sf_dir).join(star.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    role = (
-        F.when(F.col("host").rlike("^m[.]"), "mobile")
-        .when(F.col("html").contains('class="ad"') & (F.char_length("html") < 2000), "vendored")
-        .when(F.array_contains(F.split("path", "/"), "de"), "config")
-        .when(F.col("path").rlike("/[0-9]+$"), "source")
-        .otherwise("other")
-    )
-    return pages.select("page_id", role.alias("role"))
+    """What files are for, by their place, their name and how they begin."""
+    return _files(spark, sf_dir).select("p_partkey", classify.role(F.col("path"), F.col("text")).alias("role"))
+
+
+@query(f"""
+with {_FILES} select p_partkey, lang, config, case when text = '' then 0 else len(text) - len(replace(text, chr(10), '')) + (not ends_with(text, chr(10)))::int end::int as lines,
+  case when name = 'settings-prod.yaml' then 'production' end as environment from k
+""")
+def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, kind of settings, lines and environment of files."""
+    path = F.col("path")
+    return _files(spark, sf_dir).select(
+        "p_partkey", classify.language(path).alias("lang"), classify.config_kind(path).alias("config"), classify.line_count(F.col("text")).alias("lines"),
+        classify.environment_of_path(path).alias("environment"),
+    )
 
 
 #: Parts of a style by directory name: style, part, rank, name.
@@ -257,9 +306,17 @@ def _forbidden(spark: SparkSession) -> DataFrame:
     return design.forbidden_pairs(spark.createDataFrame([("lingual", ["front", "middle", "back"]), ("nordic", ["front", "back"])], "style string, parts array<string>"))
 
 
-@query(f'with {_FORBIDDEN} select style, "from", "to" from forb')
+@query(f"""
+with {_ASSIGNED}, {_FORBIDDEN}, n as (select style, b[3] as part, count(*) as n from asg group by 1, 2)
+select f.style, f."from", f."to", a.n::bigint as from_modules, b.n::bigint as to_modules from forb f
+join n a on a.style = f.style and a.part = f."from" join n b on b.style = f.style and b.part = f."to"
+""")
 def design_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forbidden(spark)
+    """Imports that styles forbid between parts that modules play, and how many play them."""
+    played = _assigned(spark, sf_dir).groupBy("style", "part").agg(F.count("*").alias("n"))
+    a, b = (played.select(F.col("style").alias(f"{k}_style"), F.col("part").alias(f"{k}_part"), F.col("n").alias(f"{k}_modules")) for k in ("from", "to"))
+    rules = _forbidden(spark).join(a, (F.col("style") == F.col("from_style")) & (F.col("from") == F.col("from_part")))
+    return rules.join(b, (F.col("style") == F.col("to_style")) & (F.col("to") == F.col("to_part"))).select("style", "from", "to", "from_modules", "to_modules")
 
 
 _DEPS = """
@@ -399,12 +456,9 @@ def lock_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lock_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts written as escaped fields and parsed back."""
     docs = star.table(spark, sf_dir, "documents").filter("text is not null")
-    records = docs.select("doc_id", F.lit("note").alias("kind"), F.array("text").alias("fields"))
-    shown = records.select("doc_id", F.concat_ws("\t", "kind", F.transform("fields", fn.escape_field)).alias("value"))
-    line = F.split("value", "\t")
-    field = F.element_at(line, 2)
-    error = F.when(fn.bad_escape(field), "L-003")
-    return shown.select("doc_id", F.element_at(line, 1).alias("kind"), F.md5(fn.unescape_field(field).cast("binary")).alias("hash"), error.alias("error"))
+    records = docs.select(F.lit("note").alias("kind"), F.array(F.col("doc_id").cast("string"), "text").alias("fields"))
+    read = lock.parse(lock.render(records))
+    return read.select(F.element_at("fields", 1).cast("long").alias("doc_id"), "kind", F.md5(F.element_at("fields", 2).cast("binary")).alias("hash"), "error")
 
 
 _HALVES = """
@@ -496,16 +550,15 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.keyword_scores(docs, "doc_id", F.col("text"), ["license", "ouon", "ouon"])
 
 
-@query("with " + _SCORES + """, r as (select doc_id, score, greatest(n_chars // 4, 1) as cost, sum(greatest(n_chars // 4, 1)) over (order by score desc, doc_id rows unbounded preceding) as spent
-  from sc join documents using (doc_id) where score > 0)
-select doc_id, score::bigint as score, cost::bigint as cost, spent::bigint as spent from r where spent <= 20000
+@query("with " + _SCORES + """, j as (select doc_id, score, '{' || chr(10) || '  "doc_id": ' || doc_id || ',' || chr(10) || '  "score": ' || score::bigint || chr(10) || '}' as shown from sc where score > 0),
+r as (select doc_id, score, (len(shown) + 4 * 3) // 4 as cost, sum((len(shown) + 4 * 3) // 4) over (order by score desc, doc_id rows unbounded preceding) as spent from j)
+select doc_id, score::bigint as score, cost::bigint as cost, spent::bigint as spent from r where spent <= 2000
 """)
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hits that fit the budget."""
     docs = star.table(spark, sf_dir, "documents").filter("text is not null")
     hits = ask.keyword_scores(docs, "doc_id", F.col("text"), ["license", "ouon", "ouon"])
-    sized = hits.join(docs.select("doc_id", "n_chars"), "doc_id")
-    return ask.within_budget(sized, F.greatest((F.col("n_chars") / 4).cast("long"), F.lit(1)), [F.desc("score"), F.col("doc_id")], 20000).select("doc_id", "score", "cost", "spent")
+    return ask.within_budget(hits, fn.json_cost(F.struct("doc_id", "score")), [F.desc("score"), F.col("doc_id")], 2000).select("doc_id", "score", "cost", "spent")
 
 
 @query(f"""
