@@ -389,7 +389,7 @@ select id, i::bigint as fan_in, o::bigint as fan_out from (select dst as id, cou
 join (select src as id, count(*) as o from e group by 1) using (id) where i > 9 and o > 9
 """)
 def hub_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.hubs(star.trade(spark, sf_dir, top=None))
+    return health.hubs(star.trade(spark, sf_dir))
 
 
 @query(f"""

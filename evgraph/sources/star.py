@@ -73,14 +73,9 @@ def trade_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trade(spark: SparkSession, sf_dir: str, top: int | None = 3) -> DataFrame:
-    """``src``, ``dst``, ``weight``: line items sold from nation to nation; the
-    ``top`` heaviest edges of each source, ties by id."""
-    found = trade_facts(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    if top is None:
-        return found
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return found.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= top).drop("nth")
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src``, ``dst``, ``weight``: line items sold from nation to nation."""
+    return trade_facts(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +143,7 @@ facts as (
 TRADE_SQL = (
     FACTS_SQL
     + """,
-allpairs as (select src, dst, count(*) as weight from facts group by src, dst),
-t as (
-  select src, dst, weight from (
-    select *, row_number() over (partition by src order by weight desc, dst) as nth from allpairs) where nth <= 3
-)"""
+t as (select src, dst, count(*) as weight from facts group by src, dst)"""
 )
 HANDOVERS_SQL = """
 h as (
