@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions.text import matches, tokens
 from evgraph.operators.traverse import reach
+from evgraph.storage import stage
 
 TIERS = ("id", "qualified_name", "label")
 
@@ -84,6 +85,7 @@ def affected(nodes: DataFrame, edges: DataFrame, start: DataFrame, relation: str
     if relation is not None:
         keep = keep & ((F.col("kind") == relation) | (F.coalesce("context", F.lit("")) == relation))
     back = edges.filter(keep).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.coalesce("context", "kind").alias("via"), F.col("kind").alias("order"))
+    back = stage(back, "turned")  # read once a hop
     found = reach(back, start, depth, via="via", order="order").filter("hops > 0")
     return found.join(nodes.select("id", "kind"), "id").select("id", "kind", "hops", "via")
 

@@ -6,10 +6,11 @@ a table (``sites``), and edges carry counts and reduced columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.schema import resolution_name, resolution_rank
+from evgraph.storage import stage
 
 KEY = ("src", "dst", "kind")
 
@@ -50,25 +51,32 @@ def merge_edges(facts: DataFrame) -> DataFrame:
     resolutions are ``mixed``. Partial aggregation bears hot edges.
     """
     rank = resolution_rank(F.col("resolution"))
-    site = F.struct("file", "start_line", "end_line")
-    merged = facts.groupBy(*KEY).agg(
+    # Producers are a few names. As numbers in order they stay in hash aggregations, which
+    # can't hold a least string.
+    names = facts.select("producer").distinct()
+    order = F.row_number().over(Window.orderBy(F.col("producer").asc_nulls_first()))
+    names = stage(names.select(F.col("producer").alias("p"), order.cast("long").alias("code")), "producers")
+    coded = facts.withColumn("rank", rank).join(names, F.col("producer").eqNullSafe(F.col("p")))
+    merged = coded.groupBy(*KEY).agg(
         F.count("*").alias("facts"),
-        F.count_distinct(site).alias("sites"),
-        F.min(F.struct(rank.alias("rank"), F.col("producer").alias("producer"))).alias("base"),
-        F.max(rank).alias("top"),
+        F.count_distinct("file", "start_line", "end_line").alias("sites"),
+        F.min(F.shiftleft(F.col("rank").cast("long"), 32) + F.col("code")).alias("base"),
+        F.max("rank").alias("top"),
         F.max("arity").alias("arity"),
         F.bool_and("type_only").alias("type_only"),
     )
-    return merged.select(
+    low = F.shiftright("base", 32).cast("int")
+    named = merged.withColumn("low", low).join(names.select("code", F.col("p").alias("producer")), F.col("base").bitwiseAND(F.lit((1 << 32) - 1)) == F.col("code"))
+    return named.select(
         *KEY,
         "facts",
         "sites",
-        resolution_name(F.col("base.rank")).alias("resolution"),
-        F.col("base.producer").alias("producer"),
+        resolution_name(F.col("low")).alias("resolution"),
+        "producer",
         "arity",
         "type_only",
-        (F.col("base.rank") != F.col("top")).alias("mixed"),
-        ((resolution_name(F.col("base.rank")) == "candidate") & (F.col("facts") > 1) & (F.col("sites") < 2)).alias("dropped"),
+        (F.col("low") != F.col("top")).alias("mixed"),
+        ((resolution_name(F.col("low")) == "candidate") & (F.col("facts") > 1) & (F.col("sites") < 2)).alias("dropped"),
     )
 
 
@@ -136,8 +144,6 @@ def merge_attributes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     reduced by edge and name before any list is made. The second table has the
     distinct citations with their place (``nth`` from 1) in canonical order.
     """
-    from pyspark.sql import Window
-
     cited = facts.select(*KEY, "file", "start_line", "end_line").distinct()
     sizes = facts.groupBy(*KEY).agg(F.count_distinct("fact").alias("facts")).join(cited.groupBy(*KEY).agg(F.count("*").alias("sites")), list(KEY))
     said = facts.select(*KEY, "fact", F.explode("attrs").alias("name", "value")).distinct()

@@ -25,7 +25,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, via: str
     first = F.lit(None).cast("string")
     seen = start.select("id").distinct().select("id", F.lit(0).alias("hops"), first.alias("via"))
     seen = front = stage(seen, "reach")
-    hop = 0
+    hop, parts = 0, 1
     while depth is None or hop < depth:
         hop += 1
         step = front.select(F.col("id").alias("from")).join(edges, F.col("from") == F.col("src"))
@@ -35,7 +35,10 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, via: str
         front, n = counted(new.select("id", F.lit(hop).alias("hops"), F.col("first.via").alias("via")), "reach")
         if not n:
             break
-        seen = seen.union(front)
+        seen, parts = seen.union(front), parts + 1
+        if parts > 8:
+            # Else each round would read all rounds before it.
+            seen, parts = stage(seen, "reach"), 1
     return seen if via else seen.select("id", "hops")
 
 

@@ -31,7 +31,7 @@ def first_definition(file, name, named, stars, tops, depth):
     return None
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_star_exports_against_a_search_depth_first(spark, seed):
     rng = random.Random(seed)
     files, names = [f"f{i}" for i in range(14)], [f"n{i}" for i in range(9)]
