@@ -103,6 +103,36 @@ def touching(a: DataFrame, b: DataFrame, on: list[str], size: float) -> DataFram
     return x.join(y, equal).filter(meet & once).drop("a_cx", "a_cy", "b_cx", "b_cy")
 
 
+#: Ids that a row of ``stacked`` holds at most, about.
+STACK = 1000
+
+
+def stacked(boxes: DataFrame, on: list[str]) -> DataFrame:
+    """Rectangles (id, x1, y1, x2, y2 and ``on``) of one place as rows that hold their ids
+    (``held``: structs), each about ``STACK`` at most; ``part`` tells rows of a place apart."""
+    place = [*on, "x1", "y1", "x2", "y2"]
+    crowded = boxes.groupBy(*place).agg(F.count("*").alias("n")).filter(F.col("n") > STACK)
+    crowded = crowded.select(*[F.col(c).alias(f"c_{c}") for c in place], F.ceil(F.col("n") / STACK).alias("parts"))
+    known = boxes.join(crowded, [F.col(c) == F.col(f"c_{c}") for c in place], "left")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part")
+    return known.select("id", *place, part).groupBy(*place, "part").agg(F.collect_list(F.struct("id")).alias("held"))
+
+
+def pairs_within(stacks: DataFrame, on: list[str], size: float) -> DataFrame:
+    """Rows of ``stacked`` that touch each other or themselves, each two once, as columns
+    ``a_`` and ``b_``; ``same`` where both are one."""
+    key = lambda tag: F.struct(*[F.col(f"{tag}_{c}") for c in (*on, "x1", "y1", "x2", "y2", "part")])
+    return touching(stacks, stacks, on, size).filter(key("a") <= key("b")).withColumn("same", key("a") == key("b"))
+
+
+def unstacked(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """``a_id``, ``b_id`` with a_id < b_id, and ``keep``, of pairs of rows of ``stacked``:
+    ids are dealt out where the rows met, so what is found goes through no exchange."""
+    each = pairs.select(*keep, "same", "b_held", F.explode("a_held").alias("x")).select(*keep, "same", "x", F.explode("b_held").alias("y"))
+    each = each.filter(F.when(F.col("same"), F.col("x.id") < F.col("y.id")).otherwise(F.col("x.id") != F.col("y.id")))
+    return each.select(*keep, F.least("x.id", "y.id").alias("a_id"), F.greatest("x.id", "y.id").alias("b_id"))
+
+
 def absent_within(rows: DataFrame, key: list[str], at: str, others: DataFrame, other_at: str, ahead: int) -> DataFrame:
     """Rows with no partner of equal ``key`` at ``at`` + 1 to ``at`` + ``ahead``."""
     spread = others.select(*[F.col(k).alias(f"o_{k}") for k in key], F.explode(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda d: F.col(other_at) - d)).alias("o_at")).distinct()

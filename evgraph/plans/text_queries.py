@@ -400,11 +400,11 @@ with b as (select p_partkey as id, (p_partkey * 37 % 2000)::int as x1, (p_partke
 select a.id as a, c.id as b from b a join b c on a.id < c.id and a.x1 <= c.x2 and c.x1 <= a.x2 and a.y1 <= c.y2 and c.y1 <= a.y2
 """)
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes that touch: intervals on one axis by cells, then the other axis."""
+    """Boxes that touch: boxes of one place as one row, met by the cells of a grid."""
     x, y = (F.col("p_partkey") * 37 % 2000).cast("int"), (F.col("p_partkey") * 91 % 1000).cast("int")
     boxes = star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.alias("x1"), (x + F.col("p_size")).alias("x2"), y.alias("y1"), (y + F.col("p_size")).alias("y2"))
-    pairs = joins.overlaps(boxes, boxes, [], "x1", "x2", 64.0)
-    return pairs.filter("a_id < b_id and a_y1 <= b_y2 and b_y1 <= a_y2").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    pairs = joins.unstacked(joins.pairs_within(joins.stacked(boxes, []), [], 64.0), [])
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 _CUT = "1998-01-01"

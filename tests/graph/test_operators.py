@@ -282,3 +282,16 @@ def test_evidence_order_has_every_citation(spark):
     assert sum(r.n for r in rows) == star.edges(spark, path).count()
     keys = [(r.whole, r.file, r.line) for r in rows]
     assert keys == sorted(keys)
+
+
+def test_boxes_of_one_place_meet_as_one_row(spark, monkeypatch):
+    monkeypatch.setattr(joins, "STACK", 4)
+    rng = random.Random(4)
+    made = [(i, x := rng.choice((0, 30, 63, 64)), y := rng.choice((0, 64)), x + rng.choice((0, 10)), y + 5) for i in range(40)]
+    made += [made[0], (None, 0, 0, 5, 5), (99, None, 0, 5, 5), (1, 0, 0, 10, 5)]
+    stacks = joins.stacked(spark.createDataFrame(made, "id int, x1 int, y1 int, x2 int, y2 int"), [])
+    assert 1 < max(len(r.held) for r in stacks.collect()) < 20
+    got = joins.unstacked(joins.pairs_within(stacks, [], 64.0), [])
+    whole = [m for m in made if None not in m]
+    want = [(a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]]
+    assert rows(got) == sorted(want)
