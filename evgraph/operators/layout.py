@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.operators.joins import overlaps, touching
+from evgraph.operators.joins import overlaps, pairs_within, stacked, touching, unstacked
+from evgraph.storage import stage
 
 GAP = 4
 CELL = 256.0
@@ -127,13 +128,42 @@ def frame_faults(frames: DataFrame, members: DataFrame, boxes: DataFrame, canvas
 def label_faults(labels: DataFrame, boxes: DataFrame, segments: DataFrame, gap: int = GAP) -> DataFrame:
     """``view``, ``route``, ``on``, ``other``: labels of routes (view, route, x1, y1, x2, y2) that
     lie over a box, over another route's segment, or closer than ``gap`` to another
-    label, found by the cells of a grid."""
-    mask = labels.select("view", F.col("route").alias("id"), "x1", "y1", "x2", "y2")
+    label, found by the cells of a grid.
+
+    What lies in one place meets others as one row, and only ids of several places can be
+    found twice: pairs of the others, which may be many, go through no exchange."""
+    rect = ["x1", "y1", "x2", "y2"]
+    on = ["view", "many"]
+
+    def placed(boxes: DataFrame) -> DataFrame:
+        own = boxes.distinct()
+        several = own.groupBy("view", "id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("view").alias("s_view"), F.col("id").alias("s_id"), F.lit(True).alias("several"))
+        known = own.join(several, F.col("view").eqNullSafe(F.col("s_view")) & F.col("id").eqNullSafe(F.col("s_id")), "left")
+        return stage(stacked(known.select("view", "id", *rect, F.coalesce("several", F.lit(False)).alias("many")), on), "stacks")
+
+    def told(pairs: DataFrame, mark: str, several: Column) -> DataFrame:
+        named = lambda rows: rows.select("view", F.col("a_id").alias("route"), F.lit(mark).alias("on"), F.col("b_id").cast("string").alias("other"))
+        return named(pairs.filter(~several)).union(named(pairs.filter(several)).distinct())
+
     over = (F.col("a_x1") < F.col("b_x2")) & (F.col("a_x2") > F.col("b_x1")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("a_y2") > F.col("b_y1"))
-    told = lambda pairs, on: pairs.select(F.col("a_view").alias("view"), F.col("a_id").alias("route"), F.lit(on).alias("on"), F.col("b_id").cast("string").alias("other"))
-    on_box = touching(mask, boxes.select("view", "id", "x1", "y1", "x2", "y2"), ["view"], CELL).filter(over)
+    masks = placed(labels.select("view", F.col("route").alias("id"), *rect))
+    view, many = F.col("a_view").alias("view"), F.col("a_many") | F.col("b_many")
+
+    solid = placed(boxes.select("view", "id", *rect))
+    met = touching(masks, solid, ["view"], CELL).filter(over).select(view, many.alias("many"), "a_held", "b_held")
+    met = met.select("view", "many", "b_held", F.explode("a_held").alias("x")).select("view", "many", "x", F.explode("b_held").alias("y"))
+    on_box = told(met.select("view", "many", F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id")), "box", F.col("many"))
+
+    # A route's segments meet places first, which are few where labels lie on each other.
     lines = segments.select("view", F.col("route").alias("id"), F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
-    on_line = touching(mask, lines, ["view"], CELL).filter(over & (F.col("a_id") != F.col("b_id")))
-    wide = mask.select("view", "id", "x1", "y1", (F.col("x2") + gap).alias("x2"), (F.col("y2") + gap).alias("y2"))
-    on_label = touching(wide, wide, ["view"], CELL).filter(over & (F.col("a_id") < F.col("b_id")))
-    return told(on_box, "box").union(told(on_line, "route")).union(told(on_label, "label")).distinct()
+    place = [*on, *rect]
+    spots = stage(masks.select(*place).distinct(), "places")
+    hits = touching(spots, lines, ["view"], CELL).filter(over).select(*[F.col(f"a_{c}").alias(f"h_{c}") for c in place], "b_id").distinct()
+    crossed = hits.join(masks, [F.col(f"h_{c}") == F.col(c) for c in place]).select("view", "many", "b_id", F.explode("held").alias("x"))
+    on_line = told(crossed.select("view", "many", F.col("x.id").alias("a_id"), "b_id").filter("a_id <> b_id"), "route", F.col("many"))
+
+    wide = masks.withColumn("x2", F.col("x2") + gap).withColumn("y2", F.col("y2") + gap)
+    near = pairs_within(wide.withColumn("part", F.struct("many", "part")), ["view"], CELL).filter(over)
+    near = unstacked(near.withColumn("view", F.col("a_view")).withColumn("many", many), ["view", "many"])
+    on_label = told(near, "label", F.col("many"))
+    return on_box.union(on_line).union(on_label)

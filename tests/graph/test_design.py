@@ -2,7 +2,7 @@
 
 import random
 
-from evgraph.operators import design, lock, styles
+from evgraph.operators import design, joins, layout, lock, styles
 
 DIRS = "api services db features users orders utils core domain shared pages widgets plugins public internal src infra model view Handlers x".split()
 TABLE = styles.part_rows()
@@ -127,3 +127,24 @@ def test_code_modules(spark):
     nodes = spark.createDataFrame([("a/x.py", "python"), ("b/c.yml", "compose"), ("x.py#f", "python")], "id string, lang string")
     paths = spark.createDataFrame([("a/x.py",), ("b/c.yml",), ("x.py",), ("d/y.py",)], "path string")
     assert {r.module for r in lock.code_modules(nodes, paths, ("python",)).collect()} == {"a", ""}
+
+
+def test_label_faults_against_all_pairs(spark, monkeypatch):
+    """Labels in one place, labels and boxes in several, repeated rows."""
+    monkeypatch.setattr(joins, "STACK", 4)
+    rng = random.Random(6)
+    rect = lambda wide, high: (x := rng.randrange(0, 600, 20), y := rng.randrange(0, 600, 20), x + wide, y + high)
+    labels = [("v", f"r{i % 50}", *rect(30, 12)) for i in range(70)]
+    labels += [("v", f"r{i}", 250, 250, 280, 262) for i in range(60, 80)] + labels[:3]
+    boxes = [("v", f"b{i % 30}", *rect(60, 24)) for i in range(40)] + [("w", "b1", 250, 250, 300, 300)]
+    lines = [("v", f"r{i % 70}", *rect(200, 0)) for i in range(120)]
+    over = lambda a, b: a[0] == b[0] and a[2] < b[4] and a[4] > b[2] and a[3] < b[5] and a[5] > b[3]
+    wide = [(*m[:4], m[4] + 4, m[5] + 4) for m in labels]
+    want = {("v", a[1], "box", b[1]) for a in labels for b in boxes if over(a, b)}
+    want |= {("v", a[1], "route", b[1]) for a in labels for b in lines if a[1] != b[1] and over(a, b)}
+    want |= {("v", a[1], "label", b[1]) for a in wide for b in wide if a[1] < b[1] and over(a, b)}
+    frame = lambda made, name: spark.createDataFrame(made, f"view string, {name} string, x1 int, y1 int, x2 int, y2 int")
+    found = layout.label_faults(frame(labels, "route"), frame(boxes, "id"), frame(lines, "route"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    # Pairs of what lies in one place only go through no exchange after they are found.
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
