@@ -134,27 +134,66 @@ def runtime_edges(facts: DataFrame, keep: Column, site: Column) -> DataFrame:
     return facts.filter(keep).groupBy("src", "dst").agg(F.count_distinct(site).alias("weight"))
 
 
+#: Buckets into which edges are counted, and what makes one hot: so many facts and so many
+#: times the mean.
+BUCKETS, HOT_FACTS, HOT_TIMES = 1 << 16, 1_000_000, 8
+
+
+def _ruled(held: DataFrame) -> DataFrame:
+    """``attrs`` of edges (KEY, facts, sites, held: their values by name) by the rules."""
+    sites = F.create_map(F.lit("sites"), F.col("sites").cast("string"))
+    rest = F.map_filter("held", lambda k, v: k != "sites")
+    return held.select(*KEY, F.when(F.col("facts") == 1, F.col("held")).otherwise(F.map_concat(rest, sites)).alias("attrs"))
+
+
+def _merged_at_once(facts: DataFrame) -> DataFrame:
+    """Edges of few facts each: what they say is brought together by one exchange."""
+    entries = F.coalesce(F.map_entries("attrs"), F.array().cast("array<struct<key:string,value:string>>")).alias("entries")
+    dealt = facts.select(*KEY, "fact", "file", "start_line", "end_line", entries).repartition(*KEY)
+    runs = F.exists("entries", lambda e: (e.key == "type_only") & (e.value == "true"))
+    lists = dealt.groupBy(*KEY).agg(
+        F.size(F.collect_set("fact")).cast("long").alias("facts"), F.size(F.collect_set(F.struct("file", "start_line", "end_line"))).cast("long").alias("sites"),
+        F.size(F.collect_set(F.when(runs, F.col("fact")))).cast("long").alias("true"), F.array_distinct(F.flatten(F.collect_set("entries"))).alias("said"),
+    )
+    names = F.array_sort(F.array_distinct(F.transform("said", lambda e: e.key)))
+    kept = F.filter(names, lambda k: (k != "type_only") | (F.col("facts") == 1) | (F.col("true") == F.col("facts")))
+    values = lambda k: F.transform(F.filter("said", lambda e: (e.key == k) & e.value.isNotNull()), lambda e: e.value)
+    value = lambda k: F.array_join(F.array_sort(values(k)), ",")
+    return _ruled(lists.select(*KEY, "facts", "sites", F.map_from_entries(F.transform(kept, lambda k: F.struct(k, value(k)))).alias("held")))
+
+
+def _merged_in_parts(facts: DataFrame, cited: DataFrame) -> DataFrame:
+    """Edges of any number of facts: values are reduced by edge and name before any list."""
+    sizes = facts.groupBy(*KEY).agg(F.count_distinct("fact").alias("facts")).join(cited.groupBy(*KEY).agg(F.count("*").alias("sites")), list(KEY))
+    said = facts.select(*KEY, "fact", F.explode("attrs").alias("name", "value")).distinct()
+    each = said.groupBy(*KEY, "name").agg(F.count_distinct(F.when(F.col("value") == "true", F.col("fact"))).alias("true"), F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
+    ruled = each.join(sizes, list(KEY)).filter((F.col("name") != "type_only") | (F.col("facts") == 1) | (F.col("true") == F.col("facts")))
+    lists = ruled.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("held"))
+    return _ruled(sizes.join(lists, list(KEY), "left").select(*KEY, "facts", "sites", F.coalesce("held", F.create_map().cast("map<string,string>")).alias("held")))
+
+
 def merge_attributes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What facts (``src``, ``dst``, ``kind``, ``fact`` (its number), ``attrs`` (a map)) say of each
     edge, and their citations (``file``, ``start_line``, ``end_line``; a row each).
 
     One fact's attributes stay as they are. Of several, a value that all who name it share
     stays, different ones are joined in order, and ``type_only`` holds only if every fact
-    says so: one that runs makes the edge run. ``sites`` then counts citations. Values are
-    reduced by edge and name before any list is made. The second table has the
+    says so: one that runs makes the edge run. ``sites`` then counts citations. Edges are
+    counted in ``BUCKETS``: facts of those in hot ones are reduced in parts, and the others,
+    of which none has many, pass one exchange. The second table has the
     distinct citations with their place (``nth`` from 1) in canonical order.
     """
     cited = facts.select(*KEY, "file", "start_line", "end_line").distinct()
-    sizes = facts.groupBy(*KEY).agg(F.count_distinct("fact").alias("facts")).join(cited.groupBy(*KEY).agg(F.count("*").alias("sites")), list(KEY))
-    said = facts.select(*KEY, "fact", F.explode("attrs").alias("name", "value")).distinct()
-    each = said.groupBy(*KEY, "name").agg(F.count_distinct("fact").alias("named"), F.count_distinct(F.when(F.col("value") == "true", F.col("fact"))).alias("true"), F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value"))
-    ruled = each.join(sizes, list(KEY)).filter((F.col("name") != "type_only") | (F.col("facts") == 1) | (F.col("true") == F.col("facts")))
-    lists = ruled.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("held"))
-    whole = sizes.join(lists, list(KEY), "left").select(*KEY, "facts", "sites", F.coalesce("held", F.create_map().cast("map<string,string>")).alias("held"))
-    sites = F.create_map(F.lit("sites"), F.col("sites").cast("string"))
-    rest = F.map_filter("held", lambda k, v: k != "sites")
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+    counts = facts.groupBy(bucket.alias("hot")).agg(F.count("*").alias("n"))
+    hot = stage(counts.filter(F.col("n") >= HOT_FACTS).crossJoin(counts.agg(F.sum("n").alias("all"))).filter(F.col("n") * BUCKETS >= F.col("all") * HOT_TIMES).select("hot"), "hot-edges")
+    if hot.isEmpty():
+        merged = _merged_at_once(facts)
+    else:
+        few, many = (facts.join(F.broadcast(hot), bucket == F.col("hot"), how) for how in ("left_anti", "left_semi"))
+        merged = _merged_at_once(few).union(_merged_in_parts(many, many.select(*KEY, "file", "start_line", "end_line").distinct()))
     order = Window.partitionBy(*KEY).orderBy(F.col("start_line") == 0, "file", "start_line", "end_line")
-    return whole.select(*KEY, F.when(F.col("facts") == 1, F.col("held")).otherwise(F.map_concat(rest, sites)).alias("attrs")), cited.withColumn("nth", F.row_number().over(order))
+    return merged, cited.withColumn("nth", F.row_number().over(order))
 
 
 def weighted_pairs(edges: DataFrame, weight: Column) -> DataFrame:

@@ -139,8 +139,9 @@ f as (
 )"""
 
 
-def _supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as facts that a part comes from a supplier, with attributes of theirs."""
+def _supply_facts(spark: SparkSession, sf_dir: str, keys: dict[str, str] | None = None) -> DataFrame:
+    """Line items as facts that a part comes from a supplier, with attributes of theirs.
+    ``keys`` names columns whose numbers stand for ``src``, ``dst`` and ``file``."""
     items = star.table(spark, sf_dir, "lineitem")
     pairs = F.array(
         F.struct(F.lit("flag").alias("k"), F.col("l_returnflag").alias("v")),
@@ -149,9 +150,11 @@ def _supply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     attrs = F.map_from_entries(F.filter(pairs, lambda x: x.isNotNull()))
     line = F.col("l_linenumber").cast("int")
+    named = {"src": star.node_id("part", "l_partkey"), "dst": star.node_id("supplier", "l_suppkey"), "file": F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"))}
+    named |= {to: F.col(key) for to, key in (keys or {}).items()}
     return items.select(
-        star.node_id("part", "l_partkey").alias("src"), star.node_id("supplier", "l_suppkey").alias("dst"), F.lit("supply").alias("kind"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact"), F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string")).alias("file"),
+        named["src"].alias("src"), named["dst"].alias("dst"), F.lit("supply").alias("kind"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact"), named["file"].alias("file"),
         line.alias("start_line"), line.alias("end_line"), attrs.alias("attrs"),
     )
 
@@ -164,7 +167,10 @@ from c
 """)
 def merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all facts of an edge say of it, by a rule for each attribute."""
-    merged, _ = build.merge_attributes(_supply_facts(spark, sf_dir))
+    # Keys stay numbers until edges are merged, so less is exchanged.
+    keys = {"src": "l_partkey", "dst": "l_suppkey", "file": "l_orderkey"}
+    facts = _supply_facts(spark, sf_dir, keys)
+    merged = build.merge_attributes(facts)[0].withColumns({"src": star.node_id("part", "src"), "dst": star.node_id("supplier", "dst")})
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat_ws("=", e.key, e.value)), ";")
     return merged.select("src", "dst", "kind", shown.alias("attrs"))
 

@@ -63,6 +63,21 @@ def test_calls_of_names_that_a_star_brings(spark):
 # attributes and citations
 
 
+def test_attributes_of_hot_edges_and_others(spark, monkeypatch):
+    """Edges of many facts are reduced in parts, the others by one exchange, to the same."""
+    rng = random.Random(9)
+    rows_ = [("a", f"e{min(rng.randrange(60), 20)}", "k", rng.randrange(40), rng.choice([None, {}, {"type_only": "true"}, {"type_only": "true", "x": rng.choice("pq")}, {"x": None, "sites": "7"}]), "f", rng.randrange(9), 9) for _ in range(400)]
+    facts = spark.createDataFrame(rows_, "src string, dst string, kind string, fact int, attrs map<string,string>, file string, start_line int, end_line int")
+    said = lambda merged: sorted((r.dst, sorted(r.attrs.items())) for r in merged.collect())
+    once = build.merge_attributes(facts)[0]
+    want = said(build._merged_in_parts(facts, facts.select("src", "dst", "kind", "file", "start_line", "end_line").distinct()))
+    assert said(once) == want
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("Initial Plan")[2].count("Exchange ") == 1
+    monkeypatch.setattr(build, "HOT_FACTS", 100)
+    assert said(build.merge_attributes(facts)[0]) == want
+
+
 def test_attributes_by_rule(spark):
     facts = [
         (1, "a", "b", "calls", {"shape": "self", "x": "1"}, "f", 9, 9), (1, "a", "b", "calls", {"shape": "self", "x": "1"}, "e", 2, 2),
