@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -61,9 +63,12 @@ def vantage_points(half: int, count: int) -> np.ndarray:
     return mix64(np.arange(count, dtype=np.uint64) + np.uint64(1000 * half)) & np.uint64(0xFFFFFFFF)
 
 
-def tree_leaves(part: np.ndarray, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tree_leaves(
+    part: np.ndarray, points: np.ndarray, reach: int, width: int = 32, home: np.ndarray | None = None, first: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, leaves and whether the row lives there, in a tree with one vantage point
-    a level, of which each splits the 32-bit numbers ``part`` by their distance.
+    a level, of which each splits the numbers ``part`` of ``width`` bits by their distance.
+    ``home`` and ``first`` go on below a leaf of ``first`` levels and those who are there.
 
     A row lives in the leaf of its own distances. By the triangle inequality a
     neighbour within ``reach`` bits has distances within ``reach`` of its own, so the
@@ -72,9 +77,9 @@ def tree_leaves(part: np.ndarray, points: np.ndarray, reach: int) -> tuple[np.nd
     between them visits the other; the outer one need not look inside.
     """
     rows = np.arange(len(part))
-    leaf, home = np.zeros(len(part), dtype=np.int64), np.ones(len(part), dtype=bool)
-    for level, v in enumerate(points):
-        cut = 15 + level % 2  # the mean distance is 16
+    leaf, home = np.zeros(len(part), dtype=np.int64), np.ones(len(part), dtype=bool) if home is None else home
+    for level, v in enumerate(points, first):
+        cut = width // 2 - 1 + level % 2  # the mean distance is half the width
         far = np.bitwise_count(part[rows] ^ v).astype(np.int64)
         outer = far > cut
         over = np.where(outer, ~home & (far - reach <= cut), far + reach > cut)
@@ -259,8 +264,14 @@ WIDE = 4
 #: Texts of a Jaccard similarity of 0.8 differ in 39 of 256 bits on average, with a
 #: deviation of 6, unrelated ones in 128 with one of 8. Candidates differ in at most:
 WIDE_RADIUS = 80
-#: Share of the pairs of a similarity of exactly 0.8 that meet in some band.
+#: Share of the pairs of a similarity of exactly 0.8 that are neighbours in some part.
 MET = 0.99
+#: Bits in which neighbours in a part of the wide fingerprints differ at most.
+REACH = 1
+#: Rows that live in a leaf to which the first levels of a part's tree deal, on average.
+DEAL = 200_000
+#: Rows a call's tree is walked with at once, and those of its leaves, about.
+WALK, LAST = 65_536, 128
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -287,75 +298,143 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(n: int) -> np.ndarray:
-    """Which of the 256 bits each band has, for ``n`` texts: so many that a few texts
-    share a value of a band by chance, and so many bands that pairs that differ in 39
-    bits agree on one with a chance of ``MET``."""
-    width = max(16, int(np.ceil(np.log2(max(1, n)))) - 2)
-    agree = (1 - 39 / (64 * WIDE)) ** width
+def _bands(n: int, reach: int = 0) -> np.ndarray:
+    """Which of the 256 bits each part has, for ``n`` texts: so many that few texts
+    come within ``reach`` bits in a part by chance, and so many parts that pairs that
+    differ in 39 bits come as near in one with a chance of ``MET``."""
+    width, p = max(16, int(np.ceil(np.log2(max(1, n)))) - 2), 39 / (64 * WIDE)
+    agree = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(reach + 1))
     rng = np.random.default_rng(8)
     return np.stack([rng.permutation(64 * WIDE)[:width] for _ in range(int(np.ceil(np.log(1 - MET) / np.log1p(-agree))))])
 
 
-def _candidates(classes: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) that connect all classes within ``WIDE_RADIUS`` that share a band.
+def _part(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits ``at`` of wide fingerprints, as one number a row."""
+    out = np.zeros(len(wide), dtype=np.uint64)
+    for k, bit in enumerate(at.tolist()):
+        out |= (wide[:, bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def _far(wide: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many of all bits the rows x and y differ."""
+    return np.bitwise_count(wide[x] ^ wide[y]).sum(axis=-1, dtype=np.int64)
+
+
+def _met(part: np.ndarray, wide: np.ndarray, home: np.ndarray, reach: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect one leaf's neighbours within ``reach`` bits of
+    ``part`` and ``WIDE_RADIUS`` of all. Where many rows crowd together they are first
+    walked from neighbour to neighbour, each against those not reached yet, so a
+    dense group costs little; the others are not its neighbours and are compared."""
+    bits, left = part.astype(np.uint32), np.arange(len(part))
+    xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
 
-    A band's vantage-point tree is searched with radius 0, down to leaves of one
-    band value; bands get longer and more as texts get more (``_bands``). Leaves over ``most`` rows are cut into chunks whose pairs are groups
-    of their own; groups give spanning forests, never all pairs.
+    def near(i: int, rows: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(np.bitwise_count(bits[rows] ^ bits[i]) <= reach)
+        return at[_far(wide, rows[at], i) <= WIDE_RADIUS]
+
+    while int(home[left].sum()) * len(left) > most:
+        tried = left[:: max(1, len(left) // 16)]
+        sizes = [len(near(i, left)) for i in tried.tolist()]
+        if max(sizes) * 64 < len(left):
+            break
+        todo = [int(tried[int(np.argmax(sizes))])]
+        left = left[left != todo[0]]
+        while todo and len(left):
+            i = todo.pop()
+            at = near(i, left)
+            xs.append(np.full(len(at), i))
+            ys.append(left[at])
+            todo += left[at].tolist()
+            left = np.delete(left, at) if len(at) else left
+    own, step = left[home[left]], max(1, (1 << 20) // max(1, len(left)))
+    for k in range(0, len(own), step):
+        cells = np.flatnonzero(np.bitwise_count(bits[own[k : k + step]][:, None] ^ bits[left][None, :]) <= reach)
+        x, y = own[k + cells // len(left)], left[cells % len(left)]
+        new = (x < y) | ((x != y) & ~home[y])
+        x, y = x[new], y[new]
+        new = _far(wide, x, y) <= WIDE_RADIUS
+        xs.append(x[new])
+        ys.append(y[new])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _neighbours(wide: np.ndarray, home: np.ndarray, at: np.ndarray, points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a leaf after ``depth`` levels that connect what ``_met`` asks
+    for: its tree is walked on, in pieces that fit, to leaves that are compared."""
+    part, found = _part(wide, at), []
+    last = depth + max(0, int(np.ceil(np.log2(max(1, len(wide)) / LAST))))
+    stack = [(np.arange(len(wide)), home, depth)]
+    while stack:
+        rows, own, level = stack.pop()
+        to = last if len(rows) <= WALK else min(last, level + 1)
+        i, leaf, own = tree_leaves(part[rows], points[level:to], REACH, len(at), own, level)
+        order = np.argsort(leaf, kind="stable")
+        ends = np.flatnonzero(np.diff(leaf[order], append=-1)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(rows) else ():
+            r, h = rows[i[order[a:b]]], own[order[a:b]]
+            if len(r) < 2 or not h.any():
+                continue
+            if to < last:
+                stack.append((r, h, to))
+                continue
+            x, y = _met(part[r], wide[r], h, REACH)
+            if len(x) > len(r):
+                x, y = np.array(forest(x, y, len(r)), dtype=np.int64).reshape(-1, 2).T
+            if len(x):
+                found.append((r[x], r[y]))
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *[x for x, _ in found]]), np.concatenate([none, *[y for _, y in found]])
+
+
+def _candidates(classes: DataFrame, most: int, deal: int = DEAL) -> DataFrame:
+    """Pairs (a, b) that connect all classes that differ in ``REACH`` bits at most in a
+    part of their wide fingerprints (``_bands``), and in ``WIDE_RADIUS`` in all.
+
+    As in ``fingerprint_links``, each part has a vantage-point tree, in which a row
+    lives in one leaf and visits those that the triangle bounds leave over, so no
+    neighbour in a part is missed. The first levels deal rows to calls, which walk
+    the others. Leaves over ``most`` rows (groups of near copies crowd together) are
+    cut into chunks whose pairs are calls of their own; calls give spanning forests,
+    never all pairs.
     """
     known = classes.count()
-    bands = _bands(known)
+    bands = _bands(known, REACH)
+    depth = max(2, int(np.ceil(np.log2(max(1, known) / deal))))
+    columns, mask = [f"f{k}" for k in range(WIDE)], np.uint64((1 << bands.shape[1]) - 1)
+    points = [vantage_points(b, 64) & mask for b in range(len(bands))]
+
+    def wide_of(part: pd.DataFrame) -> np.ndarray:
+        return np.stack([part[c].to_numpy(dtype=np.int64) for c in columns], axis=1).view(np.uint64)
 
     def leaves(batches):
         for batch in batches:
-            if len(batch):
-                wide = np.stack([batch[f"f{k}"].to_numpy(dtype=np.int64) for k in range(WIDE)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
-                for b, at in enumerate(bands):
-                    value = bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
-                    yield batch.assign(leaf=value + (b << len(at)))
-
-    fields = ", ".join(f"f{k} long" for k in range(WIDE))
-    columns = [f"f{k}" for k in range(WIDE)]
-    rows = classes.select("id", *columns).mapInPandas(leaves, f"id long, {fields}, leaf long")
+            wide = wide_of(batch)
+            for b, at in enumerate(bands):
+                rows, leaf, home = tree_leaves(_part(wide, at), points[b][:depth], REACH, len(at))
+                yield batch.iloc[rows].assign(leaf=leaf + (b << depth), home=home)
+
+    fields = ", ".join(f"{c} long" for c in columns)
+    rows = classes.select("id", *columns).mapInPandas(leaves, f"id long, {fields}, leaf long, home boolean")
     sizes = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(f"n > {most}")
-    cut = stage(sizes.select(F.col("leaf").alias("l"), F.ceil(F.col("n") / most).cast("int").alias("chunks")), "crowded")
-    chunks = F.coalesce("chunks", F.lit(1))
-    mine = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    pair = lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))
-    spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), pair)).alias("to")
-    if cut.isEmpty():
-        dealt = rows.select("id", *columns, "leaf", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    cut = stage(sizes.select(F.col("leaf").alias("l"), F.ceil(2 * F.col("n") / most).cast("int").alias("c")), "crowded")
+    if not cut.isEmpty():
+        mine = F.pmod(F.xxhash64("id"), "c").cast("int")
+        with_all = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.least(mine, j) * F.col("c") + F.greatest(mine, j))
+        chunk = F.explode(F.coalesce(with_all, F.array(F.lit(0)))).alias("chunk")
+        rows = rows.join(cut, F.col("leaf") == F.col("l"), "left").select("id", *columns, "leaf", "home", chunk)
     else:
-        marked = rows.join(cut, F.col("leaf") == F.col("l"), "left").select("id", *columns, "leaf", chunks.alias("c"), mine.alias("mine"))
-        dealt = marked.select("id", *columns, "leaf", "mine", spread).select("id", *columns, "leaf", "to.i", "to.j")
-    n = max(8 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), known * len(bands) // CALL_ROWS)
-    bucket = F.pmod(F.xxhash64("leaf", "i", "j"), F.lit(n)).cast("int")
+        rows = rows.withColumn("chunk", F.lit(0))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["leaf", "i", "j", "id"], kind="stable")
-        key = part[["leaf", "i", "j"]].to_numpy(dtype=np.int64)
-        group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))]) if len(key) else np.zeros(0, int)
-        end = np.searchsorted(group, group, side="right")
-        wide = np.stack([part[c].to_numpy(dtype=np.int64) for c in columns], axis=1).view(np.uint64)
+        part = part.sort_values("id", kind="stable")
+        b = int(part["leaf"].iloc[0]) >> depth
         names, code = np.unique(part["id"].to_numpy(), return_inverse=True)
-        found, rows, step = [], np.arange(len(part)), 0
-        while len(rows := rows[rows + step + 1 < end[rows]]):
-            step += 1
-            x, y = rows, rows + step
-            far = np.bitwise_count(wide[x, 0] ^ wide[y, 0]).astype(np.int64)
-            near = far <= WIDE_RADIUS
-            x, y, far = x[near], y[near], far[near]
-            for k in range(1, WIDE):
-                far = far + np.bitwise_count(wide[x, k] ^ wide[y, k])
-            x, y = code[x[far <= WIDE_RADIUS]], code[y[far <= WIDE_RADIUS]]
-            found += forest(x, y, len(names))
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        pairs = np.array(forest(pairs[:, 0], pairs[:, 1], len(names)), dtype=np.int64).reshape(-1, 2)
+        x, y = _neighbours(wide_of(part), part["home"].to_numpy(dtype=bool), bands[b], points[b], depth)
+        pairs = np.array(forest(code[x], code[y], len(names)), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    return dealt.groupBy(bucket.alias("bucket")).applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("leaf", "chunk").applyInPandas(compare, "a long, b long").distinct()
 
 
 def similar(part: pd.DataFrame, shingle: int, similarity: float) -> pd.DataFrame:
@@ -436,9 +515,10 @@ def first_of_each(
     columns of ``docs``: texts link whose sets of word shingles have a Jaccard
     similarity of ``similarity`` or more, and groups are what links connect.
 
-    Rows of one shingle set become one class. Fingerprints of 256 bits then name
-    candidates (see ``_candidates``; a pair of similarity 0.8 is found with a chance
-    of 99 %, one of 0.9 of over 99.9 %), candidates are grouped by what they
+    Rows of one shingle set become one class. SimHash fingerprints of 256 bits then
+    name candidates, by vantage-point trees over their parts (see ``_candidates``; a
+    pair of similarity 0.8 is found with a chance of 99 %, one of 0.9 of over
+    99.9 %), candidates are grouped by what they
     connect, and only there are texts brought together and compared exactly
     (``_verified``): nothing below the similarity links.
 
@@ -464,7 +544,7 @@ def first_of_each(
     classes = stage(
         marked.groupBy("key").agg(first, *[F.min(f"f{k}").alias(f"f{k}") for k in range(WIDE)]).withColumn("id", F.col("first.row")), "classes"
     )
-    near = components(_candidates(classes, 4096))
+    near = components(_candidates(classes, 4 * DEAL))
     members = stage(near.select("root", F.col("node").alias("id")).union(near.select("root", F.col("root").alias("id")).distinct()), "members")
     texts = rows.select(F.col(n).alias("id"), quoted(text).alias("text")).join(members, "id")
     roots = components(_verified(texts, shingle, similarity, most))

@@ -587,6 +587,44 @@ def test_bands_grow_with_the_texts():
     assert few.shape == (63, 16) and many.shape[1] == 28 and len(many) > 400
 
 
+@pytest.mark.parametrize(("most", "deal"), [(10**6, 10**6), (10**6, 40), (150, 10**6), (100, 40)])
+def test_candidates_are_neighbours_in_a_part_not_equal_in_it(spark, most, deal):
+    """Pairs in which few parts are equal, and a group of near copies, against brute force."""
+    from evgraph.llm.components import components
+
+    rng = np.random.default_rng(21)
+    bits = rng.integers(0, 2, (1300, 256), dtype=np.uint8)
+    for k in range(0, 1000, 2):  # pairs that differ in 64 bits
+        bits[k + 1] = bits[k]
+        bits[k + 1, rng.permutation(256)[:64]] ^= 1
+    bits[1050:] = bits[1050]
+    for k in range(1051, 1300):
+        bits[k, rng.permutation(256)[: rng.integers(1, 30)]] ^= 1
+    wide = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    frame = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(wide)], "id long, f0 long, f1 long, f2 long, f3 long")
+    found = components(simhash._candidates(frame, most, deal)).collect()
+    got = np.arange(len(bits))
+    for r in found:
+        got[r.node] = r.root
+    assert sum(got[k + 1] == k for k in range(0, 1000, 2)) >= 280  # 200 have a part in common by ``_bands(1300)``
+
+    parent = list(range(len(bits)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = np.zeros((len(bits), len(bits)), dtype=bool)
+    for at in simhash._bands(len(bits), 1):
+        near |= (bits[:, None, at] ^ bits[None, :, at]).sum(axis=2, dtype=np.uint8) <= 1
+    for i, j in np.argwhere(np.triu(near, 1)).tolist():
+        if (bits[i] ^ bits[j]).sum() <= simhash.WIDE_RADIUS:
+            a, b = top(i), top(j)
+            parent[max(a, b)] = min(a, b)
+    assert got.tolist() == [top(i) for i in range(len(bits))]
+
+
 def test_first_of_each_keeps_one(spark, empty, odd):
     rng = random.Random(2)
     base = [f"tok{rng.randrange(5000)}" for _ in range(300)]
